@@ -22,6 +22,18 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.prefix_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.lattice_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.extendible_sharding import shard
 
