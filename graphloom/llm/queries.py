@@ -22,6 +22,15 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import toxicity_gbt
+    from graphloom.llm.sampling import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity_gbt.score(docs.select("doc_id", "text"), toxicity_gbt.fit(docs, table(spark, sf_dir, "labels")), out="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", toxicity_gbt.is_toxic(F.col("score")).alias("predicted"))
+
+
 def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.prefix_forest import nearest
 
