@@ -22,6 +22,15 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import language_crf
+    from graphloom.llm.sampling import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    tagged = language_crf.identify(docs.select("doc_id", "text"), language_crf.fit(docs), score="score")
+    return tagged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import toxicity_gbt
     from graphloom.llm.sampling import held_out
