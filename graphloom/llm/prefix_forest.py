@@ -51,24 +51,24 @@ class Forest:
         hashes = np.array([self._hash(full, p) for p in self.planes])
         n, least = len(self.vectors), min(least, len(self.vectors))
         masks = np.zeros((len(queries), n), bool)
-        counts = np.zeros(len(queries), np.int64)
+        live = np.arange(len(queries))
         for level in range(self.bits, -1, -1):
-            live = np.flatnonzero(counts < least)
-            if not len(live):
-                break
             shift = self.bits - level
             low = (hashes[:, live] >> shift) << shift
             lo = np.array([np.searchsorted(s, x) for s, x in zip(self.strings, low)])
             hi = np.array([np.searchsorted(s, x + (np.int64(1) << shift)) for s, x in zip(self.strings, low)])
-            for at, q in enumerate(live):
-                mask = masks[q]
-                wide = np.flatnonzero(hi[:, at] > lo[:, at])
-                for k, t in enumerate(wide):
+            done = np.zeros(len(live), bool)
+            # rows under a prefix are also under every shorter one: a level counts once it can be enough
+            for at in np.flatnonzero((hi - lo).sum(0) >= least):
+                mask = masks[live[at]]
+                for t in np.flatnonzero(hi[:, at] > lo[:, at]):
                     mask[self.order[t][lo[t, at] : hi[t, at]]] = True
-                    if k % 4 == 3 or k == len(wide) - 1:
-                        counts[q] = np.count_nonzero(mask)
-                        if counts[q] >= least:
-                            break
+                    if t % 4 == 3 and np.count_nonzero(mask) >= least:
+                        break
+                done[at] = np.count_nonzero(mask) >= least
+            live = live[~done]
+            if not len(live):
+                break
         return masks
 
 
@@ -83,8 +83,12 @@ def _search(group: pd.DataFrame, k: int, fraction: float, trees: int, bits: int)
         X, Q = stack(rows["v"]), stack(asked["v"])
         # at least 512 rows, so that small shards are searched whole
         masks = Forest(X, trees, bits).candidates(Q, max(FEW_ROWS, math.ceil(fraction * len(X))))
-        for qid, q, mask in zip(qids, Q, masks):
+        rough = Q @ X.T
+        for qid, q, mask, near in zip(qids, Q, masks, rough):
             found = np.flatnonzero(mask & (ids != qid))
+            if len(found) > k:  # what may be among the best, up to rounding of the block product
+                least = np.partition(near[found], len(found) - k)[len(found) - k]
+                found = found[near[found] >= least - 1e-9 * max(1.0, abs(least))]
             score = np.einsum("ij,j->i", X[found], q)
             best = np.lexsort((ids[found], -score))[:k]
             out["query_id"] += [qid] * len(best)
