@@ -31,6 +31,12 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.prob_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import toxicity_gbt
     from graphloom.llm.sampling import held_out
