@@ -31,12 +31,24 @@ def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.template_dedup import drop_recurring
+
+    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.prob_minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_variable_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.variable_packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import toxicity_gbt
     from graphloom.llm.sampling import held_out
@@ -74,7 +86,9 @@ def op10_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    import corpus_pipeline
+
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
