@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import hashed_sample, in_training
 
-SAMPLE_ROWS = 12_000  # bound on the labelled rows that a model is fitted on
+SAMPLE_ROWS = 8_000  # bound on the labelled rows that a model is fitted on
 LEXICON_UNITS = 5_000
 FOLDS = 4
 CUT = 0.3
@@ -189,10 +189,14 @@ def fit_texts(texts: list[str | None], labels: np.ndarray) -> Model:
     y = np.asarray(labels, np.float64)
     n = len(y)
     fold = np.arange(n) % FOLDS
-    sets = [units(WORD.findall((t or "").lower())) for t in texts]
     counts = [[Counter(), Counter()] for _ in range(FOLDS)]
-    for s, t, f in zip(sets, y, fold):
-        counts[f][int(t)].update(s)
+    toxic_units: set[str] = set()
+    for toxic in (1, 0):  # of clean rows only the units that toxic ones have are counted
+        for i in np.flatnonzero(y == toxic):
+            kinds = units(WORD.findall((texts[i] or "").lower()))
+            if toxic:
+                toxic_units |= kinds
+            counts[fold[i]][toxic].update(kinds if toxic else kinds & toxic_units)
     whole = [Counter(), Counter()]
     for c in counts:
         for k in (0, 1):
