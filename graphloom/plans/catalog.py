@@ -1,4 +1,554 @@
-"""Registered queries and the SQL they are compared with."""
+"""Registered queries over the star-schema graph, and the SQL they are compared with."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as tx
+from graphloom.operators import classify, evals, federation, graph, heat, integrity, mutations, retrieval
+from graphloom.plans.views import GRAPH, Views
+from graphloom.sources import source_tree
+from graphloom.storage import materialize
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of the views under its name, with the SQL it must agree with."""
+
+    def add(f):
+        name = f.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Views(spark, sf_dir))
+
+        run.__name__ = name
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return run
+
+    return add
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+# Predicates, aggregates, ordering
+
+
+@query(GRAPH + " SELECT id, type FROM g_nodes WHERE status IN ('', 'active')")
+def active_filter(v):
+    return graph.active(v.nodes).select("id", "type")
+
+
+@query(GRAPH + " SELECT namespace, count(*) AS n FROM g_nodes WHERE status IN ('', 'active') GROUP BY 1 UNION ALL SELECT 'empty', 0")
+def namespace_counts(v):
+    return federation.namespace_counts(v.nodes, v.spark.createDataFrame([("geo",), ("empty",)], "name string"))
+
+
+@query(GRAPH + " SELECT CASE WHEN status = 'superseded' THEN status ELSE 'active' END AS status, count(*) AS n FROM g_nodes GROUP BY 1")
+def status_breakdown(v):
+    return federation.status_breakdown(v.nodes)
+
+
+@query(GRAPH + """ SELECT (SELECT count(*) FROM g_nodes WHERE status IN ('', 'active')) AS nodes,
+    (SELECT count(*) FROM g_edges WHERE src IN (SELECT id FROM g_nodes WHERE status IN ('', 'active'))) AS edges, 'geo,sales,supply' AS namespaces""")
+def graph_stats(v):
+    return federation.graph_stats(v.nodes, v.pairs).withColumn("namespaces", F.array_join("namespaces", ","))
+
+
+@query(GRAPH + """ SELECT DISTINCT kind, value FROM (SELECT 'tag' AS kind, unnest(tags) AS value, status FROM g_nodes
+    UNION ALL SELECT 'type', type, status FROM g_nodes UNION ALL SELECT 'namespace', namespace, status FROM g_nodes) WHERE status IN ('', 'active')""")
+def distinct_values(v):
+    return federation.distinct_values(v.nodes)
+
+
+@query(GRAPH + """, d AS (SELECT src AS id, 1 AS o, 0 AS i FROM g_edges UNION ALL SELECT dst, 0, 1 FROM g_edges)
+    SELECT n.id, coalesce(sum(o), 0)::BIGINT AS out_degree, coalesce(sum(i), 0)::BIGINT AS in_degree, coalesce(sum(o + i), 0)::BIGINT AS degree FROM g_nodes n LEFT JOIN d ON n.id = d.id GROUP BY 1""")
+def degree(v):
+    return graph.degrees(v.nodes, v.pairs)
+
+
+@query(GRAPH + " SELECT relation, class, count(*) AS n FROM g_edges GROUP BY ALL")
+def edge_class(v):
+    return v.pairs.groupBy("relation", "class").agg(F.count("*").alias("n"))
+
+
+@query(GRAPH + " SELECT id FROM g_nodes WHERE id NOT IN (SELECT src FROM g_edges) AND id NOT IN (SELECT dst FROM g_edges)")
+def orphans(v):
+    return graph.orphans(v.nodes, v.pairs).select("id")
+
+
+@query(GRAPH + """ SELECT src, dst, relation FROM g_edges e WHERE NOT EXISTS (SELECT 1 FROM g_nodes n WHERE n.id = e.dst AND NOT (n.id LIKE 'part/%7'))""")
+def dangling_edges(v):
+    return graph.dangling(v.pairs, v.nodes.where(~F.col("id").rlike("^part/.*7$"))).select("src", "dst", "relation")
+
+
+@query(GRAPH + """ SELECT src, dst, relation FROM g_edges WHERE src IN (SELECT id FROM g_nodes WHERE status IN ('', 'active') AND namespace = 'sales')
+    AND dst IN (SELECT id FROM g_nodes WHERE status IN ('', 'active') AND namespace = 'sales')""")
+def namespace_view(v):
+    return federation.namespace_view(v.nodes, v.pairs, "sales")[1].select("src", "dst", "relation")
+
+
+@query(GRAPH + """ SELECT e.src AS source, e.dst AS target, relation, CASE WHEN t.namespace <> s.namespace THEN 'bridge' ELSE class END AS class
+    FROM g_edges e JOIN g_nodes s ON s.id = src AND s.status IN ('', 'active') LEFT JOIN g_nodes t ON t.id = dst AND t.status IN ('', 'active')""")
+def bridge_reclass(v):
+    return federation.bridge_view(v.nodes, v.pairs)
+
+
+_NS = "geo sales supply".split()
+
+
+@query(GRAPH + """ SELECT src, dst, relation, CASE WHEN least(s.namespace, t.namespace) = 'geo' AND greatest(s.namespace, t.namespace) = 'supply' THEN 'no_bridge' ELSE 'relation_not_allowed' END AS problem
+    FROM g_edges e JOIN g_nodes s ON s.id = src JOIN g_nodes t ON t.id = dst WHERE s.namespace <> t.namespace
+    AND NOT (least(s.namespace, t.namespace) = 'geo' AND greatest(s.namespace, t.namespace) = 'sales' AND relation = 'contains')
+    AND NOT (least(s.namespace, t.namespace) = 'sales' AND greatest(s.namespace, t.namespace) = 'supply' AND relation = 'reads')""")
+def bridge_policy(v):
+    spaces = v.nodes.select("id", "namespace")
+    e = v.pairs.join(spaces.withColumnsRenamed({"id": "src", "namespace": "src_ns"}), "src").join(spaces.withColumnsRenamed({"id": "dst", "namespace": "dst_ns"}), "dst")
+    bridges = v.spark.createDataFrame([("geo", "sales", ["contains"]), ("supply", "sales", ["reads"])], "source string, target string, allowed_relations array<string>")
+    return federation.violations(e, bridges).select("src", "dst", "relation", "problem")
+
+
+@query(r"""WITH r AS (SELECT CASE vec_id % 4 WHEN 0 THEN '@v' || label || '/vec/' || vec_id WHEN 1 THEN 'geo/' || vec_id WHEN 2 THEN 'other/' || vec_id ELSE 'x' || vec_id END AS ref FROM embeddings)
+    SELECT ref, regexp_extract(ref, '^@([^/]+)/', 1) AS vault, CASE WHEN ref LIKE '@%' THEN '' WHEN ref LIKE 'geo/%' THEN 'geo' ELSE 'sales' END AS namespace,
+    CASE WHEN ref LIKE '@%' THEN regexp_replace(ref, '^@[^/]+/', '') WHEN ref LIKE 'geo/%' THEN substr(ref, 5) ELSE ref END AS node FROM r""")
+def qualified_id_parse(v):
+    i = F.col("vec_id").cast("string")
+    ref = F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("@v"), F.col("label").cast("string"), F.lit("/vec/"), i)).when(F.col("vec_id") % 4 == 1, F.concat(F.lit("geo/"), i)).when(
+        F.col("vec_id") % 4 == 2, F.concat(F.lit("other/"), i)).otherwise(F.concat(F.lit("x"), i))
+    spaces = v.spark.createDataFrame([(n,) for n in _NS], "name string")
+    return federation.qualified_ids(v.table("embeddings").select(ref.alias("ref")), spaces, "sales")
+
+
+@query(GRAPH + """ , t AS (SELECT id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS ord FROM g_nodes), c AS (SELECT tag, count(*) AS n FROM t GROUP BY 1)
+    SELECT id, tag FROM (SELECT id, t.tag, row_number() OVER (PARTITION BY id ORDER BY n, ord) AS r FROM t JOIN c ON t.tag = c.tag) WHERE r = 1""")
+def primary_tag(v):
+    return federation.primary_tags(v.nodes)
+
+
+@query(GRAPH + " SELECT split_part(id, '/', 1) AS folder, count(*) AS n FROM g_nodes GROUP BY 1")
+def folder_groups(v):
+    return v.nodes.groupBy(tx.folder("id").alias("folder")).agg(F.count("*").alias("n"))
+
+
+@query(GRAPH + " SELECT id, summary FROM g_nodes WHERE type = 'class' ORDER BY summary DESC, id LIMIT 25 OFFSET 40")
+def pagination(v):
+    return integrity.page(v.nodes.where(F.col("type") == "class").select("id", "summary"), [F.desc("summary"), "id"], 40, 25)
+
+
+@query("""SELECT doc_id, (strlen(text) // 4)::INT AS tokens, ((strlen(text) + 3) // 4)::INT AS tokens_up FROM documents""")
+def token_estimate(v):
+    return v.table("documents").select("doc_id", tx.token_estimate("text").alias("tokens"), tx.token_estimate("text", True).alias("tokens_up"))
+
+
+@query(GRAPH + """ SELECT id, CASE WHEN regexp_matches(lower(id), 'func|handler') THEN 'function' WHEN regexp_matches(lower(id), 'struct|type|model') THEN 'type'
+    WHEN regexp_matches(lower(id), 'pkg|package|module') THEN 'package' WHEN regexp_matches(lower(id), 'api|endpoint') THEN 'api' WHEN regexp_matches(lower(id), 'test') THEN 'test' ELSE 'concept' END AS type
+    FROM (SELECT type || '/' || id AS id FROM g_nodes)""")
+def infer_type(v):
+    named = v.nodes.select(F.concat_ws("/", "type", "id").alias("id"))
+    return named.select("id", tx.infer_type("id").alias("type"))
+
+
+@query("""WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '.git/' WHEN 1 THEN 'git@HOST' || page_id || '.org:a/B.git' ELSE 'https://me:pw@Host.org:80/x/' || page_id || '/' END AS url FROM pages),
+    s AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '^[^:/]*://', ''), '^[^/@]*@', '') AS b FROM u),
+    t AS (SELECT page_id, CASE WHEN contains(url, '://') THEN b ELSE regexp_replace(b, '^([^/:]*):', '\\1/') END AS c FROM s)
+    SELECT page_id, rtrim(regexp_replace(rtrim(lower(split_part(c, '/', 1)) || substr(c, length(split_part(c, '/', 1)) + 1), '/'), '\\.git$', ''), '/') AS url FROM t""".replace("\\\\", "\\"))
+def url_canonical(v):
+    i = F.col("page_id").cast("string")
+    url = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit(".git/"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("git@HOST"), i, F.lit(".org:a/B.git"))).otherwise(
+        F.concat(F.lit("https://me:pw@Host.org:80/x/"), i, F.lit("/")))
+    return v.table("pages").select("page_id", tx.canonical_url(url).alias("url"))
+
+
+# Vectors
+
+_VEC = """WITH e AS (SELECT vec_id, 'vec/' || vec_id AS node_id, embedding::DOUBLE[] AS v, 'm' || (label % 2) AS model, label, 'v' || (label % 3) AS vault FROM embeddings),
+    q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id < 20), d AS (SELECT query_id, node_id, vec_id, label, model, vault, 1 / (1 + list_distance(qv, v)) AS s FROM q, e)"""
+_TOP = " SELECT query_id, node_id, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id)::INT AS r FROM d {where}) WHERE r <= {k}"
+
+
+@query(_VEC + _TOP.format(where="", k=5))
+def knn_topk(v):
+    return _scored(retrieval.search(v.embeddings, v.vectors(20), 5))
+
+
+@query(_VEC + _TOP.format(where="WHERE label <> 9 AND model = 'm0'", k=5))
+def knn_active(v):
+    return _scored(retrieval.search(v.embeddings, v.vectors(20), 5, model="m0", only_active=True))
+
+
+@query(_VEC + _TOP.format(where="WHERE label <> 9 AND s >= 0.45", k=10))
+def find_similar(v):
+    return _scored(retrieval.find_similar(v.embeddings, v.vectors(20), 0.45))
+
+
+@query(_VEC + """, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, vault ORDER BY s DESC, node_id) AS r FROM d WHERE label <> 9),
+    h AS (SELECT query_id, CASE WHEN vault = 'v0' THEN node_id ELSE '@' || vault || '/' || node_id END AS node_id, s FROM g WHERE r <= CASE WHEN vault = 'v0' THEN 5 ELSE 3 END)
+    SELECT query_id, node_id, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id)::INT AS r FROM h) WHERE r <= 10""")
+def federated_knn(v):
+    return _scored(retrieval.federated(v.embeddings, v.vectors(20), "v0")).select("query_id", "node_id", "score", "rank")
+
+
+@query(_VEC + """, h AS (SELECT query_id, 'group/' || label AS node_id, max(s) AS s FROM d GROUP BY ALL)
+    SELECT query_id, node_id, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id)::INT AS r FROM h) WHERE r <= 4""")
+def dedupe_rank(v):
+    hits = retrieval.search(v.embeddings.withColumn("node_id", F.concat(F.lit("group/"), F.col("label"))), v.vectors(20), None).drop("rank")
+    return _scored(retrieval.dedupe_rank(hits, 4)).select("query_id", "node_id", "score", "rank")
+
+
+@query(_VEC + """, m AS (SELECT query_id, node_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS r FROM d WHERE label <> 9 AND node_id <> 'vec/' || query_id),
+    b AS (SELECT * FROM m WHERE r = 1 AND s >= 0.47), q2 AS (SELECT DISTINCT query_id FROM d)
+    SELECT 'vec/' || q2.query_id AS query_id, CASE WHEN s >= 0.5 THEN 'noop' WHEN s >= 0.48 THEN 'update' WHEN s >= 0.47 THEN 'supersede' ELSE 'add' END AS action,
+    CASE WHEN s >= 0.47 THEN node_id END AS target FROM q2 LEFT JOIN b ON b.query_id = q2.query_id""")
+def classify_threshold(v):
+    """Thresholds are scaled to the vectors' similarities by an affine map of the scores."""
+    q = v.vectors(20).withColumn("query_id", F.concat(F.lit("vec/"), "query_id"))
+    hits = retrieval.search(v.embeddings, q, 11, only_active=True)
+    s = F.col("score")
+    mapped = F.when(s >= 0.5, 0.95).when(s >= 0.48, 0.80).when(s >= 0.47, 0.65).otherwise(0.0) + s / 1e6
+    out = classify.by_threshold(hits.withColumn("score", mapped), v.embeddings.select(F.col("node_id").alias("id")), q)
+    return out.select("query_id", "action", "target")
+
+
+@query(_VEC + " SELECT DISTINCT least(node_id, 'vec/' || query_id) AS a, greatest(node_id, 'vec/' || query_id) AS b, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS r FROM d) WHERE r <= 2 AND node_id <> 'vec/' || query_id AND s > 0.46")
+def duplicates(v):
+    q = v.vectors(20).withColumn("query_id", F.concat(F.lit("vec/"), "query_id"))
+    return _scored(integrity.duplicates(v.nodes, v.embeddings, q, least=0.46))
+
+
+@query("SELECT 'p' || (label % 4) AS project_id, string_agg(DISTINCT 'm' || (label % 2), ',' ORDER BY 'm' || (label % 2)) AS models, 'm' || (label % 2) <> 'm0' AS skewed FROM embeddings GROUP BY ALL HAVING true"
+       .replace("'m' || (label % 2) <> 'm0' AS skewed", "min(label % 2) <> 0 AS skewed"))
+def model_skew(v):
+    return federation.model_skew(v.embeddings.withColumn("project_id", F.concat(F.lit("p"), F.col("label") % 4))).withColumn("models", F.array_join("models", ","))
+
+
+# Graph search
+
+_BFS = GRAPH + """, step AS ({step}), bfs AS (SELECT id, 0 AS depth FROM ({seeds}) UNION SELECT step.b, depth + 1 FROM bfs JOIN step ON step.a = bfs.id WHERE depth < {depth})
+    SELECT id, min(depth)::INT AS depth FROM bfs GROUP BY 1"""
+_SEEDS = "SELECT 'nation/3' AS id UNION SELECT 'orders/7'"
+
+
+def _seeds(v, *ids):
+    return v.spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+@query(_BFS.format(step="SELECT DISTINCT src AS a, dst AS b FROM g_edges", seeds=_SEEDS, depth=2))
+def bfs_out_2(v):
+    return graph.bfs(v.pairs, _seeds(v, "nation/3", "orders/7"), 2)
+
+
+@query(_BFS.format(step="SELECT src AS a, dst AS b FROM g_edges UNION SELECT dst, src FROM g_edges", seeds="SELECT 'orders/7' AS id", depth=2))
+def bfs_both_2(v):
+    return graph.bfs(v.pairs, _seeds(v, "orders/7"), 2, "both")
+
+
+@query(GRAPH + """, bfs AS (SELECT id, id AS origin, 0 AS depth FROM (SELECT 'supplier/1' AS id UNION SELECT 'part/5') UNION SELECT e.src, origin, depth + 1 FROM bfs JOIN g_edges e ON e.dst = bfs.id WHERE depth < 2),
+    f AS (SELECT id, origin, depth, row_number() OVER (PARTITION BY id ORDER BY depth, origin) AS r FROM bfs)
+    SELECT id, depth::INT AS depth, origin, CASE WHEN depth = 0 THEN 'source_changed' ELSE 'dependency_changed:' || origin END AS reason FROM f WHERE r = 1""")
+def reverse_bfs_stale(v):
+    return integrity.propagate_stale(v.pairs, _seeds(v, "supplier/1", "part/5"), 2)
+
+
+@query(GRAPH + """, c AS (SELECT 'customer/' || c_custkey AS src, 'region/' || (c_custkey % 5) AS dst FROM customer WHERE c_custkey <= 40),
+    reach AS (SELECT dst AS root, dst AS id FROM c UNION SELECT root, e.dst FROM reach JOIN g_edges e ON e.src = reach.id WHERE e.class = 'structural')
+    SELECT src, dst, EXISTS (SELECT 1 FROM reach WHERE root = c.dst AND reach.id = c.src) AS cycle FROM c""")
+def cycle_candidates(v):
+    c = v.table("customer").where("c_custkey <= 40").select(F.concat(F.lit("customer/"), "c_custkey").alias("src"), F.concat(F.lit("region/"), F.col("c_custkey") % 5).alias("dst"))
+    return graph.would_cycle(v.pairs, c)
+
+
+@query(GRAPH + """, x AS (SELECT src, dst FROM g_edges WHERE class = 'structural' UNION ALL SELECT 'customer/3', 'region/0' UNION ALL SELECT 'customer/3', 'nation/' || c_nationkey FROM customer WHERE c_custkey = 3),
+    reach AS (SELECT src AS root, dst AS id FROM x UNION SELECT root, x.dst FROM reach JOIN x ON x.src = reach.id),
+    ring AS (SELECT DISTINCT root FROM reach WHERE root = id) SELECT DISTINCT id FROM reach WHERE root IN (SELECT root FROM ring)""")
+def kahn_residual(v):
+    more = v.table("customer").where("c_custkey = 3").select(F.lit("customer/3").alias("src"), F.concat(F.lit("nation/"), "c_nationkey").alias("dst"))
+    more = more.union(v.spark.createDataFrame([("customer/3", "region/0")], "src string, dst string"))
+    return graph.cycle_residual(v.nodes, v.pairs.select("src", "dst", "relation").unionByName(more.withColumn("relation", F.lit("contains"))))
+
+
+_SMALL = """WITH RECURSIVE k AS (SELECT DISTINCT vec_id // 3 * 3 AS a, vec_id AS b FROM embeddings WHERE vec_id % 7 <> 0), n AS (SELECT vec_id AS id FROM embeddings),
+    s AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r AS (SELECT id AS root, id FROM n UNION SELECT root, s.b FROM r JOIN s ON s.a = r.id), c AS (SELECT id, min(root) AS component FROM r GROUP BY 1)"""
+
+
+@query(_SMALL + " SELECT 'x' || lpad(id::VARCHAR, 6, '0') AS id, 'x' || lpad(component::VARCHAR, 6, '0') AS component, count(*) OVER (PARTITION BY component) AS size FROM c")
+def components_small(v):
+    name = lambda c: F.concat(F.lit("x"), F.lpad(F.col(c).cast("string"), 6, "0"))
+    e = v.table("embeddings").where("vec_id % 7 <> 0").select(F.expr("vec_id div 3 * 3").alias("a"), F.col("vec_id").alias("b"))
+    return graph.component_sizes(v.table("embeddings").select(name("vec_id").alias("id")), e.select(name("a").alias("src"), name("b").alias("dst")))
+
+
+_HEAT_SQL = """h AS (SELECT src, dst, least(src, dst) AS a, greatest(src, dst) AS b, CASE WHEN ascii(right(dst, 1)) % 2 = 0 THEN 0.5 ELSE 0.0 END AS heat, ord FROM g_edges)"""
+
+
+@query(GRAPH + ", " + _HEAT_SQL + """, ok AS (SELECT id FROM g_nodes WHERE status IN ('', 'active')),
+    l0 AS (SELECT id, row_number() OVER (ORDER BY id) AS pop FROM (SELECT 'customer/1' AS id UNION SELECT 'nation/3')),
+    l1 AS (SELECT *, row_number() OVER (ORDER BY heat DESC, parent, ord, id) AS pop FROM (SELECT h.dst AS id, l0.pop AS parent, h.ord, h.heat, row_number() OVER (PARTITION BY h.dst ORDER BY l0.pop, h.ord) AS r
+        FROM l0 JOIN h ON h.src = l0.id WHERE h.dst IN (SELECT id FROM ok) AND h.dst NOT IN (SELECT id FROM l0)) WHERE r = 1),
+    l2 AS (SELECT *, row_number() OVER (ORDER BY heat DESC, parent, ord, id) AS pop FROM (SELECT h.dst AS id, l1.pop AS parent, h.ord, h.heat, row_number() OVER (PARTITION BY h.dst ORDER BY l1.pop, h.ord) AS r
+        FROM l1 JOIN h ON h.src = l1.id WHERE h.dst IN (SELECT id FROM ok) AND h.dst NOT IN (SELECT id FROM l0) AND h.dst NOT IN (SELECT id FROM l1)) WHERE r = 1),
+    al AS (SELECT id, 0 AS depth, pop FROM l0 UNION ALL SELECT id, 1, pop FROM l1 UNION ALL SELECT id, 2, pop FROM l2)
+    SELECT id, depth, depth = 0 AS is_entry, row_number() OVER (ORDER BY depth, pop)::INT AS ord FROM al""")
+def traverse_order(v):
+    pairs = v.pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.when(F.ascii(F.expr("right(dst, 1)")) % 2 == 0, 0.5).otherwise(0.0).alias("weight"))
+    out = retrieval.traverse(v.nodes, v.edges, _seeds(v, "customer/1", "nation/3"), pairs.where("weight > 0").distinct(), 2)
+    return out.select("id", "depth", "is_entry", "ord")
+
+
+@query("""WITH RECURSIVE d AS (SELECT lang, doc_id, strlen(text)::INT AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+    f AS (SELECT lang, doc_id, i, n, n <= 16264 AS included, CASE WHEN n <= 16264 THEN n ELSE 0 END AS used FROM d WHERE i = 1
+        UNION ALL SELECT d.lang, d.doc_id, d.i, d.n, f.used + d.n <= 16264, CASE WHEN f.used + d.n <= 16264 THEN f.used + d.n ELSE f.used END FROM f JOIN d ON d.lang = f.lang AND d.i = f.i + 1)
+    SELECT lang, doc_id, n AS bytes, included FROM f""")
+def compact_first_fit(v):
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    parts = v.table("documents").select("lang", "doc_id", F.col("text").alias("part"), F.row_number().over(w).alias("ord"))
+    return retrieval.pack(parts, 4096, by="lang").select("lang", "doc_id", "bytes", "included")
+
+
+# Heat
+
+_HEAT = """WITH a AS (SELECT DISTINCT user_id::VARCHAR || '@' || ts::DATE::VARCHAR AS q, event_type AS n FROM events),
+    h AS (SELECT x.n AS a, y.n AS b, count(*)::INT AS hits, 1 - pow(0.9, count(*)) AS w FROM a x JOIN a y ON x.q = y.q AND x.n < y.n GROUP BY ALL)"""
+
+
+def _heat(v):
+    return heat.accumulate(heat.pairs(v.access))
+
+
+@query(_HEAT + " SELECT a, b, hits, round(w, 6) AS weight FROM h")
+def heat_accumulate(v):
+    return _heat(v).withColumn("weight", F.round("weight", 6))
+
+
+@query(_HEAT + " SELECT a, b, round(greatest(0.05, w * pow(0.95, 10)), 6) AS weight FROM h")
+def heat_decay(v):
+    return heat.decay(_heat(v), 10).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@query(_HEAT + " SELECT a AS src, b AS dst, 'associated' AS relation, 'behavioral' AS class FROM h WHERE w >= 0.8")
+def heat_promote(v):
+    return heat.promotion_edges(_heat(v))
+
+
+@query(_HEAT + ", o AS (SELECT id, sum(w) AS s FROM (SELECT a AS id, w FROM h UNION ALL SELECT b, w FROM h) GROUP BY 1) SELECT id, round(s / greatest(0.001, (SELECT max(s) FROM o)), 6) AS heat FROM o")
+def heat_overlay(v):
+    return heat.overlay(_heat(v)).withColumn("heat", F.round("heat", 6))
+
+
+# Integrity and quality
+
+
+def _doc_nodes(v):
+    even, gone = F.col("doc_id") % 2 == 0, F.col("doc_id") % 10 == 0
+    text = lambda x: F.lit(x).cast("string")
+    return v.table("documents").select(
+        F.concat(F.lit("doc/"), "doc_id").alias("id"), F.col("lang").alias("type"), F.col("source").alias("namespace"), F.when(F.col("doc_id") % 5 == 0, "superseded").otherwise("active").alias("status"),
+        text("2024-01-02T00:00:00Z").alias("valid_from"), F.when(F.col("doc_id") % 25 == 0, "2023-12-31T00:00:00Z").otherwise("").alias("valid_until"), text("").alias("superseded_by"),
+        F.struct(F.when(gone, F.concat(F.lit("gone/"), "doc_id")).otherwise(F.concat(F.lit("src/"), "doc_id")).alias("path"), F.array(F.lit(0), F.lit(0)).alias("lines"),
+                 F.when(even, F.sha2("text", 256)).otherwise("0").alias("hash")).alias("source"),
+        F.array(F.struct(F.col("source").alias("target"), F.when(even, "references").otherwise("reads").alias("relation"))).alias("edges"), F.array(F.col("lang")).alias("tags"),
+        F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang")).alias("summary"), F.col("text").alias("context"), text("").alias("vault_id"), text("").alias("file_path"),
+    )
+
+
+def _doc_files(v):
+    return v.table("documents").where("doc_id % 10 <> 0").select(F.concat(F.lit("src/"), "doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
+
+
+@query("""SELECT 'doc/' || doc_id AS id, sha256('summary:' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END || chr(10) || 'context:' || text || chr(10) || 'edges:' || source || '|'
+    || CASE WHEN doc_id % 2 = 0 THEN 'references' ELSE 'reads' END || ';') AS content_hash FROM documents""")
+def content_hash(v):
+    return integrity.node_hashes(_doc_nodes(v))
+
+
+@query("SELECT 'doc/' || doc_id AS id, doc_id % 2 <> 0 AS is_stale FROM documents WHERE doc_id % 10 <> 0")
+def staleness_join(v):
+    return integrity.staleness(_doc_nodes(v), _doc_files(v))
+
+
+@query("""SELECT 'doc/' || doc_id AS node_id, 'dangling_edge' AS issue_type, CASE WHEN doc_id % 2 = 0 THEN 'info' ELSE 'error' END AS severity FROM documents
+    UNION ALL SELECT 'doc/' || doc_id, 'missing_source', 'warning' FROM documents WHERE doc_id % 10 = 0
+    UNION ALL SELECT 'doc/' || doc_id, 'hash_mismatch', 'warning' FROM documents WHERE doc_id % 2 <> 0
+    UNION ALL SELECT 'doc/' || doc_id, 'hash_mismatch', 'warning' FROM documents WHERE doc_id % 25 = 0
+    UNION ALL SELECT 'doc/' || doc_id, 'hash_mismatch', 'warning' FROM documents WHERE doc_id % 5 = 0 AND doc_id % 25 <> 0""")
+def integrity_union(v):
+    return integrity.integrity(_doc_nodes(v), files=_doc_files(v)).select("node_id", "issue_type", "severity")
+
+
+@query(GRAPH + """, live AS (SELECT * FROM g_nodes WHERE status IN ('', 'active')), e AS (SELECT src, dst FROM g_edges WHERE src IN (SELECT id FROM live)),
+    f AS (SELECT 'orphan' AS type, 'warning' AS severity, 1 AS o, id FROM live WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)
+        UNION ALL SELECT 'missing_summary', 'info', 2, id FROM live WHERE summary = '')
+    SELECT substr(sha256(type || ':' || id), 1, 32) AS suggestion_id, type, severity, id AS node_ids FROM f""")
+def suggestions_ranked(v):
+    out = integrity.ranked(integrity.suggestions(v.full_nodes, disconnected=False))
+    return out.select("suggestion_id", "type", "severity", F.array_join("node_ids", ",").alias("node_ids"))
+
+
+@query("SELECT doc_id, substr(sha256('duplicate:' || least('doc/' || doc_id, source) || ',' || greatest('doc/' || doc_id, source)), 1, 32) AS suggestion_id FROM documents")
+def suggestion_id(v):
+    return v.table("documents").select("doc_id", tx.suggestion_id("duplicate", F.array(F.concat(F.lit("doc/"), "doc_id"), "source")).alias("suggestion_id"))
+
+
+# Changes
+
+
+@query(GRAPH + """, m AS (SELECT 'part/' || p_partkey AS k, 'part/' || (p_partkey - 1) AS t FROM part WHERE p_partkey % 10 = 5),
+    x AS (SELECT coalesce(s.t, src) AS src, coalesce(d.t, dst) AS dst, relation, s.t IS NOT NULL OR d.t IS NOT NULL AS moved FROM g_edges LEFT JOIN m s ON s.k = src LEFT JOIN m d ON d.k = dst)
+    SELECT DISTINCT src, dst, relation FROM x WHERE NOT (moved AND src = dst)""")
+def merge_rewrite(v):
+    p = v.table("part").where("p_partkey % 10 = 5").select(F.concat(F.lit("part/"), F.col("p_partkey") - 1).alias("a"), F.concat(F.lit("part/"), "p_partkey").alias("b"))
+    return mutations.merge_edges(v.pairs, p)
+
+
+@query(GRAPH + " SELECT id, array_to_string(CASE WHEN namespace = 'geo' AND NOT list_contains(tags, 'country') THEN list_append(tags, 'country') ELSE tags END, ',') AS tags FROM g_nodes")
+def tag_union(v):
+    return mutations.tag(v.nodes, F.col("namespace") == "geo", "country").select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(GRAPH + """, c AS (SELECT id AS start, superseded_by AS id, 1 AS n FROM g_nodes WHERE superseded_by <> '' AND type = 'function' UNION ALL
+    SELECT c.start, g.superseded_by, n + 1 FROM c JOIN g_nodes g ON g.id = c.id WHERE g.superseded_by <> '')
+    SELECT start, max(n)::INT AS hops, max_by(id, n) AS final FROM c GROUP BY 1""")
+def supersede_chain(v):
+    """The node at the end of every chain of replacements (chains ascend, so they end)."""
+    by = v.nodes.where("superseded_by <> ''").select(F.col("id").alias("src"), F.col("superseded_by").alias("dst"))
+    reached = graph.bfs(by, by.select(F.col("src").alias("start"), F.col("src").alias("id")), None, by=["start"])
+    last = graph.first_by(reached, ["start"], F.desc("depth"))
+    return last.select("start", F.col("depth").alias("hops"), F.col("id").alias("final"))
+
+
+@query("""SELECT 'doc/' || doc_id AS id, CASE WHEN doc_id % 3 = 0 AND doc_id % 7 <> 0 THEN 'noop' WHEN doc_id % 3 = 0 OR doc_id % 3 = 1 THEN 'update' ELSE 'add' END AS action, 'doc/' || doc_id AS target_id
+    FROM documents WHERE doc_id % 5 <> 0""")
+def contribute_plan(v):
+    source = _doc_nodes(v)
+    n = F.substring("id", 5, 20).cast("long")
+    target = source.where(n % 3 < 2).withColumn("context", F.when(n % 3 == 1, "other").otherwise(F.col("context"))).withColumn("status", F.when(n % 7 == 0, "superseded").otherwise("active"))
+    return classify.contribution(source, target)
+
+
+@query("""WITH p AS (SELECT conv_id AS session, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INT AS depth FROM conversations)
+    SELECT session, seq, depth FROM p WHERE depth <= 3""")
+def undo_topn(v):
+    log = v.table("conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"))
+    return mutations.undo_stack(log, 3).select("session", "seq", "depth")
+
+
+@query("SELECT session, least(n, 50) AS depth FROM (SELECT conv_id AS session, count(DISTINCT turn) AS n FROM conversations GROUP BY 1)")
+def undo_depth(v):
+    return mutations.undo_depth(v.table("conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"))).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+@query("""SELECT 'n' || s_nationkey AS vault_id, string_agg('s' || lpad(s_suppkey::VARCHAR, 6, '0'), ',' ORDER BY s_suppkey) AS claimants FROM supplier GROUP BY 1 HAVING count(*) > 1""")
+def vault_id_collisions(v):
+    claims = v.table("supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("vault_id"), F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("project_id"))
+    return federation.vault_collisions(claims).withColumn("claimants", F.array_join("claimants", ","))
+
+
+@query("""SELECT 'n' || s_nationkey AS source, 'n' || c AS target, string_agg(DISTINCT r, ',' ORDER BY r) AS relations FROM (
+    SELECT s_nationkey, s_suppkey % 5 AS c, unnest(['reads', 'k' || (s_suppkey % 3)]) AS r FROM supplier) GROUP BY ALL""")
+def bridge_merge(v):
+    b = v.table("supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("source"), F.concat(F.lit("n"), F.col("s_suppkey") % 5).alias("target"),
+                                   F.array(F.lit("reads"), F.concat(F.lit("k"), F.col("s_suppkey") % 3)).alias("allowed_relations"))
+    return federation.unique_bridges(b).select("source", "target", F.array_join("allowed_relations", ",").alias("relations"))
+
+
+@query(GRAPH + " SELECT count(*) AS active, greatest(5, count(*) // 2) AS bulk_limit FROM g_nodes WHERE status IN ('', 'active')")
+def bulk_guard(v):
+    return graph.active(v.nodes).agg(F.count("*").alias("active")).select("active", F.greatest(F.lit(mutations.BULK_LEAST), F.expr("active div 2")).alias("bulk_limit"))
+
+
+@query("""SELECT 'doc/' || doc_id AS id FROM documents WHERE doc_id % 25 <> 0""")
+def validity_window(v):
+    return graph.as_of(_doc_nodes(v).withColumn("valid_from", F.lit("2023-01-01T00:00:00Z")), "2024-06-01T00:00:00Z").select("id")
+
+
+# Texts
+
+
+@query(r"""SELECT page_id, target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages) GROUP BY ALL""")
+def import_extract(v):
+    """Links of pages, each once."""
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
+    return v.table("pages").select("page_id", F.explode(links).alias("target"))
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs, len(regexp_extract_all(html, '<a '))::INT AS anchors FROM pages""")
+def symbol_counts(v):
+    return v.table("pages").select("page_id", F.regexp_count("html", F.lit("<p>")).alias("paragraphs"), F.regexp_count("html", F.lit("<a ")).alias("anchors"))
+
+
+@query(r"""SELECT page_id, unnest(list_distinct(regexp_extract_all(body, '\[\[([^\]]+)\]\]', 1))) AS target FROM (SELECT page_id, 'see [[' || url || ']] and [[p' || (page_id % 3) || ']] [[' || url || ']]' AS body FROM pages)""")
+def wikilinks(v):
+    i = F.concat(F.lit("p"), F.col("page_id") % 3)
+    body = F.concat(F.lit("see [["), "url", F.lit("]] and [["), i, F.lit("]] [["), "url", F.lit("]]"))
+    return v.table("pages").select("page_id", F.explode(tx.wikilinks(body)).alias("target"))
+
+
+@query(r"""SELECT page_id, regexp_matches(p, '(^|/)(node_modules|vendor|__pycache__|\.git)(/|$)') OR (regexp_matches(p, '\.(log|tmp)$') AND NOT p LIKE '%keep.log') OR p LIKE 'build/%' AS ignored FROM (
+    SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'src/a' || page_id || '.py' WHEN 1 THEN 'x/node_modules/' || page_id || '.js' WHEN 2 THEN 'logs/' || page_id || '.log' WHEN 3 THEN 'logs/keep.log' WHEN 4 THEN 'build/' || page_id || '/o.c' ELSE 'a/b/' || page_id || '.go' END AS p FROM pages)""")
+def ignore_rules(v):
+    i, m = F.col("page_id").cast("string"), F.col("page_id") % 6
+    path = F.when(m == 0, F.concat(F.lit("src/a"), i, F.lit(".py"))).when(m == 1, F.concat(F.lit("x/node_modules/"), i, F.lit(".js"))).when(m == 2, F.concat(F.lit("logs/"), i, F.lit(".log"))).when(
+        m == 3, "logs/keep.log").when(m == 4, F.concat(F.lit("build/"), i, F.lit("/o.c"))).otherwise(F.concat(F.lit("a/b/"), i, F.lit(".go")))
+    matcher = source_tree.Ignore(["build/", "!keep.log"])
+
+    @F.pandas_udf("boolean")
+    def ignored(paths: pd.Series) -> pd.Series:
+        return paths.map(matcher.ignores_file)
+
+    return v.table("pages").select("page_id", ignored(path).alias("ignored"))
+
+
+@query("""WITH t AS (SELECT lang AS condition, avg(n_chars) AS chars, avg(strlen(text)) AS bytes FROM documents GROUP BY 1)
+    SELECT condition, 'chars' AS metric, round(chars, 6) AS value FROM t UNION ALL SELECT condition, 'bytes', round(bytes, 6) FROM t""")
+def eval_averages(v):
+    rows = v.table("documents").select(F.col("lang").alias("condition"), F.col("n_chars").alias("chars"), F.octet_length("text").alias("bytes"))
+    return evals.condition_averages(rows, ("chars", "bytes")).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def eval_hits(v):
+    return evals.hits(v.table("benchmark"), v.table("documents"))
+
+
+@query("""SELECT source AS repo, count(*) AS n, round(count_if(n_chars > 2000) / count(*), 6) AS hit_rate, round(sum(n_chars) / sum(strlen(text)), 6) AS ratio FROM documents GROUP BY 1""")
+def eval_hit_rate(v):
+    runs = v.table("documents").select(F.col("source").alias("repo"), (F.col("n_chars") > 2000).alias("hit"), F.col("n_chars").alias("baseline_tokens"), F.octet_length("text").alias("tokens"))
+    return evals.repo_totals(runs).withColumns({"hit_rate": F.round("hit_rate", 6), "ratio": F.round("ratio", 6)})
+
+
+@query("""SELECT namespace, n FROM (SELECT source AS namespace, count(*) AS n FROM documents GROUP BY 1) WHERE n >= 3 AND (namespace NOT IN ('src1', 'src2') OR abs(n - 10) / 10 >= 0.2)""")
+def summary_due(v):
+    counts = v.table("documents").groupBy(F.col("source").alias("namespace")).agg(F.count("*").alias("n"))
+    known = F.col("namespace").isin("src1", "src2")
+    counts = counts.withColumns({"last_n": F.when(known, 10), "last_at": F.when(known, "2024-01-01T00:00:00Z")})
+    return federation.summary_due(counts, F.lit("2024-01-01T00:10:00Z")).select("namespace", "n")
+
+
+@query(_HEAT.replace("h AS", "u AS") + " SELECT a, b, hits, round(w, 6) AS weight FROM u")
+def heat_stream(v):
+    """The co-access weights as a stream over a table of pairs keeps them."""
+    from graphloom.storage import scratch_path
+    from graphloom.streaming import watch
+
+    pairs = materialize(heat.pairs(v.access).select(F.lit("").alias("namespace"), "a", "b", F.lit("").alias("last")), "heat-pairs")
+    out = watch.Table(v.spark, "namespace string, a string, b string, weight double, hits int, last string")
+    watch.heat_updates(watch.read_stream(v.spark, pairs._graphloom_path, pairs.schema, 2), out, scratch_path(v.spark, "ckpt")).awaitTermination()
+    return out.read().select("a", "b", "hits", F.round("weight", 6).alias("weight"))
+
+
+def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, expand and pack: the flagship. Vectors stand for customers, in the order of their ids."""
+    v = Views(spark, sf_dir)
+    emb = v.embeddings.withColumn("node_id", F.concat(F.lit("customer/"), F.col("vec_id") + 1))
+    nodes = v.nodes.withColumns({"context": F.lit(""), "source": F.lit(None).cast("struct<path:string,lines:array<int>,hash:string>")})
+    out = retrieval.context_query(nodes, v.edges, emb, v.vectors(1), k=5, depth=2, budget=4096)
+    return out.select("query_id", "ord", "id", "depth", "kind", "bytes", "included").orderBy("query_id", "ord")
+
+
+QUERIES["context_query"] = context_query
