@@ -22,7 +22,7 @@ def token_estimate(c: str | Column, ceil: bool = False) -> Column:
 
 def cut_bytes(c: str | Column, n: int) -> Column:
     """The first ``n`` bytes; a character cut in half becomes a replacement mark."""
-    return F.decode(F.substring(F.encode(blank(_c(c)), "UTF-8"), 1, n), "UTF-8")
+    return F.make_valid_utf8(F.substring(F.encode(blank(_c(c)), "UTF-8"), 1, n).cast("string"))
 
 
 def cut_utf8(c: str | Column, n: int) -> Column:

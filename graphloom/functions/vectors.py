@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def l2_distance(a: Column, b: Column) -> Column:
@@ -31,13 +32,13 @@ def similarity(distance: Column) -> Column:
     return 1 / (1 + distance)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_blob(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 blobs; null where the length is no multiple of four."""
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 

@@ -90,7 +90,7 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     base = re.sub(r"^file:/+", "/", root).rstrip("/")
     rel = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base) + "/", ""), "%20", " ")
     hidden = F.exists(F.split("rel", "/"), lambda p: p.startswith(".") | p.startswith("_"))
-    return raw.select(rel.alias("rel"), F.decode("content", "UTF-8").alias("text")).where(~hidden)
+    return raw.select(rel.alias("rel"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where(~hidden)
 
 
 def read_vault(spark: SparkSession, root: str, vault_id: str | None = None, with_errors: bool = False) -> DataFrame:
@@ -106,7 +106,8 @@ def read_vault(spark: SparkSession, root: str, vault_id: str | None = None, with
                 except Exception as e:  # noqa: BLE001  malformed files must not end the scan
                     rows.append({"id": re.sub(r"\.md$", "", rel), "file_path": rel, "error": str(e)})
             if rows:
-                yield pd.DataFrame(rows, columns=[*NODES.fieldNames(), "error"])
+                frame = pd.DataFrame(rows, columns=[*NODES.fieldNames(), "error"]).astype(object)
+                yield frame.where(frame.notna(), None)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODES) + ", error string"
     out = _files(spark, root).mapInPandas(parse, fields)
