@@ -54,7 +54,7 @@ def test_vault_scan(spark, tmp_path):
     again = vault.read_vault(spark, str(tmp_path / "out"))
     assert {(r.id, r.summary, r.context) for r in again.collect()} == {(r.id, r.summary, r.context) for r in n.collect()}
     vault.write_vault(n, str(tmp_path / "sink"))
-    assert spark.read.option("wholetext", True).text(str(tmp_path / "sink")).count() == 2
+    assert spark.read.text(str(tmp_path / "sink"), wholetext=True).count() == 2
 
 
 def test_small_files():
