@@ -8,13 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.blocks import paired_blocks, slices
 from graphloom.operators.components import connected_components
 from graphloom.storage import broadcast_if_small, discard, materialize
 
 WORDS = 5  # words of a shingle
-REGISTERS = 96
-BANDS = 24  # of 4 registers each: a pair at 0.8 shares a band with probability 0.999997
+REGISTERS = 180
+BANDS = 30  # of 6 registers each: a pair at 0.8 shares a band with probability 0.9999
+MAYBE = 0.65  # share of equal registers below which a pair is not verified: 5 standard errors from 0.8
 LEADERS = 3
+BLOCK = 2_000  # rows of a bucket that are compared in one task
 CUT = 0.8
 CHUNK_BYTES = 1 << 21  # text that a task hashes together
 
@@ -139,7 +142,10 @@ def _banded(batches):
                 bands = bands * np.uint64(0x9FB21C651E98DF25) + _scramble(who[:, k::rows])
             bands = _scramble(bands + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
             some = np.flatnonzero(np.diff(starts) > 0)
-            yield pd.DataFrame({"id": batch["id"].iloc[s:e].iloc[some], "bands": list(bands[some])})
+            low = _scramble(who).astype(np.uint8)
+            yield pd.DataFrame({
+                "id": batch["id"].iloc[s:e].iloc[some], "bands": list(bands[some]), "sketch": [x.tobytes() for x in low[some]],
+            })
 
 
 def _sets(batches):
@@ -151,26 +157,98 @@ def _sets(batches):
             yield pd.DataFrame({"id": batch["id"].iloc[s:e], "shingles": sets})
 
 
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
+def _plausible(batches):
+    """Pairs (a, b) whose sketches, of a byte per register, do not rule out the similarity."""
+    for batch in batches:
+        if batch.num_rows:
+            keep = pa.array((_bytes(batch["a_sketch"]) == _bytes(batch["b_sketch"])).mean(1) >= MAYBE)
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
+
+
+def _rivals(part: pa.Table):
+    """(x, others, shares): rows of a bucket (or two of its blocks) with plausible partners of other
+    classes, the likest first; every pair once."""
+    i, j = part["i"][0].as_py(), part["j"][0].as_py()
+    kind, block = part["class"].to_numpy(), part["block"].to_numpy()
+    sketch = _bytes(part["sketch"])
+    right = np.flatnonzero(block == j)
+    for x in np.flatnonzero(block == i):
+        others = right[(kind[right] != kind[x]) & ((right > x) if i == j else True)]
+        if len(others):
+            share = (sketch[others] == sketch[x]).mean(1)
+            near = np.argsort(-share, kind="stable")[: int((share >= MAYBE).sum())]
+            if len(near):
+                yield x, others[near]
+
+
+def _flag(batches):
+    """Ids that have a plausible partner of another class in their bucket."""
+    for _, table, s, e in slices(batches, ("bucket", "i", "j")):
+        part = table.slice(s, e - s)
+        found = np.zeros(part.num_rows, bool)
+        for x, others in _rivals(part):
+            found[x] = True
+            found[others] = True
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(part["id"].to_numpy()[found], pa.int64())], ["id"])
+
+
+def similarity(p: np.ndarray, q: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 0 where their sizes alone rule out the threshold."""
+    if not len(p) or not len(q) or min(len(p), len(q)) < CUT * max(len(p), len(q)):
+        return 0.0
+    both = np.concatenate([p, q])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(p) + len(q) - common)
+
+
+def _confirm(batches):
+    """Links that join classes within a bucket: a pair is verified on its sets unless links found
+    before it join its classes already, so at most one link per member goes on."""
+    for _, table, s, e in slices(batches, ("bucket", "i", "j")):
+        part = table.slice(s, e - s)
+        ids, kind = part["id"].to_numpy(), part["class"].to_numpy().tolist()
+        sets = [np.frombuffer(v, np.uint32) for v in part["shingles"].to_pylist()]
+        root = {k: k for k in kind}
+
+        def find(k, root=root):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        found = []
+        for x, others in _rivals(part):
+            for y in others:
+                if find(kind[x]) != find(kind[y]) and similarity(sets[x], sets[y]) >= CUT:
+                    root[find(kind[x])] = find(kind[y])
+                    found.append((int(ids[x]), int(ids[y])))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _jaccard(batches):
     for batch in batches:
-        a, b = batch["a_set"].to_pylist(), batch["b_set"].to_pylist()
-        out = np.zeros(len(a))
-        for i, (x, y) in enumerate(zip(a, b)):
-            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            if len(p) and len(q) and min(len(p), len(q)) >= CUT * max(len(p), len(q)):
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                out[i] = common / (len(p) + len(q) - common)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(out)], ["a", "b", "jaccard"])
+        a, b = ([np.frombuffer(v, np.uint32) for v in batch[c].to_pylist()] for c in ("a_set", "b_set"))
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(list(map(similarity, a, b)), pa.float64())], ["a", "b", "jaccard"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, jaccard): Jaccard similarity of both sides of every pair, on the whole shingle sets.
+def shingle_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, shingles) of the given ids, as sorted 32-bit hashes; of the shingles of two texts of
+    a thousand words two collide once in 2000 pairs."""
+    return texts.join(broadcast_if_small(ids, 1_000_000), "id", "left_semi").mapInPandas(_sets, "id bigint, shingles binary")
+
 
-    Shingles are held as 32-bit hashes, of which two of a thousand collide once in 8000 pairs."""
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, jaccard): similarity of both sides of every pair, on their whole shingle sets."""
     wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "minhash-ids")
-    sets = materialize(texts.join(broadcast_if_small(wanted, 1_000_000), "id", "left_semi").mapInPandas(_sets, "id bigint, shingles binary"), "minhash-sets")
+    sets = materialize(shingle_sets(wanted, texts), "minhash-sets")
     discard(wanted)
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set")), "b")
@@ -186,13 +264,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(doc_id, class_id): the class of every document by links of Jaccard similarity of at least
     0.8 on sets of five words (lower case); class_id is the smallest id of the class.
 
-    Equal texts are one first, under their smallest id. In every bucket all members are compared
-    with three leaders (smallest id and two hashed orders), so pairs grow with members. Those
-    that link with no leader of the bucket, or that may link with a member of another leader's
-    class, lead in their turn (see ``_open``) until none is left: of the pairs that share a band,
-    no link that joins two classes is lost. Null, empty and wordless texts are classes of their
-    own, as are rows without id (class null); rows that repeat an id are in one class. Extra
-    columns are ignored, an empty table gives no rows."""
+    Equal texts are one first, under their smallest id. In every bucket all members are paired
+    with three leaders (smallest id and two hashed orders), so pairs grow with members, and links
+    that the sets confirm make classes. Within buckets that then hold several classes, members of
+    different classes are compared by their sketches, in blocks, and the plausible pairs confirmed on
+    their sets where they lie: of the pairs that share a band, no link that joins two classes is lost. Null, empty
+    and wordless texts are classes of their own, as are rows without id (class null); rows that
+    repeat an id are in one class. Extra columns are ignored, an empty table gives no rows."""
     base = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     worded = F.col("text").rlike(r"\S") & F.col("id").isNotNull()
     member = materialize(base.select("id", F.when(worded, F.unhex(F.md5("text"))).alias("h")), "minhash-members")
@@ -203,57 +281,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     raw = base.where(worded).select("id", F.encode(F.lower("text"), "UTF-8").alias("text"))
     texts = raw.join(broadcast_if_small(skip, 1_000_000), "id", "left_anti")
-    banded = texts.mapInPandas(_banded, "id bigint, bands array<bigint>")
-    rows = banded.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
-    rows = materialize(rows, "minhash-bands")
+    signs = materialize(texts.mapInPandas(_banded, "id bigint, bands array<bigint>, sketch binary").dropDuplicates(["id"]), "minhash-signs")
+    rows = signs.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
     full = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "minhash-full")
-    shared = materialize(rows.join(broadcast_if_small(full, 1_000_000), "bucket", "left_semi").distinct(), "minhash-shared")
-    discard(rows)
-
-    open_, led, tested = shared, None, None
-    orders = [F.col("id")] + [F.xxhash64(F.col("id"), F.lit(k)) for k in range(1, LEADERS)]
-    while True:
-        best = [F.min_by("id", F.struct(r, F.col("id"))).alias(f"r{k}") for k, r in enumerate(orders)]
-        leads = open_.groupBy("bucket").agg(*best)
-        leads = leads.select("bucket", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(len(orders))]))).alias("lead"))
-        leads = materialize(leads, "minhash-leads")
-        led = leads if led is None else led.unionByName(leads)
-        pairs = shared.join(leads, "bucket").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        got = materialize(verify(materialize(pairs, "minhash-pairs"), raw), "minhash-verified")
-        tested = got if tested is None else tested.unionByName(got)
-        groups = materialize(connected_components(tested.where(F.col("jaccard") >= CUT), "a", "b"), "minhash-groups")
-        open_ = materialize(_open(shared, led, tested, groups), "minhash-open")
-        if open_.isEmpty():
-            break
-        orders = orders[:1]
+    shared = materialize(rows.join(broadcast_if_small(full, 1_000_000), "bucket", "left_semi"), "minhash-shared")
+
+    orders = [F.col("id"), *[F.xxhash64(F.col("id"), F.lit(k)) for k in range(1, LEADERS)]]
+    best = [F.min_by("id", F.struct(r, F.col("id"))) for r in orders]
+    leads = shared.groupBy("bucket").agg(F.array_distinct(F.array(*best)).alias("leads"))
+    led = shared.join(leads, "bucket").select("id", F.explode("leads").alias("lead")).where("id <> lead")
+    pairs = materialize(led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "minhash-led")
+    side = lambda c: signs.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_plausible, "a bigint, b bigint")
+    links = verify(materialize(likely, "minhash-likely"), raw)
+    links = materialize(links.where(F.col("jaccard") >= CUT).select("a", "b"), "minhash-links")
+    groups = materialize(connected_components(links, "a", "b"), "minhash-groups")
+
+    named = shared.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
+    mixed = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"))
+    # the leaders were compared with all: with one more member nothing is left
+    mixed = materialize(mixed.where((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select("bucket"), "minhash-mixed")
+    named = named.join(broadcast_if_small(mixed, 1_000_000), "bucket", "left_semi")
+    order = ["bucket", "i", "j"]
+
+    def blocked(rows: DataFrame, *more: str) -> DataFrame:
+        wide = paired_blocks(named.join(rows.select("id"), "id", "left_semi"), ["bucket"], F.col("id"), BLOCK, "minhash-hot")
+        wide = wide.join(rows, "id").select(*order, "block", "id", "class", "sketch", *more)
+        return wide.repartition(*order).sortWithinPartitions(*order)
+
+    flagged = materialize(blocked(signs.select("id", "sketch")).mapInArrow(_flag, "id bigint").distinct(), "minhash-flagged")
+    rivals = signs.select("id", "sketch").join(shingle_sets(flagged, raw), "id")
+    more = materialize(blocked(rivals, "shingles").mapInArrow(_confirm, "a bigint, b bigint"), "minhash-more")
+    if not more.isEmpty():
+        groups = materialize(connected_components(links.unionByName(more), "a", "b"), "minhash-groups")
     named = member.join(broadcast_if_small(copies, 300_000), "h", "left").withColumn("rep", F.coalesce("rep", "id"))
     known = groups.select(F.col("id").alias("rep"), "component")
     out = named.join(broadcast_if_small(known, 1_000_000), "rep", "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"))
-
-
-def _open(shared: DataFrame, led: DataFrame, tested: DataFrame, groups: DataFrame) -> DataFrame:
-    """(bucket, id) of members that may still have a link with another class of their bucket.
-
-    A leader was compared with its whole bucket. Another member is settled if its bucket holds one
-    class only, or if it links with a leader of the bucket and is in no doubt. Two members that
-    link with each other and with leaders of different classes are each at 0.6 or more with the
-    other's leader, as the Jaccard distance is a metric: those at 0.6 to 0.8 with a member of
-    another class (of two or more) are in doubt."""
-    named = shared.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    rest = shared.join(mixed, "bucket", "left_semi").join(led.withColumnRenamed("lead", "id"), ["bucket", "id"], "left_anti")
-    rest = materialize(rest, "minhash-rest")
-    both = tested.select("a", "b", "jaccard").unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    both = both.join(rest.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
-    linked = rest.join(led, "bucket").join(
-        both.where(F.col("jaccard") >= CUT).select(F.col("a").alias("id"), F.col("b").alias("lead")), ["id", "lead"], "left_semi"
-    ).select("bucket", "id").distinct()
-    grey = both.where((F.col("jaccard") >= 2 * CUT - 1) & (F.col("jaccard") < CUT)).select(F.col("a").alias("id"), F.col("b").alias("other"))
-    mine = groups.select("id", F.col("component").alias("c1"))
-    theirs = groups.select(F.col("id").alias("other"), F.col("component").alias("c2"))
-    grey = grey.join(theirs, "other").join(mine, "id", "left").where(F.coalesce("c1", "id") != F.col("c2")).select("id").distinct()
-    settled = linked.join(grey, "id", "left_anti")
-    return rest.join(settled, ["bucket", "id"], "left_anti")
