@@ -63,7 +63,8 @@ def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
     begin = np.concatenate([[0], np.cumsum(per)])
     rolled = word.copy()
     for k in range(1, words):
-        rolled[: len(word) - k] = rolled[: len(word) - k] * np.uint64(0xD6E8FEB86659FD93) + word[k:]
+        m = max(0, len(word) - k)
+        rolled[:m] = rolled[:m] * np.uint64(0xD6E8FEB86659FD93) + word[k:]
     rolled = _scramble(rolled)
     within = np.arange(len(word)) - begin[text_of]
     keep = within + words <= per[text_of]
