@@ -25,6 +25,6 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     order = F.xxhash64(F.col(key))
     if n > rows:
         # 2 ** 63 * (2 * share - 1) is the quantile of a uniform 64-bit hash
-        share = min(1.0, 1.2 * rows / n)
+        share = min(1.0, (1.2 * rows + 8 * rows**0.5) / n)
         df = df.where(order.cast("double") <= 2.0**63 * (2 * share - 1))
     return materialize(df.orderBy(order, key).limit(rows), "sample")
