@@ -57,3 +57,18 @@ def markdown(summary: DataFrame) -> str:
 def sentences(text, cap: int = 300):
     """The first sentence, at most ``cap`` characters: a summary for seeded files."""
     return F.substring(F.trim(F.regexp_extract(text, r"(?s)^\s*(.+?[.!?])(?:\s|$)", 1)), 1, cap)
+
+
+def load(spark, path: str, schema: str) -> DataFrame:
+    """Questions or results from JSON (an array or a line each)."""
+    return spark.read.schema(schema).option("multiLine", not path.endswith("l")).json(path)
+
+
+def pending(questions: DataFrame, done: DataFrame) -> DataFrame:
+    """Questions without a result in the checkpoint."""
+    return questions.join(done.select("id"), "id", "left_anti")
+
+
+def as_json(summary: DataFrame) -> list[str]:
+    """The averages, a JSON line each."""
+    return [r["j"] for r in summary.orderBy("condition", "metric").select(F.to_json(F.struct(*summary.columns)).alias("j")).collect()]

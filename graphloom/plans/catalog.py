@@ -222,8 +222,7 @@ def duplicates(v):
     return _scored(integrity.duplicates(v.nodes, v.embeddings, q, least=0.46))
 
 
-@query("SELECT 'p' || (label % 4) AS project_id, string_agg(DISTINCT 'm' || (label % 2), ',' ORDER BY 'm' || (label % 2)) AS models, 'm' || (label % 2) <> 'm0' AS skewed FROM embeddings GROUP BY ALL HAVING true"
-       .replace("'m' || (label % 2) <> 'm0' AS skewed", "min(label % 2) <> 0 AS skewed"))
+@query("""SELECT 'p' || (label % 4) AS project_id, string_agg(DISTINCT 'm' || (label % 2), ',' ORDER BY 'm' || (label % 2)) AS models, min(label % 2) <> 0 AS skewed FROM embeddings GROUP BY label % 4""")
 def model_skew(v):
     return federation.model_skew(v.embeddings.withColumn("project_id", F.concat(F.lit("p"), F.col("label") % 4))).withColumn("models", F.array_join("models", ","))
 
