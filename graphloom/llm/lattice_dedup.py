@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.blocks import paired_blocks, slices
 from graphloom.llm.vectors import component_type, stack, usable
 from graphloom.operators.components import connected_components
 from graphloom.storage import broadcast_if_small, materialize
@@ -116,47 +117,22 @@ def _compare(rows: dict, cut: float, t: int, i: int, j: int):
 
 
 def _link(cut: float, kind: str):
-    """Rows come sorted by (label, dim, table, cell, i, j); a group may span batches."""
     keys = ("label", "dim", "t", "cell", "i", "j")
 
-    def emit(table: pa.Table):
-        if table.num_rows < 2:
-            return
-        col = {k: table[k].to_numpy() for k in (*keys, "id", "block", "probes")}
-        change = np.zeros(table.num_rows, bool)
-        for k in keys:
-            change[1:] |= col[k][1:] != col[k][:-1]
-        starts = np.concatenate([[0], np.flatnonzero(change), [table.num_rows]])
-        vec, home, near = (table[k].to_pylist() if k == "vec" else table[k].combine_chunks() for k in ("vec", "home", "near"))
-        home, near = (x.flatten().to_numpy().reshape(table.num_rows, -1) for x in (home, near))
-        for s, e in zip(starts[:-1], starts[1:]):
-            if e - s < 2 or col["probes"][s:e].all():
+    def run(batches):
+        for columns, table, s, e in slices(batches, keys):
+            part = table.slice(s, e - s)
+            probes = part["probes"].to_numpy()
+            if e - s < 2 or probes.all():
                 continue
-            x = np.frombuffer(b"".join(vec[s:e]), kind).reshape(e - s, -1).astype(np.float64)
+            x = np.frombuffer(b"".join(part["vec"].to_pylist()), kind).reshape(e - s, -1).astype(np.float64)
             n = np.linalg.norm(x, axis=1)
-            rows = {"x": x, "n": n, "u": x / n[:, None], "home": home[s:e], "near": near[s:e]}
-            rows |= {k: col[k][s:e] for k in ("id", "block", "probes")}
-            got = _compare(rows, cut, int(col["t"][s]), int(col["i"][s]), int(col["j"][s]))
+            rows = {"x": x, "n": n, "u": x / n[:, None], "probes": probes, "id": part["id"].to_numpy(), "block": part["block"].to_numpy()}
+            rows |= {k: part[k].combine_chunks().flatten().to_numpy().reshape(e - s, -1) for k in ("home", "near")}
+            got = _compare(rows, cut, *(int(columns[k][s]) for k in ("t", "i", "j")))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()) for g in got], ["id", "root", "links"])
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            last = [table[k][-1] for k in keys]
-            cut_at = table.num_rows - 1
-            while cut_at and all(table[k][cut_at - 1] == v for k, v in zip(keys, last)):
-                cut_at -= 1
-            yield from emit(table.slice(0, cut_at))
-            held = table.slice(cut_at)
-        if held is not None:
-            yield from emit(held)
-
     return run
 
 
@@ -185,20 +161,11 @@ def near_duplicates(
     narrow = keyed.select("label", "dim", F.posexplode("home").alias("t", "cell")).unionAll(
         keyed.select("label", "dim", F.posexplode("near").alias("t", "cell"))
     )
-    hot = materialize(
-        narrow.groupBy(*cell).count().where(F.col("count") > BLOCK)
-        .select(*cell, F.ceil(F.col("count") / (BLOCK / 2)).cast("int").alias("blocks")), "lattice-hot",
-    )
     rows = keyed.select("*", F.posexplode("home").alias("t", "cell"), F.lit(False).alias("probes")).unionAll(
         keyed.select("*", F.posexplode("near").alias("t", "cell"), F.lit(True).alias("probes"))
     )
-    rows = rows.join(broadcast_if_small(hot, 100_000), cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    rows = rows.select(
-        *cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "probes", "id", "vec", "home", "near"
-    )
+    rows = paired_blocks(rows, cell, F.col("id"), BLOCK, "lattice-hot", narrow)
+    rows = rows.select(*cell, "i", "j", "block", "probes", "id", "vec", "home", "near")
     order = [*cell, "i", "j"]
     found = materialize(
         rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_link(cut, kind), "id bigint, root bigint, links bigint"),
