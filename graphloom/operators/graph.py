@@ -82,7 +82,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str =
     frontier with the edges, drops what was visited and is written out, so that lineage stays
     flat; the loop ends with an empty frontier."""
     by = by or []
-    steps = _steps(edges, direction).distinct()
+    steps = _steps(edges, direction)
     front = materialize(seeds.select(*by, "id").distinct().withColumn("depth", F.lit(0)), "bfs")
     seen, level = front, 0
     while depth is None or level < depth:
