@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import escape_html, qualified, quote, token_estimate
 from graphloom.operators.graph import first_by
-from graphloom.operators.heat import with_heat
 from graphloom.schema import blank, is_active
 from graphloom.storage import materialize
 
@@ -103,6 +102,14 @@ def federated(embeddings: DataFrame, queries: DataFrame, local: str = "", k_loca
     return dedupe_rank(named.drop("rank"), limit)
 
 
+def _warm(found: DataFrame, heat: DataFrame) -> DataFrame:
+    """Arrivals with the heat of the pair they came over. They are few: the heat table is cut to their
+    pairs first, so that it is never shuffled whole."""
+    keyed = found.withColumn("a", F.least("src", "id")).withColumn("b", F.greatest("src", "id"))
+    near = keyed.select("a", "b").distinct().join(heat.select("a", "b", F.col("weight").alias("heat")), ["a", "b"])
+    return keyed.join(near, ["a", "b"], "left").drop("a", "b").withColumn("heat", F.coalesce("heat", F.lit(0.0)))
+
+
 def traverse(nodes: DataFrame, edges: DataFrame, entries: DataFrame, heat: DataFrame | None = None, depth: int = 2,
              include_inactive: bool = False, mode: str = "adjacency") -> DataFrame:
     """(query_id, id, depth, is_entry, ord): nodes reached from the entries along out-edges.
@@ -121,12 +128,11 @@ def traverse(nodes: DataFrame, edges: DataFrame, entries: DataFrame, heat: DataF
     front = front.groupBy("query_id", "id").agg(F.min("r").alias("r"))
     front = materialize(front.select("query_id", "id", F.lit(0).alias("depth"), F.row_number().over(w.orderBy("r", "id")).alias("pop")), "traverse")
     seen = front
-    steps = edges if heat is None else with_heat(edges, heat)
-    steps = steps.withColumn("heat", F.lit(0.0)) if heat is None else steps
     for level in range(1, depth + 1):
-        found = front.select("query_id", F.col("id").alias("src"), F.col("pop").alias("parent")).join(steps.select("src", "dst", "ord", "heat"), "src")
+        found = front.select("query_id", F.col("id").alias("src"), F.col("pop").alias("parent")).join(edges.select("src", "dst", "ord"), "src")
         found = found.withColumnRenamed("dst", "id").join(seen, ["query_id", "id"], "left_anti").join(ids, "id", "left_semi")
         found = first_by(found, ["query_id", "id"], F.col("parent"), F.col("ord"))
+        found = found.withColumn("heat", F.lit(0.0)) if heat is None else _warm(materialize(found, "arrivals"), heat)
         pop = F.row_number().over(w.orderBy(F.desc("heat"), "parent", "ord", "id"))
         front = materialize(found.select("query_id", "id", F.lit(level).alias("depth"), pop.alias("pop")), "traverse")
         if front.isEmpty():
@@ -142,8 +148,8 @@ def _tag(name: str, text: Column) -> Column:
 
 def render(sub: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``sub`` with ``part`` and ``kind``: full elements for entries, compact ones for the rest."""
-    named = edges.withColumn("line", F.concat(F.lit("      <edge target="), quote("dst"), F.lit(" relation="), quote("relation"), F.lit("/>\n")))
-    lists = named.join(sub.where("is_entry").select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    own = edges.join(sub.where("is_entry").select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    lists = own.withColumn("line", F.concat(F.lit("      <edge target="), quote("dst"), F.lit(" relation="), quote("relation"), F.lit("/>\n")))
     lists = lists.groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "").alias("listed"))
     full = sub.join(nodes.drop("ord"), "id").join(lists, "id", "left")
     open_ = lambda tag: F.concat(

@@ -240,19 +240,19 @@ def _seeds(v, *ids):
 
 @query(_BFS.format(step="SELECT DISTINCT src AS a, dst AS b FROM g_edges", seeds=_SEEDS, depth=2))
 def bfs_out_2(v):
-    return graph.bfs(v.pairs, _seeds(v, "nation/3", "orders/7"), 2)
+    return graph.bfs(v.stored_edges, _seeds(v, "nation/3", "orders/7"), 2)
 
 
 @query(_BFS.format(step="SELECT src AS a, dst AS b FROM g_edges UNION SELECT dst, src FROM g_edges", seeds="SELECT 'orders/7' AS id", depth=2))
 def bfs_both_2(v):
-    return graph.bfs(v.pairs, _seeds(v, "orders/7"), 2, "both")
+    return graph.bfs(v.stored_edges, _seeds(v, "orders/7"), 2, "both")
 
 
 @query(GRAPH + """, bfs AS (SELECT id, id AS origin, 0 AS depth FROM (SELECT 'supplier/1' AS id UNION SELECT 'part/5') UNION SELECT e.src, origin, depth + 1 FROM bfs JOIN g_edges e ON e.dst = bfs.id WHERE depth < 2),
     f AS (SELECT id, origin, depth, row_number() OVER (PARTITION BY id ORDER BY depth, origin) AS r FROM bfs)
     SELECT id, depth::INT AS depth, origin, CASE WHEN depth = 0 THEN 'source_changed' ELSE 'dependency_changed:' || origin END AS reason FROM f WHERE r = 1""")
 def reverse_bfs_stale(v):
-    return integrity.propagate_stale(v.pairs, _seeds(v, "supplier/1", "part/5"), 2)
+    return integrity.propagate_stale(v.stored_edges, _seeds(v, "supplier/1", "part/5"), 2)
 
 
 @query(GRAPH + """, c AS (SELECT 'customer/' || c_custkey AS src, 'region/' || (c_custkey % 5) AS dst FROM customer WHERE c_custkey <= 40),
@@ -296,7 +296,7 @@ _HEAT_SQL = """h AS (SELECT src, dst, least(src, dst) AS a, greatest(src, dst) A
     SELECT id, depth, depth = 0 AS is_entry, row_number() OVER (ORDER BY depth, pop)::INT AS ord FROM al""")
 def traverse_order(v):
     pairs = v.pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.when(F.ascii(F.expr("right(dst, 1)")) % 2 == 0, 0.5).otherwise(0.0).alias("weight"))
-    out = retrieval.traverse(v.nodes, v.edges, _seeds(v, "customer/1", "nation/3"), pairs.where("weight > 0").distinct(), 2)
+    out = retrieval.traverse(v.nodes, v.stored_edges, _seeds(v, "customer/1", "nation/3"), materialize(pairs.where("weight > 0").distinct(), "heat"), 2)
     return out.select("id", "depth", "is_entry", "ord")
 
 
@@ -546,7 +546,7 @@ def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     emb = v.embeddings.withColumn("node_id", F.concat(F.lit("customer/"), F.col("vec_id") + 1))
     nodes = v.nodes.withColumns({"context": F.lit(""), "source": F.lit(None).cast("struct<path:string,lines:array<int>,hash:string>")})
-    out = retrieval.context_query(nodes, v.edges, emb, v.vectors(1), k=5, depth=2, budget=4096)
+    out = retrieval.context_query(nodes, v.stored_edges, emb, v.vectors(1), k=5, depth=2, budget=4096)
     return out.select("query_id", "ord", "id", "depth", "kind", "bytes", "included").orderBy("query_id", "ord")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.schema import edge_class
+from graphloom.storage import materialize
 
 GRAPH = """
 WITH RECURSIVE g_nodes AS (
@@ -88,6 +89,11 @@ class Views:
         w = Window.partitionBy("src").orderBy("relation", "dst")
         return self.pairs.withColumn("ord", (F.row_number().over(w) - 1).cast("bigint"))
 
+    @cached_property
+    def stored_edges(self) -> DataFrame:
+        """The edges as a table, for searches that read them once per level."""
+        return materialize(self.edges, "edges")
+
     @cached_property
     def full_nodes(self) -> DataFrame:
         """Nodes in the canonical schema, with their edge lists."""
