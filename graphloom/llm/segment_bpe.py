@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +16,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the published byte-level scheme.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE = 300_000  # chunks remembered by a worker; only speed depends on it
+CACHE = 500_000  # words that a worker remembers; only speed depends on it
 NONE = np.iinfo(np.int64).max
 
 
@@ -124,39 +125,31 @@ class Codec:
     """Encodes and decodes texts; ids of a text are kept as a string joined by commas."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.cache = vocab, {}
+        self.vocab, self.known = vocab, {}
         self.words = regex.compile(PATTERN)
-        self.run = regex.compile(f" (?![^{WHITE}])")
-        self.cut = regex.compile(f" (?=[^{WHITE}])")
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
 
-    def chunks(self, text: str) -> list[str]:
-        """Parts of a text that pre-tokens never cross: every space before a word starts one."""
-        if self.run.search(text):
-            first, *rest = self.cut.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text; special tokens stand for themselves."""
+        if not self.special or not any(s in text for s in self.vocab.special):
+            return self.words.findall(text)
+        return [w for p in self.special.split(text) for w in ([p] if p in self.vocab.special else self.words.findall(p))]
 
-    def learn(self, chunks) -> None:
-        split = {c: self.words.findall(c) for c in chunks}
-        words = list({w for ws in split.values() for w in ws})
-        ids = {w: ",".join(map(str, x.tolist())) for w, x in zip(words, encode_words([w.encode() for w in words], self.vocab))}
-        self.cache.update((c, ",".join([ids[w] for w in ws])) for c, ws in split.items())
+    def learn(self, words) -> None:
+        words = list(words)
+        coded = encode_words([w.encode() for w in words], self.vocab)
+        self.known.update(zip(words, [",".join(map(str, x.tolist())) for x in coded]))
+        self.known.update((s, str(i)) for s, i in self.vocab.special.items())
 
     def encode(self, texts: list[str]) -> list[str]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         out = []
         for at in range(0, len(texts), 256):
-            parts = []
-            for text in texts[at : at + 256]:
-                pieces = self.special.split(text) if self.special and any(s in text for s in self.vocab.special) else [text]
-                parts.append([str(self.vocab.special[p]) if p in self.vocab.special else self.chunks(p) for p in pieces if p])
-            lists = [p for doc in parts for p in doc if isinstance(p, list)]
-            self.learn({c for p in lists for c in p}.difference(self.cache))
-            get = self.cache.__getitem__
-            out += [",".join([p if isinstance(p, str) else ",".join(map(get, p)) for p in doc]) for doc in parts]
+            if len(self.known) > CACHE:
+                self.known.clear()
+            lists = [self.split(t) for t in texts[at : at + 256]]
+            self.learn(set().union(*lists).difference(self.known))
+            get = self.known.__getitem__
+            out += [",".join(map(get, words)) for words in lists]
         return out
 
     def decode(self, ids: str) -> str:
@@ -165,9 +158,17 @@ class Codec:
         return b"".join(map(self.vocab.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace")
 
 
+def _codec(path: str) -> Codec:
+    """The worker's codec, kept between tasks: Spark reuses Python workers."""
+    held = sys.modules.setdefault("_graphloom_worker", types.ModuleType("_graphloom_worker")).__dict__.setdefault("codecs", {})
+    if path not in held:
+        held[path] = Codec(Vocabulary(path))
+    return held[path]
+
+
 def _digests(path: str):
     def run(batches):
-        codec = Codec(Vocabulary(path))
+        codec = _codec(path)
         for batch in batches:
             ids = codec.encode(batch["text"].fillna("").tolist())
             sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -189,7 +190,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(Vocabulary(path))
+        codec = _codec(path)
         for texts in batches:
             yield pd.Series([np.array(s.split(",") if s else [], np.int32) for s in codec.encode(texts.fillna("").tolist())])
 
@@ -201,7 +202,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(Vocabulary(path))
+        codec = _codec(path)
         for lists in batches:
             yield pd.Series([codec.decode("" if x is None else ",".join(map(str, x))) for x in lists])
 
