@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +13,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import hashed_sample, in_training
 
-SAMPLE_ROWS = 1_200  # bound on the labelled documents that a model is fitted on
+SAMPLE_ROWS = 1_000  # bound on the labelled documents that a model is fitted on
 LEAST_WORDS = 3  # a word is in the lexicon if so many training documents hold it
 LEXICON_WORDS = 50_000
 HASH_BITS = 18
 GRAMS = (2, 3, 4)
 CHUNK_WORDS = 2_000_000  # words that one forward-backward pass of a task takes together
+TYPES_AT_ONCE = 100_000
 UNKNOWN = "und"
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -41,7 +41,7 @@ def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
     begin = np.concatenate([[0], np.cumsum(size)])
     left = np.repeat(begin[1:], size) - np.arange(len(data))  # bytes up to the end of the word
-    hashes = np.zeros((len(data), len(GRAMS)), np.int64)
+    hashes = np.zeros((len(data), len(GRAMS)), np.int32)
     valid = np.zeros((len(data), len(GRAMS)), bool)
     h = np.zeros(len(data), np.uint64)
     for k in range(max(GRAMS)):
@@ -49,7 +49,7 @@ def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if k + 1 in GRAMS:
             g = GRAMS.index(k + 1)
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * g)
-            hashes[:, g] = (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+            hashes[:, g] = (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int32)
             valid[:, g] = left > k
     per_word = np.add.reduceat(valid.sum(1), begin[:-1]) if len(words) else np.zeros(0, np.int64)
     return hashes[valid], np.concatenate([[0], np.cumsum(per_word)])
@@ -66,25 +66,30 @@ class Crf:
         self.step, self.start = np.zeros((k, k)), np.zeros(k)
 
     def emissions(self, grams, starts, entry) -> np.ndarray:
-        count = np.diff(starts)[:, None]
-        total = np.add.reduceat(self.grams[grams], starts[:-1], axis=0) if len(grams) else np.zeros((len(entry), len(self.labels)))
-        return total / np.sqrt(count) + self.words[entry]
+        count = np.diff(starts).astype(np.float32)[:, None]
+        return np.add.reduceat(self.grams[grams], starts[:-1], axis=0) / np.sqrt(count) + self.words[entry]
+
+    def type_emissions(self, types: list[str]) -> np.ndarray:
+        """Emission scores of distinct words, some at a time."""
+        parts = (types[i : i + TYPES_AT_ONCE] for i in range(0, len(types), TYPES_AT_ONCE))
+        return np.concatenate([self.emissions(*gram_features(p), self.entries(p)) for p in parts])
 
     def entries(self, words: list[str]) -> np.ndarray:
         other = len(self.lexicon)
         return np.fromiter((self.lexicon.get(w, other) for w in words), np.int64, len(words))
 
-    def marginals(self, emit: np.ndarray, lengths: np.ndarray):
-        """Posterior label probabilities of every word, by forward-backward over all sequences at
-        once. ``emit`` holds the words of one sequence after another, the longest sequence first.
-        Also gives the expected transitions, and those of the first words, for training."""
+    def marginals(self, emit: np.ndarray, lengths: np.ndarray, each: bool = True):
+        """Posterior label probabilities by forward-backward over all sequences at once: of every word,
+        with the expected transitions and first labels, or (unless ``each``) their means by sequence.
+
+        ``emit`` holds the words of one sequence after another, the longest sequence first."""
         n, k = emit.shape
         begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        e = np.exp(emit - emit.max(1, keepdims=True)).astype(np.float64)
-        trans = np.exp(self.step)
-        live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right") if len(lengths) else []
-        alpha = np.empty((n, k))
-        a = np.exp(self.start) * e[begin]
+        e = np.exp(emit - emit.max(1, keepdims=True))
+        trans = np.exp(self.step).astype(e.dtype)
+        live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+        alpha = np.empty_like(e)
+        a = np.exp(self.start).astype(e.dtype) * e[begin]
         for t, m in enumerate(live):
             at = begin[:m] + t
             if t:
@@ -92,59 +97,56 @@ class Crf:
             a = a / a.sum(1, keepdims=True)
             alpha[at] = a
         moved = np.zeros((k, k))
-        out = np.empty((n, k))
-        b = np.ones((0, k))
+        out = np.empty_like(e) if each else np.zeros((len(lengths), k))
+        b = np.ones((0, k), e.dtype)
         for t in range(len(live) - 1, -1, -1):
             m = live[t]
             at = begin[:m] + t
             if len(b) < m:
-                b = np.concatenate([b, np.ones((m - len(b), k))])
+                b = np.concatenate([b, np.ones((m - len(b), k), e.dtype)])
             p = alpha[at] * b
-            out[at] = p / p.sum(1, keepdims=True)
+            p /= p.sum(1, keepdims=True)
+            if each:
+                out[at] = p
+            else:
+                out[:m] += p
             if t:
                 f = e[at] * b
-                prior = alpha[at - 1]
-                joint = np.einsum("ni,nj->nij", prior, f) * trans
-                moved += (joint / joint.sum((1, 2), keepdims=True)).sum(0) if self.training else 0
+                if each:
+                    joint = np.einsum("ni,nj->nij", alpha[at - 1], f) * trans
+                    moved += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
                 b = f @ trans.T
                 b = b / b.sum(1, keepdims=True)
-        return out, moved, out[begin].sum(0)
-
-    training = False
+        return (out, moved, out[begin].sum(0)) if each else out / lengths[:, None]
 
     def fit(self, types: list[str], word: np.ndarray, gold: np.ndarray, lengths: np.ndarray, rounds: int = 15):
         """Adam on the log-likelihood of the label sequences; word and gold are per position."""
         grams, starts = gram_features(types)
         entry = self.entries(types)
-        owner = np.repeat(np.arange(len(types)), np.diff(starts))
-        scale = (1 / np.sqrt(np.diff(starts)))[:, None]
+        count = np.diff(starts)
+        scale = (1 / np.sqrt(count)).astype(np.float32)
         k = len(self.labels)
-        one = np.eye(k)[gold]
         begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         inside = np.ones(len(word), bool)
         inside[begin] = False
         moves = np.bincount(gold[np.flatnonzero(inside) - 1] * k + gold[inside], minlength=k * k).reshape(k, k)
-        first = one[begin].sum(0)
+        first = np.bincount(gold[begin], minlength=k)
         params = [self.grams, self.words, self.step, self.start]
         m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        self.training = True
         for r in range(1, rounds + 1):
-            emit = self.emissions(grams, starts, entry)
-            prob, moved, firsts = self.marginals(emit[word], lengths)
-            diff = prob - one
+            diff, moved, firsts = self.marginals(self.emissions(grams, starts, entry)[word], lengths)
+            diff[np.arange(len(gold)), gold] -= 1
             per_type = np.array([np.bincount(word, diff[:, c], len(types)) for c in range(k)]).T
-            spread = (per_type * scale)[owner]
-            grad = [
-                np.array([np.bincount(grams, spread[:, c], 1 << HASH_BITS) for c in range(k)]).T,
-                np.array([np.bincount(entry, per_type[:, c], len(self.words)) for c in range(k)]).T,
-                moved - moves, firsts - first,
-            ]
+            del diff
+            grad = [np.empty_like(self.grams), np.empty_like(self.words), moved - moves, firsts - first]
+            for c in range(k):
+                grad[0][:, c] = np.bincount(grams, np.repeat((per_type[:, c] * scale).astype(np.float32), count), 1 << HASH_BITS)
+                grad[1][:, c] = np.bincount(entry, per_type[:, c], len(self.words))
             for p, g, a, b in zip(params, grad, m1, m2):
                 g = g / len(lengths) + 1e-5 * p
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= 0.1 * (a / (1 - 0.9**r)) / (np.sqrt(b / (1 - 0.99**r)) + 1e-8)
-        self.training = False
         return self
 
     def predict(self, texts) -> tuple[list[str], list[float]]:
@@ -165,12 +167,12 @@ class Crf:
             if not rows:
                 continue
             types = list(number)
-            parts = [self.emissions(*gram_features(p), self.entries(p)) for p in (types[i : i + 200_000] for i in range(0, len(types), 200_000))]
+            number.clear()
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             order = np.argsort(-lengths, kind="stable")
-            prob, _, _ = self.marginals(np.concatenate(parts)[np.concatenate([ids[i] for i in order])], lengths[order])
-            begin = np.concatenate([[0], np.cumsum(lengths[order])])[:-1]
-            share = np.add.reduceat(prob, begin, axis=0) / lengths[order][:, None]
+            emit = self.type_emissions(types)[np.concatenate([ids[i] for i in order])]
+            del types, ids
+            share = self.marginals(emit, lengths[order], each=False)
             for i, best, top in zip(order, share.argmax(1), share.max(1)):
                 labels[rows[i]], scores[rows[i]] = self.labels[best], float(min(1.0, top))
         return labels, scores
@@ -181,19 +183,23 @@ def fit_texts(texts: list[str], langs: list[str], seed: int = 5) -> Crf:
     random order into sequences of about 150 words, so that transitions are learned from
     switches; every word has the label of its document."""
     labels = sorted(set(langs))
-    lists = [words_of(t) for t in texts]
-    seen = Counter(w for ws in lists for w in set(ws))
-    lexicon = {w: i for i, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]) if c >= LEAST_WORDS}
-    model = Crf(labels, lexicon)
-    number: dict[str, int] = {}
+    number: dict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    ids = []
+    for text in texts:
+        words = words_of(text)
+        ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+    types = list(number)
+    seen = np.bincount(np.concatenate([np.unique(x) for x in ids] or [[]]).astype(np.int64), minlength=len(types))
+    often = sorted(np.flatnonzero(seen >= LEAST_WORDS).tolist(), key=lambda i: (-seen[i], types[i]))[:LEXICON_WORDS]
+    model = Crf(labels, {types[i]: n for n, i in enumerate(often)})
     rng = np.random.default_rng(seed)
     spans = []
-    for ws, lang in zip(lists, langs):
-        ids = np.array([number.setdefault(w, len(number)) for w in ws], np.int64)
+    for row, lang in zip(ids, langs):
         at = 0
-        while at < len(ids):
+        while at < len(row):
             step = int(rng.integers(4, 41))
-            spans.append((ids[at : at + step], labels.index(lang)))
+            spans.append((row[at : at + step], labels.index(lang)))
             at += step
     if not spans:
         return model
@@ -203,7 +209,7 @@ def fit_texts(texts: list[str], langs: list[str], seed: int = 5) -> Crf:
     lengths = np.array([sum(len(x) for x, _ in s) for s in sequences])
     word = np.concatenate([x for s in sequences for x, _ in s])
     gold = np.concatenate([np.full(len(x), y) for s in sequences for x, y in s])
-    return model.fit(list(number), word, gold, lengths)
+    return model.fit(types, word, gold, lengths)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Crf:
