@@ -224,12 +224,13 @@ def as_of(nodes: DataFrame, moment: str) -> DataFrame:
 
 def resolve_ids(nodes: DataFrame, asked: DataFrame, namespaces: DataFrame) -> DataFrame:
     """(asked, id): the id itself if it exists, else the first namespace/id by name of the namespace."""
-    known = nodes.select("id")
-    exact = asked.select(F.col("id").alias("asked")).distinct()
-    options = exact.select("asked", F.col("asked").alias("id"), F.lit("").alias("ns")).unionAll(
-        exact.crossJoin(F.broadcast(namespaces.select("name").distinct().limit(10_000))).select("asked", F.concat_ws("/", "name", "asked"), "name")
-    )
-    return exact.join(first_by(options.join(known, "id", "left_semi"), ["asked"], F.col("ns")).select("asked", "id"), "asked", "left")
+    wanted = asked.select(F.col("id").alias("asked")).distinct()
+    exact = wanted.join(nodes.select(F.col("id").alias("asked"), "id"), "asked").select("asked", "id", F.lit("").alias("ns"))
+    # an id below a namespace is found by what follows the namespace
+    below = nodes.where(F.col("id").contains("/")).select("id", F.substring_index("id", "/", 1).alias("ns"), F.regexp_replace("id", "^[^/]*/", "").alias("asked"))
+    below = below.join(namespaces.select(F.col("name").alias("ns")).distinct(), "ns", "left_semi").join(wanted, "asked", "left_semi")
+    found = first_by(exact.unionByName(below), ["asked"], F.col("ns")).select("asked", "id")
+    return wanted.join(found, "asked", "left")
 
 
 def to_client(nodes: DataFrame, edges: DataFrame) -> DataFrame:
