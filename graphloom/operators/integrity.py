@@ -123,11 +123,11 @@ def duplicates(nodes: DataFrame, embeddings: DataFrame, vectors: DataFrame, mode
 
 
 def suggestions(nodes: DataFrame, files: DataFrame | None = None, embeddings: DataFrame | None = None, vectors: DataFrame | None = None,
-                model: str | None = None, disconnected: bool = True) -> DataFrame:
+                model: str | None = None, disconnected: bool = True, edges: DataFrame | None = None) -> DataFrame:
     """All suggestions on active nodes, each id once; the search for small components, which iterates,
-    can be left out."""
+    can be left out. ``edges`` may be a table in place of the nodes' lists."""
     live = active(nodes)
-    edges = edges_of(nodes)
+    edges = edges_of(nodes) if edges is None else edges
     lone = lambda df: df.withColumn("node_ids", F.array("id"))
     say = F.format_string
     parts = [

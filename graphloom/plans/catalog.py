@@ -380,12 +380,12 @@ def integrity_union(v):
     return integrity.integrity(_doc_nodes(v), files=_doc_files(v)).select("node_id", "issue_type", "severity")
 
 
-@query(GRAPH + """, live AS (SELECT * FROM g_nodes WHERE status IN ('', 'active')), e AS (SELECT src, dst FROM g_edges WHERE src IN (SELECT id FROM live)),
+@query(GRAPH + """, live AS (SELECT * FROM g_nodes WHERE status IN ('', 'active')), e AS (SELECT src, dst FROM g_edges),
     f AS (SELECT 'orphan' AS type, 'warning' AS severity, 1 AS o, id FROM live WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)
         UNION ALL SELECT 'missing_summary', 'info', 2, id FROM live WHERE summary = '')
     SELECT substr(sha256(type || ':' || id), 1, 32) AS suggestion_id, type, severity, id AS node_ids FROM f""")
 def suggestions_ranked(v):
-    out = integrity.ranked(integrity.suggestions(v.full_nodes, disconnected=False))
+    out = integrity.ranked(integrity.suggestions(v.nodes, disconnected=False, edges=v.pairs))
     return out.select("suggestion_id", "type", "severity", F.array_join("node_ids", ",").alias("node_ids"))
 
 

@@ -69,8 +69,9 @@ class Views:
     @cached_property
     def pairs(self) -> DataFrame:
         def part(table, src, src_key, dst, dst_key, relation, once=False):
-            out = self.table(table).select(F.concat(F.lit(f"{src}/"), src_key).alias("src"), F.concat(F.lit(f"{dst}/"), dst_key).alias("dst"), F.lit(relation).alias("relation"))
-            return out.distinct() if once else out
+            keys = self.table(table).select(src_key, dst_key)
+            keys = keys.distinct() if once else keys  # on the narrow keys, before names are made of them
+            return keys.select(F.concat(F.lit(f"{src}/"), src_key).alias("src"), F.concat(F.lit(f"{dst}/"), dst_key).alias("dst"), F.lit(relation).alias("relation"))
 
         rows = [
             part("nation", "region", "n_regionkey", "nation", "n_nationkey", "contains"), part("customer", "nation", "c_nationkey", "customer", "c_custkey", "contains"),
