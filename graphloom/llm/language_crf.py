@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import by_bytes
 from graphloom.llm.sampling import hashed_sample, in_training
 
 SAMPLE_ROWS = 1_000  # bound on the labelled documents that a model is fitted on
@@ -234,6 +235,7 @@ def identify(docs: DataFrame, model: Crf, text: str = "text", label: str = "lang
             labels, scores = model.predict(texts.tolist())
             yield pd.DataFrame({"label": labels, "score": scores})
 
-    return docs.withColumn("_language", tagged(F.col(text))).withColumns(
+    # long documents take as many steps in a small batch as in a large one
+    return by_bytes(docs, 12).withColumn("_language", tagged(F.col(text))).withColumns(
         {label: F.col("_language.label"), score: F.col("_language.score")}
     ).drop("_language")

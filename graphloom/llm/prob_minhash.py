@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import by_bytes
 from graphloom.llm.blocks import paired_blocks, slices
 from graphloom.operators.components import connected_components
 from graphloom.storage import broadcast_if_small, discard, materialize
@@ -19,7 +20,7 @@ MAYBE = 0.65  # share of equal registers below which a pair is not verified: 5 s
 LEADERS = 3
 BLOCK = 2_000  # rows of a bucket that are compared in one task
 CUT = 0.8
-CHUNK_BYTES = 1 << 21  # text that a task hashes together
+CHUNK_BYTES = 1 << 20  # text that a task hashes together
 
 _MIX = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     their sets where they lie: of the pairs that share a band, no link that joins two classes is lost. Null, empty
     and wordless texts are classes of their own, as are rows without id (class null); rows that
     repeat an id are in one class. Extra columns are ignored, an empty table gives no rows."""
-    base = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    base = by_bytes(docs).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     worded = F.col("text").rlike(r"\S") & F.col("id").isNotNull()
     member = materialize(base.select("id", F.when(worded, F.unhex(F.md5("text"))).alias("h")), "minhash-members")
     first = member.where("h is not null").groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"))

@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import by_bytes
+
 # Fixed values of the published byte-level scheme.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 500_000  # words that a worker remembers; only speed depends on it
@@ -194,7 +196,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
         for texts in batches:
             yield pd.Series([np.array(s.split(",") if s else [], np.int32) for s in codec.encode(texts.fillna("").tolist())])
 
-    return df.withColumn(out_col, ids(F.col(text_col)))
+    return by_bytes(df).withColumn(out_col, ids(F.col(text_col)))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -206,7 +208,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
         for lists in batches:
             yield pd.Series([codec.decode("" if x is None else ",".join(map(str, x))) for x in lists])
 
-    return df.withColumn(out_col, text(F.col(ids_col)))
+    return by_bytes(df).withColumn(out_col, text(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -214,6 +216,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     Null texts count as empty; repeated rows each give one; extra columns are ignored.
     """
-    return docs.select("doc_id", "text").mapInPandas(
+    return by_bytes(docs).select("doc_id", "text").mapInPandas(
         _digests(path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )

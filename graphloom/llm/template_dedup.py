@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import by_bytes
 from graphloom.storage import broadcast_if_small, discard, materialize
 
 FIELD = "<*>"
@@ -84,7 +85,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Equal lines are counted first, so that each distinct line enters the tree once. Leaves with
     several lines over several documents are generalised; their templates are merged again
     where a large leaf was cut into parts of about 20000 lines."""
-    lines = _lines(docs.where(F.col(key).isNotNull()), key, text)
+    lines = _lines(by_bytes(docs).where(F.col(key).isNotNull()), key, text)
     digest = F.unhex(F.md5("line"))
     wordy = F.size(F.filter(F.split("line", " "), lambda t: t != FIELD)) >= WORDY
     narrow = materialize(lines.select("doc", "pos", "leaf", digest.alias("h"), wordy.alias("wordy")), "lines")

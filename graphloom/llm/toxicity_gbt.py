@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import by_bytes
 from graphloom.llm.sampling import hashed_sample, in_training
 
 SAMPLE_ROWS = 8_000  # bound on the labelled rows that a model is fitted on
@@ -241,7 +242,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
         for texts in batches:
             yield pd.Series(model.score(texts.tolist()))
 
-    return docs.withColumn(out, scored(F.col(text)))
+    return by_bytes(docs).withColumn(out, scored(F.col(text)))
 
 
 def is_toxic(score: Column) -> Column:

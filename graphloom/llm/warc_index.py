@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import by_bytes
 from graphloom.storage import broadcast_if_small, materialize, scratch_path
 
 BROADCAST_ROWS = 200_000
@@ -176,7 +177,7 @@ def read_index(spark, path: str) -> DataFrame:
     A folder without records gives no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    runs = materialize(files.mapInPandas(_runs, INDEX), "warc-runs")
+    runs = materialize(by_bytes(files).mapInPandas(_runs, INDEX), "warc-runs")
     n = max(1, math.ceil(runs.count() / ROWS_PER_MERGE))
     parts = max(n, min(runs.rdd.getNumPartitions(), 64))
     ranged = runs.repartitionByRange(parts, "url_key", "capture_ts", "page_id").sortWithinPartitions("run", "seq")
