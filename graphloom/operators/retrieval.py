@@ -212,7 +212,7 @@ def context_query(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, que
     hits = search(embeddings, query, k, model=model, only_active=not include_superseded)
     entries = materialize(hits.select("query_id", F.col("node_id").alias("id"), "rank"), "entries")
     sub = traverse(nodes, edges, entries, heat, depth, include_superseded)
-    return pack(render(sub, nodes, edges), budget)
+    return pack(materialize(render(sub, nodes, edges), "parts"), budget)  # read twice
 
 
 def co_access(entries: DataFrame) -> DataFrame:
