@@ -125,16 +125,20 @@ def canonical_url(c: str | Column) -> Column:
 
 
 def slug(c: str | Column) -> Column:
-    """Lower-case project id: runs of other characters become one dash."""
-    return F.regexp_replace(F.regexp_replace(F.lower(blank(_c(c))), "[^a-z0-9._-]+", "-"), "^[-.]+|[-.]+$", "")
+    """Project id: lower-case letters and digits, anything between them one dash, at most 128 bytes."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(blank(_c(c))), r"[^\p{L}\p{Nd}]+", "-"), "^-|-$", "")
+    return F.when(plain == "", "project").otherwise(F.regexp_replace(cut_utf8(plain, 128), "-$", ""))
 
 
 def secret_key(c: str | Column) -> Column:
-    return F.lower(_c(c)).rlike("(api_?key|token|secret|password|credential)")
+    """Settings that hold credentials; a token budget is none."""
+    k = F.lower(_c(c))
+    return k.rlike("api_key|secret|password") | (k.contains("token") & ~k.contains("budget"))
 
 
 def secret_value(c: str | Column) -> Column:
-    return _c(c).rlike(r"^(sk-|ghp_|gho_|github_pat_|xox[bp]-|AKIA)[A-Za-z0-9_-]{8,}")
+    """Values of 20 bytes and more that start like a key."""
+    return (F.octet_length(_c(c)) >= 20) & _c(c).rlike("^(sk-|sk_|pk-|pk_|Bearer |voyage-)")
 
 
 def capitalized(c: str | Column) -> Column:

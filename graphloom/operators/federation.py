@@ -284,11 +284,13 @@ def summary_input(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def template_summary(nodes: DataFrame, by: str = "namespace", limit: int = 500) -> DataFrame:
-    """(by, text): 'id (type)' of the nodes in order of id, appended while the text is no longer than the limit."""
-    item = F.concat("id", F.lit(" ("), blank(F.col("type")), F.lit(")"))
+    """(by, text): a heading with the number of nodes, then a line per node in order of id, appended while
+    the text is no longer than the limit."""
+    item = F.concat(F.lit("- [["), "id", F.lit("]] ("), blank(F.col("type")), F.lit(")\n"))
     rows = nodes.where(is_active()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("id", item.alias("item")))).alias("items"))
-    step = lambda s, x: F.when(F.octet_length(s) > limit, s).when(s == "", x["item"]).otherwise(F.concat(s, F.lit(", "), x["item"]))
-    return rows.select(by, F.aggregate("items", F.lit(""), step).alias("text"))
+    head = F.concat(F.lit("Summary of namespace "), by, F.lit(" with "), F.size("items").cast("string"), F.lit(" nodes.\n\n"))
+    step = lambda s, x: F.when(F.octet_length(s) > limit, s).otherwise(F.concat(s, x["item"]))
+    return rows.select(by, F.aggregate("items", head, step).alias("text"))
 
 
 def summary_due(counts: DataFrame, now: Column | None = None, least: int = 3, change: float = 0.2, every: int = 1800) -> DataFrame:

@@ -240,6 +240,6 @@ def to_client(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     long = F.octet_length(blank(F.col("context"))) > 2000
     out = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "dst", "relation"))).alias("out"))
     return nodes.join(out, "id", "left").select(
-        "id", "type", "namespace", "status", "summary", F.when(long, F.concat(cut_utf8("context", 2000), F.lit("... (truncated)"))).otherwise(blank(F.col("context"))).alias("context"),
+        "id", "type", "namespace", "status", "summary", F.when(long, F.concat(cut_utf8("context", 2000), F.lit("\n... (context truncated)"))).otherwise(blank(F.col("context"))).alias("context"),
         "tags", F.transform(F.coalesce("out", F.array()), lambda e: F.struct(e["dst"].alias("target"), e["relation"].alias("relation"))).alias("edges"),
     )

@@ -170,8 +170,10 @@ def did_you_mean(v):
     return federation.did_you_mean(v.nodes, "missing/12")
 
 
-@query(GRAPH + """, i AS (SELECT namespace, id || ' (' || type || ')' AS item, row_number() OVER (PARTITION BY namespace ORDER BY id) AS k FROM g_nodes WHERE status IN ('', 'active')),
-    f AS (SELECT namespace, item, k, item AS text FROM i WHERE k = 1 UNION ALL SELECT i.namespace, i.item, i.k, CASE WHEN strlen(text) > 500 THEN text ELSE text || ', ' || i.item END FROM f JOIN i ON i.namespace = f.namespace AND i.k = f.k + 1 WHERE f.k < 80)
+@query(GRAPH + """, i AS (SELECT namespace, '- [[' || id || ']] (' || type || ')' || chr(10) AS item, row_number() OVER (PARTITION BY namespace ORDER BY id) AS k, count(*) OVER (PARTITION BY namespace) AS n
+        FROM g_nodes WHERE status IN ('', 'active')),
+    f AS (SELECT namespace, k, 'Summary of namespace ' || namespace || ' with ' || n || ' nodes.' || chr(10) || chr(10) || item AS text FROM i WHERE k = 1
+        UNION ALL SELECT i.namespace, i.k, CASE WHEN strlen(text) > 500 THEN text ELSE text || i.item END FROM f JOIN i ON i.namespace = f.namespace AND i.k = f.k + 1 WHERE f.k < 80)
     SELECT namespace, max_by(text, k) AS text FROM f GROUP BY 1""")
 def template_summary(v):
     return federation.template_summary(v.nodes)

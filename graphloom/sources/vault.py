@@ -189,7 +189,7 @@ def render_config(config: VaultConfig, secrets: bool = True) -> str:
     """Config file; without secrets, keys that look like credentials are left out."""
     head = {k: v for k, v in asdict(config).items() if k != "extra" and v not in ("", 0)} | config.extra
     if not secrets:
-        head = {k: v for k, v in head.items() if not re.search(r"api_?key|token$|secret|password|credential", k, re.I)}
+        head = {k: v for k, v in head.items() if not re.search(r"api_key|secret|password|token(?!.*budget)", k, re.I)}
     return _dump(head)
 
 
@@ -231,7 +231,7 @@ def render_manifest(**fields) -> str:
 
 
 def ensure_rows(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Append rows whose keys are not there: create a namespace, bridge, route or den once."""
+    """Append rows whose keys are not there: create a namespace, bridge, route or project once."""
     return table.unionByName(new.join(table.select(*keys), keys, "left_anti").dropDuplicates(keys), allowMissingColumns=True)
 
 

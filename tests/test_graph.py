@@ -100,7 +100,7 @@ def test_lookups(spark, nodes_of):
     asked = spark.createDataFrame([("x",), ("y",), ("nope",)], "id string")
     assert {r.asked: r.id for r in graph.resolve_ids(n, asked, spaces).collect()} == {"x": "ns1/x", "y": "y", "nope": None}
     shown = {r.id: r.context for r in graph.to_client(n, graph.edges_of(n)).collect()}
-    assert shown["z"].endswith("(truncated)") and len(shown["z"].encode()) <= 2020
+    assert shown["z"].endswith("(context truncated)") and len(shown["z"].encode()) <= 2030
     assert graph.capped(n.select("id"), 2).count() == 3 and graph.capped(n.select("id"), 4).count() == 4
     dated = nodes_of([{"id": "p", "valid_until": "2020-01-01T00:00:00Z"}, {"id": "q", "valid_from": "2021-01-01T00:00:00Z"}, {"id": "r"}])
     assert ids(graph.as_of(dated, "2020-06-01T00:00:00Z")) == ["r"]

@@ -20,7 +20,9 @@ def test_texts(spark):
     for url in ("https://me:pw@Host.com/A/B.git", "git@host.com:A/B.git", "ssh://git@HOST.com/A/B/", "host.com/A/B"):
         assert one(spark, url, tx.canonical_url) == "host.com/A/B"
     assert one(spark, "ééé", lambda c: tx.cut_utf8(c, 3)) == "é" and one(spark, "éé", tx.token_estimate) == 1
-    assert one(spark, "My Project!", tx.slug) == "my-project" and one(spark, "api_key", tx.secret_key)
+    assert [one(spark, s, tx.slug) for s in ("My  Project!", "--", "Été 2")] == ["my-project", "project", "été-2"]
+    assert [one(spark, s, tx.secret_key) for s in ("OPENAI_API_KEY", "auth_token", "token_budget", "path")] == [True, True, False, False]
+    assert one(spark, "sk-" + "a" * 20, tx.secret_value) and not one(spark, "sk-short", tx.secret_value)
     assert one(spark, "```json\n{}\n```", tx.strip_fence) == "{}" and one(spark, " a, ,b ", tx.csv_list) == ["a", "b"]
     assert [one(spark, s, tx.infer_type) for s in ("auth/handler", "user_model", "pkg/x", "the_api", "a_test", "z")] == ["function", "type", "package", "api", "test", "concept"]
 

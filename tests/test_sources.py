@@ -194,7 +194,7 @@ def test_federation(spark, nodes_of):
     assert {r.target: (r.vault_id, r.state) for r in got.collect()} == {"p": ("vp", "ok"), "live1": ("live1", "ok"), "cached": ("vc", "ok"), "gone": (None, "missing")}
     assert [r.vault_id for r in federation.linked_vaults(got, "vp").collect()] == ["live1", "vc"]
     assert federation.did_you_mean(n, "zz/R").first().id == "r" and federation.namespace_counts(n.limit(0)).first().namespace == "default"
-    assert [r.text for r in federation.template_summary(nodes_of([{"id": f"n{i:03d}"} for i in range(90)])).collect()][0].startswith("n000 (function), n001")
+    assert [r.text for r in federation.template_summary(nodes_of([{"id": f"n{i:03d}"} for i in range(90)])).collect()][0].startswith("Summary of namespace  with 90 nodes.\n\n- [[n000]] (function)\n- [[n001]]")
     meta = spark.createDataFrame([("p", "v1")], "project_id string, vault_id string")
     cat = spark.createDataFrame([("p", "/p", True)], "project_id string, path string, readonly boolean")
     ws = spark.createDataFrame([("p", True, True, False)], "project_id string, active boolean, editable boolean, materialized boolean")
