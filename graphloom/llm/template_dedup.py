@@ -21,14 +21,20 @@ PART_LINES = 20_000  # lines of a leaf that one task generalises
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, pos, line) of lines that are not blank; tokens with a digit become variable fields."""
-    cut = docs.select(F.col(key).cast("bigint").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    line = F.trim(F.regexp_replace("line", r"[\t\x0B\f\r ]{2,}|[\t\x0B\f\r]", " "))
-    cut = cut.select("doc", "pos", line.alias("line")).where(F.col("line") != "")
+    """(doc, pos, line, leaf, wordy) of lines that are not blank; tokens with a digit become variable
+    fields. Texts without odd white space, and lines without digits, skip the patterns for them."""
+    odd = F.lit(False)
+    for mark in ("\t", "\x0b", "\f", "\r", "  "):
+        odd = odd | F.col("text").contains(mark)
+    even = F.when(odd, F.regexp_replace("text", r"[\t\x0B\f\r ]{2,}|[\t\x0B\f\r]", " ")).otherwise(F.col("text"))
+    cut = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).select("doc", F.posexplode(F.split(even, "\n")).alias("pos", "line"))
+    cut = cut.select("doc", "pos", F.trim("line").alias("line")).where(F.col("line") != "")
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(F.col("line"))
     cut = cut.select("doc", "pos", masked.alias("line"))
-    leaf = F.xxhash64(F.size(F.split("line", " ")), F.substring_index("line", " ", LEADING))
-    return cut.select("doc", "pos", "line", leaf.alias("leaf"))
+    tokens = F.size(F.split("line", " "))
+    constant = F.when(F.col("line").contains(FIELD), F.size(F.filter(F.split("line", " "), lambda t: t != FIELD))).otherwise(tokens)
+    leaf = F.xxhash64(tokens, F.substring_index("line", " ", LEADING))
+    return cut.select("doc", "pos", "line", leaf.alias("leaf"), (constant >= WORDY).alias("wordy"))
 
 
 class Leaf:
@@ -87,8 +93,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     where a large leaf was cut into parts of about 20000 lines."""
     lines = _lines(by_bytes(docs).where(F.col(key).isNotNull()), key, text)
     digest = F.unhex(F.md5("line"))
-    wordy = F.size(F.filter(F.split("line", " "), lambda t: t != FIELD)) >= WORDY
-    narrow = materialize(lines.select("doc", "pos", "leaf", digest.alias("h"), wordy.alias("wordy")), "lines")
+    narrow = materialize(lines.select("doc", "pos", "leaf", digest.alias("h"), "wordy"), "lines")
     stats = narrow.groupBy("leaf", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c"), F.first("wordy").alias("wordy"))
     stats = materialize(stats, "line-stats")
     leaves = stats.groupBy("leaf").agg(F.count("*").alias("k"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("k > 1 and a <> b")
