@@ -17,9 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.warc_index import capture_index
 
-    return capture_index(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_ts", "run", "record_offset", "record_bytes"
-    )
+    out = capture_index(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
