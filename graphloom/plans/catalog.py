@@ -547,7 +547,7 @@ def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = v.embeddings.withColumn("node_id", F.concat(F.lit("customer/"), F.col("vec_id") + 1))
     nodes = v.nodes.withColumns({"context": F.lit(""), "source": F.lit(None).cast("struct<path:string,lines:array<int>,hash:string>")})
     out = retrieval.context_query(nodes, v.stored_edges, emb, v.vectors(1), k=5, depth=2, budget=4096)
-    return out.select("query_id", "ord", "id", "depth", "kind", "bytes", "included").orderBy("query_id", "ord")
+    return out.select("query_id", "ord", "id", "depth", "kind", "bytes", "included")
 
 
 QUERIES["context_query"] = context_query
