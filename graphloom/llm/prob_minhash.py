@@ -16,7 +16,7 @@ from graphloom.storage import broadcast_if_small, discard, materialize
 WORDS = 5  # words of a shingle
 REGISTERS = 180
 BANDS = 30  # of 6 registers each: a pair at 0.8 shares a band with probability 0.9999
-MAYBE = 0.65  # share of equal registers below which a pair is not verified: 5 standard errors from 0.8
+MAYBE = 0.65  # share of equal registers below which a pair is not verified: 5 standard errors from 0.8, as weights are equal
 LEADERS = 3
 BLOCK = 2_000  # rows of a bucket that are compared in one task
 CUT = 0.8
@@ -81,11 +81,12 @@ def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
     return rolled[keep], np.concatenate([[0], np.cumsum(count)])
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+def signatures(hashes: np.ndarray, starts: np.ndarray, registers: int = REGISTERS, weighted: bool = True) -> np.ndarray:
     """ProbMinHash signatures, a row per text: register r holds the shingle whose Poisson process,
     of a rate equal to its weight, is the first to arrive at r.
 
-    Weights are 1 + ln(occurrences). All shingles of all texts make their next arrival together;
+    Weights are 1 + ln(occurrences), or 1 where not ``weighted``: registers are then equal with the
+    probability of the Jaccard similarity of the sets. All shingles of all texts make their next arrival together;
     a shingle ends as soon as its time passes the latest register of its text, so that after the
     first round only the few early ones go on."""
     texts = len(starts) - 1
@@ -95,7 +96,7 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, registers: int = REGISTER
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     at = np.flatnonzero(new)
-    weight = 1 + np.log(np.diff(np.concatenate([at, [len(h)]])))
+    weight = 1 + np.log(np.diff(np.concatenate([at, [len(h)]]))) if weighted else np.ones(len(at))
     h, o = h[at], o[at]
     best = np.full((texts, registers), np.inf)
     who = np.zeros((texts, registers), np.uint64)
@@ -138,7 +139,7 @@ def _banded(batches):
     for batch in batches:
         for s, e, texts in _chunks(batch, "text"):
             hashes, starts = shingle_hashes(texts)
-            who = signatures(hashes, starts)
+            who = signatures(hashes, starts, weighted=False)  # links are of sets: occurrences must not part them
             bands = np.zeros((len(texts), BANDS), np.uint64)
             for k in range(rows):
                 bands = bands * np.uint64(0x9FB21C651E98DF25) + _scramble(who[:, k::rows])
@@ -270,7 +271,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     with three leaders (smallest id and two hashed orders), so pairs grow with members, and links
     that the sets confirm make classes. Within buckets that then hold several classes, members of
     different classes are compared by their sketches, in blocks, and the plausible pairs confirmed on
-    their sets where they lie: of the pairs that share a band, no link that joins two classes is lost. Null, empty
+    their sets where they lie. Registers are those of sets, as are links: a pair at 0.8 shares no band once in
+    9000 pairs, and of pairs that share one, sketches rule out fewer than one in a million. Null, empty
     and wordless texts are classes of their own, as are rows without id (class null); rows that
     repeat an id are in one class. Extra columns are ignored, an empty table gives no rows."""
     base = by_bytes(docs).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))

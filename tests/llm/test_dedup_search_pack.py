@@ -93,6 +93,26 @@ def test_minhash_classes_equal_brute_force(spark):
     assert prob_minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_links_do_not_depend_on_occurrences(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = {}
+    for k in range(20):  # a line that only one of both texts repeats, in some pairs with other words at the end
+        line, rest, tail = ([word() for _ in range(n)] for n in (60, 180, 12))
+        rows[2 * k] = "\n".join([" ".join(line)] * 30 + [" ".join(rest)])
+        rows[2 * k + 1] = "\n".join([" ".join(line)] * (1 + k % 2) + [" ".join(rest + tail * (k % 3))])
+    sets = {i: shingles(t) for i, t in rows.items()}
+    alike = [(a, a + 1) for a in range(0, 40, 2) if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])]
+    assert len(alike) == 20
+    got = {r.doc_id: r.class_id for r in prob_minhash.near_duplicates(spark.createDataFrame(list(rows.items()), DOCS)).collect()}
+    assert got == grouped(alike, rows)
+    h, s = shingle_hashes([t.encode() for t in rows.values()])
+    sig = signatures(h, s, weighted=False)
+    share = (sig[::2] == sig[1::2]).mean(1)
+    want = [len(sets[a] & sets[a + 1]) / len(sets[a] | sets[a + 1]) for a in range(0, 40, 2)]
+    assert np.abs(share - want).max() < 0.15
+
+
 # Lines
 
 
