@@ -13,11 +13,19 @@ from graphloom.schema import blank, is_active
 from graphloom.storage import materialize
 
 QUERY_BLOCK = 4_096  # query vectors that travel with a task
+SCAN_BLOCK = 128  # query vectors whose distances to a batch are held at once
 SIMILAR_CAP = 10
 
 
+def _nearest(distance: np.ndarray, rows: np.ndarray, keep: int, slack: float) -> np.ndarray:
+    """The rows of the ``keep`` least distances and all that may tie with the last of them, or are no numbers."""
+    return rows if len(rows) <= keep else rows[~(distance[rows] > np.partition(distance[rows], keep - 1)[keep - 1] + slack)]
+
+
 def _scan(ids: list, vectors: np.ndarray, keep: int | None, least: float | None, by: list[str]):
-    """Scores of every row of a batch against a block of queries; each batch keeps its best rows."""
+    """Scores of every row of a batch against a block of queries; each batch keeps its best rows.
+
+    Squared distances by a matrix product, whose rounding ``slack`` covers, only choose the rows to score."""
 
     def run(batches):
         for batch in batches:
@@ -25,13 +33,27 @@ def _scan(ids: list, vectors: np.ndarray, keep: int | None, least: float | None,
             if batch.empty:
                 continue
             X = np.array([np.asarray(v, np.float64) for v in batch["embedding"]])
-            for qid, q in zip(ids, vectors):
-                score = 1 / (1 + np.sqrt(((X - q) ** 2).sum(1)))
-                rows = np.arange(len(X)) if least is None else np.flatnonzero(score >= least)
-                hits = batch.iloc[rows].drop(columns="embedding").assign(query_id=qid, score=score[rows])
-                hits = hits.sort_values(["score", "node_id"], ascending=[False, True], kind="stable")
+            batch = batch.drop(columns="embedding").reset_index(drop=True)
+            groups = list(batch.groupby(by, sort=False).indices.values()) if by else [np.arange(len(batch))]
+            square, every = (X**2).sum(1), np.arange(len(X))
+            for start in range(0, len(ids), SCAN_BLOCK):
+                Q = vectors[start : start + SCAN_BLOCK]
+                own = (Q**2).sum(1)
+                far = square + own[:, None] - 2 * Q @ X.T
+                rows, scores = [], []
+                for q, norm, d in zip(Q, own, far):
+                    slack = 1e-9 * (1 + norm + square.max())
+                    near = every if keep is None else np.concatenate([_nearest(d, g, keep, slack) for g in groups])
+                    near = near if least is None or least <= 0 else near[~(d[near] > max(1 / least - 1, 0) ** 2 + slack)]
+                    score = 1 / (1 + np.sqrt(((X[near] - q) ** 2).sum(1)))
+                    real = slice(None) if least is None else score >= least
+                    rows.append(near[real])
+                    scores.append(score[real])
+                at = np.repeat(np.arange(len(Q)), [len(r) for r in rows])
+                hits = batch.iloc[np.concatenate(rows)].assign(query_id=np.array(ids[start : start + SCAN_BLOCK])[at], score=np.concatenate(scores), at=at)
+                hits = hits.sort_values(["at", "score", "node_id"], ascending=[True, False, True], kind="stable")
                 if keep is not None:
-                    hits = (hits.groupby(by, sort=False) if by else hits).head(keep)
+                    hits = hits.groupby([*by, "at"], sort=False).head(keep)
                 yield hits[[*by, "query_id", "node_id", "score"]]
 
     return run

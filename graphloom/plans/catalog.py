@@ -34,6 +34,24 @@ def query(sql: str | None = None):
     return add
 
 
+def search_query(sql: str):
+    """Register a function of the views and of query vectors twice: for the vectors below 20, which SQL can
+    follow, and as ``name_all`` for every vector, without SQL."""
+
+    def add(f):
+        def first(v):
+            return f(v, v.vectors(20))
+
+        def every(v):
+            return f(v, v.vectors())
+
+        first.__name__, every.__name__ = f.__name__, f"{f.__name__}_all"
+        query()(every)
+        return query(sql)(first)
+
+    return add
+
+
 def _scored(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
@@ -173,42 +191,43 @@ _VEC = """WITH e AS (SELECT vec_id, 'vec/' || vec_id AS node_id, embedding::DOUB
 _TOP = " SELECT query_id, node_id, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id)::INT AS r FROM d {where}) WHERE r <= {k}"
 
 
-@query(_VEC + _TOP.format(where="", k=5))
-def knn_topk(v):
-    return _scored(retrieval.search(v.embeddings, v.vectors(20), 5))
+@search_query(_VEC + _TOP.format(where="", k=5))
+def knn_topk(v, q):
+    return _scored(retrieval.search(v.embeddings, q, 5))
 
 
-@query(_VEC + _TOP.format(where="WHERE label <> 9 AND model = 'm0'", k=5))
-def knn_active(v):
-    return _scored(retrieval.search(v.embeddings, v.vectors(20), 5, model="m0", only_active=True))
+@search_query(_VEC + _TOP.format(where="WHERE label <> 9 AND model = 'm0'", k=5))
+def knn_active(v, q):
+    return _scored(retrieval.search(v.embeddings, q, 5, model="m0", only_active=True))
 
 
-@query(_VEC + _TOP.format(where="WHERE label <> 9 AND s >= 0.45", k=10))
-def find_similar(v):
-    return _scored(retrieval.find_similar(v.embeddings, v.vectors(20), 0.45))
+@search_query(_VEC + _TOP.format(where="WHERE label <> 9 AND s >= 0.45", k=10))
+def find_similar(v, q):
+    return _scored(retrieval.find_similar(v.embeddings, q, 0.45))
 
 
-@query(_VEC + """, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, vault ORDER BY s DESC, node_id) AS r FROM d WHERE label <> 9),
+@search_query(_VEC + """, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, vault ORDER BY s DESC, node_id) AS r FROM d WHERE label <> 9),
     h AS (SELECT query_id, CASE WHEN vault = 'v0' THEN node_id ELSE '@' || vault || '/' || node_id END AS node_id, s FROM g WHERE r <= CASE WHEN vault = 'v0' THEN 5 ELSE 3 END)
     SELECT query_id, node_id, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id)::INT AS r FROM h) WHERE r <= 10""")
-def federated_knn(v):
-    return _scored(retrieval.federated(v.embeddings, v.vectors(20), "v0")).select("query_id", "node_id", "score", "rank")
+def federated_knn(v, q):
+    return _scored(retrieval.federated(v.embeddings, q, "v0")).select("query_id", "node_id", "score", "rank")
 
 
-@query(_VEC + """, h AS (SELECT query_id, 'group/' || label AS node_id, max(s) AS s FROM d GROUP BY ALL)
+@search_query(_VEC + """, h AS (SELECT query_id, 'group/' || label AS node_id, max(s) AS s FROM d GROUP BY ALL)
     SELECT query_id, node_id, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id)::INT AS r FROM h) WHERE r <= 4""")
-def dedupe_rank(v):
-    hits = retrieval.search(v.embeddings.withColumn("node_id", F.concat(F.lit("group/"), F.col("label"))), v.vectors(20), None).drop("rank")
+def dedupe_rank(v, q):
+    # the best of a group is enough: all hits of all queries would be the square of the vectors
+    hits = retrieval.search(v.embeddings.withColumn("node_id", F.concat(F.lit("group/"), F.col("label"))), q, 1, by=["label"]).drop("rank", "label")
     return _scored(retrieval.dedupe_rank(hits, 4)).select("query_id", "node_id", "score", "rank")
 
 
-@query(_VEC + """, m AS (SELECT query_id, node_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS r FROM d WHERE label <> 9 AND node_id <> 'vec/' || query_id),
+@search_query(_VEC + """, m AS (SELECT query_id, node_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS r FROM d WHERE label <> 9 AND node_id <> 'vec/' || query_id),
     b AS (SELECT * FROM m WHERE r = 1 AND s >= 0.47), q2 AS (SELECT DISTINCT query_id FROM d)
     SELECT 'vec/' || q2.query_id AS query_id, CASE WHEN s >= 0.5 THEN 'noop' WHEN s >= 0.48 THEN 'update' WHEN s >= 0.47 THEN 'supersede' ELSE 'add' END AS action,
     CASE WHEN s >= 0.47 THEN node_id END AS target FROM q2 LEFT JOIN b ON b.query_id = q2.query_id""")
-def classify_threshold(v):
+def classify_threshold(v, q):
     """Thresholds are scaled to the vectors' similarities by an affine map of the scores."""
-    q = v.vectors(20).withColumn("query_id", F.concat(F.lit("vec/"), "query_id"))
+    q = q.withColumn("query_id", F.concat(F.lit("vec/"), "query_id"))
     hits = retrieval.search(v.embeddings, q, 11, only_active=True)
     s = F.col("score")
     mapped = F.when(s >= 0.5, 0.95).when(s >= 0.48, 0.80).when(s >= 0.47, 0.65).otherwise(0.0) + s / 1e6

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.functions import vectors
 from graphloom.operators import classify, federation, graph, heat, integrity, mutations, retrieval, upkeep
-from graphloom.plans.catalog import _HEAT, _VEC, _doc_files, _doc_nodes, _heat, _scored, query
+from graphloom.plans.catalog import _HEAT, _VEC, _doc_files, _doc_nodes, _heat, _scored, query, search_query
 from graphloom.plans.views import GRAPH
 from graphloom.sources import source_tree
 
@@ -57,10 +57,10 @@ def soft_delete(v):
     return mutations.delete(nodes, F.col("id").rlike("^part/.*7$"), "2024-01-01T00:00:00Z").select("id", "status")
 
 
-@query(_VEC + """ SELECT query_id, e.node_id AS node_id, round(s, 6) AS score, e.vec_id AS vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, e.node_id)::INT AS rank
+@search_query(_VEC + """ SELECT query_id, e.node_id AS node_id, round(s, 6) AS score, e.vec_id AS vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, e.node_id)::INT AS rank
     FROM d JOIN e ON e.node_id = d.node_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, e.node_id) <= 3""")
-def hits_to_nodes(v):
-    hits = _scored(retrieval.search(v.embeddings, v.vectors(20), 3))
+def hits_to_nodes(v, q):
+    hits = _scored(retrieval.search(v.embeddings, q, 3))
     return hits.join(v.embeddings.select("node_id", "vec_id"), "node_id").select("query_id", "node_id", "score", "vec_id", "rank")
 
 

@@ -111,9 +111,11 @@ class Views:
             F.when(F.col("label") == 9, "superseded").otherwise("active").alias("status"), "label", F.concat(F.lit("v"), F.col("label") % 3).alias("vault_id"),
         )
 
-    def vectors(self, below: int) -> DataFrame:
-        """Queries: the vectors with the first ids."""
-        return self.table("embeddings").where(F.col("vec_id") < below).select(F.col("vec_id").alias("query_id"), "embedding")
+    def vectors(self, below: int | None = None) -> DataFrame:
+        """Queries: all vectors, or those with the first ids."""
+        rows = self.table("embeddings")
+        rows = rows if below is None else rows.where(F.col("vec_id") < below)
+        return rows.select(F.col("vec_id").alias("query_id"), "embedding")
 
     @cached_property
     def access(self) -> DataFrame:

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graphloom.functions import vectors
 from graphloom.functions.vectors import HashEmbedder
 from graphloom.operators import graph, heat, retrieval
@@ -130,3 +131,48 @@ def test_heat_rest(spark):
     assert {r.id: round(r.heat, 3) for r in heat.overlay(h).collect()} == {"b": 1.0, "a": 0.942, "c": 0.058}
     again = heat.merge(h, spark.createDataFrame([("", "a", "b", 1, "t")], "namespace string, a string, b string, hits int, last string")).where("a = 'a'").first()
     assert (round(again.weight, 6), again.hits, again.last) == (0.91, 4, "t")
+
+
+def test_whole_searches_ask_every_vector(spark):
+    from graphloom.plans.views import Views
+
+    q, sf = entry.queries(), "/root/testdata/sf0.001"
+    rows = sorted((r.vec_id, r.node_id, r.status, r.model, r.vault_id, r.label, np.array(r.embedding, float)) for r in Views(spark, sf).embeddings.collect())
+    score = {(a[0], b[0]): 1 / (1 + np.sqrt(((a[6] - b[6]) ** 2).sum())) for a in rows for b in rows}
+
+    def best(keep, k, name=lambda r: r[1], least=0.0):
+        out = {}
+        for a in rows:
+            hits = sorted((-score[a[0], b[0]], name(b), b[0]) for b in rows if keep(b) and score[a[0], b[0]] >= least)
+            out |= {(a[0], h[1]): (round(-h[0], 5), n + 1) for n, h in enumerate(hits[:k])}
+        return out
+
+    def got(name):
+        out = q[name](spark, sf).collect()
+        found = {(r.query_id, r.node_id): (round(r.score, 5), r["rank"]) for r in out}
+        assert len(found) == len(out) and len({k[0] for k in found}) > 20
+        return found
+
+    close = lambda x, y: x.keys() == y.keys() and all(abs(x[k][0] - y[k][0]) < 2e-5 and x[k][1] == y[k][1] for k in x)
+    top = best(lambda r: True, 5)
+    assert close(got("knn_topk_all"), top)
+    assert close(got("hits_to_nodes_all"), {k: v for k, v in top.items() if v[1] <= 3})
+    assert close(got("knn_active_all"), best(lambda r: r[2] == "active" and r[3] == "m0", 5))
+    assert close(got("find_similar_all"), best(lambda r: r[2] == "active", 10, least=0.45))
+    groups, vaults = {}, {}
+    for (a, b), s in score.items():
+        label = rows[b][5]
+        groups.setdefault(a, {})[f"group/{label}"] = max(s, groups.get(a, {}).get(f"group/{label}", 0))
+        if rows[b][2] == "active":
+            vaults.setdefault((a, rows[b][4]), []).append((-s, rows[b][1]))
+    ranked = lambda hits, k: [(n, (round(-s, 5), i + 1)) for i, (s, n) in enumerate(sorted(hits)[:k])]
+    assert close(got("dedupe_rank_all"), {(a, n): w for a, g in groups.items() for n, w in ranked([(-s, n) for n, s in g.items()], 4)})
+    few = {}
+    for (a, vault), hits in vaults.items():
+        few.setdefault(a, []).extend((s, n if vault == "v0" else f"@{vault}/{n}") for s, n in sorted(hits)[: 5 if vault == "v0" else 3])
+    assert close(got("federated_knn_all"), {(a, n): w for a, hits in few.items() for n, w in ranked(hits, 10)})
+    said = {}
+    for a in rows:
+        s, n = min((-score[a[0], b[0]], b[1]) for b in rows if b[2] == "active" and b[0] != a[0])
+        said[a[1]] = ("noop", n) if -s >= 0.5 else ("update", n) if -s >= 0.48 else ("supersede", n) if -s >= 0.47 else ("add", None)
+    assert {r.query_id: (r.action, r.target) for r in q["classify_threshold_all"](spark, sf).collect()} == said
