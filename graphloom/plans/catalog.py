@@ -235,9 +235,9 @@ def classify_threshold(v, q):
     return out.select("query_id", "action", "target")
 
 
-@query(_VEC + " SELECT DISTINCT least(node_id, 'vec/' || query_id) AS a, greatest(node_id, 'vec/' || query_id) AS b, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS r FROM d) WHERE r <= 2 AND node_id <> 'vec/' || query_id AND s > 0.46")
-def duplicates(v):
-    q = v.vectors(20).withColumn("query_id", F.concat(F.lit("vec/"), "query_id"))
+@search_query(_VEC + " SELECT DISTINCT least(node_id, 'vec/' || query_id) AS a, greatest(node_id, 'vec/' || query_id) AS b, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS r FROM d) WHERE r <= 2 AND node_id <> 'vec/' || query_id AND s > 0.46")
+def duplicates(v, q):
+    q = q.withColumn("query_id", F.concat(F.lit("vec/"), "query_id"))
     return _scored(integrity.duplicates(v.nodes, v.embeddings, q, least=0.46))
 
 

@@ -176,3 +176,18 @@ def test_whole_searches_ask_every_vector(spark):
         s, n = min((-score[a[0], b[0]], b[1]) for b in rows if b[2] == "active" and b[0] != a[0])
         said[a[1]] = ("noop", n) if -s >= 0.5 else ("update", n) if -s >= 0.48 else ("supersede", n) if -s >= 0.47 else ("add", None)
     assert {r.query_id: (r.action, r.target) for r in q["classify_threshold_all"](spark, sf).collect()} == said
+
+
+def test_duplicates_all_finds_pairs_of_any_ids(spark):
+    from graphloom.plans.views import Views
+
+    sf = "/root/testdata/sf0.001"
+    x = {r.node_id: np.array(r.embedding, float) for r in Views(spark, sf).embeddings.collect()}
+    want = {}
+    for a, p in x.items():
+        for s, b in sorted((-1 / (1 + np.sqrt(((p - q) ** 2).sum())), b) for b, q in x.items())[:2]:
+            if b != a and -s > 0.46:
+                want[min(a, b), max(a, b)] = -s
+    got = {(r.a, r.b): r.score for r in entry.queries()["duplicates_all"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+    assert any(min(int(i[4:]) for i in k) >= 20 for k in got)
