@@ -26,9 +26,12 @@ def cut_bytes(c: str | Column, n: int) -> Column:
 
 
 def cut_utf8(c: str | Column, n: int) -> Column:
-    """At most ``n`` bytes of whole characters."""
+    """At most ``n`` bytes of whole characters: the cut goes back over bytes that continue a character."""
     whole = blank(_c(c))
-    return F.when(F.octet_length(whole) <= n, whole).otherwise(F.regexp_replace(cut_bytes(whole, n), "�+$", ""))
+    raw = F.encode(whole, "UTF-8")
+    inside = lambda at: F.hex(F.substring(raw, at, 1)).between("80", "BF")
+    end = F.when(~inside(n + 1), n).when(~inside(n), n - 1).when(~inside(n - 1), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(whole) <= n, whole).otherwise(F.make_valid_utf8(F.substring(raw, F.lit(1), end).cast("string")))
 
 
 def escape_html(c: str | Column) -> Column:

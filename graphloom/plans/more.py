@@ -85,11 +85,19 @@ def embedding_stale(v):
     return mutations.stale_embeddings(store, texts.select("node_id", "hash"))
 
 
+def _embed_texts(docs):
+    text = tx.embed_text("lang", "text", F.array("lang", "source"))
+    return docs.select("doc_id", (F.octet_length("text") > 6000).alias("cut"), F.sha2(text, 256).alias("digest"))
+
+
 @query("""SELECT doc_id, strlen(text) > 6000 AS cut, sha256(lang || ' ' || lang || ' ' || source || chr(10) || chr(10) || text) AS digest FROM documents WHERE strlen(text) <= 6000""")
 def embed_texts(v):
-    d = v.table("documents")
-    text = tx.embed_text("lang", "text", F.array("lang", "source"))
-    return d.where(F.octet_length("text") <= 6000).select("doc_id", (F.octet_length("text") > 6000).alias("cut"), F.sha2(text, 256).alias("digest"))
+    return _embed_texts(v.table("documents").where(F.octet_length("text") <= 6000))
+
+
+@query()
+def embed_texts_all(v):
+    return _embed_texts(v.table("documents"))
 
 
 @query(r"""SELECT ref, ref <> '' AND strlen(ref) <= 512 AND NOT contains(ref, '..') AND NOT starts_with(ref, '/') AND NOT regexp_matches(ref, '(^|/)\.') AND NOT contains(ref, '//') AND NOT ends_with(ref, '/') AS valid FROM (

@@ -1,6 +1,9 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graphloom.functions import text as tx
 from graphloom.operators import classify, graph, integrity, mutations
 
@@ -168,3 +171,14 @@ def test_writes(spark, nodes_of):
     assert {r.id: r.existed for r in log.collect()} == {"ns/a": True, "later": False}
     changed, _ = mutations.patch(n, "ns/a", summary="changed")
     assert mutations.restore(changed, log).first().summary == "about ns/a"
+
+
+def test_embed_texts_all_cuts_long_texts_at_whole_characters(spark, tmp_path):
+    texts = ["short", "x" * 6000, "x" * 6001, "x" * 5999 + "é tail", "x" * 5998 + "é tail", "x" * 5998 + "😀" * 9, "é" * 4000, "x" * 5997 + "\ufffd and more", "", None]
+    rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.cut, r.digest) for r in entry.queries()["embed_texts_all"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        body = (t or "").encode()[:6000].decode(errors="ignore")
+        text = "en en web" + ("\n\n" + body if t else "")
+        assert got[i] == (None if t is None else len(t.encode()) > 6000, hashlib.sha256(text.encode()).hexdigest()), i
