@@ -302,6 +302,11 @@ def components_small(v):
     return graph.component_sizes(v.table("embeddings").select(name("vec_id").alias("id")), e.select(name("a").alias("src"), name("b").alias("dst")))
 
 
+@query()
+def components_all(v):
+    return graph.component_sizes(v.nodes, v.pairs)
+
+
 _HEAT_SQL = """h AS (SELECT src, dst, least(src, dst) AS a, greatest(src, dst) AS b, CASE WHEN ascii(right(dst, 1)) % 2 = 0 THEN 0.5 ELSE 0.0 END AS heat, ord FROM g_edges)"""
 
 

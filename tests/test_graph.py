@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graphloom.operators import graph
 from graphloom.operators.components import connected_components
 
@@ -118,3 +119,25 @@ def test_walks_through_missing(spark, nodes_of):
     assert sizes == {"a": 2, "c": 2, "b": 1}
     d = {r.id: (r.out_degree, r.in_degree) for r in graph.degrees(n, e).select(F.col("*")).collect()}
     assert d == {"a": (1, 1), "b": (0, 1), "c": (1, 0)}
+
+
+def test_components_all_joins_the_whole_graph(spark):
+    from graphloom.plans.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    root = {r.id: r.id for r in v.nodes.select("id").collect()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for e in v.pairs.select("src", "dst").collect():
+        if e.src in root and e.dst in root:
+            a, b = find(e.src), find(e.dst)
+            root[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in root}
+    got = {r.id: (r.component, r.size) for r in entry.queries()["components_all"](spark, v.sf_dir).collect()}
+    sizes = list(want.values())
+    assert got == {i: (c, sizes.count(c)) for i, c in want.items()} and max(s for _, s in got.values()) > 1000
