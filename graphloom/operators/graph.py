@@ -132,11 +132,10 @@ def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates (src, dst) with ``cycle``: whether structural edges lead from dst back to src."""
     structural = edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS))
     pairs = materialize(candidates.select("src", "dst").distinct(), "cycle-pairs")
-    reach = bfs(structural, pairs.select(F.col("dst").alias("id"), F.col("src").alias("goal")), None, by=["goal"])
-    hit = reach.where(F.col("id") == F.col("goal")).select(F.col("goal").alias("src"))
-    # reach is by goal over all its targets; find which targets reach it
-    back = bfs(structural, pairs.select(F.col("src").alias("id"), F.col("src").alias("goal")).join(hit.withColumnRenamed("src", "goal"), "goal", "left_semi"), None, "in", ["goal"])
-    looped = back.select(F.col("goal").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("cycle"))
+    # one search for each distinct end on the side that has fewer of them
+    root, goal, way = ("dst", "src", "out") if pairs.select("dst").distinct().count() <= pairs.select("src").distinct().count() else ("src", "dst", "in")
+    reach = bfs(structural, pairs.select(F.col(root).alias("id"), F.col(root).alias("root")), None, way, ["root"])
+    looped = pairs.join(reach.select(F.col("root").alias(root), F.col("id").alias(goal)), ["src", "dst"]).withColumn("cycle", F.lit(True))
     return candidates.join(looped, ["src", "dst"], "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
 
 

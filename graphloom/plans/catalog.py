@@ -274,12 +274,21 @@ def reverse_bfs_stale(v):
     return integrity.propagate_stale(v.stored_edges, _seeds(v, "supplier/1", "part/5"), 2)
 
 
+def _would_cycle(v, customers):
+    c = customers.select(F.concat(F.lit("customer/"), "c_custkey").alias("src"), F.concat(F.lit("region/"), F.col("c_custkey") % 5).alias("dst"))
+    return graph.would_cycle(v.pairs, c)
+
+
 @query(GRAPH + """, c AS (SELECT 'customer/' || c_custkey AS src, 'region/' || (c_custkey % 5) AS dst FROM customer WHERE c_custkey <= 40),
     reach AS (SELECT dst AS root, dst AS id FROM c UNION SELECT root, e.dst FROM reach JOIN g_edges e ON e.src = reach.id WHERE e.class = 'structural')
     SELECT src, dst, EXISTS (SELECT 1 FROM reach WHERE root = c.dst AND reach.id = c.src) AS cycle FROM c""")
 def cycle_candidates(v):
-    c = v.table("customer").where("c_custkey <= 40").select(F.concat(F.lit("customer/"), "c_custkey").alias("src"), F.concat(F.lit("region/"), F.col("c_custkey") % 5).alias("dst"))
-    return graph.would_cycle(v.pairs, c)
+    return _would_cycle(v, v.table("customer").where("c_custkey <= 40"))
+
+
+@query()
+def cycle_candidates_all(v):
+    return _would_cycle(v, v.table("customer"))
 
 
 @query(GRAPH + """, x AS (SELECT src, dst FROM g_edges WHERE class = 'structural' UNION ALL SELECT 'customer/3', 'region/0' UNION ALL SELECT 'customer/3', 'nation/' || c_nationkey FROM customer WHERE c_custkey = 3),

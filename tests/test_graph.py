@@ -141,3 +141,34 @@ def test_components_all_joins_the_whole_graph(spark):
     got = {r.id: (r.component, r.size) for r in entry.queries()["components_all"](spark, v.sf_dir).collect()}
     sizes = list(want.values())
     assert got == {i: (c, sizes.count(c)) for i, c in want.items()} and max(s for _, s in got.values()) > 1000
+
+
+def test_pairs_cycles_and_heat_of_all_rows(spark):
+    from graphloom.plans.views import Views
+
+    q, v = entry.queries(), Views(spark, "/root/testdata/sf0.001")
+    x = {r.vec_id: r.embedding for r in v.table("embeddings").collect()}
+    cos = lambda a, b: sum(s * t for s, t in zip(a, b)) / (sum(s * s for s in a) * sum(t * t for t in b)) ** 0.5
+    got = {(r.a, r.b): r.cosine for r in q["cosine_pairs_all"](spark, v.sf_dir).collect()}
+    assert got == pytest.approx({(i, i + 1): cos(x[i], x[i + 1]) for i in x if i + 1 in x}, abs=2e-6)
+    nation = {r.n_nationkey: r.n_regionkey for r in v.table("nation").collect()}
+    want = {(f"customer/{r.c_custkey}", f"region/{r.c_custkey % 5}", nation[r.c_nationkey] == r.c_custkey % 5) for r in v.table("customer").collect()}
+    out = q["cycle_candidates_all"](spark, v.sf_dir).collect()
+    assert {(r.src, r.dst, r.cycle) for r in out} == want and len(out) == len(want) > 40
+    edges = sorted((r.src, r.dst, r.relation) for r in v.pairs.collect())
+    heat = sorted((r.src, r.dst, r.relation, r.heat) for r in q["heat_edges_all"](spark, v.sf_dir).collect())
+    assert heat == [(*e, 0.5 if e[2] == "associated" else 0.0) for e in edges]
+
+
+def test_would_cycle_searches_from_either_side(spark):
+    rng = random.Random(4)
+    edges = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", "contains", "structural", i) for i in range(14)]
+    reach = {f"n{i}": {f"n{i}"} for i in range(12)}
+    for _ in range(12):
+        for s, d, *_rest in edges:
+            for k in reach:
+                reach[k] |= {d} if s in reach[k] else set()
+    few, many = ["n1", "n5"], [f"n{i}" for i in range(12)]
+    for pairs in ([(s, d) for s in few for d in many], [(s, d) for s in many for d in few]):
+        out = graph.would_cycle(spark.createDataFrame(edges, EDGE), spark.createDataFrame(pairs, "src string, dst string")).collect()
+        assert {(r.src, r.dst): r.cycle for r in out} == {(s, d): s in reach[d] for s, d in pairs}
