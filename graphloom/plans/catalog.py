@@ -422,6 +422,19 @@ def suggestions_ranked(v):
     return out.select("suggestion_id", "type", "severity", F.array_join("node_ids", ",").alias("node_ids"))
 
 
+@query()
+def suggestions_all(v):
+    """All six kinds, over the graph and the documents: documents have vectors, sources and no neighbours."""
+    docs = _doc_nodes(v)
+    columns = ["id", "type", "status", "summary", "source"]
+    nodes = v.full_nodes.select(columns).unionByName(docs.select(columns))
+    edges = v.pairs.select("src", "dst").unionByName(graph.edges_of(docs).select("src", "dst"))
+    emb = v.embeddings.withColumn("node_id", F.concat(F.lit("doc/"), "vec_id"))
+    q = v.vectors().withColumn("query_id", F.concat(F.lit("doc/"), "query_id"))
+    out = integrity.ranked(integrity.suggestions(nodes, _doc_files(v), emb, q, edges=edges))
+    return out.select("suggestion_id", "type", "severity", F.array_join("node_ids", ",").alias("node_ids"))
+
+
 @query("SELECT doc_id, substr(sha256('duplicate:' || least('doc/' || doc_id, source) || ',' || greatest('doc/' || doc_id, source)), 1, 32) AS suggestion_id FROM documents")
 def suggestion_id(v):
     return v.table("documents").select("doc_id", tx.suggestion_id("duplicate", F.array(F.concat(F.lit("doc/"), "doc_id"), "source")).alias("suggestion_id"))

@@ -182,3 +182,25 @@ def test_embed_texts_all_cuts_long_texts_at_whole_characters(spark, tmp_path):
         body = (t or "").encode()[:6000].decode(errors="ignore")
         text = "en en web" + ("\n\n" + body if t else "")
         assert got[i] == (None if t is None else len(t.encode()) > 6000, hashlib.sha256(text.encode()).hexdigest()), i
+
+
+def test_suggestions_all_has_the_other_kinds(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for t in "region nation customer supplier part orders lineitem".split():
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    docs = [(i, f"text {i}", "" if i == 6 else "en", "web") for i in range(1, 9)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = [(i, 0, [float(i // 2), 0.0]) for i in range(2, 9)]  # 2 and 3, 4 and 5, 6 and 7 are alike
+    spark.createDataFrame(vecs, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = entry.queries()["suggestions_all"](spark, str(tmp_path)).collect()
+    by = {}
+    for r in out:
+        if r.node_ids.startswith("doc/"):
+            by.setdefault(r.type, set()).add(r.node_ids)
+    live = {1, 2, 3, 4, 6, 7, 8}  # each fifth is superseded
+    assert by["disconnected"] == {f"doc/{i}" for i in live}
+    assert by["stale"] == {f"doc/{i}" for i in live if i % 2}
+    assert by["duplicate"] >= {"doc/2,doc/3", "doc/6,doc/7"}
+    assert by["untyped"] == {"doc/6"} and by["missing_summary"] == {"doc/4", "doc/6", "doc/8"}
+    assert "orphan" not in by
+    assert {"disconnected", "missing_summary"} <= {r.type for r in out} and len(out) == len({r.suggestion_id for r in out})
