@@ -271,13 +271,28 @@ def test_lattice_links_equal_brute_force(spark, block, monkeypatch):
     assert all(out[i] == (0, i, True) for i in (9001, 9002, 9003, 9004, 9005, 9008, 9009))
 
 
+def test_lattice_copies_and_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6, 16)).astype(np.float32)
+    x[3] = x[2] + 0.005
+    rows = [(i, x[0].tolist(), 1) for i in range(40)] + [(100 + i, x[2].tolist(), 1) for i in range(5)] + [(200 + i, x[3].tolist(), 1) for i in range(3)]
+    rows += [(300, x[0].tolist(), 2), (301, x[0].tolist(), None), (400, x[4].tolist(), 1), (400, x[4].tolist(), 1), (401, x[5].tolist(), 1), (401, x[0].tolist(), 3), (None, x[0].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    out = lattice_dedup.near_duplicates(df).collect()
+    assert len(out) == len(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out}
+    assert all(got[i] == (39, 0) for i in range(40))  # one group of equal vectors
+    assert all(got[i] == (7, 100) for i in [*range(100, 105), *range(200, 203)])  # two that are alike
+    assert got[300] == (0, 300) and got[301] == (0, 301) and got[400] == (0, 400) and got[401] == (0, 401) and got[None] == (0, None)
+
+
 def test_lattice_empty(spark):
     assert lattice_dedup.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
 
 
 def test_forest_recall_and_order(spark, monkeypatch):
     monkeypatch.setattr(prefix_forest, "SHARD_ROWS", 300)
-    monkeypatch.setattr(prefix_forest, "FEW_ROWS", 60)
+    monkeypatch.setattr(prefix_forest, "QUERY_ROWS", 16)
     x = cloud(1200)
     x[::3] *= 2.5  # inner products favour long vectors
     df = vectors(spark, x, np.zeros(len(x)))
@@ -299,3 +314,18 @@ def test_forest_recall_and_order(spark, monkeypatch):
     got = prefix_forest.nearest(tiny, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(20, 4), (20, 5), (20, 7)]
     assert prefix_forest.nearest(tiny.limit(0), F.lit(True)).count() == 0
+
+
+def test_forest_scores_few_rows_where_vectors_cluster():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(100, 32)), 60, axis=0) + 0.3 * rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    forest = prefix_forest.Forest(x, 64, 48)
+    queries = x[::50]
+    found = list(forest.candidates(queries, 200))
+    top = [set(np.argsort(-(x @ q))[:10].tolist()) for q in queries]
+    assert sum(len(t & set(f.tolist())) for t, f in zip(top, found)) >= 0.9 * 10 * len(queries)
+    assert all(200 <= len(f) for f in found) and sum(map(len, found)) < 0.1 * len(x) * len(queries)
+    assert prefix_forest.share(10**9) < 0.01 < prefix_forest.share(10**5) < prefix_forest.share(10**3) == 0.8
+    whole = list(forest.candidates(queries[:3], 10**9))
+    assert all(len(f) == len(x) for f in whole)
