@@ -13,8 +13,8 @@ from graphloom.llm.vectors import component_type, stack, usable
 from graphloom.operators.components import connected_components
 from graphloom.storage import broadcast_if_small, materialize
 
-TABLES = 6
-SCALE = 4.0  # lattice units for a unit vector; the lattice has packing radius 0.71
+TABLES = 8
+SCALE = 3.0  # lattice units for a unit vector; the lattice has packing radius 0.71
 BLOCK = 2_000  # rows of a cell that are compared in one task
 
 
@@ -41,23 +41,27 @@ def decode_e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(points: np.ndarray) -> np.ndarray:
-    """One integer for each point: coordinates in 8 bits, hashed beyond that range."""
+    """One number for each point, wrapped to 64 bits: points that fall together only cost comparisons."""
     return ((points + 128) * (np.int64(257) ** np.arange(7, -1, -1, dtype=np.int64))).sum(1)
 
 
 def cells(vectors: np.ndarray, tables: int, scale: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Home and neighbouring cell of every vector in every table."""
+    """Home cell (rows x tables) and probed cells (rows x tables x 3) of every vector.
+
+    A table projects to two times eight dimensions and decodes both parts; its cells are pairs of
+    lattice points, and the probes take the nearest point of the other coset in one part or both."""
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     d = unit.shape[1]
-    home, near = [], []
+    home, probes = np.empty((len(unit), tables), np.int64), np.empty((len(unit), tables, 3), np.int64)
     for t in range(tables):
         rng = np.random.default_rng([seed, t, d])
-        basis = np.linalg.qr(rng.standard_normal((max(d, 8), 8)))[0][:d]
-        y = unit @ basis * scale + rng.random(8)
-        a, b = decode_e8(y)
-        home.append(_pack(a))
-        near.append(_pack(b))
-    return np.array(home).T.copy(), np.array(near).T.copy()
+        basis = np.linalg.qr(rng.standard_normal((max(d, 16), 16)))[0][:d]
+        y = unit @ basis * scale + rng.random(16)
+        (a, a2), (b, b2) = ([_pack(p) for p in decode_e8(y[:, s : s + 8])] for s in (0, 8))
+        mix = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
+        home[:, t] = a * mix + b
+        probes[:, t] = np.stack([a2 * mix + b, a * mix + b2, a2 * mix + b2], axis=1)
+    return home, probes
 
 
 def _keyed(tables: int, scale: float, kind: str):
@@ -66,35 +70,37 @@ def _keyed(tables: int, scale: float, kind: str):
             batch = batch.assign(dim=[len(v) for v in batch["v"]])
             for dim, part in batch.groupby("dim"):
                 X = stack(part["v"])
-                home, near = cells(X, tables, scale)
+                home, probes = cells(X, tables, scale)
                 yield pd.DataFrame({
-                    "id": part["id"], "label": part["label"], "dim": int(dim),
-                    "vec": [x.tobytes() for x in X.astype(kind)], "home": list(home), "near": list(near),
+                    "id": part["id"], "label": part["label"], "copies": part["copies"], "dim": int(dim),
+                    "vec": [x.tobytes() for x in X.astype(kind)], "home": list(home), "near": list(probes.reshape(len(X), -1)),
                 })
 
     return run
 
 
 def _pairs(a, b, same: bool, cut: float, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs between two blocks that first meet in table ``t``."""
+    """Positions of linked pairs between two blocks that first meet in table ``t``, here."""
     x, y = np.nonzero(a["u"] @ b["u"].T >= cut - 1e-9)
-    keep = a["id"][x] != b["id"][y]
+    keep = ~(a["probes"][x] & b["probes"][y])
     if same:
         keep &= x < y
     x, y = x[keep], y[keep]
     exact = np.einsum("ij,ij->i", a["x"][x], b["x"][y]) / (a["n"][x] * b["n"][y])
+    x, y = x[exact >= cut], y[exact >= cut]
     ha, hb, na, nb = a["home"][x], b["home"][y], a["near"][x], b["near"][y]
-    met = ((ha == hb) | (na == hb) | (ha == nb))[:, :t].any(1)
-    # in one table two rows can meet as home and home, or as home and neighbour in two cells
-    again = np.where(a["probes"][x] | b["probes"][y], ha[:, t] == hb[:, t], False)
-    both = (na[:, t] == hb[:, t]) & (ha[:, t] == nb[:, t]) & (ha[:, t] != hb[:, t])
-    other = both & np.where(a["probes"][x], a["id"][x] > b["id"][y], b["id"][y] > a["id"][x])
-    keep = (exact >= cut) & ~met & ~again & ~other & ~(a["probes"][x] & b["probes"][y])
-    return x[keep], y[keep]
+    over, back = (na == hb[:, :, None]).any(2), (nb == ha[:, :, None]).any(2)  # a reaches b's home, b reaches a's
+    met = ((ha == hb) | over | back)[:, :t].any(1)
+    # where one probes the other's home, the pair may meet in the homes of both: that of the smaller id counts
+    prober_first = np.where(a["probes"][x], a["id"][x] < b["id"][y], b["id"][y] < a["id"][x])
+    mutual = over[:, t] & back[:, t]
+    again = (a["probes"][x] | b["probes"][y]) & mutual & prober_first
+    return x[~met & ~again], y[~met & ~again]
 
 
 def _compare(rows: dict, cut: float, t: int, i: int, j: int):
-    """Links within one cell (or pair of its blocks): (id, root, links) for each linked row."""
+    """Links within one cell (or pair of its blocks): (id, root, links) for each linked row, a copy
+    of a vector being a link."""
     left = {k: v[rows["block"] == i] for k, v in rows.items()}
     right = left if i == j else {k: v[rows["block"] == j] for k, v in rows.items()}
     x, y = _pairs(left, right, i == j, cut, t)
@@ -113,7 +119,8 @@ def _compare(rows: dict, cut: float, t: int, i: int, j: int):
         if (new == root).all():
             break
         root = new
-    return ids, ids[root], np.bincount(inverse, minlength=len(ids))
+    others = np.concatenate([right["copies"][y], left["copies"][x]])
+    return ids, ids[root], np.bincount(inverse, others, len(ids)).astype(np.int64)
 
 
 def _link(cut: float, kind: str):
@@ -127,8 +134,10 @@ def _link(cut: float, kind: str):
                 continue
             x = np.frombuffer(b"".join(part["vec"].to_pylist()), kind).reshape(e - s, -1).astype(np.float64)
             n = np.linalg.norm(x, axis=1)
-            rows = {"x": x, "n": n, "u": x / n[:, None], "probes": probes, "id": part["id"].to_numpy(), "block": part["block"].to_numpy()}
-            rows |= {k: part[k].combine_chunks().flatten().to_numpy().reshape(e - s, -1) for k in ("home", "near")}
+            rows = {"x": x, "n": n, "u": x / n[:, None], "probes": probes}
+            rows |= {k: part[k].to_numpy() for k in ("id", "block", "copies")}
+            rows["home"] = part["home"].combine_chunks().flatten().to_numpy().reshape(e - s, -1)
+            rows["near"] = part["near"].combine_chunks().flatten().to_numpy().reshape(*rows["home"].shape, 3)
             got = _compare(rows, cut, *(int(columns[k][s]) for k in ("t", "i", "j")))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()) for g in got], ["id", "root", "links"])
@@ -141,39 +150,62 @@ def near_duplicates(
     label_col: str = "label", tables: int = TABLES, scale: float = SCALE,
 ) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept), links being pairs with equal labels
-    and a cosine of at least ``cut`` that share a home or neighbouring cell in some table.
-
-    A pair is counted only in the first table and cell where it meets, so links are summed
-    without listing pairs; a cell sends on one star per component of its links. A cell of more than
-    2000 rows is cut into blocks and every two blocks are compared in a task of their own.
-    Vectors that are null, empty, zero or not finite, and rows without label or id link with
-    nothing (a null id is its own null component). Rows with one id never link with each
-    other and should not occur twice. An empty table gives no rows.
+    and a cosine of at least ``cut`` that share a home or probed cell in some table.
+
+    Rows with equal label and vector are one first, with their number; they link with one another.
+    Vectors travel only to cells that hold two of them. A pair is counted only in the first table
+    and cell where it meets, so links are summed without listing pairs; a cell sends on one star per
+    component of its links. A cell of more than 2000 rows is cut into blocks and every two blocks are
+    compared in a task of their own. Vectors that are null, empty, zero or not finite, and rows
+    without label or id link with nothing (a null id is its own null component). Of rows that repeat
+    an id the one with the smallest label and vector takes part; all of them get its result. An empty
+    table gives no rows.
     """
     base = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), F.col(vector).alias("v"))
     kind = component_type(df, vector)
     live = base.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("v"))
+    twice = materialize(live.groupBy("id").count().where("count > 1").select("id"), "lattice-twice")
+    if not twice.isEmpty():
+        one = live.join(twice, "id").groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v")
+        live = live.join(twice, "id", "left_anti").unionByName(one)
+    # two hashes and the length stand for the vector, so that only numbers are grouped
+    same = ["label", "k1", "k2", "dim"]
+    hashed = live.select("id", "label", F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"), F.size("v").alias("dim"))
+    equal = hashed.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    equal = materialize(equal, "lattice-equal")
+    star = hashed.join(broadcast_if_small(equal, 300_000), same).select("id", "first", "copies")
+    star = materialize(star, "lattice-star")  # every row that has an equal one, with the first of them
+    later = star.where("id <> first").select("id")
+    firsts = star.where("id = first").select("id", "copies")
+    ones = live.join(broadcast_if_small(materialize(later, "lattice-later"), 1_000_000), "id", "left_anti")
+    ones = ones.join(broadcast_if_small(materialize(firsts, "lattice-firsts"), 300_000), "id", "left")
+    ones = ones.withColumn("copies", F.coalesce("copies", F.lit(1)).cast("bigint"))
     keyed = materialize(
-        live.mapInPandas(_keyed(tables, scale, kind), "id bigint, label bigint, dim int, vec binary, home array<bigint>, near array<bigint>"),
+        ones.mapInPandas(_keyed(tables, scale, kind), "id bigint, label bigint, copies bigint, dim int, vec binary, home array<bigint>, near array<bigint>"),
         "lattice-keys",
     )
     cell = ["label", "dim", "t", "cell"]
-    narrow = keyed.select("label", "dim", F.posexplode("home").alias("t", "cell")).unionAll(
-        keyed.select("label", "dim", F.posexplode("near").alias("t", "cell"))
-    )
-    rows = keyed.select("*", F.posexplode("home").alias("t", "cell"), F.lit(False).alias("probes")).unionAll(
-        keyed.select("*", F.posexplode("near").alias("t", "cell"), F.lit(True).alias("probes"))
+    probed = F.posexplode("near").alias("p", "cell")
+    narrow = keyed.select("id", "label", "dim", F.posexplode("home").alias("t", "cell"), F.lit(False).alias("probes")).unionAll(
+        keyed.select("id", "label", "dim", probed).select("id", "label", "dim", F.expr("p div 3").cast("int").alias("t"), "cell", F.lit(True).alias("probes"))
     )
-    rows = paired_blocks(rows, cell, F.col("id"), BLOCK, "lattice-hot", narrow)
-    rows = rows.select(*cell, "i", "j", "block", "probes", "id", "vec", "home", "near")
+    shared = narrow.groupBy(*cell).agg(F.count("*").alias("n"), F.bool_and("probes").alias("empty")).where("n > 1 AND NOT empty")
+    shared = materialize(shared.select(*cell), "lattice-cells")
+    found = materialize(narrow.join(broadcast_if_small(shared, 300_000), cell, "left_semi"), "lattice-shared")
     order = [*cell, "i", "j"]
-    found = materialize(
+    rows = paired_blocks(found, cell, F.col("id"), BLOCK, "lattice-hot")
+    rows = rows.join(keyed.select("id", "copies", "vec", "home", "near"), "id").select(*order, "block", "probes", "id", "copies", "vec", "home", "near")
+    links = materialize(
         rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_link(cut, kind), "id bigint, root bigint, links bigint"),
         "lattice-links",
     )
-    links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    groups = connected_components(found.select("id", "root"), "id", "root")
-    known = materialize(links.join(groups, "id", "left"), "lattice-groups")
+    groups = connected_components(links.select("id", "root").unionAll(star.select("id", "first")), "id", "root")
+    # the first of equal rows has the links of all of them; each links with the others too
+    counts = links.groupBy(F.col("id").alias("first")).agg(F.sum("links").alias("n_links"))
+    alone = links.select("id").distinct().join(star.select("id"), "id", "left_anti").select("id", F.col("id").alias("first"), F.lit(1).cast("bigint").alias("copies"))
+    known = star.unionByName(alone).join(counts, "first", "left")
+    known = known.select("id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = materialize(known.join(groups, "id", "left"), "lattice-groups")
     out = base.select("id").join(broadcast_if_small(known, 1_000_000), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
