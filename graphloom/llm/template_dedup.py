@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.batches import by_bytes
 from graphloom.storage import broadcast_if_small, discard, materialize
 
 FIELD = "<*>"
 LEADING = 3  # tokens that lead to a leaf, below the level of token counts
-SIMILAR = 0.75  # share of equal tokens at which a line joins a template
+PARTS = 8  # pieces of a line, of which a template leaves two open
 WORDY = 5  # constant tokens from which two documents are enough
 FEW_TIMES = 8  # occurrences that a shorter template needs
-PART_LINES = 20_000  # lines of a leaf that one task generalises
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,118 +31,96 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return cut.select("doc", "pos", "line", leaf.alias("leaf"), (constant >= WORDY).alias("wordy"))
 
 
-class Leaf:
-    """Templates of the lines of one leaf: one row of token numbers each, -1 for a field."""
-
-    def __init__(self, tokens: int):
-        self.rows = np.full((16, tokens), -2, np.int64)
-        self.used, self.number = 0, {FIELD: -1}
-
-    def add(self, tokens: list[str]) -> int:
-        """The template that the line joins or starts: the one with most equal tokens."""
-        line = np.array([self.number.setdefault(t, len(self.number)) for t in tokens])
-        same = ((self.rows[: self.used] == line) & (line >= 0)).sum(1)
-        if self.used and (best := int(same.argmax())) >= 0 and same[best] >= SIMILAR * len(line):
-            self.rows[best][self.rows[best] != line] = -1
-            return best
-        exact = np.flatnonzero((self.rows[: self.used] == line).all(1))
-        if len(exact):  # lines that are mostly fields join only their like
-            return int(exact[0])
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.full_like(self.rows, -2)])
-        self.rows[self.used] = line
-        self.used += 1
-        return self.used - 1
-
-    def templates(self) -> list[str]:
-        names = {v: k for k, v in self.number.items()}
-        return [" ".join(names[t] for t in row) for row in self.rows[: self.used].tolist()]
-
-
-def _generalise(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["lo", "line"], kind="stable")
-    split = [line.split(" ") for line in group["line"]]
-    trees: dict[tuple, Leaf] = {}  # hashes of leaves may collide
-    placed = []
-    for tokens in split:
-        place = (len(tokens), *tokens[:LEADING])
-        tree = trees.setdefault(place, Leaf(len(tokens)))
-        placed.append((tree, tree.add(tokens)))
-    names = {id(tree): tree.templates() for tree in trees.values()}
-    return pd.DataFrame({
-        "leaf": group["leaf"], "h": group["h"], "template": [names[id(t)][k] for t, k in placed],
-        "lo": group["lo"], "hi": group["hi"], "c": group["c"],
-    })
-
-
-_OUT = "leaf bigint, h binary, template string, lo bigint, hi bigint, c bigint"
+def _templates(lines: DataFrame) -> DataFrame:
+    """(leaf, h, template, constants) of lines: the line itself, and the templates that leave some of its
+    pieces open. A template is a hash; its first three tokens are those of the leaf."""
+    tokens = F.split("line", " ")
+    n = F.size("t")
+    bound = lambda i: F.floor(n * i / PARTS).cast("int")
+    piece = lambda i: F.slice("t", bound(i) + 1, bound(i + 1) - bound(i))
+    # of the tokens that the leaf does not fix
+    fixed = lambda i: F.size(F.filter(F.slice("t", F.greatest(bound(i), F.lit(LEADING)) + 1, F.greatest(bound(i + 1) - F.greatest(bound(i), F.lit(LEADING)), F.lit(0))), lambda t: t != FIELD))
+    cut = lines.withColumn("t", tokens).select(
+        "leaf", "h", n.alias("n"), F.size(F.filter("t", lambda t: t != FIELD)).alias("all"),
+        F.array(*[F.xxhash64(F.array_join(piece(i), " ")) for i in range(PARTS)]).alias("p"), F.array(*[fixed(i) for i in range(PARTS)]).alias("k"),
+    )
+
+    def template(*open_):
+        rest = [F.lit(None).cast("long") if i in open_ else F.col("p")[i] for i in range(PARTS)]
+        constants = F.col("all")
+        for i in open_:
+            constants = constants - F.col("k")[i]
+        return F.struct(F.xxhash64(*rest, *[F.lit(i) for i in open_]).alias("template"), constants.alias("constants"))
+
+    own = template()
+    one = F.array(own, *[template(i) for i in range(PARTS)])
+    two = F.array(own, *[template(i, j) for j in range(PARTS) for i in range(j)])
+    every = F.when(F.col("n") >= PARTS, two).when(F.col("n") >= PARTS // 2, one).otherwise(F.array(own))
+    return cut.select("leaf", "h", F.explode(F.array_distinct(every)).alias("x")).select("leaf", "h", "x.template", "x.constants")
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, positions) of lines to drop: their template recurs across documents, and this is not
-    the document with its smallest id.
+    """(doc, positions) of lines to drop: they have a template that recurs across documents, and this is
+    not the document with its smallest id.
 
-    Equal lines are counted first, so that each distinct line enters the tree once. Leaves with
-    several lines over several documents are generalised; their templates are merged again
-    where a large leaf was cut into parts of about 20000 lines."""
-    lines = _lines(by_bytes(docs).where(F.col(key).isNotNull()), key, text)
+    Equal lines are counted first, so that each distinct line enters the tree once, and only where its
+    leaf has others. Templates depend on their line alone, so that they are counted by aggregates
+    with partial sums, however many lines a leaf holds."""
+    lines = _lines(docs.where(F.col(key).isNotNull()), key, text)
     digest = F.unhex(F.md5("line"))
     narrow = materialize(lines.select("doc", "pos", "leaf", digest.alias("h"), "wordy"), "lines")
     stats = narrow.groupBy("leaf", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c"), F.first("wordy").alias("wordy"))
     stats = materialize(stats, "line-stats")
     leaves = stats.groupBy("leaf").agg(F.count("*").alias("k"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("k > 1 and a <> b")
-    leaves = materialize(leaves.select("leaf", "k", F.ceil(F.col("k") / PART_LINES).cast("int").alias("parts")), "line-leaves")
-    bundles = max(64, math.ceil((leaves.agg(F.sum("k")).first()[0] or 0) / PART_LINES))
-    shared = lines.join(broadcast_if_small(leaves.drop("k"), 300_000), "leaf").withColumn("h", digest)
+    leaves = materialize(leaves.select("leaf"), "line-leaves")
     # one text for each distinct line; equal lines have equal texts
-    shared = shared.groupBy("leaf", "h", "parts").agg(F.min("line").alias("line"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c"))
-    part = F.pmod(F.xxhash64("h"), F.col("parts"))
-    bundle = F.when(F.col("parts") == 1, F.pmod(F.col("leaf"), F.lit(bundles))).otherwise(F.xxhash64("leaf", part))
-    local = shared.withColumn("bundle", bundle).groupBy("bundle").applyInPandas(_generalise, _OUT)
-    local = materialize(local, "line-templates")
-    large = materialize(leaves.where("parts > 1").select("leaf"), "line-large")
-    if not large.isEmpty():
-        again = local.join(F.broadcast(large) if large.count() < 10_000 else large, "leaf")
-        again = again.groupBy("leaf", "template").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("c"))
-        again = again.withColumn("h", F.encode("template", "UTF-8")).withColumnRenamed("template", "line")
-        merged = again.groupBy("leaf").applyInPandas(_generalise, _OUT)
-        merged = materialize(merged.select("leaf", F.decode("h", "UTF-8").alias("template"), F.col("template").alias("final")), "line-merged")
-        local = local.join(merged, ["leaf", "template"], "left").withColumn("template", F.coalesce("final", "template"))
-    constants = F.size(F.filter(F.split("template", " "), lambda t: t != FIELD))
-    keep = local.groupBy("leaf", "template").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi"), F.sum("c").alias("n"))
-    keep = keep.where((F.col("keep") != F.col("hi")) & ((constants >= WORDY) | (F.col("n") >= FEW_TIMES))).select("leaf", "template", "keep")
-    of_tree = local.select("leaf", "template", "h").join(keep, ["leaf", "template"]).select("h", "keep")
-    lone = stats.join(broadcast_if_small(leaves.select("leaf"), 300_000), "leaf", "left_anti")
+    texts = lines.join(broadcast_if_small(leaves, 300_000), "leaf").withColumn("h", digest).groupBy("leaf", "h").agg(F.min("line").alias("line"))
+    under = materialize(_templates(texts), "line-templates")
+    seen = under.join(stats.select("leaf", "h", "lo", "hi", "c"), ["leaf", "h"])
+    keep = seen.groupBy("leaf", "template").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi"), F.sum("c").alias("n"), F.min("constants").alias("constants"))
+    keep = keep.where((F.col("keep") != F.col("hi")) & ((F.col("constants") >= WORDY) | (F.col("n") >= FEW_TIMES)))
+    keep = materialize(keep.select("leaf", "template", "keep"), "line-keep")
+    of_tree = under.join(broadcast_if_small(keep, 200_000), ["leaf", "template"]).groupBy("h").agg(F.min("keep").alias("keep"))
+    lone = stats.join(broadcast_if_small(leaves, 300_000), "leaf", "left_anti")
     lone = lone.where((F.col("lo") != F.col("hi")) & (F.col("wordy") | (F.col("c") >= FEW_TIMES))).select("h", F.col("lo").alias("keep"))
     drop = materialize(of_tree.unionByName(lone), "line-drop")
-    hit = narrow.select("doc", "pos", "h").join(broadcast_if_small(drop, 500_000), "h").where(F.col("doc") != F.col("keep"))
+    hit = narrow.select("doc", "pos", "h").join(broadcast_if_small(drop, 300_000), "h").where(F.col("doc") != F.col("keep"))
     out = materialize(hit.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("positions")), "line-positions")
-    discard(narrow)
+    for table in (narrow, stats, leaves, under, keep, drop):
+        discard(table)
     return out
 
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the lines whose template recurs across documents, except in the document
+    """``docs`` without the lines that have a template recurring across documents, except in the document
     with the smallest id, and with the number of dropped lines as ``lines_dropped``.
 
-    A template is a line whose tokens with digits, and tokens in which at most a quarter of it
-    differs from lines with equal token count and three equal leading tokens, are fields. It
-    recurs if two documents have it; one with less than five constant tokens must also occur
-    eight times. Blank lines stay, a null text stays null, rows without id are left alone; a
-    text may become empty. Rows that repeat an id are one document. Other columns pass through."""
-    positions = recurring_lines(docs, key, text).select(F.col("doc").alias("_doc"), F.col("positions").alias("_positions"))
-    both = docs.join(broadcast_if_small(positions, 300_000), F.col(key).cast("bigint") == F.col("_doc"), "left")
-    return _rebuilt(both, docs.columns, text)
+    The tree leads by the number of tokens, then by three leading tokens to a leaf. Tokens with
+    digits are fields. Below the leaf, a line of at least eight tokens is cut into eight pieces, and
+    its templates are the line itself and the line with any two pieces left open: about a
+    quarter of it, the leading tokens excepted; a line of four to seven tokens leaves one open, a shorter one none.
+    A template recurs if lines of two documents have it; one with less than five constant tokens must
+    also occur eight times. So a line goes if an earlier document has it, or one that differs
+    in open pieces only, whatever other lines there are.
+
+    Blank lines stay, a null text stays null, rows without id are left alone; a text may become empty.
+    Rows that repeat an id are one document. Other columns pass through, but a column ``lines_dropped``
+    is replaced; columns that begin with ``_dedup_`` are not allowed."""
+    if clash := [c for c in docs.columns if c.startswith("_dedup_")]:
+        raise ValueError(f"columns {clash} clash")
+    positions = recurring_lines(docs, key, text).select(F.col("doc").alias("_dedup_doc"), F.col("positions").alias("_dedup_positions"))
+    both = docs.drop("lines_dropped").join(broadcast_if_small(positions, 50_000), F.col(key).cast("bigint") == F.col("_dedup_doc"), "left")
+    return _rebuilt(both, [c for c in docs.columns if c != "lines_dropped"], text)
 
 
 def _rebuilt(both: DataFrame, columns: list[str], text: str) -> DataFrame:
     """The lines are split once, then those at the kept positions are joined again."""
-    dropped = F.col("_positions").isNotNull()
-    both = both.withColumn("_parts", F.when(dropped, F.split(F.col(text), "\n")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_positions"))
-    rest = F.array_join(F.transform(kept, lambda i: F.element_at("_parts", i + 1)), "\n")
+    dropped = F.col("_dedup_positions").isNotNull()
+    both = both.withColumn("_dedup_parts", F.when(dropped, F.split(F.col(text), "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_dedup_parts") - 1), F.col("_dedup_positions"))
+    rest = F.array_join(F.transform(kept, lambda i: F.element_at("_dedup_parts", i + 1)), "\n")
     new = F.when(dropped, rest).otherwise(F.col(text))
     return both.select(
         *[new.alias(c) if c == text else F.col(c) for c in columns],
-        F.when(dropped, F.size("_positions")).otherwise(0).alias("lines_dropped"),
+        F.when(dropped, F.size("_dedup_positions")).otherwise(0).alias("lines_dropped"),
     )
