@@ -25,11 +25,13 @@ def shard(
     exceed the limit they go to overflow pages (``{prefix}page`` from 0) of the same bucket, so
     only a single row larger than the limit leaves a shard over it. A null key hashes like
     the empty string, a null size counts 0; an empty table gives an empty result.
-    Repeated rows each count. Added columns must not clash with ``prefix``.
+    Repeated rows each count. Columns of ``df`` that begin with ``prefix`` are an error.
 
     Each pass aggregates bytes at eight more bits for the buckets still open, rolls the
     histogram (small) up to every depth and closes the shallowest fitting ancestors.
     """
+    if clash := [c for c in df.columns if c.startswith(prefix)]:
+        raise ValueError(f"columns {clash} begin with {prefix!r}")
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     h, b = f"{prefix}hash", f"{prefix}bytes"
     rows = df.withColumn(h, F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")).withColumn(
@@ -75,13 +77,33 @@ def shard(
     extra = [f"{prefix}p", f"{prefix}n", h]
     if all(s.where(held > limit).isEmpty() for _, s in segments):
         return out.withColumn(page, F.lit(0).cast("bigint")).drop(*extra)
-    chain = Window.partitionBy(f"{prefix}depth", f"{prefix}prefix").orderBy(F.lit(0))
-    before = F.coalesce(F.sum(b).over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    most = F.max(b).over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    # pages of limit - largest bytes by their start, so that none passes the limit
-    number = F.floor(before / F.greatest(F.lit(1), limit - most)).cast("bigint")
-    whole = out.where(held <= limit).withColumn(page, F.lit(0).cast("bigint"))
-    return whole.unionByName(out.where(held > limit).withColumn(page, number)).drop(*extra)
+    whole = out.where(held <= limit).withColumn(page, F.lit(0).cast("bigint")).drop(*extra)
+    return whole.unionByName(_pages(out.where(held > limit), prefix, limit).drop(*extra))
+
+
+def _pages(over: DataFrame, prefix: str, limit: int) -> DataFrame:
+    """Number the overflow pages of buckets that no bit can split.
+
+    A row above half the limit is a page of its own. The others go, as they are stored,
+    to pages by the half limits that their running sum passes, so that no page is over the limit
+    and all but the last of a part are half full. Running sums are made within the parts of a
+    written table, whose pages are then numbered one part after another: no bucket is one task."""
+    b, page, part, row = f"{prefix}bytes", f"{prefix}page", f"{prefix}part", f"{prefix}row"
+    bucket = [f"{prefix}depth", f"{prefix}prefix"]
+    over = over.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id())
+    over = materialize(over, "shard-over")
+    half = max(1, limit // 2)
+    big = F.col(b) > half
+    mine = Window.partitionBy(*bucket, part, big).orderBy(row)
+    before = F.coalesce(F.sum(b).over(mine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = F.when(big, F.row_number().over(mine) - 1).otherwise(F.floor(before / half)).cast("bigint")
+    local = over.withColumn(page, local).withColumn(f"{prefix}big", big)
+    keys = [*bucket, part, f"{prefix}big"]
+    used = local.groupBy(*keys).agg((F.max(page) + 1).alias("_pages"))
+    earlier = Window.partitionBy(*bucket).orderBy(f"{prefix}big", part).rowsBetween(Window.unboundedPreceding, -1)
+    first = used.select(*keys, F.coalesce(F.sum("_pages").over(earlier), F.lit(0)).alias(f"{prefix}first"))
+    numbered = local.join(first, keys).withColumn(page, F.col(page) + F.col(f"{prefix}first"))
+    return numbered.drop(part, row, f"{prefix}big", f"{prefix}first")
 
 
 def write_shards(df: DataFrame, path: str, prefix: str = "shard_") -> None:

@@ -122,6 +122,14 @@ def test_shards(spark):
         if r.shard_depth:  # its bucket was split because the parent was too large
             assert total(r.shard_depth - 1, r.shard_prefix >> 1) > limit
     assert extendible_sharding.shard(df.limit(0), "doc_id", F.col("n"), limit).count() == 0
+    # pages of a key that alone is over the limit: half full at least, but for the last of each part
+    pages = out.where("doc_id = 77777").groupBy("shard_page").agg(F.sum("shard_bytes").alias("n")).orderBy("shard_page").collect()
+    assert [r.shard_page for r in pages] == list(range(len(pages))) and 4 <= len(pages) <= 4 + 3 * 9
+    mixed = spark.createDataFrame([(1, 99)] + [(1, 1)] * 200 + [(1, 51), (1, 50)], "doc_id bigint, n bigint").repartition(2)
+    got = extendible_sharding.shard(mixed, "doc_id", F.col("n"), 100).groupBy("shard_page").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()
+    assert sum(r.c for r in got) == 203 and max(r.n for r in got) <= 100 and 4 <= len(got) <= 10 and {r.shard_page for r in got} == set(range(len(got)))
+    with pytest.raises(ValueError, match="begin with"):
+        extendible_sharding.shard(df.withColumn("shard_page", F.lit(1)), "doc_id", F.col("n"), limit)
     whole = extendible_sharding.shard(df, "doc_id", F.col("n"), 1 << 30).select("shard_depth").distinct().collect()
     assert [r.shard_depth for r in whole] == [0]
 
