@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +16,9 @@ from graphloom.llm.batches import by_bytes
 from graphloom.storage import broadcast_if_small, materialize, scratch_path
 
 BROADCAST_ROWS = 200_000
-ROWS_PER_ARCHIVE = 4_000
-ROWS_PER_MERGE = 200_000
+ARCHIVE_BYTES = 64 << 20  # an archive holds no more than this, or one record
+SMALL_BYTES = 64 << 10  # records up to this are written together, larger ones by powers of two
+ROWS_PER_MERGE = 200_000  # narrow index rows that one task merges
 MIN_REVISIT_BYTES = 100
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 EPOCH = 1_704_067_200  # capture times of tables without one: this plus the id, in seconds
@@ -38,10 +42,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     A null payload is empty; a null id is written as ``null`` and is a response unless an equal
     payload has an id; rows that repeat both id and payload of a response are responses too.
-    Spark's text sink writes the archives, so failed tasks leave no part of one behind.
+    Spark's text sink writes the archives, so failed tasks leave no part of one behind. Records are
+    written by classes of size, so that a number of records bounds the bytes of an archive.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
+    # the record of a response at most: the URL comes twice, other headers are below a KiB
+    size = F.octet_length(html) + 2 * F.octet_length(F.coalesce(F.col(url_col), F.lit(""))) + 1024
     rows = pages.select(
+        size.alias("size"),
         F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), html.alias("html"),
         F.octet_length(html).cast("bigint").alias("n"), F.sha2(html, 256).alias("digest"),
     )
@@ -67,7 +75,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         (F.when(revisit, 0).otherwise(F.col("n")) + len(HTTP)).cast("string"), F.lit("\r\n\r\n" + HTTP),
         F.when(revisit, "").otherwise(F.col("html")),
     )
-    rows.select(head.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ROWS_PER_ARCHIVE).text(path)
+    rows = rows.select("size", head.alias("value"))
+    largest = pages.agg(F.max(size)).first()[0] or 0
+    low = -1
+    while low < max(largest, 1):  # sizes up to SMALL_BYTES, then up to twice as much each
+        high = max(SMALL_BYTES, 2 * low)
+        some = rows.where((F.col("size") > low) & (F.col("size") <= high)).select("value")
+        most = max(1, ARCHIVE_BYTES // high)
+        some.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).mode("append").text(path)
+        low = high
 
 
 def parse_archive(name: str, data: bytes):
@@ -152,36 +168,42 @@ class LoserTree:
             self.winner = w
 
 
+def _rows(run: pa.Table):
+    """The rows of a run, made one small slice at a time; the run itself stays in columns."""
+    for s in range(0, run.num_rows, 1024):
+        yield from zip(*run.slice(s, 1024).to_pydict().values())
+
+
 def _merge(batches):
     """Merge the runs of one key range; its rows come grouped by run, in the order of the run."""
-    runs, names = {}, None
+    runs: dict[str, list] = {}
     for batch in batches:
-        names = list(batch.columns)
-        for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
-            runs.setdefault(row[7], []).append(row)
-    out = []
-    for row in LoserTree(list(runs.values()), _order):
-        out.append(row)
-        if len(out) == 20_000:
-            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-            out = []
-    if out:
-        yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+        names = batch["run"].to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else []
+        for s, e in zip(edges[:-1], edges[1:]):
+            runs.setdefault(names[s], []).append(batch.slice(s, e - s))
+    if not runs:
+        return
+    schema = next(iter(runs.values()))[0].schema
+    merged = iter(LoserTree([_rows(pa.Table.from_batches(r)) for r in runs.values()], _order))
+    while out := list(itertools.islice(merged, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def read_index(spark, path: str) -> DataFrame:
     """Capture histories of the archives in ``path``, globally ordered by URL key, time and id.
 
     Each archive gives a locally sorted run. Key ranges of all runs (cut by a sample on URL key,
-    time and id, so that one URL with many captures spreads) are merged by a loser tree each.
-    A folder without records gives no rows.
+    time, id and place, so that neither a URL with many captures nor equal rows are one range) are
+    merged by a loser tree each. A range is about 200000 narrow rows (no payload); they are held in
+    columns, and the tree draws them a slice at a time. A folder without records gives no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     runs = materialize(by_bytes(files).mapInPandas(_runs, INDEX), "warc-runs")
     n = max(1, math.ceil(runs.count() / ROWS_PER_MERGE))
     parts = max(n, min(runs.rdd.getNumPartitions(), 64))
-    ranged = runs.repartitionByRange(parts, "url_key", "capture_ts", "page_id").sortWithinPartitions("run", "seq")
-    return ranged.mapInPandas(_merge, INDEX)
+    ranged = runs.repartitionByRange(parts, "url_key", "capture_ts", "page_id", "run", "seq").sortWithinPartitions("run", "seq")
+    return ranged.mapInArrow(_merge, INDEX)
 
 
 def capture_index(pages: DataFrame, archives: str | None = None) -> DataFrame:

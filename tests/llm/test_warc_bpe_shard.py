@@ -53,6 +53,24 @@ def test_archives(spark, tmp_path):
         list(warc_index.parse_archive("x", (tmp_path / "warc" / one.run).read_bytes().replace("é".encode() * 100, "è".encode() * 100)))
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_index, "ARCHIVE_BYTES", 40_000)
+    monkeypatch.setattr(warc_index, "SMALL_BYTES", 4_000)
+    monkeypatch.setattr(warc_index, "ROWS_PER_MERGE", 40)
+    rng = random.Random(6)
+    sizes = [rng.choice([0, 50, 200, 3000, 9000, 30_000, 90_000]) for _ in range(300)]
+    rows = [(i, f"http://h{i % 7}.org/{i % 3}", "".join(rng.choice("abc") for _ in range(20)) * (n // 20), "x", 1) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows + [(None, "http://h1.org/0", "same", "x", 1)] * 90, PAGES)
+    out = warc_index.capture_index(df.repartition(2), str(tmp_path / "w")).collect()
+    assert len(out) == 390 and sorted(r.page_id for r in out if r.page_id is not None) == list(range(300))
+    order = [(r.url_key.encode(), r.capture_ts) for r in out]
+    assert order == sorted(order)
+    by_file = {}
+    for r in out:
+        by_file.setdefault(r.run, []).append(r.record_bytes)
+    assert len(by_file) > 10 and all(sum(b) <= 41_000 or len(b) == 1 for b in by_file.values())
+
+
 def test_bpe_like_the_library():
     from tokenizers import Tokenizer
 
