@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import by_bytes
-from graphloom.llm.sampling import hashed_sample, in_training
+from graphloom.llm.sampling import bounded_texts, hashed_sample, in_training
 
 SAMPLE_ROWS = 1_000  # bound on the labelled documents that a model is fitted on
 LEAST_WORDS = 3  # a word is in the lexicon if so many training documents hold it
@@ -28,9 +28,11 @@ _START, _END = b"\x02", b"\x03"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words; none if the text is null or has no letter."""
+    """Lower-case words, without the signs that are no letters; none if the text is null or has no letter."""
     found = WORD.findall(text.lower()) if text else []
-    return found if any(map(str.isalpha, found)) else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for w in ("".join(filter(str.isalpha, x)) for x in found) if w]
 
 
 def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +152,20 @@ class Crf:
                 p -= 0.1 * (a / (1 - 0.9**r)) / (np.sqrt(b / (1 - 0.99**r)) + 1e-8)
         return self
 
+    def spans(self, text: str | None) -> list[tuple[int, int, str, float]]:
+        """(start, end, label, score) of the runs of words that have one label, in characters of the text; the
+        score is the mean posterior of the label over the words of the run."""
+        places = [(m.start(), m.end()) for m in WORD.finditer(text or "") if any(map(str.isalpha, m.group()))]
+        words = ["".join(filter(str.isalpha, text[a:b].lower())) for a, b in places]
+        if not words or not self.labels:
+            return []
+        share = self.marginals(self.type_emissions(words), np.array([len(words)]))[0]
+        best, out = share.argmax(1), []
+        edges = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), len(words)]
+        for s, e in zip(edges[:-1], edges[1:]):
+            out.append((places[s][0], places[e - 1][1], self.labels[best[s]], float(min(1.0, share[s:e, best[s]].mean()))))
+        return out
+
     def predict(self, texts) -> tuple[list[str], list[float]]:
         """Language of every whole text: the label with the largest share of the word posteriors."""
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -214,20 +230,22 @@ def fit_texts(texts: list[str], langs: list[str], seed: int = 5) -> Crf:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Crf:
-    """Fit on at most ``rows`` labelled documents of the training folds (smallest hashes of ids)."""
+    """Fit on at most ``rows`` labelled documents of the training folds (smallest hashes of ids), and at
+    most SAMPLE_BYTES of text; of rows that repeat an id the one with the smallest label and text counts."""
     known = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & in_training(F.col(key)))
     sample = hashed_sample(known.select(key).distinct(), key, rows)
-    # the sample is bounded by ``rows``
-    got = known.join(F.broadcast(sample), key).select(key, F.col(text).alias("t"), F.col(lang).alias("l")).toPandas()
-    got = got.sort_values([key, "l", "t"], kind="stable").drop_duplicates(key)
-    return fit_texts(got["t"].tolist(), got["l"].tolist())
+    got = bounded_texts(known.select(key, F.col(lang).alias("y"), F.col(text).alias("t")), sample, key)
+    return fit_texts(got["t"].tolist(), got["y"].tolist())
 
 
 def identify(docs: DataFrame, model: Crf, text: str = "text", label: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """Add the language of every whole text and the share of its word posteriors (0 to 1).
 
     Texts that are null or have no letter get ``und`` and 0; so do all texts if the model
-    was fitted on no labelled row. Each row is judged alone, so repeats agree."""
+    was fitted on no labelled row. Each row is judged alone, so repeats agree. Columns named like the
+    new ones are replaced; a column ``_language`` is an error."""
+    if "_language" in docs.columns:
+        raise ValueError("a column _language clashes")
 
     @F.pandas_udf("label string, score double")
     def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -236,6 +254,20 @@ def identify(docs: DataFrame, model: Crf, text: str = "text", label: str = "lang
             yield pd.DataFrame({"label": labels, "score": scores})
 
     # long documents take as many steps in a small batch as in a large one
-    return by_bytes(docs, 12).withColumn("_language", tagged(F.col(text))).withColumns(
-        {label: F.col("_language.label"), score: F.col("_language.score")}
-    ).drop("_language")
+    kept = [c for c in docs.columns if c not in (label, score)]
+    return by_bytes(docs, 8).select(*kept, tagged(F.col(text)).alias("_language")).select(
+        *[F.col(c) for c in kept], F.col("_language.label").alias(label), F.col("_language.score").alias(score)
+    )
+
+
+def label_spans(docs: DataFrame, model: Crf, text: str = "text", out: str = "lang_spans") -> DataFrame:
+    """Add the spans of one language each of every whole text: an array of (start, end, lang, score) in
+    characters, from the posteriors of the single words. Null texts and texts without a letter have
+    none; a column of that name is replaced."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,lang:string,score:double>>")
+    def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[dict(zip(("start", "end", "lang", "score"), x)) for x in model.spans(t)] for t in texts])
+
+    return by_bytes(docs, 8).withColumn(out, tagged(F.col(text)))

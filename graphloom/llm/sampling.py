@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.storage import materialize
 
+SAMPLE_CHARS = 200_000  # of a text that a model is fitted on; texts that are scored are read whole
+SAMPLE_BYTES = 64 << 20  # of all texts that a model is fitted on
+
 
 def in_training(key: Column) -> Column:
     """The training folds: a CRC-32 of the id as text that is not 2 modulo 4."""
@@ -28,3 +32,17 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
         share = min(1.0, (1.2 * rows + 8 * rows**0.5) / n)
         df = df.where(order.cast("double") <= 2.0**63 * (2 * share - 1))
     return materialize(df.orderBy(order, key).limit(rows), "sample")
+
+
+def bounded_texts(labelled: DataFrame, sample: DataFrame, key: str) -> pd.DataFrame:
+    """(key, y, t) for the keys of a ``sample``, on the driver: one row per key (the smallest label, then
+    the smallest text, where rows repeat a key), texts up to SAMPLE_CHARS, and of the keys in the order of
+    their hashes as many as have SAMPLE_BYTES of text together."""
+    some = labelled.select(key, "y", F.substring("t", 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(sample), key)
+    one = some.groupBy(key).agg(F.min(F.struct("y", "t")).alias("r"))
+    one = materialize(one.select(key, "r.y", "r.t", F.xxhash64(F.col(key)).alias("order")), "sample-texts")
+    sizes = one.select("order", F.coalesce(F.octet_length("t"), F.lit(0)).alias("n")).toPandas().sort_values("order")
+    fits = sizes[sizes["n"].cumsum() <= SAMPLE_BYTES]
+    if len(fits) < len(sizes):
+        one = one.where(F.col("order") <= (int(fits["order"].max()) if len(fits) else -(2**63)))
+    return one.select(key, "y", "t").toPandas().sort_values(key, kind="stable")

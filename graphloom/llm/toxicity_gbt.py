@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import by_bytes
-from graphloom.llm.sampling import hashed_sample, in_training
+from graphloom.llm.sampling import bounded_texts, hashed_sample, in_training
 
 SAMPLE_ROWS = 8_000  # bound on the labelled rows that a model is fitted on
 LEXICON_UNITS = 5_000
@@ -21,16 +21,16 @@ FOLDS = 4
 CUT = 0.3
 
 # Insults known beforehand, and second-person forms, of the four languages.
-INSULTS = """
-idiot moron stupid dumb loser scum trash pathetic worthless disgusting clown fool jerk
-dumm blöd arschloch trottel abschaum versager widerlich erbärmlich
-con connard débile ordure nul pathétique imbécile
-estúpido imbécil basura asqueroso patético inútil
-""".split()
-SECOND_PERSON = """
-you your yours yourself u ur du dich dir dein deine euch ihr sie
-tu te toi ton tes vous votre vos tú ti usted ustedes tuyo
-""".split()
+INSULTS = (
+    "idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "fool", "jerk",
+    "dumm", "blöd", "arschloch", "trottel", "abschaum", "versager", "widerlich", "erbärmlich",
+    "con", "connard", "débile", "ordure", "nul", "pathétique", "imbécile",
+    "estúpido", "imbécil", "basura", "asqueroso", "patético", "inútil",
+)
+SECOND_PERSON = (
+    "you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "euch", "ihr", "sie",
+    "tu", "te", "toi", "ton", "tes", "vous", "votre", "vos", "tú", "ti", "usted", "ustedes", "tuyo",
+)
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": ""}
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -225,17 +225,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents of the training folds (smallest hashes of ids).
 
-    Rows without id or label are left out; of repeated ids any one label counts."""
+    Rows without id or label are left out; an id is toxic if one of its labels is, and of documents that
+    repeat an id the smallest text counts. At most SAMPLE_BYTES of text are read."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & in_training(F.col(key)))
-    known = hashed_sample(known.select(key, F.col(label).cast("int").alias("y")).dropDuplicates([key]), key, rows)
-    # the sample is bounded by ``rows``
-    got = docs.select(key, F.col(text).alias("text")).join(F.broadcast(known), key).select(key, "text", "y").toPandas()
-    got = got.sort_values(key, kind="stable")
-    return fit_texts(got["text"].tolist(), got["y"].to_numpy())
+    known = known.groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = hashed_sample(known, key, rows)
+    labelled = docs.select(key, F.col(text).alias("t")).join(F.broadcast(known), key)  # at most ``rows`` ids
+    got = bounded_texts(labelled, known.select(key), key)
+    return fit_texts(got["t"].tolist(), got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """Add the score (0 to 1) of every whole text; null and empty texts are scored by their zero features."""
+    """Add the score (0 to 1) of every whole text; null and empty texts are scored by their zero features.
+    A column named ``out`` is replaced."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

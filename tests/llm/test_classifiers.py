@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_crf, toxicity_gbt
+from graphloom.llm import language_crf, sampling, toxicity_gbt
 from graphloom.llm.language_crf import Crf
 from graphloom.llm.sampling import hashed_sample, in_training
 from graphloom.llm.toxicity_gbt import Trees, isotonic
@@ -55,6 +55,51 @@ def test_crf_labels_code_switched_text():
     assert language_crf.fit_texts([], []).predict(["x"]) == (["und"], [0.0])
 
 
+def test_words_have_letters_only():
+    assert language_crf.words_of("x² km² ½kg a²b 12 -- ² Ab_c") == ["x", "km", "kg", "ab", "ab", "c"]
+    assert language_crf.words_of("² ½ 12") == language_crf.words_of("") == language_crf.words_of(None) == []
+
+
+def test_spans_of_languages(spark):
+    rng = random.Random(1)
+    words = {"xx": ["baba", "balo", "lobab"], "yy": ["tiki", "kitik", "tikki"]}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    model = language_crf.fit_texts([say(("xx", "yy")[i % 2], 30) for i in range(60)], [("xx", "yy")[i % 2] for i in range(60)])
+    a, b = say("xx", 9), say("yy", 12)
+    text = f"{a}, {b}!"
+    rows = [(1, text, "clash"), (2, None, ""), (3, "12 ²", ""), (4, "baba", "")]
+    out = {r.doc_id: r.lang_spans for r in language_crf.label_spans(spark.createDataFrame(rows, "doc_id bigint, text string, lang_spans string"), model).collect()}
+    assert [(text[s.start : s.end], s.lang) for s in out[1]] == [(a, "xx"), (b, "yy")] and all(0.8 < s.score <= 1 for s in out[1])
+    assert out[2] == out[3] == [] and [(s.start, s.end, s.lang) for s in out[4]] == [(0, 4, "xx")]
+    # the share of words by their posteriors is the document's score
+    share = model.marginals(model.type_emissions(language_crf.words_of(text)), np.array([21]))[0].mean(0)
+    labels, scores = model.predict([text])
+    assert labels == ["yy"] and abs(scores[0] - share[1]) < 1e-6
+
+
+def test_bounded_samples(spark, monkeypatch):
+    rows = [(1, "b" * 50, "z")] * 20_000 + [(1, "a" * 50, "z")] + [(i, "w" * 400, "q") for i in range(2, 60)] + [(70, "x" * 5000, "q"), (71, None, "q")]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, t string, y string")
+    monkeypatch.setattr(sampling, "SAMPLE_CHARS", 500)
+    whole = sampling.bounded_texts(labelled, labelled.select("doc_id").distinct(), "doc_id")
+    assert whole["doc_id"].tolist() == [1, *range(2, 60), 70, 71] and whole["t"][0] == "a" * 50 and len(whole["t"][59]) == 500
+    monkeypatch.setattr(sampling, "SAMPLE_BYTES", 4000)
+    some = sampling.bounded_texts(labelled, labelled.select("doc_id").distinct(), "doc_id")
+    assert 5 <= len(some) <= 14 and some["t"].str.len().sum() <= 4000
+    assert some.equals(sampling.bounded_texts(labelled.repartition(5), labelled.select("doc_id").distinct(), "doc_id"))
+
+
+def test_conflicting_labels(spark):
+    """An id is toxic if one of its labels is, in whatever order they come."""
+    docs = spark.createDataFrame([(i, "plain words here" + (" grum zork" if i % 4 == 0 else "")) for i in range(200)], "doc_id bigint, text string")
+    labels = [(i, int(i % 4 == 0)) for i in range(200)] + [(i, 0) for i in range(200)] + [(None, 1), (3, None)]
+    scores = []
+    for rows in (labels, labels[::-1]):
+        model = toxicity_gbt.fit(docs, spark.createDataFrame(rows, "doc_id bigint, toxic int").repartition(3))
+        scores.append([model.score(["plain words here grum zork", "plain words here"]).tolist()])
+    assert scores[0] == scores[1] and scores[0][0][0] > 0.9 > 0.1 > scores[0][0][1]
+
+
 def test_language_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, None), (10**6 + 1, "", "en"), (10**6 + 2, "?! 99", "de"), (10**6 + 3, "le la les " * 40_000, None)], "doc_id bigint, text string, lang string")
@@ -77,6 +122,25 @@ def test_trees_learn_an_interaction():
     assert ((raw > 0) == y).mean() > 0.98
 
 
+def test_first_split_by_brute_force():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (300, 4)).astype(float)
+    y = (x[:, 2] + rng.normal(size=300) * 2 > 6).astype(float)
+    tree = Trees(rounds=1, depth=1, rate=1.0)
+    tree.fit(x, y)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + tree.ridge)
+    options = [(worth(x[:, f] <= v) + worth(x[:, f] > v), f, v) for f in range(4) for v in range(11) if h[x[:, f] <= v].sum() >= 1 and h[x[:, f] > v].sum() >= 1]
+    best = max(options)
+    (split_f, split_v, leaf) = tree.trees[0]
+    f, v = split_f[0][0], split_v[0][0]
+    right = x[:, f] > v
+    assert f == best[1] == 2 and (right == (x[:, 2] > best[2])).all()
+    want = [-g[m].sum() / (h[m].sum() + tree.ridge) for m in (~right, right)]
+    assert np.allclose(leaf, want)
+
+
 def test_isotonic_is_the_least_squares_fit():
     rng = np.random.default_rng(2)
     raw, y = np.arange(12.0), rng.integers(0, 2, 12).astype(float)
