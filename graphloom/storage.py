@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_BYTES = 32 << 20  # of a table's files (or of the planner's estimate) that is sent to every executor
+
+_scopes: list[list[str]] = []
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("graphloom.scratch", None)
+    """The folder named in ``spark.checkpoint.dir``, which all executors share. Where it is unset, a
+    session on one machine uses a temporary folder; a cluster is an error, as its nodes share none."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir") or spark.conf.get("graphloom.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("graphloom.scratch", root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/graphloom/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/graphloom/{label}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all scratch tables made inside: for work whose result is stored by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -39,14 +68,14 @@ def discard(df: DataFrame) -> None:
     """Delete the files behind a ``materialize`` result that nothing reads any more."""
     path = getattr(df, "_graphloom_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` (cheap to count: a materialized table) has at most ``rows`` rows.
+    """Hint a broadcast only if ``df`` (cheap to count: a materialized table) has at most ``rows`` rows, and
+    at most BROADCAST_BYTES by its files.
 
     Beyond that the join stays a shuffle join, which AQE may split where keys are skewed.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
