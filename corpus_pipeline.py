@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import language_crf, prob_minhash, template_dedup, toxicity_gbt, variable_packing
-from graphloom.storage import broadcast_if_small, materialize, scratch_path
+from graphloom.storage import broadcast_if_small, materialize, scratch_path, scratch_scope
 
 LEAST_LANGUAGE_SHARE = 0.35  # mixed texts stay; only those without a leading language go
 
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines whose template recurs in an earlier one."""
-    out = template_dedup.drop_recurring(docs)
+    out = template_dedup.drop_recurring(docs)  # adds lines_dropped
     return out.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -51,16 +51,18 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The classifiers, the template tree and the packing fold have no SQL form; tests/llm compares
-#: the stages with brute force.
+#: The classifiers and the packing have no SQL form; tests/llm compares every stage with brute force, or
+#: with its model applied to single texts.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents; each one's result is written and read again."""
+    """Apply the stages to the documents; each one's result is written and read again. The tables that a
+    stage made on the way are deleted when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
