@@ -77,5 +77,5 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 
     Beyond that the join stays a shuffle join, which AQE may split where keys are skewed.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
