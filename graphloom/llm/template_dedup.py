@@ -32,16 +32,17 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _templates(lines: DataFrame) -> DataFrame:
-    """(leaf, h, template, constants) of lines: the line itself, and the templates that leave some of its
-    pieces open. A template is a hash; its first three tokens are those of the leaf."""
+    """(leaf, h, lo, hi, c, template, constants) of distinct lines: the line itself, and the templates that leave
+    some of its pieces open. A template is a hash, which takes in the leaf and so the first three tokens."""
     tokens = F.split("line", " ")
     n = F.size("t")
     bound = lambda i: F.floor(n * i / PARTS).cast("int")
     piece = lambda i: F.slice("t", bound(i) + 1, bound(i + 1) - bound(i))
     # of the tokens that the leaf does not fix
     fixed = lambda i: F.size(F.filter(F.slice("t", F.greatest(bound(i), F.lit(LEADING)) + 1, F.greatest(bound(i + 1) - F.greatest(bound(i), F.lit(LEADING)), F.lit(0))), lambda t: t != FIELD))
+    known = ["leaf", "h", "lo", "hi", "c"]
     cut = lines.withColumn("t", tokens).select(
-        "leaf", "h", n.alias("n"), F.size(F.filter("t", lambda t: t != FIELD)).alias("all"),
+        *known, n.alias("n"), F.size(F.filter("t", lambda t: t != FIELD)).alias("all"),
         F.array(*[F.xxhash64(F.array_join(piece(i), " ")) for i in range(PARTS)]).alias("p"), F.array(*[fixed(i) for i in range(PARTS)]).alias("k"),
     )
 
@@ -50,13 +51,13 @@ def _templates(lines: DataFrame) -> DataFrame:
         constants = F.col("all")
         for i in open_:
             constants = constants - F.col("k")[i]
-        return F.struct(F.xxhash64(*rest, *[F.lit(i) for i in open_]).alias("template"), constants.alias("constants"))
+        return F.struct(F.xxhash64("leaf", *rest, *[F.lit(i) for i in open_]).alias("template"), constants.alias("constants"))
 
     own = template()
     one = F.array(own, *[template(i) for i in range(PARTS)])
     two = F.array(own, *[template(i, j) for j in range(PARTS) for i in range(j)])
     every = F.when(F.col("n") >= PARTS, two).when(F.col("n") >= PARTS // 2, one).otherwise(F.array(own))
-    return cut.select("leaf", "h", F.explode(F.array_distinct(every)).alias("x")).select("leaf", "h", "x.template", "x.constants")
+    return cut.select(*known, F.explode(F.array_distinct(every)).alias("x")).select(*known, "x.template", "x.constants")
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,27 +65,28 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     not the document with its smallest id.
 
     Equal lines are counted first, so that each distinct line enters the tree once, and only where its
-    leaf has others. Templates depend on their line alone, so that they are counted by aggregates
-    with partial sums, however many lines a leaf holds."""
-    lines = _lines(docs.where(F.col(key).isNotNull()), key, text)
-    digest = F.unhex(F.md5("line"))
-    narrow = materialize(lines.select("doc", "pos", "leaf", digest.alias("h"), "wordy"), "lines")
-    stats = narrow.groupBy("leaf", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c"), F.first("wordy").alias("wordy"))
-    stats = materialize(stats, "line-stats")
+    leaf has others; a line is known by its leaf and its hash, 128 bits together. Templates depend on
+    their line alone, so that they are counted by aggregates with partial sums, however many
+    lines a leaf holds."""
+    lines = _lines(docs.where(F.col(key).isNotNull()), key, text).withColumn("h", F.xxhash64("line"))
+    line = ["leaf", "h"]
+    narrow = materialize(lines.select("doc", "pos", "leaf", "h", "wordy"), "lines")
+    counts = [F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c")]
+    stats = materialize(narrow.groupBy(*line).agg(*counts, F.first("wordy").alias("wordy")), "line-stats")
     leaves = stats.groupBy("leaf").agg(F.count("*").alias("k"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("k > 1 and a <> b")
     leaves = materialize(leaves.select("leaf"), "line-leaves")
     # one text for each distinct line; equal lines have equal texts
-    texts = lines.join(broadcast_if_small(leaves, 300_000), "leaf").withColumn("h", digest).groupBy("leaf", "h").agg(F.min("line").alias("line"))
+    texts = lines.join(broadcast_if_small(leaves, 300_000), "leaf").groupBy(*line).agg(F.min("line").alias("line"), *counts)
     under = materialize(_templates(texts), "line-templates")
-    seen = under.join(stats.select("leaf", "h", "lo", "hi", "c"), ["leaf", "h"])
-    keep = seen.groupBy("leaf", "template").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi"), F.sum("c").alias("n"), F.min("constants").alias("constants"))
-    keep = keep.where((F.col("keep") != F.col("hi")) & ((F.col("constants") >= WORDY) | (F.col("n") >= FEW_TIMES)))
-    keep = materialize(keep.select("leaf", "template", "keep"), "line-keep")
-    of_tree = under.join(broadcast_if_small(keep, 200_000), ["leaf", "template"]).groupBy("h").agg(F.min("keep").alias("keep"))
+    recur = (F.col("keep") != F.col("hi")) & ((F.col("constants") >= WORDY) | (F.col("n") >= FEW_TIMES))
+    keep = under.groupBy("template").agg(F.min("lo").alias("keep"), F.max("hi").alias("hi"), F.sum("c").alias("n"), F.min("constants").alias("constants"))
+    keep = materialize(keep.where(recur).select("template", "keep"), "line-keep")
+    # a sort-merge join at every size; AQE splits a template that many lines have
+    of_tree = under.select(*line, "template").join(keep.hint("merge"), "template").groupBy(*line).agg(F.min("keep").alias("keep"))
     lone = stats.join(broadcast_if_small(leaves, 300_000), "leaf", "left_anti")
-    lone = lone.where((F.col("lo") != F.col("hi")) & (F.col("wordy") | (F.col("c") >= FEW_TIMES))).select("h", F.col("lo").alias("keep"))
+    lone = lone.where((F.col("lo") != F.col("hi")) & (F.col("wordy") | (F.col("c") >= FEW_TIMES))).select(*line, F.col("lo").alias("keep"))
     drop = materialize(of_tree.unionByName(lone), "line-drop")
-    hit = narrow.select("doc", "pos", "h").join(broadcast_if_small(drop, 300_000), "h").where(F.col("doc") != F.col("keep"))
+    hit = narrow.select("doc", "pos", *line).join(broadcast_if_small(drop, 300_000), line).where(F.col("doc") != F.col("keep"))
     out = materialize(hit.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("positions")), "line-positions")
     for table in (narrow, stats, leaves, under, keep, drop):
         discard(table)
