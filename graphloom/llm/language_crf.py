@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import by_bytes
-from graphloom.llm.sampling import bounded_texts, hashed_sample, in_training
+from graphloom.llm.sampling import fit_on_sample, hashed_sample, in_training
 
 SAMPLE_ROWS = 1_000  # bound on the labelled documents that a model is fitted on
 LEAST_WORDS = 3  # a word is in the lexicon if so many training documents hold it
@@ -234,8 +234,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     most SAMPLE_BYTES of text; of rows that repeat an id the one with the smallest label and text counts."""
     known = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & in_training(F.col(key)))
     sample = hashed_sample(known.select(key).distinct(), key, rows)
-    got = bounded_texts(known.select(key, F.col(lang).alias("y"), F.col(text).alias("t")), sample, key)
-    return fit_texts(got["t"].tolist(), got["y"].tolist())
+    return fit_on_sample(known.select(key, F.col(lang).alias("y"), F.col(text).alias("t")), sample, key, fit_texts)
 
 
 def identify(docs: DataFrame, model: Crf, text: str = "text", label: str = "lang_pred", score: str = "lang_score") -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +38,13 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return materialize(df.orderBy(order, key).limit(rows), "sample")
 
 
-def bounded_texts(labelled: DataFrame, sample: DataFrame, key: str) -> pd.DataFrame:
-    """(key, y, t) for the keys of a ``sample``, on the driver: one row per key (the smallest label, then
-    the smallest text, where rows repeat a key), texts up to SAMPLE_CHARS, and of the keys in the order of
-    their hashes as many as have SAMPLE_BYTES of text together."""
+def fit_on_sample(labelled: DataFrame, sample: DataFrame, key: str, fit: Callable[[list, list], Any]) -> Any:
+    """``fit(texts, labels)`` for the keys of a ``sample``; ``labelled`` has (key, y, t).
+
+    There is one row per key (the smallest label, then the smallest text, where rows repeat a key), in the order
+    of keys; texts are cut at SAMPLE_CHARS, and of the keys in the order of their hashes as many
+    count as have SAMPLE_BYTES of text together. The fit runs in a task, which that bounds; the
+    driver only sees lengths and the model."""
     some = labelled.select(key, "y", F.substring("t", 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(sample), key)
     one = some.groupBy(key).agg(F.min(F.struct("y", "t")).alias("r"))
     one = materialize(one.select(key, "r.y", "r.t", F.xxhash64(F.col(key)).alias("order")), "sample-texts")
@@ -45,4 +52,10 @@ def bounded_texts(labelled: DataFrame, sample: DataFrame, key: str) -> pd.DataFr
     fits = sizes[sizes["n"].cumsum() <= SAMPLE_BYTES]
     if len(fits) < len(sizes):
         one = one.where(F.col("order") <= (int(fits["order"].max()) if len(fits) else -(2**63)))
-    return one.select(key, "y", "t").toPandas().sort_values(key, kind="stable")
+
+    def run(batches):
+        rows = sorted(((k, t, y) for b in batches for k, t, y in zip(b["key"], b["t"], b["y"])), key=lambda r: r[0])
+        yield pd.DataFrame({"model": [cloudpickle.dumps(fit([t for _, t, _ in rows], [y for _, _, y in rows]))]})
+
+    rows = one.select(F.col(key).alias("key"), "t", "y").repartition(1).mapInPandas(run, "model binary").collect()
+    return cloudpickle.loads(rows[0]["model"]) if rows else fit([], [])

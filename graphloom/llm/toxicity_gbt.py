@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import by_bytes
-from graphloom.llm.sampling import bounded_texts, hashed_sample, in_training
+from graphloom.llm.sampling import fit_on_sample, hashed_sample, in_training
 
 SAMPLE_ROWS = 8_000  # bound on the labelled rows that a model is fitted on
 LEXICON_UNITS = 5_000
@@ -231,8 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
     known = hashed_sample(known, key, rows)
     labelled = docs.select(key, F.col(text).alias("t")).join(F.broadcast(known), key)  # at most ``rows`` ids
-    got = bounded_texts(labelled, known.select(key), key)
-    return fit_texts(got["t"].tolist(), got["y"].to_numpy())
+    return fit_on_sample(labelled, known.select(key), key, fit_texts)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:

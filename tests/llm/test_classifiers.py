@@ -81,12 +81,14 @@ def test_bounded_samples(spark, monkeypatch):
     rows = [(1, "b" * 50, "z")] * 20_000 + [(1, "a" * 50, "z")] + [(i, "w" * 400, "q") for i in range(2, 60)] + [(70, "x" * 5000, "q"), (71, None, "q")]
     labelled = spark.createDataFrame(rows, "doc_id bigint, t string, y string")
     monkeypatch.setattr(sampling, "SAMPLE_CHARS", 500)
-    whole = sampling.bounded_texts(labelled, labelled.select("doc_id").distinct(), "doc_id")
-    assert whole["doc_id"].tolist() == [1, *range(2, 60), 70, 71] and whole["t"][0] == "a" * 50 and len(whole["t"][59]) == 500
+    keys = labelled.select("doc_id").distinct()
+    whole, labels = sampling.fit_on_sample(labelled, keys, "doc_id", lambda texts, ys: (texts, ys))
+    assert len(whole) == 61 and whole[0] == "a" * 50 and len(whole[59]) == 500 and whole[60] is None and labels[0] == "z"
     monkeypatch.setattr(sampling, "SAMPLE_BYTES", 4000)
-    some = sampling.bounded_texts(labelled, labelled.select("doc_id").distinct(), "doc_id")
-    assert 5 <= len(some) <= 14 and some["t"].str.len().sum() <= 4000
-    assert some.equals(sampling.bounded_texts(labelled.repartition(5), labelled.select("doc_id").distinct(), "doc_id"))
+    some = sampling.fit_on_sample(labelled, keys, "doc_id", lambda texts, ys: texts)
+    assert 5 <= len(some) <= 14 and sum(len(t or "") for t in some) <= 4000
+    assert some == sampling.fit_on_sample(labelled.repartition(5), keys, "doc_id", lambda texts, ys: texts)
+    assert sampling.fit_on_sample(labelled.limit(0), keys, "doc_id", lambda texts, ys: texts) == []
 
 
 def test_conflicting_labels(spark):
