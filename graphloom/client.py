@@ -43,6 +43,10 @@ class Client:
         hits = retrieval.search(self.embeddings, self._vector(text), limit or 20, model=self.embedder.model, only_active=True)
         return hits.join(self.current.withColumnRenamed("id", "node_id"), "node_id").orderBy("rank")
 
+    def api_search(self, text: str, limit: int | None = 10, namespace: str | None = None, others: DataFrame | None = None) -> DataFrame:
+        """The search of the web interface; see ``retrieval.api_search``."""
+        return retrieval.api_search(self.embeddings, self._vector(text), self.current, clamp_limit(limit), namespace, self.embedder.model, others)
+
     def query(self, text: str, depth: int | None = None, budget: int | None = None, include_superseded: bool = False, mode: str = "adjacency") -> DataFrame:
         """One row: the packed document; an empty one where the search finds nothing."""
         packed = retrieval.context_query(
@@ -120,9 +124,9 @@ class Client:
 
     def tag_matching(self, text: str, tag: str, limit: int | None = None) -> DataFrame:
         """Tag what a search finds; ids that have the tag count as well."""
-        ids = [r["node_id"] for r in self.search(text, clamp_limit(limit)).select("node_id").collect()]
-        self.curator.nodes = mutations.tag(self.current, F.col("id").isin(*ids), tag)
-        return self.current.where(F.col("id").isin(*ids)).select("id", "tags")
+        hits = self.search(text, clamp_limit(limit)).select("node_id")
+        self.curator.nodes, found = mutations.tag_hits(self.current, hits, tag)
+        return self.current.join(found, "id", "left_semi").select("id", "tags")
 
     def command(self, line: str, selection: tuple[str, ...] = ()) -> DataFrame:
         return self.curator.run(line, selection)

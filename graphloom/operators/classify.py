@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,6 +16,7 @@ from graphloom.schema import is_active
 
 CANDIDATE, SUPERSEDE, UPDATE, NOOP = 0.60, 0.65, 0.80, 0.95
 CANDIDATES = 5
+PROMPT_CANDIDATES, CONTEXT_BYTES = 3, 500  # what a model reads
 
 
 def by_threshold(hits: DataFrame, nodes: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -31,10 +33,41 @@ def by_threshold(hits: DataFrame, nodes: DataFrame, incoming: DataFrame) -> Data
     return out.select("query_id", action.alias("action"), F.when(action != "add", F.col("node_id")).alias("target"), s.alias("score"))
 
 
+def prompt(node: dict, candidates: list[dict]) -> str:
+    """The question to a language model: the incoming node, at most three candidates, and the form of the answer."""
+    context = (node.get("context") or "").encode()[:CONTEXT_BYTES].decode("utf-8", "replace")
+    lines = ["Incoming node:", f"  ID: {node.get('id') or ''}", f"  Type: {node.get('type') or ''}", f"  Summary: {node.get('summary') or ''}", f"  Context: {context}", ""]
+    lines.append("Similar existing nodes:" if candidates else "No similar existing nodes found.")
+    for k, c in enumerate(candidates[:PROMPT_CANDIDATES], 1):
+        lines += [f"  [{k}] ID: {c['node_id']}", f"      Summary: {c.get('summary') or ''}", f"      Similarity score: {c['score']:.4f}"]
+    return "\n".join([*lines, "", "Classify the operation and respond with only valid JSON."])
+
+
+def parse_reply(text: str) -> dict:
+    """{action, target, confidence, reasoning} of a model's answer: the JSON object between the first and last
+    brace, whatever fences or words are around it. Anything else is an add with confidence 0.1."""
+    fallback = {"action": "add", "target": None, "confidence": 0.1, "reasoning": "fallback: could not parse LLM response"}
+    start, end = text.find("{"), text.rfind("}")
+    try:
+        got = json.loads(text[max(start, 0) : end + 1])
+        action = str(got.get("action") or "").lower()
+        if action not in ("add", "update", "supersede", "noop"):
+            return fallback
+        return {"action": action, "target": got.get("target_node_id") or None, "confidence": float(got.get("confidence") or 0.0), "reasoning": str(got.get("reasoning") or "")}
+    except (ValueError, AttributeError, TypeError):
+        return fallback
+
+
+def model_judge(ask: Callable[[str], str]) -> Callable[[dict], dict]:
+    """A judge for ``classify`` from a function that sends a prompt to a language model."""
+    return lambda case: parse_reply(ask(prompt({"id": case["id"], **(case.get("node") or {})}, json.loads(case["candidates"]))))
+
+
 def classify(incoming: DataFrame, nodes: DataFrame, embeddings: DataFrame, model: str | None = None, judge: Callable[[dict], dict] | None = None) -> DataFrame:
     """Classify nodes to be written (query_id, embedding[, summary]); vectors that are missing mean add.
 
-    ``judge`` may decide instead: it gets {id, candidates} of at most five and answers {action, target, confidence};
+    ``judge`` may decide instead (``model_judge`` makes one from a language model): it gets {id, node, candidates} with at
+    most five candidates as JSON and answers {action, target, confidence};
     where it fails or says something else, the node is added with 0.1."""
     usable = incoming.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     hits = find_similar(embeddings, usable.select("query_id", "embedding"), CANDIDATE, model)
@@ -43,18 +76,20 @@ def classify(incoming: DataFrame, nodes: DataFrame, embeddings: DataFrame, model
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     top = hits.where("node_id <> query_id").join(nodes.select(F.col("id").alias("node_id"), "summary"), "node_id")
     top = top.withColumn("r", F.row_number().over(w)).where(F.col("r") <= CANDIDATES)
-    asked = incoming.select("query_id").distinct().join(
+    told = [c for c in ("type", "summary", "context") if c in incoming.columns]
+    node = F.to_json(F.struct(*told)) if told else F.lit("{}")
+    asked = incoming.groupBy("query_id").agg(F.min(node).alias("node")).join(
         top.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("r", "node_id", "summary", "score")))).alias("candidates")), "query_id", "left"
     )
 
     def decide(batches):
         for batch in batches:
             rows = []
-            for qid, cand in zip(batch["query_id"], batch["candidates"]):
+            for qid, node, cand in zip(batch["query_id"], batch["node"], batch["candidates"]):
                 answer = {"action": "add", "target": None, "confidence": 1.0}
                 if cand:
                     try:
-                        got = judge({"id": qid, "candidates": cand})
+                        got = judge({"id": qid, "candidates": cand, "node": json.loads(node)})
                         answer = got if got.get("action") in ("add", "update", "supersede", "noop") else {"action": "add", "confidence": 0.1}
                     except Exception:  # noqa: BLE001  a failing provider must not lose the write
                         answer = {"action": "add", "confidence": 0.1}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.storage import materialize
+
 METRICS = ("quality", "turns", "tokens", "cost_usd", "duration_ms")
 
 
@@ -18,20 +20,35 @@ def judge_average(correctness: str, completeness: str, specificity: str):
     return (F.col(correctness) + F.col(completeness) + F.col(specificity)) / 3
 
 
+INLINE_KEYS = 10_000  # hashes of items that travel with the plan
+
+
 def hits(items: DataFrame, texts: DataFrame, words: int = 8) -> DataFrame:
     """(item_id, doc_id): documents that contain the whole text of an item.
 
-    Items and documents meet on the hash of the item's first words, at every place where a document
-    has that run of words; then the containment is checked."""
-    runs = lambda c: F.split(F.lower(c), r"\s+")
-    head = items.select("item_id", F.col("text").alias("needle"), F.xxhash64(F.array_join(F.slice(runs("text"), 1, words), " ")).alias("k"), F.least(F.size(runs("text")), F.lit(words)).alias("w"))
-    lengths = [r["w"] for r in head.select("w").distinct().collect()]
-    tokens = texts.select("doc_id", F.col("text").alias("hay"), runs("text").alias("t"))
-    # a lambda with two arguments would get the index as the second
-    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - n + 1))
-    at = lambda n: lambda i: F.xxhash64(F.array_join(F.slice("t", i, n), " "))
-    keys = F.array_distinct(F.flatten(F.array(*[F.transform(starts(n), at(n)) for n in lengths])))
-    found = tokens.select("doc_id", "hay", F.explode(keys).alias("k")).join(head, "k")
+    The first and last word of an item may be parts of longer words of a document, but those between are
+    whole words there. So items of three words and more meet documents on the hash of their first ``words``
+    inner words; shorter ones on their characters. Then the containment is checked. Places are looked at
+    inside each document, and only those with the hash of some item leave it. Empty and null items are left
+    out; null texts contain nothing."""
+    items = items.select("item_id", F.col("text").alias("needle")).where("needle is not null")
+    split = F.split("needle", r"\s+")
+    inner = F.slice(split, 2, F.greatest(F.size(split) - 2, F.lit(0)))
+    run = F.slice(inner, 1, words)
+    head = items.withColumn("w", F.size(run)).withColumn("n", F.length("needle"))
+    head = head.withColumn("k", F.when(F.col("w") > 0, F.xxhash64(F.array_join(run, " "))).otherwise(F.xxhash64("needle")))
+    head = materialize(head.where("n > 0"), "items")
+    kinds = [(r["w"], r["n"]) for r in head.select("w", F.when(F.col("w") == 0, F.col("n")).alias("n")).distinct().collect()]  # a few lengths
+    docs = texts.select("doc_id", F.col("text").alias("hay")).where("hay is not null")
+    if not kinds:
+        return items.join(docs, F.col("needle") == F.col("hay")).select("item_id", "doc_id").limit(0)
+    keys = [r["k"] for r in head.select("k").distinct().limit(INLINE_KEYS + 1).collect()]
+    wanted = (lambda k: k.isin(*keys)) if len(keys) <= INLINE_KEYS else (lambda k: k.isNotNull())
+    tokens = docs.withColumn("t", F.split("hay", r"\s+"))
+    of_words = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - n + 1)), lambda i: F.xxhash64(F.array_join(F.slice("t", i, n), " ")))
+    of_chars = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("hay") - n + 1)), lambda i: F.xxhash64(F.substr("hay", i, F.lit(n))))
+    places = [F.filter(of_words(w) if w else of_chars(n), wanted) for w, n in kinds]
+    found = tokens.select("doc_id", "hay", F.explode(F.array_distinct(F.flatten(F.array(*places)))).alias("k")).join(head.select("item_id", "needle", "k"), "k")
     return found.where(F.col("hay").contains(F.col("needle"))).select("item_id", "doc_id").distinct()
 
 
@@ -69,6 +86,11 @@ def pending(questions: DataFrame, done: DataFrame) -> DataFrame:
     return questions.join(done.select("id"), "id", "left_anti")
 
 
+def json_lines(summary: DataFrame) -> DataFrame:
+    """(line): the averages, a JSON object each."""
+    return summary.select(F.to_json(F.struct(*summary.columns)).alias("line"))
+
+
 def as_json(summary: DataFrame) -> list[str]:
     """The averages, a JSON line each."""
-    return [r["j"] for r in summary.orderBy("condition", "metric").select(F.to_json(F.struct(*summary.columns)).alias("j")).collect()]
+    return [r["line"] for r in json_lines(summary.orderBy("condition", "metric")).collect()]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
 from graphloom.schema import LIST_CAP, STRUCTURAL_RELATIONS, blank, edge_class, is_active
-from graphloom.storage import materialize
+from graphloom.storage import broadcast_if_small, discard, materialize
+
+NEAR_BYTES = 2 << 20  # files of ids that are sent to a scan
 
 
 def edges_of(nodes: DataFrame) -> DataFrame:
@@ -26,6 +28,13 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def near(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` whose ``key`` is among ``ids`` (a written table with that one column, or ``id``). Few
+    ids are sent to the scan as a semi join, which the planner moves below unions and projections."""
+    ids = ids.toDF(key)
+    return table.join(broadcast_if_small(ids, size=NEAR_BYTES), key, "left_semi")
+
+
 def adjacent(edges: DataFrame, ids: DataFrame, direction: str = "out") -> DataFrame:
     """Edges that leave (out), enter (in) or touch (both) the given ids."""
     parts = []
@@ -87,7 +96,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str =
     seen, level = front, 0
     while depth is None or level < depth:
         level += 1
-        step = front.select(*by, F.col("id").alias("src")).join(steps, "src")
+        step = front.select(*by, F.col("id").alias("src")).join(near(steps, front.select("id"), "src"), "src")
         step = step.select(*by, F.col("dst").alias("id")).distinct().join(seen, [*by, "id"], "left_anti")
         front = materialize(step.withColumn("depth", F.lit(level)), "bfs")
         if front.isEmpty():
@@ -145,7 +154,8 @@ def cycle_residual(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     live = materialize(within(edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS)), nodes).select("src", "dst"), "kahn")
     n = live.count()
     while n:
-        live = materialize(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "kahn")
+        before, live = live, materialize(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "kahn")
+        discard(before)
         m = live.count()
         if m == n:
             break

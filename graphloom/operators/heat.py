@@ -9,12 +9,10 @@ LEARNING_RATE, DECAY_RATE, DECAY_FLOOR, PROMOTION, VISIBLE = 0.1, 0.95, 0.05, 0.
 
 
 def pairs(access: DataFrame, query: str = "query_id", node: str = "node_id") -> DataFrame:
-    """(query, a, b) with a < b for ids read by one query.
-
-    Pairs are formed within a query's own id list, which the ranking before it bounds (ten entries)."""
-    ids = access.groupBy(query).agg(F.array_sort(F.collect_set(node)).alias("ids"))
-    listed = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return ids.select(query, F.explode(listed).alias("p")).select(query, "p.a", "p.b")
+    """(query, a, b) with a < b for ids read by one query: its result list, which the ranking before
+    bounds to ten entries, meets itself."""
+    ids = access.select(query, node).distinct()
+    return ids.withColumnRenamed(node, "a").join(ids.withColumnRenamed(node, "b"), query).where("a < b").select(query, "a", "b")
 
 
 def accumulate(pair_rows: DataFrame, rate: float = LEARNING_RATE, by: tuple = ()) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import content_hash, infer_type, suggestion_id
-from graphloom.operators.graph import active, bfs, component_sizes, cycle_residual, dangling, edges_of, first_by, orphans
+from graphloom.operators.federation import model_skew
+from graphloom.operators.graph import active, bfs, cycle_residual, dangling, edges_of, first_by, orphans, within
 from graphloom.operators.retrieval import search
 from graphloom.schema import EXTERNAL_RELATIONS, SUPERSEDED, blank, severity_rank
+from graphloom.storage import materialize
 
 ISSUE = ("node_id", "issue_type", "message", "severity")
 DUPLICATE_SCORE = 0.95
@@ -106,6 +108,18 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(F.count("*").alias("n"))
 
 
+def small_components(live: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_ids): connected components of one or two nodes. They show in the neighbours of their members: none, or
+    one that has no other; so no search over the graph is needed."""
+    inside = within(edges.select("src", "dst"), live).where("src <> dst")
+    pairs = inside.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionAll(inside.select("dst", "src")).distinct()
+    pairs = materialize(pairs, "neighbours")
+    alone = live.select("id").join(pairs.select("id"), "id", "left_anti").select(F.array("id").alias("node_ids"))
+    one = pairs.groupBy("id").agg(F.count("*").alias("n"), F.first("other").alias("other")).where("n = 1")
+    two = one.select("id", "other").join(one.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).where("id < other")
+    return alone.unionByName(two.select(F.array("id", "other").alias("node_ids")))
+
+
 def _suggest(df: DataFrame, kind: str, severity: str, message: Column, command: Column, args: Column | None = None, auto: bool = False, order: int = 0) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     return df.select(
@@ -124,8 +138,8 @@ def duplicates(nodes: DataFrame, embeddings: DataFrame, vectors: DataFrame, mode
 
 def suggestions(nodes: DataFrame, files: DataFrame | None = None, embeddings: DataFrame | None = None, vectors: DataFrame | None = None,
                 model: str | None = None, disconnected: bool = True, edges: DataFrame | None = None) -> DataFrame:
-    """All suggestions on active nodes, each id once; the search for small components, which iterates,
-    can be left out. ``edges`` may be a table in place of the nodes' lists."""
+    """All suggestions on active nodes, each id once; small components can be left out. ``edges`` may be a table in
+    place of the nodes' lists."""
     live = active(nodes)
     edges = edges_of(nodes) if edges is None else edges
     lone = lambda df: df.withColumn("node_ids", F.array("id"))
@@ -145,9 +159,7 @@ def suggestions(nodes: DataFrame, files: DataFrame | None = None, embeddings: Da
     parts.append(_suggest(bare, "untyped", "warning", say('Node "%s" has no type', "id"), say("/type %s", "guess"),
                           F.create_map(F.lit("node_id"), F.col("id"), F.lit("suggested_type"), F.col("guess")), order=5))
     if disconnected and len(live.select("id").head(SMALL_COMPONENT)) == SMALL_COMPONENT:
-        # members of components of one or two nodes
-        small = component_sizes(live, edges).where(F.col("size") < SMALL_COMPONENT)
-        small = small.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("node_ids"))
+        small = small_components(live, edges)
         parts.append(_suggest(small, "disconnected", "info", say("Small disconnected subgraph with %d node(s)", F.size("node_ids")), F.lit("/link"),
                               F.create_map(F.lit("node_ids"), F.array_join("node_ids", ",")), order=6))
     out = parts[0]
@@ -183,23 +195,50 @@ def namespace_doctor(nodes: DataFrame, namespaces: DataFrame, bridges: DataFrame
     return out
 
 
-def catalog_doctor(projects: DataFrame, bridges: DataFrame, state: DataFrame) -> DataFrame:
-    """(subject, code) over a catalog of projects (project_id, vault_id, path, readonly, has_metadata, has_config), its
-    bridges and the workspace state (project_id, active, editable, materialized)."""
-    tell = lambda df, code, c="project_id": df.select(F.col(c).cast("string").alias("subject"), F.lit(code).alias("code"))
+def catalog_doctor(catalog: str, projects: DataFrame, bridges: DataFrame, ignored: bool = True, cache_inside: bool = False) -> DataFrame:
+    """(subject, code, severity): problems of a catalog of projects.
+
+    projects: project_id, path, and what was found there: exists, is_directory, metadata (read, or null where it cannot
+    be), meta_project_id, meta_warren_id, vault_id, model (null without embeddings), schema_current; bridges: source, target. A project whose
+    folder is missing or no folder is not looked into."""
+    tell = lambda df, code, severity, c="project_id": df.select(F.col(c).cast("string").alias("subject"), F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    there = projects.where("exists AND is_directory")
+    read = there.where(F.col("metadata").isNotNull())
+    owners = read.where(blank(F.col("vault_id")) != "").groupBy("vault_id").agg(F.min("project_id").alias("owner"), F.count("*").alias("n")).where("n > 1")
+    again = read.join(owners, "vault_id").where("project_id <> owner")
     known = projects.select("project_id")
-    many = lambda c: projects.where(blank(F.col(c)) != "").groupBy(c).count().where("count > 1")
-    ends = bridges.select(F.explode(F.array("source", "target")).alias("project_id")).distinct()
+    ends = lambda side: bridges.join(known.withColumnRenamed("project_id", side), side, "left_anti")
+    skewed = model_skew(there.where("model is not null").select("project_id", "model")).where("skewed")
+    one = projects.sparkSession.createDataFrame([(catalog,)], "project_id string")
+    parts = [
+        tell(one.where(F.lit(not ignored)), "lockfile_not_ignored", "info"), tell(one.where(F.lit(cache_inside)), "materialized_cache_in_warren", "warning"),
+        tell(projects.where(F.col("path").startswith("/")), "absolute_project_path", "warning"), tell(projects.where("NOT exists"), "project_missing", "error"),
+        tell(projects.where("exists AND NOT is_directory"), "project_not_directory", "error"), tell(there.where(F.col("metadata").isNull()), "metadata_unreadable", "warning"),
+        tell(read.where("meta_project_id <> project_id"), "project_id_mismatch", "error"), tell(read.where(F.col("meta_warren_id") != catalog), "warren_id_mismatch", "error"),
+        tell(again, "duplicate_vault_id", "error"), tell(there.where("model is null"), "embeddings_missing", "warning"),
+        tell(there.where("model is not null AND NOT schema_current"), "schema_stale", "warning"), tell(skewed, "model_skew", "warning"),
+        tell(ends("source"), "bridge_source_missing", "error", "source"), tell(ends("target"), "bridge_target_missing", "error", "target"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def workspace_doctor(local: str, mounts: DataFrame, catalogs: DataFrame, routes: DataFrame, here: str) -> DataFrame:
+    """(subject, code, severity): problems of a workspace.
+
+    mounts: catalog, project_id, vault_id, active, editable, materialized; catalogs: catalog, reachable; routes: vault_id, path;
+    ``local`` is the workspace's vault id and ``here`` its path. A project with the local vault id is the workspace
+    itself: no mount, edit or copy of it makes sense."""
+    tell = lambda df, code, severity, c="project_id": df.select(F.col(c).cast("string").alias("subject"), F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    own = mounts.where(F.col("vault_id") == local)
+    rest = mounts.where(blank(F.col("vault_id")) != "").where(F.col("vault_id") != local).where("active")
+    twice = rest.groupBy("vault_id").agg(F.count_distinct(F.struct("catalog", "project_id")).alias("n")).where("n > 1")
     parts = [
-        tell(projects.where(blank(F.col("project_id")) == ""), "empty_project_id"), tell(many("project_id"), "duplicate_project_id"),
-        tell(many("vault_id"), "duplicate_vault_id", "vault_id"), tell(many("path"), "duplicate_path", "path"),
-        tell(projects.where(blank(F.col("path")) == ""), "missing_path"), tell(projects.where(F.col("path").startswith("/") | F.col("path").contains("..")), "path_escapes"),
-        tell(projects.where(~F.col("has_metadata")), "missing_metadata"), tell(projects.where(~F.col("has_config")), "missing_config"),
-        tell(projects.where(blank(F.col("vault_id")) == ""), "missing_vault_id"), tell(ends.join(known, "project_id", "left_anti"), "bridge_unknown_project"),
-        tell(bridges.where("source = target"), "bridge_self", "source"), tell(bridges.where(F.size(F.coalesce("allowed_relations", F.array())) == 0), "bridge_no_relations", "source"),
-        tell(state.where("active").join(known, "project_id", "left_anti"), "active_unknown_project"), tell(state.where("editable and not active"), "editable_not_active"),
-        tell(state.where("editable").join(projects.where("readonly").select("project_id"), "project_id", "left_semi"), "editable_readonly"),
-        tell(state.where("active and not materialized and not editable"), "active_not_materialized"), tell(state.where("materialized").join(known, "project_id", "left_anti"), "stale_cache"),
+        tell(own, "self_identity", "info"), tell(own.where("active"), "self_alias_mount", "warning"), tell(own.where("editable"), "self_alias_editable", "warning"),
+        tell(own.where("materialized"), "self_alias_materialized", "warning"), tell(twice, "vault_id_collision_workspace", "error", "vault_id"),
+        tell(catalogs.where("NOT reachable"), "warren_unreachable", "warning", "catalog"), tell(routes.where((F.col("vault_id") == local) & (F.col("path") != here)), "local_route_mismatch", "warning", "vault_id"),
     ]
     out = parts[0]
     for p in parts[1:]:

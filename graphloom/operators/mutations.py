@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import edges_of, upsert, would_cycle
-from graphloom.schema import ACTIVE, CURATOR_TYPES, RELATIONS, STRUCTURAL_RELATIONS, SUPERSEDED, is_active
+from graphloom.schema import ACTIVE, CURATOR_TYPES, RELATIONS, STRUCTURAL_RELATIONS, SUPERSEDED, is_active, normal_namespace
 
 UNDO_CAP, MUTATION_CAP, BULK_LEAST = 50, 50, 5
 
@@ -40,6 +40,14 @@ def set_type(nodes: DataFrame, ids: Column, kind: str) -> DataFrame:
     return _change(nodes, ids, type=F.lit(kind))
 
 
+def tag_hits(nodes: DataFrame, hits: DataFrame, *tags: str, namespace: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, ids): what a search found (``hits``: node_id) gets the tags; ids that have them count as well."""
+    found = nodes.where(normal_namespace() == namespace) if namespace else nodes
+    found = found.join(hits.select(F.col("node_id").alias("id")).distinct(), "id", "left_semi").select("id")
+    marked = nodes.join(found.withColumn("_hit", F.lit(True)), "id", "left")
+    return tag(marked, F.coalesce("_hit", F.lit(False)), *tags).select(nodes.columns), found
+
+
 def delete(nodes: DataFrame, ids: Column, now: str, by: str | None = None) -> DataFrame:
     """Soft: active nodes become superseded as of now."""
     hit = ids & is_active()

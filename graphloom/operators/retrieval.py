@@ -8,53 +8,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import escape_html, qualified, quote, token_estimate
-from graphloom.operators.graph import first_by
-from graphloom.schema import blank, is_active
+from graphloom.operators.graph import first_by, near
+from graphloom.schema import blank, is_active, normal_namespace
 from graphloom.storage import materialize
 
-QUERY_BLOCK = 4_096  # query vectors that travel with a task
-SCAN_BLOCK = 128  # query vectors whose distances to a batch are held at once
+FEW_QUERIES = 4_096  # query vectors that travel with the tasks; more stream past dealt rows
+SCAN_BLOCK = 128  # query vectors whose distances to a block of rows are held at once
+SHARD_ROWS = 65_536
 SIMILAR_CAP = 10
 
 
-def _nearest(distance: np.ndarray, rows: np.ndarray, keep: int, slack: float) -> np.ndarray:
-    """The rows of the ``keep`` least distances and all that may tie with the last of them, or are no numbers."""
-    return rows if len(rows) <= keep else rows[~(distance[rows] > np.partition(distance[rows], keep - 1)[keep - 1] + slack)]
+class _Block:
+    """Rows to be searched: a matrix, ids, and the rows of every group ``by``."""
+
+    def __init__(self, frame: pd.DataFrame, by: list[str]):
+        self.X = np.array([np.asarray(v, np.float64) for v in frame["embedding"]])
+        self.names = frame["node_id"].to_numpy()
+        self.square = (self.X**2).sum(1)
+        self.groups = [(key if isinstance(key, tuple) else (key,), at) for key, at in frame.groupby(by, sort=False).indices.items()] if by else [((), np.arange(len(frame)))]
+
+    def best(self, ids: list, vectors: np.ndarray, keep: int | None, least: float | None, by: list[str]) -> pd.DataFrame:
+        """The best rows of every group for each query, ties to the smaller id.
+
+        Squared distances by a matrix product, whose rounding ``slack`` covers, only choose the rows to score."""
+        out: list[tuple] = []
+        for start in range(0, len(ids), SCAN_BLOCK):
+            Q = vectors[start : start + SCAN_BLOCK]
+            own = (Q**2).sum(1)
+            far = self.square + own[:, None] - 2 * Q @ self.X.T
+            for qid, q, norm, d in zip(ids[start : start + SCAN_BLOCK], Q, own, far):
+                slack = 1e-9 * (1 + norm + self.square.max())
+                for key, rows in self.groups:
+                    near = rows
+                    if keep is not None and len(rows) > keep:  # not below the last of the best, ties and odd numbers included
+                        near = rows[~(d[rows] > np.partition(d[rows], keep - 1)[keep - 1] + slack)]
+                    if least is not None and least > 0:
+                        near = near[~(d[near] > max(1 / least - 1, 0) ** 2 + slack)]
+                    score = 1 / (1 + np.sqrt(((self.X[near] - q) ** 2).sum(1)))
+                    if least is not None:
+                        near, score = near[score >= least], score[score >= least]
+                    if keep is not None and len(near) > keep:
+                        top = np.lexsort((self.names[near], -score))[:keep]
+                        near, score = near[top], score[top]
+                    if len(near):
+                        out.append((key, qid, near, score))
+        sizes = [len(o[2]) for o in out]
+        frame = pd.DataFrame({c: np.repeat(np.array([o[0][i] for o in out], object), sizes) for i, c in enumerate(by)})
+        frame["query_id"] = np.repeat(np.array([o[1] for o in out], object), sizes)
+        frame["node_id"] = np.concatenate([self.names[o[2]] for o in out]) if out else np.zeros(0, object)
+        frame["score"] = np.concatenate([o[3] for o in out]) if out else np.zeros(0)
+        return frame
 
 
 def _scan(ids: list, vectors: np.ndarray, keep: int | None, least: float | None, by: list[str]):
-    """Scores of every row of a batch against a block of queries; each batch keeps its best rows.
-
-    Squared distances by a matrix product, whose rounding ``slack`` covers, only choose the rows to score."""
+    """Score the rows where they lie, against the queries that came with the task."""
 
     def run(batches):
         for batch in batches:
             batch = batch[batch["embedding"].map(lambda v: v is not None and len(v) == vectors.shape[1])]
-            if batch.empty:
-                continue
-            X = np.array([np.asarray(v, np.float64) for v in batch["embedding"]])
-            batch = batch.drop(columns="embedding").reset_index(drop=True)
-            groups = list(batch.groupby(by, sort=False).indices.values()) if by else [np.arange(len(batch))]
-            square, every = (X**2).sum(1), np.arange(len(X))
-            for start in range(0, len(ids), SCAN_BLOCK):
-                Q = vectors[start : start + SCAN_BLOCK]
-                own = (Q**2).sum(1)
-                far = square + own[:, None] - 2 * Q @ X.T
-                rows, scores = [], []
-                for q, norm, d in zip(Q, own, far):
-                    slack = 1e-9 * (1 + norm + square.max())
-                    near = every if keep is None else np.concatenate([_nearest(d, g, keep, slack) for g in groups])
-                    near = near if least is None or least <= 0 else near[~(d[near] > max(1 / least - 1, 0) ** 2 + slack)]
-                    score = 1 / (1 + np.sqrt(((X[near] - q) ** 2).sum(1)))
-                    real = slice(None) if least is None else score >= least
-                    rows.append(near[real])
-                    scores.append(score[real])
-                at = np.repeat(np.arange(len(Q)), [len(r) for r in rows])
-                hits = batch.iloc[np.concatenate(rows)].assign(query_id=np.array(ids[start : start + SCAN_BLOCK])[at], score=np.concatenate(scores), at=at)
-                hits = hits.sort_values(["at", "score", "node_id"], ascending=[True, False, True], kind="stable")
-                if keep is not None:
-                    hits = hits.groupby([*by, "at"], sort=False).head(keep)
-                yield hits[[*by, "query_id", "node_id", "score"]]
+            if len(batch):
+                yield _Block(batch, by).best(ids, vectors, keep, least, by)
+
+    return run
+
+
+def _stream(keep: int | None, least: float | None, by: list[str]):
+    """Rows come by shard and length, first those to be searched, then the queries, which stream by."""
+
+    def run(batches):
+        key, held, block = None, [], None
+        for batch in batches:
+            for (shard, dim, asks), part in batch.groupby(["shard", "dim", "asks"], sort=True):
+                if (shard, dim) != key:
+                    key, held, block = (shard, dim), [], None
+                if not asks:
+                    held.append(part)
+                elif held or block:
+                    if block is None:
+                        block, held = _Block(pd.concat(held), by), []
+                    yield block.best(part["query_id"].tolist(), np.array([np.asarray(v, np.float64) for v in part["embedding"]]), keep, least, by)
 
     return run
 
@@ -66,37 +98,44 @@ def search(
     """(by..., query_id, node_id, score, rank): the ``k`` best rows per query (and group ``by``),
     score 1 / (1 + L2), ties to the smaller id; with ``least`` only scores from there on.
 
-    Rows are scored where they lie, in Arrow batches against blocks of query vectors, and only each
-    batch's best rows are shuffled. ``strict`` raises on a row of another model or dimension;
+    Few queries travel with the tasks, and rows are scored where they lie. Many are dealt: the rows
+    go once to shards of about 65536, and every query streams past each shard, in blocks. Either way
+    only each part's best rows are shuffled. ``strict`` raises on a row of another model or dimension;
     otherwise other models are left out."""
     by = by or []
+    spark = embeddings.sparkSession
     if strict and model is not None and not embeddings.where(F.col("model") != model).isEmpty():
         raise ValueError(f"the store holds rows of other models than {model!r}")
     rows = embeddings.where(is_active()) if only_active else embeddings
     rows = rows.where(F.col("model") == model) if model is not None else rows
+    asked = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
+    if strict:
+        widths = [r[0] for r in asked.select(F.size("embedding")).distinct().limit(2).collect()]
+        if len(widths) > 1 or widths and not rows.where(F.size("embedding") != widths[0]).isEmpty():
+            raise ValueError(f"the store holds vectors of other dimensions than {widths}")
     types = dict(embeddings.dtypes)
-    columns = [*by, "node_id", "embedding"]
     kind = dict(queries.dtypes)["query_id"]
-    out, after = None, None
-    while True:  # blocks of queries, in the order of their ids
-        block = queries.select("query_id", "embedding").where(F.lit(True) if after is None else F.col("query_id") > after)
-        block = block.orderBy("query_id").limit(QUERY_BLOCK).collect()
-        if not block:
-            break
-        after = block[-1]["query_id"]
-        width = max(len(r["embedding"]) for r in block)
-        if strict and not rows.where(F.size("embedding") != width).isEmpty():
-            raise ValueError(f"the store holds vectors of other dimensions than {width}")
-        matrix = np.array([np.asarray(r["embedding"], np.float64) for r in block if len(r["embedding"]) == width])
-        ids = [r["query_id"] for r in block if len(r["embedding"]) == width]
-        schema = ", ".join([f"{c} {types[c]}" for c in by] + [f"query_id {kind}", f"node_id {types['node_id']}", "score double"])
-        part = rows.select(*columns).mapInPandas(_scan(ids, matrix, k, least, by), schema)
-        out = part if out is None else out.unionByName(part)
-        if len(block) < QUERY_BLOCK:
-            break
-    if out is None:
-        schema = ", ".join([f"{c} {types[c]}" for c in by] + [f"query_id {kind}", f"node_id {types['node_id']}", "score double"])
-        out = embeddings.sparkSession.createDataFrame([], schema)
+    schema = ", ".join([f"{c} {types[c]}" for c in by] + [f"query_id {kind}", f"node_id {types['node_id']}", "score double"])
+    first = asked.limit(FEW_QUERIES + 1).collect()
+    if len(first) <= FEW_QUERIES:
+        out = None
+        for width in sorted({len(r["embedding"]) for r in first}):  # as a rule one
+            some = [r for r in first if len(r["embedding"]) == width]
+            matrix = np.array([np.asarray(r["embedding"], np.float64) for r in some])
+            part = rows.select(*by, "node_id", "embedding").mapInPandas(_scan([r["query_id"] for r in some], matrix, k, least, by), schema)
+            out = part if out is None else out.unionByName(part)
+        out = spark.createDataFrame([], schema) if out is None else out
+    else:
+        n = rows.count()
+        shards = max(1, -(-n // SHARD_ROWS), min(spark.sparkContext.defaultParallelism, n // 2048))
+        none = [F.lit(None).cast(types[c]).alias(c) for c in by]
+        store = rows.where(F.size("embedding") > 0).select(
+            *by, "node_id", F.lit(None).cast(kind).alias("query_id"), "embedding", F.lit(False).alias("asks"), F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+        asking = asked.select(*none, F.lit(None).cast(types["node_id"]).alias("node_id"), "query_id", "embedding", F.lit(True).alias("asks"), every.alias("shard"))
+        dealt = store.unionByName(asking).withColumn("dim", F.size("embedding"))
+        dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
+        out = dealt.mapInPandas(_stream(k, least, by), schema)
     w = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "node_id")
     ranked = out.withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k) if k is not None else ranked
@@ -124,6 +163,22 @@ def federated(embeddings: DataFrame, queries: DataFrame, local: str = "", k_loca
     return dedupe_rank(named.drop("rank"), limit)
 
 
+def api_search(embeddings: DataFrame, queries: DataFrame, nodes: DataFrame, limit: int = 10, namespace: str | None = None,
+               model: str | None = None, others: DataFrame | None = None) -> DataFrame:
+    """(query_id, node_id, score, rank, type, summary, namespace): the best rows of the store, superseded ones
+    included, and of other vaults (``others``: an embedding table with vault_id, ids qualified), each id once. The limit comes before
+    the namespace, so that a filtered answer may be shorter; hits without a node are left out."""
+    hits = search(embeddings, queries, limit, model=model).drop("rank")
+    if others is not None:
+        more = search(others, queries, limit, model=model, by=["vault_id"])
+        hits = hits.unionByName(more.withColumn("node_id", qualified("vault_id", "node_id")).drop("rank", "vault_id"))
+    best = dedupe_rank(hits, limit)
+    found = best.join(nodes.select(F.col("id").alias("node_id"), "type", "summary", "namespace"), "node_id")
+    if namespace:
+        found = found.where(normal_namespace() == namespace)
+    return found.select("query_id", "node_id", "score", "rank", "type", "summary", "namespace")
+
+
 def _warm(found: DataFrame, heat: DataFrame) -> DataFrame:
     """Arrivals with the heat of the pair they came over. They are few: the heat table is cut to their
     pairs first, so that it is never shuffled whole."""
@@ -132,6 +187,17 @@ def _warm(found: DataFrame, heat: DataFrame) -> DataFrame:
     return keyed.join(near, ["a", "b"], "left").drop("a", "b").withColumn("heat", F.coalesce("heat", F.lit(0.0)))
 
 
+def _leaving(front: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges that leave the frontier, with ``parent`` and the position in their node's list: that of
+    the table, or (for a table without) by relation and target."""
+    ids = front.select("query_id", F.col("id").alias("src"), F.col("pop").alias("parent"))
+    own = near(edges, ids.select("src"), "src").join(ids, "src")
+    if "ord" in edges.columns:
+        return own.select("query_id", "src", "dst", "parent", "ord")
+    listed = Window.partitionBy("query_id", "src").orderBy("relation", "dst")
+    return own.select("query_id", "src", "dst", "parent", (F.row_number().over(listed) - 1).alias("ord"))
+
+
 def traverse(nodes: DataFrame, edges: DataFrame, entries: DataFrame, heat: DataFrame | None = None, depth: int = 2,
              include_inactive: bool = False, mode: str = "adjacency") -> DataFrame:
     """(query_id, id, depth, is_entry, ord): nodes reached from the entries along out-edges.
@@ -139,27 +205,28 @@ def traverse(nodes: DataFrame, edges: DataFrame, entries: DataFrame, heat: DataF
     The first arrival sets the depth. Within a level, hotter arrivals come first, then the order of
     the parent and its edges; ``ord`` numbers the result, entries first. Inactive nodes are not
     emitted and not walked through (unless included); missing targets neither. ``mode`` is accepted
-    and has no effect."""
+    and has no effect. Edges need no ``ord``: only those that leave a frontier are put in order, and the
+    frontier reaches their scan as a semi join."""
     usable = nodes if include_inactive else nodes.where(is_active())
     ids = usable.select("id")
     if "query_id" not in entries.columns:
         entries = entries.withColumn("query_id", F.lit(0))
     rank = F.col("rank") if "rank" in entries.columns else F.lit(0)
     w = Window.partitionBy("query_id")
-    front = entries.select("query_id", "id", rank.alias("r")).join(ids, "id", "left_semi")
-    front = front.groupBy("query_id", "id").agg(F.min("r").alias("r"))
+    asked = materialize(entries.select("query_id", "id", rank.alias("r")).groupBy("query_id", "id").agg(F.min("r").alias("r")), "entries")
+    front = near(ids, asked.select("id"), "id").distinct().join(asked, "id")
     front = materialize(front.select("query_id", "id", F.lit(0).alias("depth"), F.row_number().over(w.orderBy("r", "id")).alias("pop")), "traverse")
     seen = front
     for level in range(1, depth + 1):
-        found = front.select("query_id", F.col("id").alias("src"), F.col("pop").alias("parent")).join(edges.select("src", "dst", "ord"), "src")
-        found = found.withColumnRenamed("dst", "id").join(seen, ["query_id", "id"], "left_anti").join(ids, "id", "left_semi")
-        found = first_by(found, ["query_id", "id"], F.col("parent"), F.col("ord"))
-        found = found.withColumn("heat", F.lit(0.0)) if heat is None else _warm(materialize(found, "arrivals"), heat)
+        found = _leaving(front, edges).withColumnRenamed("dst", "id").join(seen, ["query_id", "id"], "left_anti")
+        found = materialize(first_by(found, ["query_id", "id"], F.col("parent"), F.col("ord")), "arrivals")
+        found = found.join(near(ids, found.select("id"), "id"), "id", "left_semi")
+        found = found.withColumn("heat", F.lit(0.0)) if heat is None else _warm(found, heat)
         pop = F.row_number().over(w.orderBy(F.desc("heat"), "parent", "ord", "id"))
         front = materialize(found.select("query_id", "id", F.lit(level).alias("depth"), pop.alias("pop")), "traverse")
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
+        if level < depth and front.isEmpty():
+            break
     order = Window.partitionBy("query_id").orderBy("depth", "pop")
     return seen.select("query_id", "id", "depth", (F.col("depth") == 0).alias("is_entry"), F.row_number().over(order).alias("ord"))
 
@@ -170,10 +237,13 @@ def _tag(name: str, text: Column) -> Column:
 
 def render(sub: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``sub`` with ``part`` and ``kind``: full elements for entries, compact ones for the rest."""
-    own = edges.join(sub.where("is_entry").select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    sub = materialize(sub, "found")
+    own = near(edges, sub.where("is_entry").select("id"), "src")
+    if "ord" not in edges.columns:
+        own = own.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy("relation", "dst")))
     lists = own.withColumn("line", F.concat(F.lit("      <edge target="), quote("dst"), F.lit(" relation="), quote("relation"), F.lit("/>\n")))
     lists = lists.groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "").alias("listed"))
-    full = sub.join(nodes.drop("ord"), "id").join(lists, "id", "left")
+    full = sub.join(near(nodes.drop("ord"), sub.select("id"), "id"), "id").join(lists, "id", "left")
     open_ = lambda tag: F.concat(
         F.lit(f"  <{tag} id="), quote("id"), F.lit(" type="), quote("type"), F.lit(' depth="'), F.col("depth").cast("string"), F.lit('" status='),
         quote(F.when(blank(F.col("status")) == "", "active").otherwise(F.col("status"))), F.lit(">\n"), _tag("summary", F.col("summary")),
@@ -190,20 +260,40 @@ def render(sub: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return full.select(*sub.columns, part.alias("part"), F.when(F.col("is_entry"), "full").otherwise("compact").alias("kind"))
 
 
+FOLD_ROWS = 1_000  # parts of a list that are folded at once
+
+
 def pack(parts: DataFrame, budget: int, reserve: int = 120, by: str = "query_id") -> DataFrame:
     """``parts`` with ``bytes`` and ``included``: first fit in the order of ``ord``. A part too large is
     skipped and later ones may still fit, so this is a fold, not a running sum.
 
-    The fold runs over (ord, bytes) of one result list, which the traversal bounds; texts stay out."""
+    The fold runs over (ord, bytes) of the first thousand parts of each list that still fit its room, then of
+    the next such, until none is left: no list is collected whole, and texts stay out."""
     room = max(budget * 4, reserve) - reserve
     sized = parts.withColumn("bytes", F.octet_length("part").cast("int"))
+    rest = materialize(sized.where(F.col("bytes") <= room).select(by, F.col("ord").cast("bigint").alias("ord"), "bytes"), "pack")
     step = lambda s, x: F.when(
         s["used"] + x["bytes"] <= room, F.struct((s["used"] + x["bytes"]).cast("int").alias("used"), F.concat(s["taken"], F.array(x["ord"])).alias("taken"))
     ).otherwise(s)
-    start = F.struct(F.lit(0).cast("int").alias("used"), F.array().cast("array<int>").alias("taken"))
-    folded = sized.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), "bytes"))).alias("all"))
-    taken = folded.select(by, F.explode(F.aggregate("all", start, step)["taken"]).alias("ord"), F.lit(True).alias("included"))
-    return sized.join(taken, [by, "ord"], "left").withColumn("included", F.coalesce("included", F.lit(False)))
+    none = F.array().cast("array<bigint>")
+    first = Window.partitionBy(by).orderBy("ord")
+    state, taken, open_ = None, None, rest
+    while True:
+        some = open_.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= FOLD_ROWS)
+        listed = some.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "bytes"))).alias("all"), F.max("ord").alias("last"))
+        before = F.lit(0) if state is None else F.coalesce("used", F.lit(0))
+        listed = listed if state is None else listed.join(state.select(by, "used"), by, "left")
+        folded = listed.select(by, "last", F.aggregate("all", F.struct(before.cast("int").alias("used"), none.alias("taken")), step).alias("s"))
+        state = materialize(folded.select(by, "last", "s.used", "s.taken"), "pack")
+        got = state.select(by, F.explode("taken").alias("ord"))
+        taken = got if taken is None else taken.unionByName(got)
+        open_ = open_.join(state.select(by, "last", "used"), by).where((F.col("ord") > F.col("last")) & (F.col("used") + F.col("bytes") <= room))
+        open_ = materialize(open_.select(by, "ord", "bytes"), "pack")
+        if open_.isEmpty():
+            break
+    taken = taken.select(F.col(by).alias("_by"), F.col("ord").alias("_ord"), F.lit(True).alias("_in"))
+    both = sized.join(taken, F.col(by).eqNullSafe(F.col("_by")) & (F.col("ord") == F.col("_ord")), "left")
+    return both.withColumn("included", F.coalesce("_in", F.lit(False))).drop("_by", "_ord", "_in")
 
 
 EMPTY = '<context_result tokens="0" nodes="0">\n</context_result>'
@@ -232,8 +322,7 @@ def context_query(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, que
                   depth: int = 2, budget: int = 4096, include_superseded: bool = False, model: str | None = None) -> DataFrame:
     """(query_id, ord, id, depth, kind, bytes, included): search, expand, pack."""
     hits = search(embeddings, query, k, model=model, only_active=not include_superseded)
-    entries = materialize(hits.select("query_id", F.col("node_id").alias("id"), "rank"), "entries")
-    sub = traverse(nodes, edges, entries, heat, depth, include_superseded)
+    sub = traverse(nodes, edges, hits.select("query_id", F.col("node_id").alias("id"), "rank"), heat, depth, include_superseded)
     return pack(materialize(render(sub, nodes, edges), "parts"), budget)  # read twice
 
 

@@ -12,19 +12,10 @@ from graphloom.plans.views import GRAPH
 from graphloom.sources import source_tree
 
 
-def _heat_edges(v, edges):
-    pairs = v.pairs.where("relation = 'associated'").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(0.5).alias("weight"))
-    return heat.with_heat(edges.select("src", "dst", "relation"), pairs)
-
-
-@query(GRAPH + " SELECT e.src, e.dst, e.relation, CASE WHEN e.relation = 'associated' THEN 0.5 ELSE 0.0 END::DOUBLE AS heat FROM g_edges e WHERE e.src LIKE 'part/%' OR e.src LIKE 'nation/%'")
+@query(GRAPH + " SELECT e.src, e.dst, e.relation, CASE WHEN e.relation = 'associated' THEN 0.5 ELSE 0.0 END::DOUBLE AS heat FROM g_edges e")
 def heat_edges(v):
-    return _heat_edges(v, v.pairs.where("src LIKE 'part/%' OR src LIKE 'nation/%'"))
-
-
-@query()
-def heat_edges_all(v):
-    return _heat_edges(v, v.pairs)
+    pairs = v.pairs.where("relation = 'associated'").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(0.5).alias("weight"))
+    return heat.with_heat(v.pairs.select("src", "dst", "relation"), pairs)
 
 
 @query(_HEAT + " SELECT a, b, round(w, 6) AS weight FROM h WHERE w >= 0.06 AND (a IN ('click', 'view') OR b IN ('click', 'view'))")
@@ -78,20 +69,12 @@ def store_report(v):
     return vectors.store_report(v.embeddings, "m0").withColumn("models", F.array_join("models", ","))
 
 
-def _cosine_pairs(v, first):
-    a = first.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), (F.col("vec_id") + 1).alias("b"))
-    both = a.join(v.table("embeddings").select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
-    return both.select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
-
-
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 100""")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
 def cosine_pairs(v):
-    return _cosine_pairs(v, v.table("embeddings").where("vec_id < 100"))
-
-
-@query()
-def cosine_pairs_all(v):
-    return _cosine_pairs(v, v.table("embeddings"))
+    e = v.table("embeddings")
+    a = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), (F.col("vec_id") + 1).alias("b"))
+    both = a.join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
+    return both.select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
 @query("""SELECT 'doc/' || doc_id AS node_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 <> 1""")
@@ -102,21 +85,6 @@ def embedding_stale(v):
     return mutations.stale_embeddings(store, texts.select("node_id", "hash"))
 
 
-def _embed_texts(docs):
-    text = tx.embed_text("lang", "text", F.array("lang", "source"))
-    return docs.select("doc_id", (F.octet_length("text") > 6000).alias("cut"), F.sha2(text, 256).alias("digest"))
-
-
-@query("""SELECT doc_id, strlen(text) > 6000 AS cut, sha256(lang || ' ' || lang || ' ' || source || chr(10) || chr(10) || text) AS digest FROM documents WHERE strlen(text) <= 6000""")
-def embed_texts(v):
-    return _embed_texts(v.table("documents").where(F.octet_length("text") <= 6000))
-
-
-@query()
-def embed_texts_all(v):
-    return _embed_texts(v.table("documents"))
-
-
 @query(r"""SELECT ref, ref <> '' AND strlen(ref) <= 512 AND NOT contains(ref, '..') AND NOT starts_with(ref, '/') AND NOT regexp_matches(ref, '(^|/)\.') AND NOT contains(ref, '//') AND NOT ends_with(ref, '/') AS valid FROM (
     SELECT CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '/a' || page_id WHEN 2 THEN 'a/../' || page_id WHEN 3 THEN 'a//' || page_id WHEN 4 THEN '.x/' || page_id WHEN 5 THEN repeat('y', 510) || page_id ELSE 'ok/' || page_id END AS ref FROM pages)""")
 def id_validation(v):

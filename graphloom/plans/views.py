@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.schema import edge_class
-from graphloom.storage import materialize
 
 GRAPH = """
 WITH RECURSIVE g_nodes AS (
@@ -20,6 +19,7 @@ WITH RECURSIVE g_nodes AS (
     UNION ALL SELECT 'part/' || p_partkey, 'concept', 'supply', 'active', '', p_name, [p_brand, 'size' || p_size] FROM part
     UNION ALL SELECT 'orders/' || o_orderkey, 'function', 'sales', CASE WHEN o_orderstatus = 'F' THEN 'superseded' ELSE 'active' END,
         CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 > 0 THEN 'orders/' || (o_orderkey + 1) ELSE '' END, '', [o_orderpriority] FROM orders
+    UNION ALL SELECT 'item/' || item_id, 'reference', 'supply', 'active', '', 'item', ['bench'] FROM benchmark
 ), g_pairs AS (
     SELECT 'region/' || n_regionkey AS src, 'nation/' || n_nationkey AS dst, 'contains' AS relation FROM nation
     UNION ALL SELECT 'nation/' || c_nationkey, 'customer/' || c_custkey, 'contains' FROM customer
@@ -34,6 +34,10 @@ WITH RECURSIVE g_nodes AS (
 )"""
 
 
+def text_of(value: str | None) -> Column:
+    return F.lit(value).cast("string")
+
+
 @dataclass
 class Views:
     spark: SparkSession
@@ -60,6 +64,7 @@ class Views:
             part("part", "part", "p_partkey", "concept", "supply", "p_name", [F.col("p_brand"), F.concat(F.lit("size"), "p_size")]),
             part("orders", "orders", "o_orderkey", "function", "sales", F.lit(""), [F.col("o_orderpriority")], F.when(old, "superseded").otherwise("active"),
                  F.when(old & (F.col("o_orderkey") % 3 > 0), F.concat(F.lit("orders/"), F.col("o_orderkey") + 1)).otherwise("")),
+            part("benchmark", "item", "item_id", "reference", "supply", F.lit("item"), [F.lit("bench")]),  # without edges
         ]
         out = rows[0]
         for r in rows[1:]:
@@ -90,11 +95,6 @@ class Views:
         w = Window.partitionBy("src").orderBy("relation", "dst")
         return self.pairs.withColumn("ord", (F.row_number().over(w) - 1).cast("bigint"))
 
-    @cached_property
-    def stored_edges(self) -> DataFrame:
-        """The edges as a table, for searches that read them once per level."""
-        return materialize(self.edges, "edges")
-
     @cached_property
     def full_nodes(self) -> DataFrame:
         """Nodes in the canonical schema, with their edge lists."""
@@ -111,11 +111,9 @@ class Views:
             F.when(F.col("label") == 9, "superseded").otherwise("active").alias("status"), "label", F.concat(F.lit("v"), F.col("label") % 3).alias("vault_id"),
         )
 
-    def vectors(self, below: int | None = None) -> DataFrame:
-        """Queries: all vectors, or those with the first ids."""
-        rows = self.table("embeddings")
-        rows = rows if below is None else rows.where(F.col("vec_id") < below)
-        return rows.select(F.col("vec_id").alias("query_id"), "embedding")
+    def vectors(self, step: int = 50) -> DataFrame:
+        """Queries: the vectors whose id is divisible by ``step``."""
+        return self.table("embeddings").where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
     @cached_property
     def access(self) -> DataFrame:

@@ -35,7 +35,9 @@ BEHAVIORAL_RELATIONS = ("calls", "reads", "writes", "references", "cross_project
 RELATIONS = STRUCTURAL_RELATIONS + BEHAVIORAL_RELATIONS
 EXTERNAL_RELATIONS = ("imports", "calls", "extends", "implements", "references")
 WRITE_TYPES = ("function", "module", "class", "concept", "decision", "reference", "composite")
-CURATOR_TYPES = WRITE_TYPES + ("file", "interface", "method", "type", "package")
+CURATOR_TYPES = (
+    "function", "module", "class", "concept", "decision", "reference", "composite", "file", "interface", "method", "type", "package",
+)
 SEVERITIES = ("error", "warning", "info")
 DEFAULT_NAMESPACE = "default"
 DEFAULT_BUDGET = 4096

@@ -96,11 +96,8 @@ def always_ignored(path: str):
     return F.exists(parts, lambda p: p.isin(*IGNORED_DIRS, *IGNORED_FILES) | (p.startswith(".") & (F.length(p) > 1) & (p != "..")))
 
 
-def scan(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
-    """(path, content, hash) of the text files of a tree that no rule ignores."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^file:/+", "/", root).rstrip("/")
-    files = raw.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base) + "/", ""))
+def kept_files(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """(path, content, hash) of the text files among ``files`` (path, content) that no rule ignores."""
     matcher = Ignore(rules or [])
 
     @F.pandas_udf("boolean")
@@ -112,6 +109,13 @@ def scan(spark: SparkSession, root: str, rules: list[str] | None = None) -> Data
     return files.where(~binary).select("path", "content", F.sha2("content", 256).alias("hash"))
 
 
+def scan(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """The text files of a tree on disk that no rule ignores."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = re.sub(r"^file:/+", "/", root).rstrip("/")
+    return kept_files(raw.withColumn("path", F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base) + "/", "")), rules)
+
+
 def source_hash(content: bytes, first: int = 0, last: int = 0) -> str:
     """SHA-256 of a file, or of its lines first to last with their terminators."""
     if first > 0:
@@ -219,6 +223,18 @@ def mask(text: str, quotes: str = "\"'`") -> str:
     return re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
 
 
+_LITERAL = re.compile(
+    r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"  # comments and strings stay as they are
+    r"|((?:^|[=(,:;!&|?{}\[+\-*%<>~^]|\breturn|\btypeof|\bcase)[ \t]*)(/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*)", re.S | re.M,
+)
+
+
+def mask_patterns(text: str) -> str:
+    """Script text of equal length in which regular expression literals are blanks. A slash starts one
+    where no operand is before it."""
+    return _LITERAL.sub(lambda m: m[0] if m[2] is None else m[1] + " " * len(m[2]), text)
+
+
 def block_end(masked: str, at: int) -> int:
     """Position after the block that opens at or after ``at``; the end of the line without one."""
     line = masked.find("\n", at)
@@ -241,8 +257,13 @@ class GoIndexer:
     """Go by brace matching (approximate: there is no Go parser here): file, functions, methods, types, interfaces."""
 
     extensions = (".go",)
-    BUILTINS = frozenset("append cap close complex copy delete imag len make new panic print println real recover min max clear".split())
-    KEYWORDS = frozenset("if for switch select return func go defer range case type struct interface map chan".split())
+    # Predeclared functions of the language, and words that come before a parenthesis.
+    BUILTINS = frozenset((
+        "append", "cap", "clear", "close", "complex", "copy", "delete", "imag", "len", "make", "max", "min", "new", "panic", "print", "println", "real", "recover",
+    ))
+    KEYWORDS = frozenset((
+        "case", "chan", "defer", "for", "func", "go", "if", "interface", "map", "range", "return", "select", "struct", "switch", "type",
+    ))
 
     def index(self, path: str, text: str) -> list[dict]:
         masked, base, out = mask(text), _stem(path), []
@@ -306,11 +327,12 @@ class ScriptIndexer:
 
     extensions = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
     LEAD = r"^(?:export\s+)?(?:default\s+)?"
-    SKIP = frozenset("if for while switch catch constructor return function new typeof await".split())
+    # Words that come before a parenthesis without being methods.
+    SKIP = frozenset(("if", "for", "while", "switch", "catch", "constructor", "return", "function", "new", "typeof", "await"))
 
     def index(self, path: str, text: str) -> list[dict]:
         base, out, contains = _stem(path), [], []
-        masked = mask(text)
+        masked = mask(mask_patterns(text))
         plain = re.sub(r"//[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
         imports = []
         for m in re.finditer(r"^\s*(?:import|export)\s+(?:[^;'\"]*?\sfrom\s+)?['\"]([^'\"]+)['\"]|^\s*(?:const|let|var|import)\s+\w+\s*=\s*require\s*\(\s*['\"]([^'\"]+)['\"]", plain, re.M):

@@ -93,9 +93,9 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(rel.alias("rel"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where(~hidden)
 
 
-def read_vault(spark: SparkSession, root: str, vault_id: str | None = None, with_errors: bool = False) -> DataFrame:
-    """Nodes of a vault; broken files are dropped (or listed, with ``with_errors``), of files with one
-    id the first by path stays."""
+def parse_files(files: DataFrame, vault_id: str | None = None, with_errors: bool = False) -> DataFrame:
+    """Nodes of node files (rel, text); broken files are dropped (or listed, with ``with_errors``), of files
+    with one id the first by path stays."""
 
     def parse(batches):
         for batch in batches:
@@ -110,15 +110,24 @@ def read_vault(spark: SparkSession, root: str, vault_id: str | None = None, with
                 yield frame.where(frame.notna(), None)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODES) + ", error string"
-    out = _files(spark, root).mapInPandas(parse, fields)
+    out = files.select("rel", "text").mapInPandas(parse, fields)
     if with_errors:
         return out.where("error is not null").select("file_path", "error")
     good = latest(out.where("error is null").drop("error")).where(valid_id("id"))
     return good.withColumn("vault_id", F.lit(vault_id)) if vault_id else good
 
 
+def read_vault(spark: SparkSession, root: str, vault_id: str | None = None, with_errors: bool = False) -> DataFrame:
+    """Nodes of a vault on disk."""
+    return parse_files(_files(spark, root), vault_id, with_errors)
+
+
+def metadata(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id", "type", "namespace", "status", "tags", "file_path")
+
+
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
-    return read_vault(spark, root).select("id", "type", "namespace", "status", "tags", "file_path")
+    return metadata(read_vault(spark, root))
 
 
 def read_active(spark: SparkSession, root: str) -> DataFrame:
@@ -148,6 +157,12 @@ def write_vault(nodes: DataFrame, path: str) -> None:
     rendered(good).withColumn("node", F.regexp_replace("id", "/", "%2F")).select("node", F.col("text").alias("value")).repartition("node").write.partitionBy("node").text(path)
 
 
+def read_written(spark: SparkSession, path: str, with_errors: bool = False) -> DataFrame:
+    """Nodes of a folder that ``write_vault`` made."""
+    files = spark.read.text(path, wholetext=True)
+    return parse_files(files.select(F.concat(F.regexp_replace(F.col("node").cast("string"), "%2F", "/"), F.lit(".md")).alias("rel"), F.col("value").alias("text")), with_errors=with_errors)
+
+
 def write_files(nodes: DataFrame, root: str) -> int:
     """Export for people: <root>/<id>.md, each by temporary file and rename, on a file system that the
     driver sees. Rows stream to the driver one partition at a time."""
@@ -206,6 +221,28 @@ def render_heat(rows: list[dict], namespace: str, settings: dict | None = None)
     return _dump({"namespace": namespace, **(settings or {}), "pairs": pairs}, f"\nHeat map for {namespace}.\n")
 
 
+def heat_files(heat: DataFrame, settings: dict | None = None) -> DataFrame:
+    """(namespace, text): the heat file of every namespace. A file is one namespace's by its nature, and is kept whole."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        name = group["namespace"].iloc[0]
+        return pd.DataFrame({"namespace": [name], "text": [render_heat(group.to_dict("records"), name, settings)]})
+
+    return heat.select("namespace", "a", "b", "weight", "hits", "last").groupBy("namespace").applyInPandas(run, "namespace string, text string")
+
+
+def heat_rows(files: DataFrame) -> DataFrame:
+    """(namespace, a, b, weight, hits, last, ord) of heat files, in the order of the file."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [{**r, "ord": i} for name, text in zip(batch["namespace"], batch["text"]) for i, r in enumerate(parse_heat(text, name)[0])]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return files.select("namespace", "text").mapInPandas(run, "namespace string, a string, b string, weight double, hits int, last string, ord int")
+
+
 def parse_summary(text: str) -> tuple[dict, str]:
     head = {}
     parts = text.split("---", 2)

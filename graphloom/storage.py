@@ -71,11 +71,17 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+def file_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a result: for a written table the size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
     """Hint a broadcast only if ``df`` (cheap to count: a materialized table) has at most ``rows`` rows, and
-    at most BROADCAST_BYTES by its files.
+    at most ``size`` (or BROADCAST_BYTES) bytes by its files. Without ``rows`` only the bytes are looked at.
 
     Beyond that the join stays a shuffle join, which AQE may split where keys are skewed.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
+    if file_bytes(df) > (BROADCAST_BYTES if size is None else size):
+        return df
+    return F.broadcast(df) if rows is None or df.limit(rows + 1).count() <= rows else df

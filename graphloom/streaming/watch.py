@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.federation import summary_due
@@ -61,6 +61,44 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return hits.withColumn("weight", F.least(F.lit(1.0), 1 - F.pow(F.lit(1 - LEARNING_RATE), F.col("hits"))))
 
 
+class Feed:
+    """A counter of changes with subscribers, which hear of every version once."""
+
+    def __init__(self):
+        self.version, self.subscribers = 0, []
+
+    def subscribe(self, hear: Callable[[int, str], None]) -> Callable[[], None]:
+        """Returns the function that ends the subscription."""
+        self.subscribers.append(hear)
+        return lambda: self.subscribers.remove(hear)
+
+    def publish(self, kind: str = "graph") -> int:
+        self.version += 1
+        for hear in list(self.subscribers):
+            hear(self.version, kind)
+        return self.version
+
+
+def is_node_file(path: Column) -> Column:
+    """Markdown files outside hidden and underscore folders; what else changes in a vault is no node."""
+    parts = F.split(path, "/")
+    return path.endswith(".md") & ~F.exists(parts, lambda p: p.startswith(".") | p.startswith("_"))
+
+
+def debounced(events: DataFrame, wait: float) -> DataFrame:
+    """(path, first, events): bursts of events (path, at in seconds) by the rule of a timer that the first event starts
+    and later ones do not restart. A burst takes in all events up to ``wait`` seconds after its first."""
+    spots = events.groupBy("path").agg(F.array_sort(F.collect_list(F.col("at").cast("double"))).alias("at"))  # the events of one file
+    none = F.array().cast("array<struct<first:double,events:int>>")
+    step = lambda s, t: F.when(
+        (F.size(s) > 0) & (t <= F.element_at(s, -1)["first"] + wait),
+        F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["first"].alias("first"), (F.element_at(s, -1)["events"] + 1).cast("int").alias("events")))),
+    ).otherwise(F.concat(s, F.array(F.struct(t.alias("first"), F.lit(1).alias("events")))))
+    # element_at of an empty array is an error even where its branch is not taken
+    guarded = lambda s, t: F.when(F.size(s) == 0, F.array(F.struct(t.alias("first"), F.lit(1).alias("events")))).otherwise(step(s, t))
+    return spots.select("path", F.explode(F.aggregate("at", none, guarded)).alias("b")).select("path", "b.first", "b.events")
+
+
 def source_changes(files: DataFrame, nodes: Callable[[], DataFrame], edges: Callable[[], DataFrame], act: Callable[[DataFrame, DataFrame, int], None], checkpoint: str,
                    depth: int = 3, trigger: str | None = DEBOUNCE):
     """On changed files (path, hash): find nodes with an old hash, what depends on them, and act on both."""
@@ -88,10 +126,11 @@ def after_write(edges: DataFrame, written: DataFrame) -> DataFrame:
 
 
 def vault_reload(files: DataFrame, load: Callable[[], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str, trigger: str | None = "1 second"):
-    """On any change of node files load the vault again and swap the published view."""
+    """On any change of node files (path) load the vault again and swap the published view."""
 
     def each(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
+        touched = batch.where(is_node_file(F.col("path"))) if "path" in batch.columns else batch
+        if not touched.isEmpty():
             publish(load(), number)
 
     return run(files, each, checkpoint, trigger)

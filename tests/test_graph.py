@@ -121,7 +121,7 @@ def test_walks_through_missing(spark, nodes_of):
     assert d == {"a": (1, 1), "b": (0, 1), "c": (1, 0)}
 
 
-def test_components_all_joins_the_whole_graph(spark):
+def test_components_join_the_whole_graph(spark):
     from graphloom.plans.views import Views
 
     v = Views(spark, "/root/testdata/sf0.001")
@@ -138,7 +138,7 @@ def test_components_all_joins_the_whole_graph(spark):
             a, b = find(e.src), find(e.dst)
             root[max(a, b)] = min(a, b)
     want = {i: find(i) for i in root}
-    got = {r.id: (r.component, r.size) for r in entry.queries()["components_all"](spark, v.sf_dir).collect()}
+    got = {r.id: (r.component, r.size) for r in entry.queries()["components"](spark, v.sf_dir).collect()}
     sizes = list(want.values())
     assert got == {i: (c, sizes.count(c)) for i, c in want.items()} and max(s for _, s in got.values()) > 1000
 
@@ -149,14 +149,14 @@ def test_pairs_cycles_and_heat_of_all_rows(spark):
     q, v = entry.queries(), Views(spark, "/root/testdata/sf0.001")
     x = {r.vec_id: r.embedding for r in v.table("embeddings").collect()}
     cos = lambda a, b: sum(s * t for s, t in zip(a, b)) / (sum(s * s for s in a) * sum(t * t for t in b)) ** 0.5
-    got = {(r.a, r.b): r.cosine for r in q["cosine_pairs_all"](spark, v.sf_dir).collect()}
+    got = {(r.a, r.b): r.cosine for r in q["cosine_pairs"](spark, v.sf_dir).collect()}
     assert got == pytest.approx({(i, i + 1): cos(x[i], x[i + 1]) for i in x if i + 1 in x}, abs=2e-6)
     nation = {r.n_nationkey: r.n_regionkey for r in v.table("nation").collect()}
     want = {(f"customer/{r.c_custkey}", f"region/{r.c_custkey % 5}", nation[r.c_nationkey] == r.c_custkey % 5) for r in v.table("customer").collect()}
-    out = q["cycle_candidates_all"](spark, v.sf_dir).collect()
+    out = q["cycle_candidates"](spark, v.sf_dir).collect()
     assert {(r.src, r.dst, r.cycle) for r in out} == want and len(out) == len(want) > 40
     edges = sorted((r.src, r.dst, r.relation) for r in v.pairs.collect())
-    heat = sorted((r.src, r.dst, r.relation, r.heat) for r in q["heat_edges_all"](spark, v.sf_dir).collect())
+    heat = sorted((r.src, r.dst, r.relation, r.heat) for r in q["heat_edges"](spark, v.sf_dir).collect())
     assert heat == [(*e, 0.5 if e[2] == "associated" else 0.0) for e in edges]
 
 

@@ -80,10 +80,15 @@ def test_doctors(spark, nodes_of):
     bridges = spark.createDataFrame([("default", "nowhere", ["calls"])], "source string, target string, allowed_relations array<string>")
     got = {(r.subject, r.issue) for r in integrity.namespace_doctor(nodes_of([{"id": "a", "namespace": "z"}]), spaces, bridges).collect()}
     assert got == {("z", "no_manifest"), ("y", "name_mismatch"), ("nowhere", "unknown_bridge_endpoint")}
-    projects = spark.createDataFrame([("p", "v", "p", True, True, True), ("q", "v", "../q", False, False, True)], "project_id string, vault_id string, path string, readonly boolean, has_metadata boolean, has_config boolean")
-    state = spark.createDataFrame([("p", True, True, False), ("r", True, False, True)], "project_id string, active boolean, editable boolean, materialized boolean")
-    codes = {r.code for r in integrity.catalog_doctor(projects, bridges, state).collect()}
-    assert {"duplicate_vault_id", "path_escapes", "missing_metadata", "bridge_unknown_project", "active_unknown_project", "editable_readonly", "stale_cache"} <= codes
+    columns = "project_id string, path string, exists boolean, is_directory boolean, metadata string, meta_project_id string, meta_warren_id string, vault_id string, model string, schema_current boolean"
+    projects = spark.createDataFrame([("p", "p", True, True, "m", "p", "c", "v", "m1", True), ("q", "/q", True, True, "m", "x", "d", "v", "m2", False), ("r", "r", False, False, None, None, None, None, None, True), ("s", "s", True, False, None, None, None, None, None, True)], columns)
+    got = {(r.subject, r.code) for r in integrity.catalog_doctor("c", projects, bridges).collect()}
+    assert got == {("q", "absolute_project_path"), ("q", "project_id_mismatch"), ("q", "warren_id_mismatch"), ("q", "duplicate_vault_id"), ("q", "schema_stale"), ("q", "model_skew"), ("r", "project_missing"), ("s", "project_not_directory"),
+                   ("default", "bridge_source_missing"), ("nowhere", "bridge_target_missing")}
+    mounts = spark.createDataFrame([("c", "p", "here", True, True, False), ("c", "q", "v", True, False, False), ("d", "q", "v", True, False, True)], "catalog string, project_id string, vault_id string, active boolean, editable boolean, materialized boolean")
+    places = spark.createDataFrame([("here", "/there")], "vault_id string, path string")
+    got = {(r.subject, r.code) for r in integrity.workspace_doctor("here", mounts, spark.createDataFrame([("d", False)], "catalog string, reachable boolean"), places, "/here").collect()}
+    assert got == {("p", "self_identity"), ("p", "self_alias_mount"), ("p", "self_alias_editable"), ("v", "vault_id_collision_workspace"), ("d", "warren_unreachable"), ("here", "local_route_mismatch")}
     vaults = spark.createDataFrame([("v", "", None)], "vault_id string, path string, config_vault_id string")
     cross = spark.createDataFrame([("a", "b", "v", "w")], "source string, target string, source_vault_id string, target_vault_id string")
     assert {r.problem for r in integrity.bridge_health(cross, vaults).collect()} == {"unreachable"}
@@ -173,34 +178,81 @@ def test_writes(spark, nodes_of):
     assert mutations.restore(changed, log).first().summary == "about ns/a"
 
 
-def test_embed_texts_all_cuts_long_texts_at_whole_characters(spark, tmp_path):
+def test_embed_texts_cut_long_texts_at_whole_characters(spark, tmp_path):
     texts = ["short", "x" * 6000, "x" * 6001, "x" * 5999 + "é tail", "x" * 5998 + "é tail", "x" * 5998 + "😀" * 9, "é" * 4000, "x" * 5997 + "\ufffd and more", "", None]
     rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.cut, r.digest) for r in entry.queries()["embed_texts_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.cut, r.digest) for r in entry.queries()["embed_texts"](spark, str(tmp_path)).collect()}
     for i, t in enumerate(texts):
         body = (t or "").encode()[:6000].decode(errors="ignore")
         text = "en en web" + ("\n\n" + body if t else "")
         assert got[i] == (None if t is None else len(t.encode()) > 6000, hashlib.sha256(text.encode()).hexdigest()), i
 
 
-def test_suggestions_all_has_the_other_kinds(spark, tmp_path):
+def test_suggestions_have_all_kinds(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
-    for t in "region nation customer supplier part orders lineitem".split():
+    for t in "region nation customer supplier part orders lineitem benchmark".split():
         (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
     docs = [(i, f"text {i}", "" if i == 6 else "en", "web") for i in range(1, 9)]
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     vecs = [(i, 0, [float(i // 2), 0.0]) for i in range(2, 9)]  # 2 and 3, 4 and 5, 6 and 7 are alike
     spark.createDataFrame(vecs, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    out = entry.queries()["suggestions_all"](spark, str(tmp_path)).collect()
+    out = entry.queries()["suggestions_ranked"](spark, str(tmp_path)).collect()
     by = {}
     for r in out:
         if r.node_ids.startswith("doc/"):
             by.setdefault(r.type, set()).add(r.node_ids)
     live = {1, 2, 3, 4, 6, 7, 8}  # each fifth is superseded
-    assert by["disconnected"] == {f"doc/{i}" for i in live}
+    assert by["disconnected"] == {"doc/1,doc/2", "doc/7,doc/8", "doc/3", "doc/4", "doc/6"}
     assert by["stale"] == {f"doc/{i}" for i in live if i % 2}
     assert by["duplicate"] >= {"doc/2,doc/3", "doc/6,doc/7"}
     assert by["untyped"] == {"doc/6"} and by["missing_summary"] == {"doc/4", "doc/6", "doc/8"}
     assert "orphan" not in by
     assert {"disconnected", "missing_summary"} <= {r.type for r in out} and len(out) == len({r.suggestion_id for r in out})
+
+
+def test_small_components_by_brute_force(spark, nodes_of):
+    import random
+
+    rng = random.Random(6)
+    some = [f"n{i:02d}" for i in range(40)]
+    edges = [(rng.choice(some), rng.choice([*some, "gone"]), "reads", "behavioral", i) for i in range(24)] + [("n01", "n01", "reads", "behavioral", 0)] * 2
+    edges += [("p1", "p2", "reads", "behavioral", 0), ("p2", "p1", "calls", "behavioral", 0), ("q2", "q1", "calls", "behavioral", 0), ("q2", "gone", "calls", "behavioral", 1)]
+    names = [*some, "p1", "p2", "q1", "q2"]
+    live = nodes_of([{"id": n} for n in names])
+    got = {tuple(r.node_ids) for r in integrity.small_components(live, spark.createDataFrame(edges, "src string, dst string, relation string, class string, ord int")).collect()}
+    group = {n: {n} for n in names}
+    for a, b, *_ in edges:
+        if b in group:
+            whole = group[a] | group[b]
+            for n in whole:
+                group[n] = whole
+    assert got == {tuple(sorted(g)) for g in group.values() if len(g) < 3} and any(len(g) == 2 for g in got)
+
+
+def test_doctors_and_model_replies():
+    from graphloom.operators import classify
+
+    add = {"action": "add", "target": None, "confidence": 0.1}
+    for text in ("", "no", "{", "[1]", '{"action": 5}', '{"action": "merge"}', '{"action": "add", "confidence": "x"}', "null"):
+        got = classify.parse_reply(text)
+        assert {k: got[k] for k in add} == add, text
+    assert classify.parse_reply('x {"action": "SUPERSEDE", "target_node_id": "a", "confidence": 0.7} y')["target"] == "a"
+    assert "No similar existing nodes found." in classify.prompt({"id": "a"}, [])
+    asked = classify.prompt({"id": "a"}, [{"node_id": f"c{i}", "score": 0.5} for i in range(9)])
+    assert "[3] ID: c2" in asked and "c3" not in asked
+
+
+def test_classify_with_a_model(spark, nodes_of):
+    from graphloom.operators import classify
+
+    nodes = nodes_of([{"id": "old", "summary": "old one"}])
+    emb = spark.createDataFrame([("old", [1.0, 0.0], "h", "m", "active")], "node_id string, embedding array<float>, summary_hash string, model string, status string")
+    new = spark.createDataFrame([("x", [1.0, 0.0], "class", "new one"), ("y", [0.0, -9.0], "class", "far")], "query_id string, embedding array<float>, type string, summary string")
+
+    def ask(text):
+        assert "Summary: new one" in text and "ID: old" in text
+        return '```{"action": "UPDATE", "target_node_id": "old", "confidence": 0.8}```'
+
+    out = {r.query_id: (r.action, r.target, r.score) for r in classify.classify(new, nodes, emb, judge=classify.model_judge(ask)).collect()}
+    assert out == {"x": ("update", "old", 0.8), "y": ("add", None, 1.0)}

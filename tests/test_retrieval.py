@@ -133,52 +133,55 @@ def test_heat_rest(spark):
     assert (round(again.weight, 6), again.hits, again.last) == (0.91, 4, "t")
 
 
-def test_whole_searches_ask_every_vector(spark):
+@pytest.mark.parametrize("few", [4096, 30])
+def test_searches_of_every_vector(spark, monkeypatch, few):
+    """Queries that travel with the tasks, and queries that stream past dealt rows."""
     from graphloom.plans.views import Views
 
-    q, sf = entry.queries(), "/root/testdata/sf0.001"
-    rows = sorted((r.vec_id, r.node_id, r.status, r.model, r.vault_id, r.label, np.array(r.embedding, float)) for r in Views(spark, sf).embeddings.collect())
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", few)
+    v = Views(spark, "/root/testdata/sf0.001")
+    q = v.vectors(1)
+    odd = spark.createDataFrame([("odd", 9000, [1.0], "m0", "active", 3, "v0"), ("none", 9001, None, "m0", "active", 3, "v0")], "node_id string, vec_id bigint, embedding array<float>, model string, status string, label int, vault_id string")
+    emb = v.embeddings.select("node_id", "vec_id", "embedding", "model", "status", "label", "vault_id").unionByName(odd)
+    rows = sorted((r.vec_id, r.node_id, r.status, r.model, r.vault_id, r.label, np.array(r.embedding, float)) for r in v.embeddings.collect())
     score = {(a[0], b[0]): 1 / (1 + np.sqrt(((a[6] - b[6]) ** 2).sum())) for a in rows for b in rows}
 
-    def best(keep, k, name=lambda r: r[1], least=0.0):
+    def best(keep, k, group=lambda r: 0, least=0.0):
         out = {}
         for a in rows:
-            hits = sorted((-score[a[0], b[0]], name(b), b[0]) for b in rows if keep(b) and score[a[0], b[0]] >= least)
-            out |= {(a[0], h[1]): (round(-h[0], 5), n + 1) for n, h in enumerate(hits[:k])}
+            for g in {group(r) for r in rows}:
+                hits = sorted((-score[a[0], b[0]], b[1]) for b in rows if group(b) == g and keep(b) and score[a[0], b[0]] >= least)
+                out |= {(a[0], h[1]): (-h[0], n + 1) for n, h in enumerate(hits[:k])}
         return out
 
-    def got(name):
-        out = q[name](spark, sf).collect()
-        found = {(r.query_id, r.node_id): (round(r.score, 5), r["rank"]) for r in out}
-        assert len(found) == len(out) and len({k[0] for k in found}) > 20
-        return found
-
-    close = lambda x, y: x.keys() == y.keys() and all(abs(x[k][0] - y[k][0]) < 2e-5 and x[k][1] == y[k][1] for k in x)
-    top = best(lambda r: True, 5)
-    assert close(got("knn_topk_all"), top)
-    assert close(got("hits_to_nodes_all"), {k: v for k, v in top.items() if v[1] <= 3})
-    assert close(got("knn_active_all"), best(lambda r: r[2] == "active" and r[3] == "m0", 5))
-    assert close(got("find_similar_all"), best(lambda r: r[2] == "active", 10, least=0.45))
-    groups, vaults = {}, {}
-    for (a, b), s in score.items():
-        label = rows[b][5]
-        groups.setdefault(a, {})[f"group/{label}"] = max(s, groups.get(a, {}).get(f"group/{label}", 0))
-        if rows[b][2] == "active":
-            vaults.setdefault((a, rows[b][4]), []).append((-s, rows[b][1]))
-    ranked = lambda hits, k: [(n, (round(-s, 5), i + 1)) for i, (s, n) in enumerate(sorted(hits)[:k])]
-    assert close(got("dedupe_rank_all"), {(a, n): w for a, g in groups.items() for n, w in ranked([(-s, n) for n, s in g.items()], 4)})
-    few = {}
-    for (a, vault), hits in vaults.items():
-        few.setdefault(a, []).extend((s, n if vault == "v0" else f"@{vault}/{n}") for s, n in sorted(hits)[: 5 if vault == "v0" else 3])
-    assert close(got("federated_knn_all"), {(a, n): w for a, hits in few.items() for n, w in ranked(hits, 10)})
-    said = {}
-    for a in rows:
-        s, n = min((-score[a[0], b[0]], b[1]) for b in rows if b[2] == "active" and b[0] != a[0])
-        said[a[1]] = ("noop", n) if -s >= 0.5 else ("update", n) if -s >= 0.48 else ("supersede", n) if -s >= 0.47 else ("add", None)
-    assert {r.query_id: (r.action, r.target) for r in q["classify_threshold_all"](spark, sf).collect()} == said
-
-
-def test_duplicates_all_finds_pairs_of_any_ids(spark):
+    def close(df, want):
+        found = {(r.query_id, r.node_id): (r.score, r["rank"]) for r in df.collect()}
+        return found.keys() == want.keys() and all(abs(found[k][0] - want[k][0]) < 1e-9 and found[k][1] == want[k][1] for k in want)
+
+    assert close(retrieval.search(emb, q, 5), best(lambda r: True, 5))
+    assert close(retrieval.search(emb, q, 5, model="m0", only_active=True), best(lambda r: r[2] == "active" and r[3] == "m0", 5))
+    assert close(retrieval.find_similar(emb, q, 0.45), best(lambda r: r[2] == "active", 10, least=0.45))
+    assert close(retrieval.search(emb, q, 3, by=["vault_id"]), best(lambda r: True, 3, lambda r: r[4]))
+    assert retrieval.search(emb, q.limit(0), 5).count() == 0
+
+
+def test_pack_folds_long_lists_in_steps(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(g, i, "x" * int(rng.choice([1, 5, 40, 300, 900]))) for g in ("a", "b", None) for i in range(400)]
+    want = {}
+    for g in ("a", "b", None):
+        used = 0
+        for _, i, part in (r for r in rows if r[0] == g):
+            want[g, i] = used + len(part) <= 1000 * 4 - 120
+            used += len(part) if want[g, i] else 0
+    for step in (1000, 7):
+        monkeypatch.setattr(retrieval, "FOLD_ROWS", step)
+        out = retrieval.pack(spark.createDataFrame(rows, "query_id string, ord int, part string"), 1000).collect()
+        got = {(r.query_id, r.ord): r.included for r in out}
+        assert {k: v for k, v in got.items() if k[0]} == {k: v for k, v in want.items() if k[0]} and len(out) == len(rows)
+
+
+def test_duplicates_find_pairs_of_any_ids(spark):
     from graphloom.plans.views import Views
 
     sf = "/root/testdata/sf0.001"
@@ -188,6 +191,6 @@ def test_duplicates_all_finds_pairs_of_any_ids(spark):
         for s, b in sorted((-1 / (1 + np.sqrt(((p - q) ** 2).sum())), b) for b, q in x.items())[:2]:
             if b != a and -s > 0.46:
                 want[min(a, b), max(a, b)] = -s
-    got = {(r.a, r.b): r.score for r in entry.queries()["duplicates_all"](spark, sf).collect()}
+    got = {(r.a, r.b): r.score for r in entry.queries()["duplicates"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
     assert any(min(int(i[4:]) for i in k) >= 20 for k in got)

@@ -58,3 +58,41 @@ def test_evals(spark, tmp_path):
     s = spark.createDataFrame([("First part. Second.",)], "t string").select(evals.sentences(F.col("t")).alias("s")).first().s
     assert s == "First part."
     assert round(spark.createDataFrame([(5, 4, 3)], "a int, b int, c int").select(evals.judge_average("a", "b", "c").alias("j")).first().j, 6) == 4
+
+
+def test_hits_of_cut_words_and_short_items(spark):
+    from graphloom.operators import evals
+
+    docs = [(1, "all the cats sat on a mat"), (2, "hello world"), (3, "x hello  world y and more of it all here now"), (4, None), (5, "short"), (6, "and more of it all here nowhere else"), (7, "")]
+    items = [(1, "the cat"), (2, "hello"), (3, "ello wor"), (4, "and more of it all here now"), (5, "hello  world"), (6, ""), (7, None), (8, "d more of it al"), (9, "sat on a mat"), (10, " the ")]
+    df = lambda rows, c: spark.createDataFrame(rows, f"{c} bigint, text string")
+    want = {(i, d) for i, t in items for d, h in docs if t and h and t in h}
+    for inline in (10_000, 0):
+        evals.INLINE_KEYS, old = inline, evals.INLINE_KEYS
+        try:
+            got = [(r.item_id, r.doc_id) for r in evals.hits(df(items, "item_id"), df(docs, "doc_id")).collect()]
+        finally:
+            evals.INLINE_KEYS = old
+        assert set(got) == want and len(got) == len(want)
+    assert evals.hits(df([], "item_id"), df(docs, "doc_id")).count() == 0
+
+
+def test_feed_and_debounce(spark):
+    from graphloom.streaming import watch
+
+    feed, heard = watch.Feed(), []
+    stop = feed.subscribe(lambda v, k: heard.append((v, k)))
+    feed.publish()
+    feed.publish("heat")
+    stop()
+    assert feed.publish() == 3 and heard == [(1, "graph"), (2, "heat")]
+    events = spark.createDataFrame([("a", t) for t in (0.0, 1.5, 2.0, 2.5, 4.6, 9.0)] + [("b", 1.0)], "path string, at double")
+    got = sorted((r.path, r.first, r.events) for r in watch.debounced(events, 2.0).collect())
+    assert got == [("a", 0.0, 3), ("a", 2.5, 1), ("a", 4.6, 1), ("a", 9.0, 1), ("b", 1.0, 1)]
+
+
+def test_unparsed_scripts_mask_patterns():
+    from graphloom.sources.source_tree import mask_patterns
+
+    for text, left in (("a = /[}/]{2}/g;", "a =           ;"), ("x / y / z", "x / y / z"), ("// /{/", "// /{/"), ("'/{/'", "'/{/'"), ("return /}/", "return    "), ("f(/{/)", "f(   )")):
+        assert mask_patterns(text) == left
