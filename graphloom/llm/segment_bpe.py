@@ -6,6 +6,7 @@ import hashlib
 import json
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from graphloom.llm.batches import by_bytes
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 500_000  # words that a worker remembers; only speed depends on it
 NONE = np.iinfo(np.int64).max
+LONG_BYTES = 2_048  # words from here on are encoded one by one; the ids are the same
 
 
 def byte_symbols() -> dict[str, int]:
@@ -35,6 +37,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._refuse(spec, path)
         byte, ids = byte_symbols(), spec["model"]["vocab"]
         self.bytes_of = {str(i): bytes(byte[c] for c in s) for s, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -47,6 +50,16 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
+        self.rank_of = dict(zip(self.pair_keys.tolist(), self.ranks.tolist()))
+
+    @staticmethod
+    def _refuse(spec: dict, path: str) -> None:
+        """Files of another scheme than plain byte-level BPE are an error, as their ids would be wrong."""
+        model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [k for k in ("single_word", "lstrip", "rstrip", "normalized") if any(t.get(k) for t in spec.get("added_tokens", []))]
+        if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or after.get("type") != "ByteLevel" or odd:
+            raise ValueError(f"{path} is no plain byte-level BPE {odd}")
 
     def rank(self, left, right):
         """Ranks of pairs of ids; NONE where they do not merge or a side is missing (-1)."""
@@ -108,11 +121,59 @@ def _encode_same(words: list[bytes], size: int, vocab: Vocabulary) -> list[np.nd
     return [s[s >= 0] for s in sym]
 
 
+def _encode_long(word: bytes, vocab: Vocabulary) -> np.ndarray:
+    """Encode one long word with the same tree, a number at a time: it needs as many rounds as merges,
+    and no other words share them."""
+    n = len(word)
+    size = 1 << (n - 1).bit_length()
+    ids = vocab.byte_id[np.frombuffer(word, np.uint8)]
+    first = vocab.rank(ids[:-1], ids[1:])
+    leaves = np.full(2 * size, NONE, np.int64)
+    leaves[size : size + n - 1] = np.where(first == NONE, NONE, first * size + np.arange(n - 1))
+    level = size
+    while level > 1:
+        leaves[level // 2 : level] = np.minimum(leaves[level : 2 * level : 2], leaves[level + 1 : 2 * level : 2])
+        level //= 2
+    tree, sym = array("q", leaves.tobytes()), array("q", ids.astype(np.int64).tobytes())
+    nxt, prv = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    none, rank_of, merged = int(NONE), vocab.rank_of, vocab.merged.tolist()
+
+    def put(leaf: int, left: int, right: int) -> None:
+        rank = rank_of.get(left << 32 | right) if right >= 0 else None
+        node = leaf + size
+        tree[node] = none if rank is None else rank * size + leaf
+        node >>= 1
+        while node:
+            a, b = tree[2 * node], tree[2 * node + 1]
+            least = a if a < b else b
+            if tree[node] == least:
+                break
+            tree[node] = least
+            node >>= 1
+
+    while tree[1] != none:
+        rank, i = divmod(tree[1], size)
+        j = nxt[i]
+        after = nxt[j]
+        sym[i], sym[j], nxt[i] = merged[rank], -1, after
+        put(j, 0, -1)
+        if after < n:
+            prv[after] = i
+        put(i, sym[i], sym[after] if after < n else -1)
+        if prv[i] >= 0:
+            put(prv[i], sym[prv[i]], sym[i])
+    out = np.frombuffer(sym, np.int64)
+    return out[out >= 0].copy()
+
+
 def encode_words(words: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
-    """Ids of each word (a pre-token), words of like length together."""
+    """Ids of each word (a pre-token), words of like length together and long ones each."""
     out: list = [None] * len(words)
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
+        if len(w) >= LONG_BYTES:
+            out[k] = _encode_long(w, vocab)
+            continue
         groups.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(k)
     for size, members in groups.items():
         step = max(1, 2_000_000 // size)

@@ -85,6 +85,20 @@ def test_bpe_like_the_library():
     assert codec.decode("220,126") == library.decode([220, 126], skip_special_tokens=False)
 
 
+def test_long_words_like_the_library():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(PATH), random.Random(5)
+    texts = ["ab" * 30_000, "".join(rng.choice("etaoinshr") for _ in range(50_000)), "é日" * 3000, "=" * 5000, "x" * 2048]
+    for text, ids in zip(texts, Codec(Vocabulary(PATH)).encode(texts)):
+        assert ids == ",".join(map(str, library.encode(text, add_special_tokens=False).ids))
+
+
+def test_other_schemes_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=40), min_size=1, max_size=20))
 def test_segment_tree_merges_the_leftmost_lowest_rank(words):
