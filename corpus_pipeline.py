@@ -32,7 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class."""
+    """The document with the smallest id of each class. Rows that repeat an id are one document, and rows without id
+    are none: they stay."""
     classes = prob_minhash.near_duplicates(docs)
     gone = materialize(classes.where("doc_id <> class_id").select("doc_id").distinct(), "pipeline-gone")
     return docs.join(broadcast_if_small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
