@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from graphloom.storage import broadcast_if_small, materialize
 
 
-def slices(batches, keys: tuple[str, ...]):
-    """(columns of keys as arrays, table, start, end) of every group of rows with equal keys.
+def chunks(batches, keys: tuple[str, ...]):
+    """(columns of keys as arrays, table, edges): tables of whole groups of rows with equal keys, and where
+    the groups start (and the last one ends).
 
     Rows must come sorted by the keys; a group may span batches. Null keys are not expected."""
 
@@ -20,9 +21,7 @@ def slices(batches, keys: tuple[str, ...]):
         change = np.zeros(table.num_rows, bool)
         for k in keys:
             change[1:] |= columns[k][1:] != columns[k][:-1]
-        edges = np.concatenate([[0], np.flatnonzero(change), [table.num_rows]])
-        for s, e in zip(edges[:-1], edges[1:]):
-            yield columns, table, int(s), int(e)
+        return columns, table, np.concatenate([[0], np.flatnonzero(change), [table.num_rows]])
 
     held = None
     for batch in batches:
@@ -37,10 +36,17 @@ def slices(batches, keys: tuple[str, ...]):
             same &= column == column[-1]
         at = table.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
         if at:
-            yield from cut(table.slice(0, at).combine_chunks())
+            yield cut(table.slice(0, at).combine_chunks())
         held = table.slice(at)
     if held is not None:
-        yield from cut(held.combine_chunks())
+        yield cut(held.combine_chunks())
+
+
+def slices(batches, keys: tuple[str, ...]):
+    """(columns of keys as arrays, table, start, end) of every group of rows with equal keys."""
+    for columns, table, edges in chunks(batches, keys):
+        for s, e in zip(edges[:-1], edges[1:]):
+            yield columns, table, int(s), int(e)
 
 
 def paired_blocks(rows: DataFrame, cell: list[str], id_: Column, size: int, label: str, counts: DataFrame | None = None) -> DataFrame:
