@@ -111,7 +111,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if clash := [c for c in docs.columns if c.startswith("_dedup_")]:
         raise ValueError(f"columns {clash} clash")
     positions = recurring_lines(docs, key, text).select(F.col("doc").alias("_dedup_doc"), F.col("positions").alias("_dedup_positions"))
-    both = docs.drop("lines_dropped").join(broadcast_if_small(positions, 50_000), F.col(key).cast("bigint") == F.col("_dedup_doc"), "left")
+    both = docs.drop("lines_dropped").join(broadcast_if_small(positions, 300_000), F.col(key).cast("bigint") == F.col("_dedup_doc"), "left")
     return _rebuilt(both, [c for c in docs.columns if c != "lines_dropped"], text)
 
 
