@@ -237,13 +237,14 @@ def near_duplicates(
         dealt(placed(some), some, "copies", "vec", "cells").mapInArrow(_link(cut, kind, tables), "id bigint, root bigint, links bigint"),
         "lattice-links",
     )
-    groups = connected_components(links.select("id", "root").unionAll(star.select("id", "first")), "id", "root")
-    # the first of equal rows has the links of all of them; each links with the others too
-    counts = links.groupBy(F.col("id").alias("first")).agg(F.sum("links").alias("n_links"))
-    alone = links.select("id").distinct().join(star.select("id"), "id", "left_anti").select("id", F.col("id").alias("first"), F.lit(1).cast("bigint").alias("copies"))
-    known = star.unionByName(alone).join(counts, "first", "left")
-    known = known.select("id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = materialize(known.join(groups, "id", "left"), "lattice-groups")
+    groups = connected_components(links, "id", "root").withColumnRenamed("id", "first")
+    # the first of equal rows stands for all of them; each links with the others too
+    counts = links.groupBy(F.col("id").alias("first")).agg(F.sum("links").alias("n_links")).join(groups, "first", "left")
+    counts = materialize(counts, "lattice-counts")
+    alone = counts.join(firsts.withColumnRenamed("id", "first"), "first", "left_anti").select(F.col("first").alias("id"), "first", F.lit(1).cast("bigint").alias("copies"))
+    known = star.unionByName(alone).join(broadcast_if_small(counts, 300_000), "first", "left")
+    known = known.select("id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component"))
+    known = materialize(known, "lattice-groups")
     out = base.select("id").join(broadcast_if_small(known, 1_000_000), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
