@@ -285,10 +285,13 @@ def summary_input(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def template_summary(nodes: DataFrame, by: str = "namespace", limit: int = 500) -> DataFrame:
     """(by, text): a heading with the number of nodes, then a line per node in order of id, appended while
-    the text is no longer than the limit."""
+    the text is no longer than the limit. An id takes a line of nine bytes at least, so that the first few are enough."""
     item = F.concat(F.lit("- [["), "id", F.lit("]] ("), blank(F.col("type")), F.lit(")\n"))
-    rows = nodes.where(is_active()).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("id", item.alias("item")))).alias("items"))
-    head = F.concat(F.lit("Summary of namespace "), by, F.lit(" with "), F.size("items").cast("string"), F.lit(" nodes.\n\n"))
+    live = nodes.where(is_active()).select(by, "id", item.alias("item"))
+    first = live.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("id"))).where(F.col("_k") <= limit // 9 + 2)
+    rows = first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("id", "item"))).alias("items"))
+    rows = rows.join(live.groupBy(by).agg(F.count("*").alias("n")), by)
+    head = F.concat(F.lit("Summary of namespace "), by, F.lit(" with "), F.col("n").cast("string"), F.lit(" nodes.\n\n"))
     step = lambda s, x: F.when(F.octet_length(s) > limit, s).otherwise(F.concat(s, x["item"]))
     return rows.select(by, F.aggregate("items", head, step).alias("text"))
 

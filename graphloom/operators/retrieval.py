@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import escape_html, qualified, quote, token_estimate
 from graphloom.operators.graph import first_by, near
 from graphloom.schema import blank, is_active, normal_namespace
-from graphloom.storage import materialize
+from graphloom.storage import compact, file_bytes, materialize
 
+FEW_BYTES = 64 << 10  # files of a frontier whose edges are put in order in one task
 FEW_QUERIES = 4_096  # query vectors that travel with the tasks; more stream past dealt rows
 SCAN_BLOCK = 128  # query vectors whose distances to a block of rows are held at once
 SHARD_ROWS = 65_536
@@ -191,7 +192,8 @@ def _leaving(front: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges that leave the frontier, with ``parent`` and the position in their node's list: that of
     the table, or (for a table without) by relation and target."""
     ids = front.select("query_id", F.col("id").alias("src"), F.col("pop").alias("parent"))
-    own = near(edges, ids.select("src"), "src").join(ids, "src")
+    own = near(edges, ids.select("src"), "src")
+    own = (own.repartition(1) if file_bytes(front) <= FEW_BYTES else own).join(ids, "src")
     if "ord" in edges.columns:
         return own.select("query_id", "src", "dst", "parent", "ord")
     listed = Window.partitionBy("query_id", "src").orderBy("relation", "dst")
@@ -213,17 +215,17 @@ def traverse(nodes: DataFrame, edges: DataFrame, entries: DataFrame, heat: DataF
         entries = entries.withColumn("query_id", F.lit(0))
     rank = F.col("rank") if "rank" in entries.columns else F.lit(0)
     w = Window.partitionBy("query_id")
-    asked = materialize(entries.select("query_id", "id", rank.alias("r")).groupBy("query_id", "id").agg(F.min("r").alias("r")), "entries")
+    asked = compact(materialize(entries.select("query_id", "id", rank.alias("r")).groupBy("query_id", "id").agg(F.min("r").alias("r")), "entries"))
     front = near(ids, asked.select("id"), "id").distinct().join(asked, "id")
-    front = materialize(front.select("query_id", "id", F.lit(0).alias("depth"), F.row_number().over(w.orderBy("r", "id")).alias("pop")), "traverse")
+    front = compact(materialize(front.select("query_id", "id", F.lit(0).alias("depth"), F.row_number().over(w.orderBy("r", "id")).alias("pop")), "traverse"))
     seen = front
     for level in range(1, depth + 1):
         found = _leaving(front, edges).withColumnRenamed("dst", "id").join(seen, ["query_id", "id"], "left_anti")
-        found = materialize(first_by(found, ["query_id", "id"], F.col("parent"), F.col("ord")), "arrivals")
+        found = compact(materialize(first_by(found, ["query_id", "id"], F.col("parent"), F.col("ord")), "arrivals"))
         found = found.join(near(ids, found.select("id"), "id"), "id", "left_semi")
         found = found.withColumn("heat", F.lit(0.0)) if heat is None else _warm(found, heat)
         pop = F.row_number().over(w.orderBy(F.desc("heat"), "parent", "ord", "id"))
-        front = materialize(found.select("query_id", "id", F.lit(level).alias("depth"), pop.alias("pop")), "traverse")
+        front = compact(materialize(found.select("query_id", "id", F.lit(level).alias("depth"), pop.alias("pop")), "traverse"))
         seen = seen.unionByName(front)
         if level < depth and front.isEmpty():
             break
@@ -237,7 +239,7 @@ def _tag(name: str, text: Column) -> Column:
 
 def render(sub: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``sub`` with ``part`` and ``kind``: full elements for entries, compact ones for the rest."""
-    sub = materialize(sub, "found")
+    sub = compact(materialize(sub, "found"))
     own = near(edges, sub.where("is_entry").select("id"), "src")
     if "ord" not in edges.columns:
         own = own.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy("relation", "dst")))
@@ -271,7 +273,7 @@ def pack(parts: DataFrame, budget: int, reserve: int = 120, by: str = "query_id"
     the next such, until none is left: no list is collected whole, and texts stay out."""
     room = max(budget * 4, reserve) - reserve
     sized = parts.withColumn("bytes", F.octet_length("part").cast("int"))
-    rest = materialize(sized.where(F.col("bytes") <= room).select(by, F.col("ord").cast("bigint").alias("ord"), "bytes"), "pack")
+    rest = sized.where(F.col("bytes") <= room).select(by, F.col("ord").cast("bigint").alias("ord"), "bytes")
     step = lambda s, x: F.when(
         s["used"] + x["bytes"] <= room, F.struct((s["used"] + x["bytes"]).cast("int").alias("used"), F.concat(s["taken"], F.array(x["ord"])).alias("taken"))
     ).otherwise(s)
@@ -288,9 +290,10 @@ def pack(parts: DataFrame, budget: int, reserve: int = 120, by: str = "query_id"
         got = state.select(by, F.explode("taken").alias("ord"))
         taken = got if taken is None else taken.unionByName(got)
         open_ = open_.join(state.select(by, "last", "used"), by).where((F.col("ord") > F.col("last")) & (F.col("used") + F.col("bytes") <= room))
-        open_ = materialize(open_.select(by, "ord", "bytes"), "pack")
+        open_ = open_.select(by, "ord", "bytes")
         if open_.isEmpty():
             break
+        open_ = materialize(open_, "pack")
     taken = taken.select(F.col(by).alias("_by"), F.col("ord").alias("_ord"), F.lit(True).alias("_in"))
     both = sized.join(taken, F.col(by).eqNullSafe(F.col("_by")) & (F.col("ord") == F.col("_ord")), "left")
     return both.withColumn("included", F.coalesce("_in", F.lit(False))).drop("_by", "_ord", "_in")
@@ -323,7 +326,7 @@ def context_query(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame, que
     """(query_id, ord, id, depth, kind, bytes, included): search, expand, pack."""
     hits = search(embeddings, query, k, model=model, only_active=not include_superseded)
     sub = traverse(nodes, edges, hits.select("query_id", F.col("node_id").alias("id"), "rank"), heat, depth, include_superseded)
-    return pack(materialize(render(sub, nodes, edges), "parts"), budget)  # read twice
+    return pack(compact(materialize(render(sub, nodes, edges), "parts")), budget)  # read twice
 
 
 def co_access(entries: DataFrame) -> DataFrame:

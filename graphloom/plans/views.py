@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.schema import edge_class
+from graphloom.storage import materialize
 
 GRAPH = """
 WITH RECURSIVE g_nodes AS (
@@ -95,6 +96,13 @@ class Views:
         w = Window.partitionBy("src").orderBy("relation", "dst")
         return self.pairs.withColumn("ord", (F.row_number().over(w) - 1).cast("bigint"))
 
+    def loaded(self) -> Views:
+        """The same graph as stored tables, sorted by id and by source, so that later searches do not derive it again."""
+        out = Views(self.spark, self.sf_dir)
+        out.nodes = materialize(self.nodes.repartitionByRange("id").sortWithinPartitions("id"), "nodes")
+        out.pairs = materialize(self.pairs.repartitionByRange("src").sortWithinPartitions("src"), "edges")
+        return out
+
     @cached_property
     def full_nodes(self) -> DataFrame:
         """Nodes in the canonical schema, with their edge lists."""

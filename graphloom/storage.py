@@ -76,6 +76,11 @@ def file_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def compact(df: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """A written table of at most ``size`` bytes as one partition, so that what follows needs no exchange."""
+    return df.coalesce(1) if file_bytes(df) <= size else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, size: int | None = None) -> DataFrame:
     """Hint a broadcast only if ``df`` (cheap to count: a materialized table) has at most ``rows`` rows, and
     at most ``size`` (or BROADCAST_BYTES) bytes by its files. Without ``rows`` only the bytes are looked at.
