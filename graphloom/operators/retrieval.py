@@ -189,9 +189,9 @@ def _warm(found: DataFrame, heat: DataFrame) -> DataFrame:
 
 
 def _leaving(front: DataFrame, edges: DataFrame) -> DataFrame:
-    """The edges that leave the frontier, with ``parent`` and the position in their node's list: that of
+    """The edges that leave the frontier, with the ``parent``'s place and the position in its list: that of
     the table, or (for a table without) by relation and target."""
-    ids = front.select("query_id", F.col("id").alias("src"), F.col("pop").alias("parent"))
+    ids = front.select("query_id", F.col("id").alias("src"), F.col("place").alias("parent"))
     own = near(edges, ids.select("src"), "src")
     own = (own.repartition(1) if file_bytes(front) <= FEW_BYTES else own).join(ids, "src")
     if "ord" in edges.columns:
@@ -208,7 +208,10 @@ def traverse(nodes: DataFrame, edges: DataFrame, entries: DataFrame, heat: DataF
     the parent and its edges; ``ord`` numbers the result, entries first. Inactive nodes are not
     emitted and not walked through (unless included); missing targets neither. ``mode`` is accepted
     and has no effect. Edges need no ``ord``: only those that leave a frontier are put in order, and the
-    frontier reaches their scan as a semi join."""
+    frontier reaches their scan as a semi join.
+
+    A node's place in its level is an array that sorts like the order: its coolness, its parent's place and the
+    position of the edge. So a level is an aggregate without a window; only the result is numbered."""
     usable = nodes if include_inactive else nodes.where(is_active())
     ids = usable.select("id")
     if "query_id" not in entries.columns:
@@ -217,19 +220,21 @@ def traverse(nodes: DataFrame, edges: DataFrame, entries: DataFrame, heat: DataF
     w = Window.partitionBy("query_id")
     asked = compact(materialize(entries.select("query_id", "id", rank.alias("r")).groupBy("query_id", "id").agg(F.min("r").alias("r")), "entries"))
     front = near(ids, asked.select("id"), "id").distinct().join(asked, "id")
-    front = compact(materialize(front.select("query_id", "id", F.lit(0).alias("depth"), F.row_number().over(w.orderBy("r", "id")).alias("pop")), "traverse"))
+    place = F.array(F.row_number().over(w.orderBy("r", "id")).cast("double"))
+    front = compact(materialize(front.select("query_id", "id", F.lit(0).alias("depth"), place.alias("place")), "traverse"))
     seen = front
     for level in range(1, depth + 1):
-        found = _leaving(front, edges).withColumnRenamed("dst", "id").join(seen, ["query_id", "id"], "left_anti")
-        found = compact(materialize(first_by(found, ["query_id", "id"], F.col("parent"), F.col("ord")), "arrivals"))
+        found = _leaving(front, edges).withColumnRenamed("dst", "id").join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        found = found.groupBy("query_id", "id").agg(F.min(F.struct("parent", "ord", "src")).alias("first"))
+        found = compact(materialize(found.select("query_id", "id", "first.*"), "arrivals"))
         found = found.join(near(ids, found.select("id"), "id"), "id", "left_semi")
         found = found.withColumn("heat", F.lit(0.0)) if heat is None else _warm(found, heat)
-        pop = F.row_number().over(w.orderBy(F.desc("heat"), "parent", "ord", "id"))
-        front = compact(materialize(found.select("query_id", "id", F.lit(level).alias("depth"), pop.alias("pop")), "traverse"))
+        place = F.concat(F.array(-F.col("heat")), "parent", F.array(F.col("ord").cast("double")))
+        front = compact(materialize(found.select("query_id", "id", F.lit(level).alias("depth"), place.alias("place")), "traverse"))
         seen = seen.unionByName(front)
         if level < depth and front.isEmpty():
             break
-    order = Window.partitionBy("query_id").orderBy("depth", "pop")
+    order = w.orderBy("depth", "place", "id")
     return seen.select("query_id", "id", "depth", (F.col("depth") == 0).alias("is_entry"), F.row_number().over(order).alias("ord"))
 
 
