@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import materialize
+from graphloom.storage import materialize, spread
 
 METRICS = ("quality", "turns", "tokens", "cost_usd", "duration_ms")
 
@@ -44,7 +44,7 @@ def hits(items: DataFrame, texts: DataFrame, words: int = 8) -> DataFrame:
         return items.join(docs, F.col("needle") == F.col("hay")).select("item_id", "doc_id").limit(0)
     keys = [r["k"] for r in head.select("k").distinct().limit(INLINE_KEYS + 1).collect()]
     wanted = (lambda k: k.isin(*keys)) if len(keys) <= INLINE_KEYS else (lambda k: k.isNotNull())
-    tokens = docs.withColumn("t", F.split("hay", r"\s+"))
+    tokens = spread(docs).withColumn("t", F.split("hay", r"\s+"))
     of_words = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - n + 1)), lambda i: F.xxhash64(F.array_join(F.slice("t", i, n), " ")))
     of_chars = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("hay") - n + 1)), lambda i: F.xxhash64(F.substr("hay", i, F.lit(n))))
     places = [F.filter(of_words(w) if w else of_chars(n), wanted) for w, n in kinds]

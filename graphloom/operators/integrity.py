@@ -113,10 +113,10 @@ def small_components(live: DataFrame, edges: DataFrame) -> DataFrame:
     one that has no other; so no search over the graph is needed."""
     inside = within(edges.select("src", "dst"), live).where("src <> dst")
     pairs = inside.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionAll(inside.select("dst", "src")).distinct()
-    pairs = materialize(pairs, "neighbours")
-    alone = live.select("id").join(pairs.select("id"), "id", "left_anti").select(F.array("id").alias("node_ids"))
-    one = pairs.groupBy("id").agg(F.count("*").alias("n"), F.first("other").alias("other")).where("n = 1")
-    two = one.select("id", "other").join(one.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).where("id < other")
+    degree = materialize(pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("other")), "neighbours")
+    alone = live.select("id").join(degree.select("id"), "id", "left_anti").select(F.array("id").alias("node_ids"))
+    one = degree.where("n = 1").select("id", "other")
+    two = one.join(one.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).where("id < other")
     return alone.unionByName(two.select(F.array("id", "other").alias("node_ids")))
 
 
@@ -141,7 +141,7 @@ def suggestions(nodes: DataFrame, files: DataFrame | None = None, embeddings: Da
     """All suggestions on active nodes, each id once; small components can be left out. ``edges`` may be a table in
     place of the nodes' lists."""
     live = active(nodes)
-    edges = edges_of(nodes) if edges is None else edges
+    edges = materialize((edges_of(nodes) if edges is None else edges).select("src", "dst"), "edges")  # read by several parts
     lone = lambda df: df.withColumn("node_ids", F.array("id"))
     say = F.format_string
     parts = [

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20  # of a table's files (or of the planner's estimate) that is sent to every executor
+SPREAD_BYTES = 64 << 20  # of a scan, for each core, from which it is not looked at
 
 _scopes: list[list[str]] = []
 
@@ -76,6 +77,15 @@ def file_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it is a small scan of fewer partitions (one file, say): for work that costs far
+    more than moving its rows. A scan of some size has a partition for every core and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if file_bytes(df) > cores * SPREAD_BYTES or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def compact(df: DataFrame, size: int = 1 << 20) -> DataFrame:
     """A written table of at most ``size`` bytes as one partition, so that what follows needs no exchange."""
     return df.coalesce(1) if file_bytes(df) <= size else df
