@@ -69,14 +69,17 @@ class Forest:
             lo, hi = self._ranges(hashes, middle)
             good = (hi - lo).sum(0) >= least
             level, short = np.where(good, middle, level), np.where(good, short, middle)
-        lo, hi = self._ranges(hashes, level)
+        # one row may be under several trees' prefixes: then a level more is needed, and as a rule no other
+        ranges = [self._ranges(hashes, np.maximum(level - up, 0)) for up in (0, 1)]
         flat_order, base = self.order.ravel(), np.arange(self.trees, dtype=np.int64) * n
+        eighths = np.array_split(np.arange(self.trees), 8)
         seen = np.zeros(n, bool)
         for at in range(len(queries)):
-            a, b, up = lo[:, at], hi[:, at], int(level[at])
-            while True:  # one row may be under several trees' prefixes: then a level more
+            up = 0
+            while True:
+                a, b = (x[:, at] for x in ranges[up]) if up < 2 else (x[:, 0] for x in self._ranges(hashes[:, at : at + 1], level[at : at + 1] - up))
                 seen[:] = False
-                for some in np.array_split(np.arange(self.trees), 8):  # and of that only what is needed
+                for some in eighths:  # of the last level only what is needed
                     size = b[some] - a[some]
                     seen[flat_order[np.repeat(a[some] + base[some] - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
                     if np.count_nonzero(seen) >= least:
@@ -84,8 +87,7 @@ class Forest:
                 found = np.flatnonzero(seen)
                 if len(found) >= least:
                     break
-                up -= 1
-                a, b = (x[:, 0] for x in self._ranges(hashes[:, at : at + 1], np.array([up])))
+                up += 1
             yield found
 
     def _ranges(self, hashes: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +95,7 @@ class Forest:
         shift = self.bits - level
         low = (hashes >> shift) << shift
         high = low + (np.int64(1) << shift)
-        lo = np.array([np.searchsorted(s, x) for s, x in zip(self.strings, low)])
-        return lo, np.array([np.searchsorted(s, x) for s, x in zip(self.strings, high)])
+        return tuple(np.array([s.searchsorted(x) for s, x in zip(self.strings, ends)]) for ends in (low, high))
 
 
 def _answer(forest: Forest, ids: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, least: int) -> pa.RecordBatch:
