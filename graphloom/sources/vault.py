@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import id_from_path, valid_id
 from graphloom.operators.graph import latest
 from graphloom.schema import NODES, VaultConfig, is_active
+from graphloom.storage import spread
 
 _META = "id string, type string, namespace string, status string, tags array<string>, file_path string"
 
@@ -110,7 +111,7 @@ def parse_files(files: DataFrame, vault_id: str | None = None, with_errors: bool
                 yield frame.where(frame.notna(), None)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NODES) + ", error string"
-    out = files.select("rel", "text").mapInPandas(parse, fields)
+    out = spread(files.select("rel", "text")).mapInPandas(parse, fields)
     if with_errors:
         return out.where("error is not null").select("file_path", "error")
     good = latest(out.where("error is null").drop("error")).where(valid_id("id"))
