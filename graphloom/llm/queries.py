@@ -84,14 +84,66 @@ def op10_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen codes a vector, from codebooks refined over all vectors."""
+    from graphloom.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all, a seventh of the labels being moved by one."""
+    from graphloom.llm.hard_negatives import mine
+
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
+def _codes_sql() -> str:
+    """Two rounds of 16 codebooks of 64 entries, from long tables of components."""
+    steps = ["""
+            x AS (SELECT vec_id, label, (i - 1) // (n // 16) AS part, (i - 1) % (n // 16) AS pos, floor(256 * c::DOUBLE)::BIGINT AS c
+                  FROM (SELECT vec_id, label, len(embedding) AS n, unnest(embedding) AS c, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings
+                        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)),
+            b0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, pos, c FROM x WHERE vec_id IN (SELECT DISTINCT vec_id FROM x ORDER BY vec_id LIMIT 64))"""]
+    for r in range(3):
+        steps.append(f"""
+            d{r} AS (SELECT vec_id, part, entry, sum((x.c - b.c) * (x.c - b.c))::BIGINT AS far FROM x JOIN b{r} b USING (part, pos) GROUP BY ALL),
+            a{r} AS (SELECT vec_id, part, arg_min(entry, far * 256 + entry) AS entry, min(far) AS far FROM d{r} GROUP BY ALL)""")
+        if r < 2:
+            steps.append(f"""
+            m{r} AS (SELECT part, entry, pos, sum(c)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id, part) GROUP BY ALL),
+            b{r + 1} AS (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM b{r} LEFT JOIN m{r} USING (part, entry, pos))""")
+    return "WITH" + ",".join(steps) + """,
+            books AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b2),
+            coded AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error
+                      FROM a2 JOIN (SELECT DISTINCT vec_id, label FROM x) USING (vec_id) GROUP BY vec_id)
+            SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_vector_codes": _codes_sql(),
+        "op13_hard_negatives": """
+            WITH x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                              list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v
+                       FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                            AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+                  FROM x a, x b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+            p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+            SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+                   id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+            QUALIFY rank <= 5""",
         "op8_extendible_sharding": f"""
             WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS shard_bytes,
                               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),

@@ -14,6 +14,12 @@ def usable(vector: str) -> Column:
     return F.coalesce(~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def finite(vector: str) -> Column:
+    """True for vectors that are not null, not empty and hold finite numbers only."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.coalesce(~F.exists(vector, bad) & (F.size(vector) > 0), F.lit(False))
+
+
 def stack(lists) -> np.ndarray:
     """Rows of equal length as a double matrix."""
     return np.array([np.asarray(x, np.float64) for x in lists], np.float64)
