@@ -91,6 +91,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under the attention model and under the counts of words, both from four fifths of the documents."""
+    import public_tokenizers
+
+    from graphloom.llm import attention_lm
+
+    docs = table(spark, sf_dir, "documents")
+    train = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) != 1
+    return attention_lm.score(docs, attention_lm.fit(docs, train, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), train)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector among all, a seventh of the labels being moved by one."""
     from graphloom.llm.hard_negatives import mine
