@@ -74,6 +74,12 @@ def valid_id(c: str | Column) -> Column:
     return (c != "") & (F.octet_length(c) <= MAX_ID_BYTES) & ~c.contains("..") & ~c.startswith("/") & ~c.contains("\x00") & ~bad
 
 
+def id_is_valid(value: str | None) -> bool:
+    """``valid_id`` for one value, in tasks that write or read a file of that name."""
+    v = value or ""
+    return bool(v) and len(v.encode()) <= MAX_ID_BYTES and ".." not in v and "\x00" not in v and not any(p == "" or p.startswith(".") for p in v.split("/"))
+
+
 def id_from_path(path: str | Column) -> Column:
     return F.regexp_replace(_c(path), r"\.md$", "")
 

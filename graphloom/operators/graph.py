@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import scc
 from graphloom.operators.components import connected_components
 from graphloom.schema import LIST_CAP, STRUCTURAL_RELATIONS, blank, edge_class, is_active
 from graphloom.storage import broadcast_if_small, discard, materialize
@@ -138,29 +139,24 @@ def inbound_sources(edges: DataFrame, id_: str) -> DataFrame:
 
 
 def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates (src, dst) with ``cycle``: whether structural edges lead from dst back to src."""
-    structural = edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS))
-    pairs = materialize(candidates.select("src", "dst").distinct(), "cycle-pairs")
-    # one search for each distinct end on the side that has fewer of them
-    root, goal, way = ("dst", "src", "out") if pairs.select("dst").distinct().count() <= pairs.select("src").distinct().count() else ("src", "dst", "in")
-    reach = bfs(structural, pairs.select(F.col(root).alias("id"), F.col(root).alias("root")), None, way, ["root"])
-    looped = pairs.join(reach.select(F.col("root").alias(root), F.col("id").alias(goal)), ["src", "dst"]).withColumn("cycle", F.lit(True))
-    return candidates.join(looped, ["src", "dst"], "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
+    """Candidates (src, dst) with ``cycle``: whether structural edges lead from dst back to src.
+
+    Components, paths and levels of the structural graph answer most of them; the rest is searched for together."""
+    graph = scc.condense(edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS)))
+    found = scc.reaches(graph, candidates.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    found = found.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("reached").alias("cycle"))
+    return candidates.join(found, ["src", "dst"], "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
 
 
 def cycle_residual(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids left when nodes without structural in-edges are peeled off again and again: the members
     of cycles and everything downstream of them. Edges to unknown nodes are ignored."""
-    live = materialize(within(edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS)), nodes).select("src", "dst"), "kahn")
-    n = live.count()
-    while n:
-        before, live = live, materialize(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "kahn")
-        discard(before)
-        m = live.count()
-        if m == n:
-            break
-        n = m
-    return live.select(F.col("dst").alias("id")).distinct()
+    live = materialize(within(edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS)), nodes).select("src", "dst").distinct(), "kahn")
+    graph = scc.condense(live)
+    large = graph.nodes.groupBy("scc").count().where("count > 1").select("scc")
+    looped = live.where("src = dst").select(F.col("src").alias("id"))
+    rings = materialize(graph.nodes.join(large, "scc", "left_semi").select("id").unionByName(looped).distinct(), "kahn-rings")
+    return scc.downstream(graph, rings).unionByName(looped).distinct()
 
 
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

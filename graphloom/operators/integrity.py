@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import content_hash, infer_type, suggestion_id
 from graphloom.operators.federation import model_skew
 from graphloom.operators.graph import active, bfs, cycle_residual, dangling, edges_of, first_by, orphans, within
-from graphloom.operators.retrieval import search
+from graphloom.operators.metric import neighbours
 from graphloom.schema import EXTERNAL_RELATIONS, SUPERSEDED, blank, severity_rank
 from graphloom.storage import materialize
 
@@ -130,8 +130,9 @@ def _suggest(df: DataFrame, kind: str, severity: str, message: Column, command:
 
 def duplicates(nodes: DataFrame, embeddings: DataFrame, vectors: DataFrame, model: str | None = None, least: float = DUPLICATE_SCORE) -> DataFrame:
     """(a, b, score): nodes whose summary vector (``vectors``: query_id, embedding) has another node among its two
-    nearest rows, above the score."""
-    hits = search(embeddings, vectors, 2, model=model).where((F.col("node_id") != F.col("query_id")) & (F.col("score") > least))
+    nearest rows, above the score. Rows and vectors that cannot be as near do not meet."""
+    rows = embeddings if model is None else embeddings.where(F.col("model") == model)
+    hits = neighbours(rows, vectors, least, 2, above=True).where(F.col("node_id") != F.col("query_id"))
     pairs = hits.select(F.least("query_id", "node_id").alias("a"), F.greatest("query_id", "node_id").alias("b"), "score")
     return pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
 

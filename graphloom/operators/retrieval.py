@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import escape_html, qualified, quote, token_estimate
+from graphloom.functions.vectors import Embedder, embed_column
 from graphloom.operators.graph import first_by, near
 from graphloom.schema import blank, is_active, normal_namespace
 from graphloom.storage import compact, file_bytes, materialize
 
 FEW_BYTES = 64 << 10  # files of a frontier whose edges are put in order in one task
 FEW_QUERIES = 4_096  # query vectors that travel with the tasks; more stream past dealt rows
+FEW_QUERY_BYTES = 32 << 20  # of their vectors
 SCAN_BLOCK = 128  # query vectors whose distances to a block of rows are held at once
 SHARD_ROWS = 65_536
 SIMILAR_CAP = 10
@@ -23,7 +28,7 @@ class _Block:
     """Rows to be searched: a matrix, ids, and the rows of every group ``by``."""
 
     def __init__(self, frame: pd.DataFrame, by: list[str]):
-        self.X = np.array([np.asarray(v, np.float64) for v in frame["embedding"]])
+        self.X = _vectors(frame["embedding"])
         self.names = frame["node_id"].to_numpy()
         self.square = (self.X**2).sum(1)
         self.groups = [(key if isinstance(key, tuple) else (key,), at) for key, at in frame.groupby(by, sort=False).indices.items()] if by else [((), np.arange(len(frame)))]
@@ -61,33 +66,40 @@ class _Block:
         return frame
 
 
-def _scan(ids: list, vectors: np.ndarray, keep: int | None, least: float | None, by: list[str]):
-    """Score the rows where they lie, against the queries that came with the task."""
+def _vectors(column) -> np.ndarray:
+    return np.array([np.asarray(v, np.float64) for v in column])
+
+
+def _scan(asked: dict, keep: int | None, least: float | None, by: list[str]):
+    """Score the rows where they lie, against the queries that came with the task: of each model (or none) and width."""
 
     def run(batches):
         for batch in batches:
-            batch = batch[batch["embedding"].map(lambda v: v is not None and len(v) == vectors.shape[1])]
-            if len(batch):
-                yield _Block(batch, by).best(ids, vectors, keep, least, by)
+            batch = batch[batch["embedding"].notna()]
+            width = batch["embedding"].map(len)
+            for (model, dim), (ids, vectors) in asked.items():
+                rows = batch[(width == dim) & ((batch["matched"] == model) if model is not None else True)]
+                if len(rows):
+                    yield _Block(rows, by).best(ids, vectors, keep, least, by)
 
     return run
 
 
 def _stream(keep: int | None, least: float | None, by: list[str]):
-    """Rows come by shard and length, first those to be searched, then the queries, which stream by."""
+    """Rows come by shard, model and length, first those to be searched, then the queries, which stream by."""
 
     def run(batches):
         key, held, block = None, [], None
         for batch in batches:
-            for (shard, dim, asks), part in batch.groupby(["shard", "dim", "asks"], sort=True):
-                if (shard, dim) != key:
-                    key, held, block = (shard, dim), [], None
+            for (shard, model, dim, asks), part in batch.groupby(["shard", "matched", "dim", "asks"], sort=True):
+                if (shard, model, dim) != key:
+                    key, held, block = (shard, model, dim), [], None
                 if not asks:
                     held.append(part)
                 elif held or block:
                     if block is None:
                         block, held = _Block(pd.concat(held), by), []
-                    yield block.best(part["query_id"].tolist(), np.array([np.asarray(v, np.float64) for v in part["embedding"]]), keep, least, by)
+                    yield block.best(part["query_id"].tolist(), _vectors(part["embedding"]), keep, least, by)
 
     return run
 
@@ -99,17 +111,21 @@ def search(
     """(by..., query_id, node_id, score, rank): the ``k`` best rows per query (and group ``by``),
     score 1 / (1 + L2), ties to the smaller id; with ``least`` only scores from there on.
 
-    Few queries travel with the tasks, and rows are scored where they lie. Many are dealt: the rows
-    go once to shards of about 65536, and every query streams past each shard, in blocks. Either way
-    only each part's best rows are shuffled. ``strict`` raises on a row of another model or dimension;
-    otherwise other models are left out."""
+    Queries with a ``model`` meet rows of that model only, so that one question can have a vector for each model
+    (``query_vectors``); its best rows are then those of all of them. Few queries travel with the tasks, and rows are scored
+    where they lie. Many (by number or bytes) are dealt: the rows go once to shards of about 65536, and every query streams past
+    each shard, in blocks. Either way only each part's best rows are shuffled. ``strict`` raises on a row of another model or
+    dimension; otherwise other models are left out."""
     by = by or []
     spark = embeddings.sparkSession
     if strict and model is not None and not embeddings.where(F.col("model") != model).isEmpty():
         raise ValueError(f"the store holds rows of other models than {model!r}")
     rows = embeddings.where(is_active()) if only_active else embeddings
     rows = rows.where(F.col("model") == model) if model is not None else rows
-    asked = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
+    keyed = "model" in queries.columns
+    matched = (F.coalesce("model", F.lit("")) if keyed else F.lit("")).alias("matched")
+    rows = rows.withColumn("matched", matched)
+    asked = queries.where(F.size("embedding") > 0).select("query_id", "embedding", matched)
     if strict:
         widths = [r[0] for r in asked.select(F.size("embedding")).distinct().limit(2).collect()]
         if len(widths) > 1 or widths and not rows.where(F.size("embedding") != widths[0]).isEmpty():
@@ -117,31 +133,41 @@ def search(
     types = dict(embeddings.dtypes)
     kind = dict(queries.dtypes)["query_id"]
     schema = ", ".join([f"{c} {types[c]}" for c in by] + [f"query_id {kind}", f"node_id {types['node_id']}", "score double"])
-    first = asked.limit(FEW_QUERIES + 1).collect()
-    if len(first) <= FEW_QUERIES:
-        out = None
-        for width in sorted({len(r["embedding"]) for r in first}):  # as a rule one
-            some = [r for r in first if len(r["embedding"]) == width]
-            matrix = np.array([np.asarray(r["embedding"], np.float64) for r in some])
-            part = rows.select(*by, "node_id", "embedding").mapInPandas(_scan([r["query_id"] for r in some], matrix, k, least, by), schema)
-            out = part if out is None else out.unionByName(part)
-        out = spark.createDataFrame([], schema) if out is None else out
+    extent = asked.agg(F.count("*"), F.sum(8 * F.size("embedding"))).first()
+    if extent[0] <= FEW_QUERIES and (extent[1] or 0) <= FEW_QUERY_BYTES:
+        sets: dict = {}
+        for r in asked.collect():
+            sets.setdefault((r["matched"] if keyed else None, len(r["embedding"])), []).append(r)
+        sets = {key: ([r["query_id"] for r in some], _vectors(r["embedding"] for r in some)) for key, some in sorted(sets.items(), key=str)}
+        out = rows.select(*by, "node_id", "embedding", "matched").mapInPandas(_scan(sets, k, least, by), schema) if sets else spark.createDataFrame([], schema)
     else:
         n = rows.count()
         shards = max(1, -(-n // SHARD_ROWS), min(spark.sparkContext.defaultParallelism, n // 2048))
         none = [F.lit(None).cast(types[c]).alias(c) for c in by]
         store = rows.where(F.size("embedding") > 0).select(
-            *by, "node_id", F.lit(None).cast(kind).alias("query_id"), "embedding", F.lit(False).alias("asks"), F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard"))
+            *by, "node_id", F.lit(None).cast(kind).alias("query_id"), "embedding", "matched", F.lit(False).alias("asks"), F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard"))
         every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-        asking = asked.select(*none, F.lit(None).cast(types["node_id"]).alias("node_id"), "query_id", "embedding", F.lit(True).alias("asks"), every.alias("shard"))
+        asking = asked.select(*none, F.lit(None).cast(types["node_id"]).alias("node_id"), "query_id", "embedding", "matched", F.lit(True).alias("asks"), every.alias("shard"))
         dealt = store.unionByName(asking).withColumn("dim", F.size("embedding"))
-        dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
+        dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "matched", "dim", "asks")
         out = dealt.mapInPandas(_stream(k, least, by), schema)
     w = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "node_id")
     ranked = out.withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k) if k is not None else ranked
 
 
+def query_vectors(texts: DataFrame, models: list[str], embedders: Mapping[str, Embedder]) -> DataFrame:
+    """(query_id, model, embedding): every text (query_id, text) with a vector of each distinct model.
+
+    A vault that was embedded with a model is asked with that model's vector. ``embedders`` has one per model; models without
+    one get no vector, so that their vaults are left out instead of being asked in a space that is not theirs."""
+    out = None
+    for name in sorted(set(models) & set(embedders)):
+        part = texts.select("query_id", F.lit(name).alias("model"), embed_column(F.coalesce("text", F.lit("")), embedders[name]).alias("embedding"))
+        out = part if out is None else out.unionByName(part)
+    return texts.select("query_id", F.lit("").alias("model"), F.array().cast("array<float>").alias("embedding")).limit(0) if out is None else out
+
+
 def find_similar(embeddings: DataFrame, queries: DataFrame, least: float, model: str | None = None) -> DataFrame:
     """Active rows from a score on, at most ten."""
     return search(embeddings, queries, SIMILAR_CAP, least, model, only_active=True)
@@ -156,7 +182,9 @@ def dedupe_rank(hits: DataFrame, limit: int = 10) -> DataFrame:
 
 def federated(embeddings: DataFrame, queries: DataFrame, local: str = "", k_local: int = 5, k_remote: int = 3, limit: int = 10,
               model: str | None = None, only_active: bool = True) -> DataFrame:
-    """Five hits of the local vault and three of every other, remote ids qualified, best ten by query."""
+    """Five hits of the local vault and three of every other, remote ids qualified, best ten by query.
+
+    Vaults of several models are asked with ``query_vectors``: each with the vector of its own model."""
     hits = search(embeddings, queries, max(k_local, k_remote), model=model, only_active=only_active, by=["vault_id"])
     here = F.col("vault_id") == local
     hits = hits.where(F.col("rank") <= F.when(here, k_local).otherwise(k_remote))
@@ -267,38 +295,80 @@ def render(sub: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return full.select(*sub.columns, part.alias("part"), F.when(F.col("is_entry"), "full").otherwise("compact").alias("kind"))
 
 
-FOLD_ROWS = 1_000  # parts of a list that are folded at once
+STRETCH_ROWS = 100_000  # parts of a stretch of the lists
+
+
+def _runs(batches):
+    """Arrow batches (list, ord, bytes) cut where the list changes, each with whether a list begins with it."""
+    key = object()
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+        for s, e in zip(edges, edges[1:]):
+            if e > s:
+                yield names[s] != key, batch.slice(s, e - s)
+                key = names[s]
+
+
+def _may_fit(room: int):
+    """Drop the parts of a stretch of a list that cannot be included.
+
+    Room only shrinks, so a part is included only if every earlier one of at most its size is too: those must fit with
+    it. Sums of earlier parts up to 64 sizes bound that from below."""
+
+    def run(batches):
+        sums = sizes = None
+        for new, part in _runs(batches):
+            n = part.column("bytes").to_numpy().astype(np.int64)
+            if new or sums is None:
+                sizes = np.unique(np.quantile(n, np.linspace(0, 1, 64), method="lower"))
+                sums = np.zeros(len(sizes), np.int64)
+            level = np.searchsorted(sizes, n, "right") - 1  # the largest of the sizes that is not above it
+            good = np.ones(len(n), bool)
+            for k, size in enumerate(sizes):
+                before = sums[k] + np.cumsum(np.where(n <= size, n, 0))
+                here = level == k
+                good[here] = before[here] - np.where(n[here] <= size, n[here], 0) + n[here] <= room
+                sums[k] = before[-1]
+            if good.any():
+                yield part.filter(pa.array(good))
+
+    return run
+
+
+def _fill(room: int):
+    """First fit over the parts of each list in order."""
+
+    def run(batches):
+        used = 0
+        for new, part in _runs(batches):
+            used = 0 if new else used
+            taken = []
+            for i, n in enumerate(part.column("bytes").to_pylist()):
+                if used + n <= room:
+                    used += n
+                    taken.append(i)
+            if taken:
+                yield part.take(pa.array(taken)).select([0, 1])
+
+    return run
 
 
 def pack(parts: DataFrame, budget: int, reserve: int = 120, by: str = "query_id") -> DataFrame:
     """``parts`` with ``bytes`` and ``included``: first fit in the order of ``ord``. A part too large is
     skipped and later ones may still fit, so this is a fold, not a running sum.
 
-    The fold runs over (ord, bytes) of the first thousand parts of each list that still fit its room, then of
-    the next such, until none is left: no list is collected whole, and texts stay out."""
+    It runs over (ord, bytes) only; texts stay out. Long lists are cut into stretches first, each of which drops the parts
+    that cannot be included whatever came before, in parallel; the few that are left are then filled in, list by list."""
     room = max(budget * 4, reserve) - reserve
     sized = parts.withColumn("bytes", F.octet_length("part").cast("int"))
-    rest = sized.where(F.col("bytes") <= room).select(by, F.col("ord").cast("bigint").alias("ord"), "bytes")
-    step = lambda s, x: F.when(
-        s["used"] + x["bytes"] <= room, F.struct((s["used"] + x["bytes"]).cast("int").alias("used"), F.concat(s["taken"], F.array(x["ord"])).alias("taken"))
-    ).otherwise(s)
-    none = F.array().cast("array<bigint>")
-    first = Window.partitionBy(by).orderBy("ord")
-    state, taken, open_ = None, None, rest
-    while True:
-        some = open_.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= FOLD_ROWS)
-        listed = some.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "bytes"))).alias("all"), F.max("ord").alias("last"))
-        before = F.lit(0) if state is None else F.coalesce("used", F.lit(0))
-        listed = listed if state is None else listed.join(state.select(by, "used"), by, "left")
-        folded = listed.select(by, "last", F.aggregate("all", F.struct(before.cast("int").alias("used"), none.alias("taken")), step).alias("s"))
-        state = materialize(folded.select(by, "last", "s.used", "s.taken"), "pack")
-        got = state.select(by, F.explode("taken").alias("ord"))
-        taken = got if taken is None else taken.unionByName(got)
-        open_ = open_.join(state.select(by, "last", "used"), by).where((F.col("ord") > F.col("last")) & (F.col("used") + F.col("bytes") <= room))
-        open_ = open_.select(by, "ord", "bytes")
-        if open_.isEmpty():
-            break
-        open_ = materialize(open_, "pack")
+    rest = materialize(sized.where(F.col("bytes") <= room).select(by, F.col("ord").cast("bigint").alias("ord"), "bytes"), "pack")
+    kind = dict(parts.dtypes)[by]
+    stretches = -(-rest.count() // STRETCH_ROWS)
+    if stretches > 1:
+        some = rest.repartitionByRange(stretches, by, "ord").sortWithinPartitions(by, "ord")
+        rest = some.mapInArrow(_may_fit(room), f"{by} {kind}, ord bigint, bytes int")
+    taken = rest.repartition(by).sortWithinPartitions(by, "ord").mapInArrow(_fill(room), f"{by} {kind}, ord bigint")
     taken = taken.select(F.col(by).alias("_by"), F.col("ord").alias("_ord"), F.lit(True).alias("_in"))
     both = sized.join(taken, F.col(by).eqNullSafe(F.col("_by")) & (F.col("ord") == F.col("_ord")), "left")
     return both.withColumn("included", F.coalesce("_in", F.lit(False))).drop("_by", "_ord", "_in")

@@ -36,7 +36,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -49,7 +50,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -69,7 +70,7 @@ def discard(df: DataFrame) -> None:
     """Delete the files behind a ``materialize`` result that nothing reads any more."""
     path = getattr(df, "_graphloom_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def file_bytes(df: DataFrame) -> int:

@@ -175,7 +175,7 @@ def test_pack_folds_long_lists_in_steps(spark, monkeypatch):
             want[g, i] = used + len(part) <= 1000 * 4 - 120
             used += len(part) if want[g, i] else 0
     for step in (1000, 7):
-        monkeypatch.setattr(retrieval, "FOLD_ROWS", step)
+        monkeypatch.setattr(retrieval, "STRETCH_ROWS", step)
         out = retrieval.pack(spark.createDataFrame(rows, "query_id string, ord int, part string"), 1000).collect()
         got = {(r.query_id, r.ord): r.included for r in out}
         assert {k: v for k, v in got.items() if k[0]} == {k: v for k, v in want.items() if k[0]} and len(out) == len(rows)
@@ -194,3 +194,71 @@ def test_duplicates_find_pairs_of_any_ids(spark):
     got = {(r.a, r.b): r.score for r in entry.queries()["duplicates"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
     assert any(min(int(i[4:]) for i in k) >= 20 for k in got)
+
+
+def test_pack_fills_a_million_parts_at_once(spark, monkeypatch):
+    from graphloom import storage
+
+    made = []
+    whole = storage.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, label, *rest: made.append(label) or whole(df, label, *rest))
+    n = 1_000_000
+    size = F.when(F.col("id") % 9973 == 0, 1).when(F.col("id") % 1000 == 7, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(900)) + 2).cast("int")
+    parts = spark.range(n).select(F.when(F.col("id") % 3 == 0, "big").otherwise("other").alias("query_id"), F.col("id").alias("ord"), F.repeat(F.lit("x"), size).alias("part"))
+    out = retrieval.pack(parts, 4096).where("included").groupBy("query_id").agg(F.sort_array(F.collect_list("ord")).alias("taken")).collect()
+    sizes = parts.select("ord", F.length("part").alias("n")).orderBy("ord").toPandas()["n"].to_numpy()
+    for r in out:
+        used, want = 0, []
+        for i in range(n):
+            if (i % 3 == 0) == (r.query_id == "big") and used + sizes[i] <= 4096 * 4 - 120:
+                used += sizes[i]
+                want.append(i)
+        assert r.taken == want
+    assert len(out) == 2 and made == ["pack"]
+
+
+def test_parts_that_cannot_fit_go_early():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    for room in (100, 1000):
+        n = rng.integers(0, 60, 3000)
+        batches = [pa.table({"q": ["a"] * 3000, "ord": np.arange(3000), "bytes": pa.array(n, pa.int32())}).to_batches(max_chunksize=700)]
+        kept = set(np.concatenate([b.column("ord").to_numpy() for b in retrieval._may_fit(room)(batches[0])]).tolist())
+        used, taken = 0, set()
+        for i, b in enumerate(n):
+            if used + b <= room:
+                used += b
+                taken.add(i)
+        assert taken <= kept and len(kept) < 3000 * (0.1 if room == 100 else 0.4)
+
+
+@pytest.mark.parametrize("few", [4096, 1])
+def test_every_vault_is_asked_with_its_own_model(spark, monkeypatch, few):
+    monkeypatch.setattr(retrieval, "FEW_QUERIES", few)
+
+    class Letters:
+        def __init__(self, model, letters):
+            self.model, self.letters, self.dimension = model, letters, len(letters)
+
+        def embed(self, texts):
+            return [np.array([t.count(c) for c in self.letters], np.float32) for t in texts]
+
+    models = {"small": Letters("small", "ab"), "large": Letters("large", "abcd"), "same": Letters("same", "dcba")}
+    texts = {f"{v}{i}": "a" * (i % 3) + "b" * (i % 4) + "c" * (i % 2) + "d" * (i % 5) for v in "xyzw" for i in range(12)}
+    own = {"x": "small", "y": "large", "z": "same", "w": "unknown"}
+    rows = [(k, models[own[k[0]]].embed([t])[0].tolist() if own[k[0]] in models else [1.0, 1.0], own[k[0]], "active", k[0]) for k, t in texts.items()]
+    store = spark.createDataFrame(rows, "node_id string, embedding array<float>, model string, status string, vault_id string")
+    asked = spark.createDataFrame([("q1", "aabbdd"), ("q2", "c"), ("q3", None)], "query_id string, text string")
+    q = retrieval.query_vectors(asked, [*own.values()], models)
+    assert q.count() == 9
+    got = retrieval.federated(store, q, "x", limit=100).collect()
+    want = []
+    for name, text in (("q1", "aabbdd"), ("q2", "c"), ("q3", "")):
+        for v in "xyz":
+            e = models[own[v]]
+            a = e.embed([text])[0]
+            best = sorted((-1 / (1 + float(np.sqrt(((e.embed([t])[0] - a) ** 2).sum()))), k) for k, t in texts.items() if k[0] == v)[: 5 if v == "x" else 3]
+            want += [(name, k if v == "x" else f"@{v}/{k}", round(-s, 6)) for s, k in best]
+    assert sorted((r.query_id, r.node_id, round(r.score, 6)) for r in got) == sorted(want)
+    assert retrieval.query_vectors(asked, ["unknown"], models).count() == 0
