@@ -11,6 +11,8 @@ from graphloom.schema import LIST_CAP, STRUCTURAL_RELATIONS, blank, edge_class,
 from graphloom.storage import broadcast_if_small, discard, materialize
 
 NEAR_BYTES = 2 << 20  # files of ids that are sent to a scan
+FEW_ROOTS = 63  # vertices that are searched from by themselves
+PEELED = 0.1  # share of the edges that a layer must take for the next one to be peeled too
 
 
 def edges_of(nodes: DataFrame) -> DataFrame:
@@ -141,17 +143,40 @@ def inbound_sources(edges: DataFrame, id_: str) -> DataFrame:
 def would_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates (src, dst) with ``cycle``: whether structural edges lead from dst back to src.
 
-    Components, paths and levels of the structural graph answer most of them; the rest is searched for together."""
-    graph = scc.condense(edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS)))
-    found = scc.reaches(graph, candidates.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    found = found.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("reached").alias("cycle"))
+    Where few vertices stand on one side, one search from them answers all. Otherwise components, paths and levels of
+    the structural graph answer most candidates, and the rest is searched for together."""
+    structural = edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS))
+    pairs = materialize(candidates.select("src", "dst").distinct(), "cycle-pairs")
+    ends = {c: pairs.select(c).distinct().limit(FEW_ROOTS + 1).count() for c in ("dst", "src")}
+    root, goal, way = ("dst", "src", "out") if ends["dst"] <= ends["src"] else ("src", "dst", "in")
+    if ends[root] <= FEW_ROOTS:
+        reach = bfs(structural, pairs.select(F.col(root).alias("id"), F.col(root).alias("root")), None, way, ["root"])
+        found = pairs.join(reach.select(F.col("root").alias(root), F.col("id").alias(goal)), ["src", "dst"]).withColumn("cycle", F.lit(True))
+    else:
+        found = scc.reaches(scc.condense(structural), pairs.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+        found = found.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("reached").alias("cycle"))
     return candidates.join(found, ["src", "dst"], "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
 
 
 def cycle_residual(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids left when nodes without structural in-edges are peeled off again and again: the members
-    of cycles and everything downstream of them. Edges to unknown nodes are ignored."""
+    of cycles and everything downstream of them. Edges to unknown nodes are ignored.
+
+    Layers are peeled while each takes a fair share of the edges; what is left by then (long paths, or cycles) is
+    solved by components, so that rounds do not follow the longest path."""
     live = materialize(within(edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS)), nodes).select("src", "dst").distinct(), "kahn")
+    n = live.count()
+    while n:
+        before, live = live, materialize(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "kahn")
+        discard(before)
+        m = live.count()
+        if m == n:
+            return live.select(F.col("dst").alias("id")).distinct()
+        if n - m < PEELED * n:
+            break
+        n = m
+    if not n:
+        return live.select(F.col("dst").alias("id"))
     graph = scc.condense(live)
     large = graph.nodes.groupBy("scc").count().where("count > 1").select("scc")
     looped = live.where("src = dst").select(F.col("src").alias("id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, heat, metric, retrieval, scc, undo
+from graphloom.operators import containment, graph, heat, metric, retrieval, scc, undo, versions
 from graphloom.plans.catalog import _doc_nodes, _scored, query
 from graphloom.plans.views import text_of as s
 from graphloom.schema import is_active
@@ -42,10 +42,10 @@ def _chained(v) -> DataFrame:
     return out
 
 
-@query(_CHAINED + """, both AS (SELECT a.root, a.id FROM reach a JOIN reach b ON a.root = b.id AND a.id = b.root),
-    ids AS (SELECT src AS id FROM base UNION SELECT dst FROM base),
-    own AS (SELECT ids.id, least(ids.id, min(both.id)) AS scc FROM ids LEFT JOIN both ON both.root = ids.id GROUP BY ids.id),
-    cond AS (SELECT DISTINCT x.scc AS a, y.scc AS b FROM base JOIN own x ON x.id = base.src JOIN own y ON y.id = base.dst WHERE x.scc <> y.scc),
+@query(_CHAINED + """, mutual AS MATERIALIZED (SELECT a.root, a.id FROM reach a JOIN reach b ON a.root = b.id AND a.id = b.root),
+    ids AS MATERIALIZED (SELECT src AS id FROM base UNION SELECT dst FROM base),
+    own AS MATERIALIZED (SELECT ids.id, least(ids.id, min(mutual.id)) AS scc FROM ids LEFT JOIN mutual ON mutual.root = ids.id GROUP BY ids.id),
+    cond AS MATERIALIZED (SELECT DISTINCT x.scc AS a, y.scc AS b FROM base JOIN own x ON x.id = base.src JOIN own y ON y.id = base.dst WHERE x.scc <> y.scc),
     lev AS (SELECT DISTINCT scc AS id, 0 AS level FROM own UNION SELECT cond.b, level + 1 FROM lev JOIN cond ON cond.a = lev.id)
     SELECT own.id, own.scc, max(lev.level)::BIGINT AS level FROM own JOIN lev ON lev.id = own.scc GROUP BY ALL""")
 def scc_levels(v):
@@ -188,3 +188,38 @@ def undo_replay(v):
     back = F.when(op == "push", F.col("seq")).when(op == "pop_id", F.col("seq") - 2).when(op == "pop_latest", F.col("seq") - 1)
     results, _ = undo.replay(log.withColumns({"op": op, "entry": F.concat(F.lit("e"), back)}), 3)
     return results
+
+
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer)
+    SELECT 1 AS version, 'customer/' || k AS id, k AS n FROM c
+    UNION ALL SELECT 2, 'customer/' || k, CASE WHEN k % 3 = 0 THEN -k ELSE k END FROM c WHERE k % 3 = 0 OR k % 10 <> 0
+    UNION ALL SELECT 3, 'customer/' || k, CASE WHEN k % 3 = 0 THEN -k WHEN k % 7 = 1 THEN k + 1000000 ELSE k END FROM c WHERE k % 3 = 0 OR k % 10 <> 0
+    UNION ALL SELECT 4, 'customer/' || k, CASE WHEN k % 7 = 1 AND k % 3 <> 0 AND k % 10 <> 0 THEN k + 1000000 ELSE k END FROM c""")
+def versioned_edits(v):
+    """A table of all customers, changed by two writers at once, of whom one is refused at first, and a revert."""
+    table = versions.VersionedTable(v.spark, scratch_path(v.spark, "versions"), "id string, n bigint")
+    k = F.col("c_custkey")
+    row = lambda rule, n: v.table("customer").where(rule).select(F.concat(F.lit("customer/"), k).alias("id"), n.alias("n"))
+    table.commit(row("true", k))
+    table.commit(row("c_custkey % 3 = 0", -k), row("c_custkey % 10 = 0", k))
+    try:
+        table.commit(row("c_custkey % 6 = 0", k), base=1)
+    except versions.Conflict:
+        table.commit(row("c_custkey % 7 = 1 AND c_custkey % 3 <> 0 AND c_custkey % 10 <> 0", k + 1_000_000), base=1)
+    table.revert(2)
+    out = None
+    for version in range(1, 5):
+        part = table.read(version).select(F.lit(version).alias("version"), "id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""WITH m AS (SELECT c_nationkey AS nation, c_custkey, l_orderkey, 'm' || (l_partkey % 200) AS method FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+    t AS (SELECT nation, c_custkey, list(DISTINCT method) AS has FROM m GROUP BY ALL), i AS (SELECT nation, l_orderkey, list(DISTINCT method) AS wants FROM m GROUP BY ALL)
+    SELECT 'type/' || c_custkey AS src, 'interface/' || l_orderkey AS dst, 'implements' AS relation FROM i JOIN t ON t.nation = i.nation WHERE list_has_all(t.has, i.wants)""")
+def interface_edges(v):
+    """Interfaces and types of a package by their methods: an order's parts, and all that a customer ordered."""
+    lines = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    method = F.concat(F.lit("m"), F.col("l_partkey") % 200)
+    part = lambda kind, c: lines.select(F.col("c_nationkey").alias("package"), F.concat(F.lit(kind), c).alias("id"), method.alias("method"))
+    return containment.implements(part("interface/", "l_orderkey"), part("type/", "c_custkey"))
