@@ -14,9 +14,9 @@ from graphloom.storage import materialize
 
 TREES = 256
 BITS = 48
-EFFORT = 8.0  # rows that a query scores among n: this times n to the power 2/3
+EFFORT = 10.0  # rows that a query scores among n: this times n to the power 2/3
 SHARD_ROWS = 65_536  # rows of one forest: about 300 MB at 64 dimensions
-LEAST_SHARD = 2_048  # below that, more shards than cores do not help
+LEAST_SHARD, FEW_SHARDS = 2_048, 8  # small tables too are dealt to up to eight shards; the rows decide, not the cores
 QUERY_ROWS = 512  # queries of a shard that are answered together
 
 
@@ -166,8 +166,7 @@ def nearest(
         F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"), F.size(vector).alias("dim"), F.coalesce(asks, F.lit(False)).alias("asks")
     )
     n = rows.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    shards = max(1, math.ceil(n / SHARD_ROWS), min(cores, n // LEAST_SHARD))
+    shards = max(1, math.ceil(n / SHARD_ROWS), min(FEW_SHARDS, n // LEAST_SHARD))
     index = rows.select("id", "v", "dim", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
     asked = rows.where("asks").select("id", "v", "dim", "asks", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     dealt = index.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
