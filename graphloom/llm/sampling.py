@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.storage import materialize
 
-SAMPLE_CHARS = 200_000  # of a text that a model is fitted on; texts that are scored are read whole
+SAMPLE_TEXT = 200_000  # characters of a text that a model is fitted on; longer ones are left out whole
 SAMPLE_BYTES = 64 << 20  # of all texts that a model is fitted on
 
 
@@ -42,10 +42,10 @@ def fit_on_sample(labelled: DataFrame, sample: DataFrame, key: str, fit: Callabl
     """``fit(texts, labels)`` for the keys of a ``sample``; ``labelled`` has (key, y, t).
 
     There is one row per key (the smallest label, then the smallest text, where rows repeat a key), in the order
-    of keys; texts are cut at SAMPLE_CHARS, and of the keys in the order of their hashes as many
-    count as have SAMPLE_BYTES of text together. The fit runs in a task, which that bounds; the
+    of keys. Texts count whole or not at all: those beyond SAMPLE_TEXT characters do not, and of the keys in the order of
+    their hashes as many do as have SAMPLE_BYTES of text together. The fit runs in a task, which that bounds; the
     driver only sees lengths and the model."""
-    some = labelled.select(key, "y", F.substring("t", 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(sample), key)
+    some = labelled.where(F.col("t").isNull() | (F.length("t") <= SAMPLE_TEXT)).select(key, "y", "t").join(F.broadcast(sample), key)
     one = some.groupBy(key).agg(F.min(F.struct("y", "t")).alias("r"))
     one = materialize(one.select(key, "r.y", "r.t", F.xxhash64(F.col(key)).alias("order")), "sample-texts")
     sizes = one.select("order", F.coalesce(F.octet_length("t"), F.lit(0)).alias("n")).toPandas().sort_values("order")

@@ -80,10 +80,10 @@ def test_spans_of_languages(spark):
 def test_bounded_samples(spark, monkeypatch):
     rows = [(1, "b" * 50, "z")] * 20_000 + [(1, "a" * 50, "z")] + [(i, "w" * 400, "q") for i in range(2, 60)] + [(70, "x" * 5000, "q"), (71, None, "q")]
     labelled = spark.createDataFrame(rows, "doc_id bigint, t string, y string")
-    monkeypatch.setattr(sampling, "SAMPLE_CHARS", 500)
+    monkeypatch.setattr(sampling, "SAMPLE_TEXT", 500)
     keys = labelled.select("doc_id").distinct()
     whole, labels = sampling.fit_on_sample(labelled, keys, "doc_id", lambda texts, ys: (texts, ys))
-    assert len(whole) == 61 and whole[0] == "a" * 50 and len(whole[59]) == 500 and whole[60] is None and labels[0] == "z"
+    assert len(whole) == 60 and whole[0] == "a" * 50 and whole[58] == "w" * 400 and whole[59] is None and labels[0] == "z"  # a long text goes whole
     monkeypatch.setattr(sampling, "SAMPLE_BYTES", 4000)
     some = sampling.fit_on_sample(labelled, keys, "doc_id", lambda texts, ys: texts)
     assert 5 <= len(some) <= 14 and sum(len(t or "") for t in some) <= 4000
