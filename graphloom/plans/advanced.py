@@ -45,7 +45,8 @@ def _chained(v) -> DataFrame:
 @query(_CHAINED + """, mutual AS MATERIALIZED (SELECT a.root, a.id FROM reach a JOIN reach b ON a.root = b.id AND a.id = b.root),
     ids AS MATERIALIZED (SELECT src AS id FROM base UNION SELECT dst FROM base),
     own AS MATERIALIZED (SELECT ids.id, least(ids.id, min(mutual.id)) AS scc FROM ids LEFT JOIN mutual ON mutual.root = ids.id GROUP BY ids.id),
-    cond AS MATERIALIZED (SELECT DISTINCT x.scc AS a, y.scc AS b FROM base JOIN own x ON x.id = base.src JOIN own y ON y.id = base.dst WHERE x.scc <> y.scc),
+    near AS MATERIALIZED (SELECT own.scc AS a, base.dst FROM base JOIN own ON own.id = base.src),
+    cond AS MATERIALIZED (SELECT DISTINCT near.a, own.scc AS b FROM near JOIN own ON own.id = near.dst WHERE near.a <> own.scc),
     lev AS (SELECT DISTINCT scc AS id, 0 AS level FROM own UNION SELECT cond.b, level + 1 FROM lev JOIN cond ON cond.a = lev.id)
     SELECT own.id, own.scc, max(lev.level)::BIGINT AS level FROM own JOIN lev ON lev.id = own.scc GROUP BY ALL""")
 def scc_levels(v):
