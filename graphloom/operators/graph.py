@@ -12,7 +12,7 @@ from graphloom.storage import broadcast_if_small, discard, materialize
 
 NEAR_BYTES = 2 << 20  # files of ids that are sent to a scan
 FEW_ROOTS = 63  # vertices that are searched from by themselves
-PEELED = 0.1  # share of the edges that a layer must take for the next one to be peeled too
+PEELED, PATIENCE = 0.1, 8  # of a layer's edges; layers that take a smaller share before components are looked for
 
 
 def edges_of(nodes: DataFrame) -> DataFrame:
@@ -162,19 +162,20 @@ def cycle_residual(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids left when nodes without structural in-edges are peeled off again and again: the members
     of cycles and everything downstream of them. Edges to unknown nodes are ignored.
 
-    Layers are peeled while each takes a fair share of the edges; what is left by then (long paths, or cycles) is
-    solved by components, so that rounds do not follow the longest path."""
+    Layers are peeled, with patience for a few that take only a small share of the edges; what is left by then (long
+    paths) is solved by components, so that rounds do not follow the longest path."""
     live = materialize(within(edges.where(F.col("relation").isin(*STRUCTURAL_RELATIONS)), nodes).select("src", "dst").distinct(), "kahn")
-    n = live.count()
+    n, patience = live.count(), PATIENCE
     while n:
         before, live = live, materialize(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "kahn")
         discard(before)
         m = live.count()
         if m == n:
             return live.select(F.col("dst").alias("id")).distinct()
-        if n - m < PEELED * n:
-            break
+        patience -= n - m < PEELED * n
         n = m
+        if not patience:
+            break
     if not n:
         return live.select(F.col("dst").alias("id"))
     graph = scc.condense(live)

@@ -14,7 +14,7 @@ from graphloom.functions.text import escape_html, qualified, quote, token_estima
 from graphloom.functions.vectors import Embedder, embed_column
 from graphloom.operators.graph import first_by, near
 from graphloom.schema import blank, is_active, normal_namespace
-from graphloom.storage import compact, file_bytes, materialize
+from graphloom.storage import broadcast_if_small, compact, file_bytes, materialize
 
 FEW_BYTES = 64 << 10  # files of a frontier whose edges are put in order in one task
 FEW_QUERIES = 4_096  # query vectors that travel with the tasks; more stream past dealt rows
@@ -369,8 +369,8 @@ def pack(parts: DataFrame, budget: int, reserve: int = 120, by: str = "query_id"
         some = rest.repartitionByRange(stretches, by, "ord").sortWithinPartitions(by, "ord")
         rest = some.mapInArrow(_may_fit(room), f"{by} {kind}, ord bigint, bytes int")
     taken = rest.repartition(by).sortWithinPartitions(by, "ord").mapInArrow(_fill(room), f"{by} {kind}, ord bigint")
-    taken = taken.select(F.col(by).alias("_by"), F.col("ord").alias("_ord"), F.lit(True).alias("_in"))
-    both = sized.join(taken, F.col(by).eqNullSafe(F.col("_by")) & (F.col("ord") == F.col("_ord")), "left")
+    taken = materialize(taken.select(F.col(by).alias("_by"), F.col("ord").alias("_ord"), F.lit(True).alias("_in")), "pack-taken")
+    both = sized.join(broadcast_if_small(taken), F.col(by).eqNullSafe(F.col("_by")) & (F.col("ord") == F.col("_ord")), "left")
     return both.withColumn("included", F.coalesce("_in", F.lit(False))).drop("_by", "_ord", "_in")
 
 

@@ -127,3 +127,16 @@ def test_many_candidates_at_once(spark, written):
         src, dst = int(r.src[-5:]), int(r.dst[-5:])
         assert r.cycle == (dst <= src if not r.dst.startswith("leaf") else r.src == r.dst), r
     assert "search-seen" in written and not any(label == "bfs" for label in written)
+
+
+def test_what_is_downstream_of_a_cycle_on_long_paths(spark, nodes_of, monkeypatch):
+    """Peeling loses patience on a long path; components find the same."""
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)]
+    edges = chain + [("x", "y"), ("y", "x"), ("y", "d0"), ("d0", "d1"), ("d1", "c038"), ("self", "self"), ("self", "s1")]
+    names = sorted({v for e in edges for v in e})
+    nodes = spark.createDataFrame([(v,) for v in names], "id string")
+    df = spark.createDataFrame([(*e, "contains") for e in edges], "src string, dst string, relation string")
+    for patience in (1, 10**6):
+        monkeypatch.setattr(graph, "PATIENCE", patience)
+        got = sorted(r.id for r in graph.cycle_residual(nodes, df).collect())
+        assert got == ["c038", "c039", "c040", "d0", "d1", "s1", "self", "x", "y"]
