@@ -2,30 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.storage import materialize
 
+WIDE = 1_024  # methods of a package that have a bit each; beyond it, bits are shared and only exclude
+WORD = 64
+
+
+def _words(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """(_in, id, name0, name1, ...): the bits of all methods of an id."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % WORD)
+    word = F.floor(F.col("bit") / WORD)
+    return rows.groupBy("_in", "id").agg(*(F.coalesce(F.bit_or(F.when(word == k, mask)), F.lit(0)).alias(f"{name}{k}") for k in range(n)))
+
 
 def implements(interfaces: DataFrame, types: DataFrame, by: str = "package") -> DataFrame:
     """(src, dst, relation): a type (src) and each interface (dst) of its package whose methods it has, in whatever files.
 
     Both tables have (package, id, method), a row for each method. An interface is looked for under the method of its own that the
-    fewest types of the package have; only those types are checked, by counting the methods that meet. So no pair
-    is made that has no method in common, and no set is gathered. Interfaces without methods are satisfied by nothing
+    fewest types of the package have, and a type is compared there by the bits of its methods, inside the join: pairs that fail are never
+    stored or moved. In a package of at most WIDE methods a bit is a method and decides; in larger ones methods share bits, and what
+    passes is counted method by method. Interfaces without methods are satisfied by nothing
     here; repeated rows count once, rows with a null are left out; packages that are null are one."""
     clean = lambda df: df.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("_in"), "id", "method").where("id IS NOT NULL AND method IS NOT NULL").distinct()
     wants, has = materialize(clean(interfaces), "wants"), materialize(clean(types), "has")
-    often = has.groupBy("_in", "method").agg(F.count("*").alias("n"))
+    often = materialize(has.groupBy("_in", "method").agg(F.count("*").alias("n")), "methods")
+    sizes = often.groupBy("_in").agg(F.count("*").alias("methods"))
+    small = sizes.where(F.col("methods") <= WIDE)
+    most = small.agg(F.max("methods")).first()[0] or 0
+    large = sizes.count() > small.count()
+    n = WIDE // WORD if large else max(1, -(-most // WORD))
+    # only packages of few methods are numbered, so that no window is large
+    place = F.row_number().over(Window.partitionBy("_in").orderBy("method")) - 1
+    own = often.join(small, "_in", "left_semi").select("_in", "method", "n", place.alias("bit"), F.lit(True).alias("exact"))
+    shared = often.join(small, "_in", "left_anti").select("_in", "method", "n", F.pmod(F.xxhash64("method"), F.lit(n * WORD)).cast("int").alias("bit"), F.lit(False).alias("exact"))
+    bits = materialize(own.unionByName(shared), "bits")
     # a method that no type has leaves its interface without candidates
-    ranked = wants.join(often, ["_in", "method"], "left").groupBy("_in", F.col("id").alias("dst")).agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "method")).alias("least"), F.count("*").alias("size")
-    )
-    key = ranked.where("least.n > 0").select("_in", "dst", "size", F.col("least.method").alias("method"))
-    pairs = key.join(has.withColumnRenamed("id", "src"), ["_in", "method"]).select("_in", "dst", "size", "src")
-    pairs = materialize(pairs, "containment")
-    one = pairs.where("size = 1").select("src", "dst")  # that method was the whole set
-    more = pairs.where("size > 1").join(wants.withColumnRenamed("id", "dst"), ["_in", "dst"])
-    met = more.join(has.withColumnRenamed("id", "src"), ["_in", "src", "method"], "left_semi").groupBy("_in", "src", "dst", "size").count()
-    return one.unionByName(met.where(F.col("count") == F.col("size")).select("src", "dst")).distinct().withColumn("relation", F.lit("implements"))
+    found = wants.join(bits, ["_in", "method"], "left")
+    ranked = found.groupBy("_in", "id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "method")).alias("least"), F.count("*").alias("size"), F.first("exact", True).alias("exact"))
+    ranked = ranked.where("least.n > 0").join(_words(found.where("bit IS NOT NULL"), n, "w"), ["_in", "id"])
+    key = ranked.withColumnRenamed("id", "dst").select("_in", "dst", "size", "exact", F.col("least.method").alias("method"), *(f"w{k}" for k in range(n)))
+    sets = _words(has.join(bits, ["_in", "method"]), n, "h")
+    # a pair can come twice only if both its ends are in several packages
+    twice = lambda df, c: df.select("_in", "id").distinct().groupBy(F.col("id").alias(c)).count().where("count > 1").select(c, F.lit(True).alias(f"{c}_twice"))
+    key = key.join(twice(wants, "dst"), "dst", "left")
+    sets = has.join(sets, ["_in", "id"]).withColumnRenamed("id", "src").join(twice(has, "src"), "src", "left")
+    fits: Column = reduce(lambda a, b: a & b, (F.col(f"h{k}").bitwiseAND(F.col(f"w{k}")) == F.col(f"w{k}") for k in range(n)))
+    key, sets = materialize(key, "containment"), materialize(sets, "containment")
+    met = lambda on: key.where(on).join(sets, ["_in", "method"]).where(fits)
+    decided = F.col("exact") | (F.col("size") == 1)
+    repeated = F.col("dst_twice").isNotNull() & F.col("src_twice").isNotNull()
+    once = met(decided).where(~repeated).select("src", "dst")
+    more = met(decided).where(repeated).select("src", "dst").distinct()
+    if large:
+        open_ = met(~decided).select("_in", "dst", "size", "src").join(wants.withColumnRenamed("id", "dst"), ["_in", "dst"])
+        rest = open_.join(has.withColumnRenamed("id", "src"), ["_in", "src", "method"], "left_semi").groupBy("_in", "src", "dst", "size").count()
+        more = more.unionByName(rest.where(F.col("count") == F.col("size")).select("src", "dst")).distinct()
+    return once.unionByName(more).withColumn("relation", F.lit("implements"))

@@ -18,3 +18,32 @@ def test_methods_in_any_file_of_a_package(spark):
     want = {(t, i) for (p, i), w in wants.items() for (q, t), h in has.items() if p == q and w <= h} | {("loose.T", "loose.I")}
     assert sorted((r.src, r.dst) for r in got.collect()) == sorted(want) and {r.relation for r in got.collect()} == {"implements"}
     assert implements(interfaces.limit(0), types).count() == 0 and implements(interfaces, types.limit(0)).count() == 0
+
+
+def test_pairs_that_fail_are_not_stored(spark, monkeypatch):
+    """All interfaces and types of one package share a method, and nothing else: what is written grows with the rows, not with the pairs."""
+    from graphloom.operators import containment
+
+    kept = []
+    written = containment.materialize
+    monkeypatch.setattr(containment, "materialize", lambda df, label: kept.append(written(df, label)) or kept[-1])
+    n = 200
+    rows = lambda kind: spark.range(n).selectExpr("'p' AS package", f"'{kind}' || id AS id", f"explode(array('all', '{kind}' || id)) AS method")
+    also = spark.createDataFrame([("p", f"T{i}", "I7") for i in range(n)], ROW)
+    got = containment.implements(rows("I"), rows("T").unionByName(also))
+    assert sorted((r.src, r.dst) for r in got.collect()) == sorted((f"T{i}", "I7") for i in range(n))
+    assert max(t.count() for t in kept) <= 4 * n
+
+
+def test_many_methods_share_bits(spark, monkeypatch):
+    from graphloom.operators import containment
+
+    monkeypatch.setattr(containment, "WIDE", 64)
+    rng = random.Random(4)
+    methods = {"a": [f"m{i}" for i in range(300)], "b": [f"m{i}" for i in range(20)]}
+    # ids are in both packages, so that a pair may be found twice
+    wants = {(p, f"I{i}"): set(rng.sample(methods[p], rng.randint(1, 3))) for p in methods for i in range(25)}
+    has = {(p, f"T{i}"): set(rng.sample(methods[p], len(methods[p]) * (i % 4 + 1) // 5)) for p in methods for i in range(25)}
+    rows = lambda sets: spark.createDataFrame([(p, i, m) for (p, i), s in sets.items() for m in sorted(s)], ROW)
+    got = containment.implements(rows(wants), rows(has)).collect()
+    assert sorted((r.src, r.dst) for r in got) == sorted({(t, i) for (p, i), w in wants.items() for (q, t), h in has.items() if p == q and w <= h})
