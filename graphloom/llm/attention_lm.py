@@ -24,10 +24,12 @@ KEPT = 1_024  # subwords with ids of their own, the most frequent ones; others a
 CONTEXT, STRIDE = 8, 16  # a window's ids that are only context, and those that it scores
 WIDTH, HEADS, HIDDEN = 32, 1, 32
 STEEP = np.float32(60)  # logits are cut here, so that no exponential leaves single precision
-SAMPLE_ROWS = 2_000  # training documents that the model is fitted on
-SAMPLE_BYTES = 6 << 20  # of all their texts; documents beyond it are left out whole
+SAMPLE_ROWS = 2_000  # training documents that the fit starts on, many times over; then it sees all training texts once
+SAMPLE_BYTES = 6 << 20  # of all their texts; documents beyond it wait for that
 WINDOWS, STEPS, EPOCHS, RATE = 48, 4_000, 12, 0.02  # of a step; steps of the fit, and how often at most it sees the sample
+PASS_RATE = 0.002  # of the pass over all training texts
 CHUNK = 512  # windows that are scored together
+SUMS = 16  # rows that the models of the tasks are added up in
 HOT_BYTES = 16 << 20  # of words whose counts are sent to every task; those of other words are joined
 HELD_ROWS = 1_000_000  # distinct words that a counting task holds
 
@@ -331,6 +333,22 @@ class Attention:
         return -float(logs.mean()), {k: a / n for k, a in g.items()}
 
 
+class Adam:
+    """Steps of a model along its gradients."""
+
+    def __init__(self, model: Attention):
+        self.model, self.steps = model, 0
+        self.mean, self.square = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
+
+    def step(self, grads: dict, rate: float) -> None:
+        self.steps += 1
+        for k, g in grads.items():
+            self.mean[k] += 0.1 * (g - self.mean[k])
+            self.square[k] += 0.01 * (g * g - self.square[k])
+            fix = (1 - 0.9**self.steps) / math.sqrt(1 - 0.99**self.steps)
+            self.model.p[k] -= np.float32(rate / fix) * self.mean[k] / (np.sqrt(self.square[k]) + np.float32(1e-8))
+
+
 def fit_model(flat: np.ndarray, per: np.ndarray, size: int, seed: int = 5) -> Attention:
     """Adam over the windows of all texts in a random order, with a falling rate."""
     follows = np.zeros((size, size))
@@ -343,18 +361,13 @@ def fit_model(flat: np.ndarray, per: np.ndarray, size: int, seed: int = 5) -> At
     for x, y in sets:  # windows of a step come from all over the texts
         order = rng.permutation(len(x))
         x[:], y[:] = x[order], y[order]
-    mean, square = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
+    adam = Adam(model)
     steps = min(STEPS, EPOCHS * len(batches))
     for step in range(steps):
         if step % len(batches) == 0:
             order = rng.permutation(len(batches))
         _, grads = model.gradients(*batches[order[step % len(batches)]])
-        rate = RATE * (1 - 0.95 * step / steps)
-        for k, g in grads.items():
-            mean[k] += 0.1 * (g - mean[k])
-            square[k] += 0.01 * (g * g - square[k])
-            fix = (1 - 0.9 ** (step + 1)) / math.sqrt(1 - 0.99 ** (step + 1))
-            model.p[k] -= np.float32(rate / fix) * mean[k] / (np.sqrt(square[k]) + np.float32(1e-8))
+        adam.step(grads, RATE * (1 - 0.95 * step / steps))
     return model.finish()
 
 
@@ -376,8 +389,8 @@ def count_words(docs: DataFrame, train: Column, text: str = "text") -> DataFrame
 
 
 def _sample(docs: DataFrame, train: Column, id_col: str, text: str) -> DataFrame:
-    """Whole training texts: those of the ids with the smallest hashes, as many as SAMPLE_ROWS and SAMPLE_BYTES
-    hold; texts beyond the bound of bytes are left out whole."""
+    """Whole training texts to start on: those of the ids with the smallest hashes, as many as SAMPLE_ROWS and
+    SAMPLE_BYTES hold."""
     ids = hashed_sample(docs.where(train & F.col(id_col).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES // 8)).select(id_col).distinct(), id_col, SAMPLE_ROWS)
     some = docs.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text).alias("t"))
     some = materialize(some.select(F.xxhash64(id_col).alias("order"), F.col(id_col).alias("id"), "t"), "lm-sample")
@@ -386,11 +399,53 @@ def _sample(docs: DataFrame, train: Column, id_col: str, text: str) -> DataFrame
     return some.where(F.col("order") <= int(fits["order"].max())) if 0 < len(fits) < len(sizes) else some
 
 
+def _learned(sent):
+    """A task's model after its windows, times their targets, as a row."""
+
+    def run(batches):
+        path, kept, model = sent.value
+        model = cloudpickle.loads(cloudpickle.dumps(model))  # the broadcast one stays as it is
+        model.tables = []
+        subwords, adam, n = _subwords(path, kept), Adam(model), 0
+        for batch in batches:
+            for _, x, y, first in windows(*subword_ids(*word_lists(batch.column("t")), subwords), subwords.size):
+                adam.step(model.gradients(x, y, first)[1], PASS_RATE)
+                n += int((y >= 0).sum())
+        if n:
+            weights = np.concatenate([model.p[k].ravel() for k in sorted(model.p)]).astype(np.float64) * n
+            yield pa.RecordBatch.from_pydict({"at": pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), "n": [n], "weights": [weights.tobytes()]})
+
+    return run
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(w) for w in rows["weights"])
+    return pd.DataFrame({"at": rows["at"][:1], "n": [rows["n"].sum()], "weights": [total.tobytes()]})
+
+
+def learn(docs: DataFrame, path: str, kept: tuple[int, ...], attention: Attention, text: str = "text") -> Attention:
+    """``attention`` after one pass over all windows of the texts: the mean of the tasks' models by their targets.
+
+    Models are added up in SUMS rows by shuffle; the driver sees those only."""
+    kind = "at int, n bigint, weights binary"
+    sent = docs.sparkSession.sparkContext.broadcast((path, kept, attention))
+    sums = by_bytes(docs.select(F.col(text).alias("t"))).mapInArrow(_learned(sent), kind).groupBy("at").applyInPandas(_added, kind).collect()
+    if not sums:
+        return attention
+    weights, at = sum(np.frombuffer(r["weights"]) for r in sums) / sum(r["n"] for r in sums), 0
+    for k in sorted(attention.p):
+        size = attention.p[k].size
+        attention.p[k] = weights[at : at + size].reshape(attention.p[k].shape).astype(np.float32)
+        at += size
+    return attention.finish()
+
+
 def fit(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", text: str = "text") -> Model:
     """Count all words, choose the subwords to keep by all training words, and fit the attention.
 
     ``path`` names a file of ranks (one subword a line) that every executor has. Counts are those of all whole
-    texts; only the attention is fitted on a bounded sample (SAMPLE_ROWS, SAMPLE_BYTES), in a task."""
+    texts. The attention starts from a fit on some (SAMPLE_ROWS, SAMPLE_BYTES), in a task; where there are more, it
+    then learns from every window of all training texts, each task from its own, and the tasks' models are averaged."""
     words = materialize(count_words(docs, train, text), "lm-words")
     known = words.where("n_train > 0")
     total = known.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -404,8 +459,11 @@ def fit(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", text:
         lists = pa.array([t for _, t in texts], pa.string())
         yield pd.DataFrame({"model": [cloudpickle.dumps(fit_model(*subword_ids(*word_lists(lists), subwords), subwords.size))]})
 
-    got = _sample(docs, train, id_col, text).select("id", "t").repartition(1).mapInPandas(run, "model binary").collect()
+    some = _sample(docs, train, id_col, text)
+    got = some.select("id", "t").repartition(1).mapInPandas(run, "model binary").collect()
     attention = cloudpickle.loads(got[0]["model"]) if got else Attention(257 + len(kept), np.zeros((257 + len(kept),) * 2)).finish()
+    if some.count() < ends:
+        attention = learn(docs.where(train), path, kept, attention, text)
     return Model(path, kept, attention, words, total["n"] + ends, total["v"] + (ends > 0), ends)
 
 

@@ -204,3 +204,17 @@ def test_the_query_beats_the_counts_on_held_out_texts(spark):
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == base_by_hand(rows)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_texts_beyond_the_start_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_ROWS", 30)
+    docs = spark.range(600).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
+    first = {r["id"] for r in lm._sample(docs, F.lit(True), "doc_id", "text").collect()}
+    assert 0 < len(first) < 100
+    one, other = "the cat sat on the mat ", "red dogs run far away "
+    docs = spark.createDataFrame([(i, one * 4 if i in first else other * 120) for i in range(600)], "doc_id bigint, text string").coalesce(2)
+    asked = spark.createDataFrame([(1, other * 6)], "doc_id bigint, text string")
+    after = lm.score(asked, lm.fit(docs, F.lit(True), PATH), F.lit(False)).first()
+    monkeypatch.setattr(lm, "learn", lambda docs, path, kept, attention, text: attention)
+    before = lm.score(asked, lm.fit(docs, F.lit(True), PATH), F.lit(False)).first()
+    assert after["score"] > before["score"] + 0.2 * after["n_tokens"]
