@@ -61,7 +61,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that no edge leaves or enters."""
-    return nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti").join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+    return nodes.join(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti")  # an id once for each task
 
 
 def dangling(edges: DataFrame, known: DataFrame) -> DataFrame:
