@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+GRAMS = 65_536  # hashes of byte windows that an embedder remembers
+
+
 def l2_distance(a: Column, b: Column) -> Column:
     """Euclidean distance in double precision; infinite for unequal lengths."""
     total = F.aggregate(
@@ -61,6 +64,8 @@ class HashEmbedder:
     def _spots(self, gram: bytes, step: int) -> tuple[np.ndarray, np.ndarray]:
         key = gram + bytes([step])
         if key not in self._grams:
+            if len(self._grams) >= GRAMS:
+                self._grams.clear()
             words = np.frombuffer(hashlib.sha256(gram).digest(), "<u4")[:: step // 4]
             value = words.astype("<i4").astype(np.float32) / np.float32(2**31 - 1)
             self._grams[key] = (words % self.dimension, value)
@@ -96,20 +101,22 @@ def make_embedder(provider: str | None, factories: dict | None = None) -> Embedd
 
 
 def embed_column(text: Column, embedder: Embedder | None = None, batch: int = 32) -> Column:
-    """Vectors of texts, ``batch`` at a time; a failing batch is retried text by text."""
+    """Vectors of texts, ``batch`` at a time; a failing batch is retried text by text. Vectors leave a batch at a time, as
+    arrays, so that a task holds few of them whatever its input."""
     chosen = embedder or HashEmbedder()
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            items, out = texts.fillna("").tolist(), []
-            for at in range(0, len(items), batch):
-                part = items[at : at + batch]
+            if texts.empty:
+                yield pd.Series([], dtype=object)
+            for at in range(0, len(texts), batch):
+                part = texts.iloc[at : at + batch].fillna("").tolist()
                 try:
-                    out += [v.tolist() for v in chosen.embed(part)]
+                    out = [np.asarray(v, np.float32) for v in chosen.embed(part)]
                 except Exception:  # noqa: BLE001
-                    out += [chosen.embed([t])[0].tolist() for t in part]
-            yield pd.Series(out)
+                    out = [np.asarray(chosen.embed([t])[0], np.float32) for t in part]
+                yield pd.Series(out)
 
     return run(text)
 

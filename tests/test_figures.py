@@ -23,3 +23,13 @@ def test_orphans_compare_each_id_once(spark):
     out = graph.orphans(nodes, edges)
     assert sorted(str(r.id) for r in out.collect()) == ["None", "d"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti") == 1
+
+
+def test_vectors_leave_by_batches_and_hashes_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GRAMS", 50)
+    one, free = vectors.HashEmbedder(), vectors.HashEmbedder()
+    texts = [f"text {i} of many {i * i}" for i in range(60)]
+    for t in texts:
+        assert (one.embed_one(t) == free.embed_one(t)).all() and len(one._grams) <= 50
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [None])], "i int, t string").select("i", vectors.embed_column("t", batch=8).alias("e")).orderBy("i").collect()
+    assert all(pd.Series(r.e).round(6).tolist() == pd.Series(one.embed_one(t or "").tolist()).round(6).tolist() for r, t in zip(got, texts + [None]))
