@@ -196,6 +196,10 @@ def tokenize(command: str) -> list[str]:
     return list(lexer)
 
 
+_NAMED = {"/delete": None, "/merge": 2, "/link": 1, "/unlink": 1}  # how many arguments are ids that a command changes
+_VERBS = {"/tag", "/untag", "/type", *_NAMED}
+
+
 @dataclass
 class Curator:
     """Slash commands over a graph, with undo and the guard on bulk changes."""
@@ -214,34 +218,32 @@ class Curator:
             from graphloom.operators.integrity import integrity
 
             return integrity(self.nodes)
-        ids = set(selection)
+        ids = set(selection) | set(args[: _NAMED.get(verb, 0)])
         n = self.nodes
+        # before a condition is made of the ids: of too many nodes there is none
+        if verb in _VERBS and len(self.log) < MUTATION_CAP and not self.allow_bulk and len(self.touched | ids) > bulk_limit(n.where(is_active()).count()):
+            self.touched |= ids
+            raise RuntimeError("too many nodes for one run without allow_bulk")
         match verb:
             case "/tag":
-                new, ids = tag(n, F.col("id").isin(*ids), *args), ids
+                new = tag(n, F.col("id").isin(*ids), *args)
             case "/untag":
                 new = untag(n, F.col("id").isin(*ids), *args)
             case "/type":
                 new = set_type(n, F.col("id").isin(*ids), args[0])
             case "/delete":
-                ids |= set(args)
                 new = delete(n, F.col("id").isin(*ids), self.now)
             case "/merge":
-                ids |= set(args[:2])
                 new = merge(n, args[0], args[1], self.now)
             case "/link":
-                ids.add(args[0])
                 new = link(n, args[0], args[1], args[2] if len(args) > 2 else "references")
             case "/unlink":
-                ids.add(args[0])
                 new = unlink(n, args[0], args[1])
             case _:
                 raise ValueError(f"unknown command {verb!r}")
         self.touched |= ids
         if len(self.log) >= MUTATION_CAP:
             raise RuntimeError(f"more than {MUTATION_CAP} changes in one run")
-        if not self.allow_bulk and len(self.touched) > bulk_limit(n.where(is_active()).count()):
-            raise RuntimeError("too many nodes for one run without allow_bulk")
         self.log.append((n, command))
         self.log = self.log[-UNDO_CAP:]
         self.nodes = new

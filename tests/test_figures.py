@@ -37,3 +37,12 @@ def test_vectors_leave_by_batches_and_hashes_are_bounded(spark, monkeypatch):
 
 def test_packing_numbers_no_list(spark):
     assert "Window" not in plan(catalog.QUERIES["compact_first_fit"](spark, SF))
+
+
+def test_refused_runs_make_no_condition(spark, nodes_of, monkeypatch):
+    n = nodes_of([{"id": f"n{i}"} for i in range(20)])
+    monkeypatch.setattr(mutations, "tag", lambda *a: pytest.fail("built"))
+    monkeypatch.setattr(mutations, "delete", lambda *a: pytest.fail("built"))
+    for command, ids in (("/tag x", tuple(f"n{i}" for i in range(11))), ("/delete " + " ".join(f"n{i}" for i in range(11)), ())):
+        with pytest.raises(RuntimeError):
+            mutations.Curator(n, "now").run(command, ids)
