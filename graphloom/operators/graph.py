@@ -67,7 +67,9 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dangling(edges: DataFrame, known: DataFrame) -> DataFrame:
     """Edges to ids that are not known; targets in other vaults cannot be judged."""
     local = edges.where(~F.col("dst").startswith("@"))
-    return local.join(known.select(F.col("id").alias("dst")), "dst", "left_anti").select(edges.columns)
+    # targets are judged once each, and edges stay where they are if few are missing
+    missing = local.select("dst").distinct().join(known.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return local.join(broadcast_if_small(materialize(missing, "missing")), "dst", "left_semi").select(edges.columns)
 
 
 def within(edges: DataFrame, view: DataFrame) -> DataFrame:

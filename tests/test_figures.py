@@ -46,3 +46,11 @@ def test_refused_runs_make_no_condition(spark, nodes_of, monkeypatch):
     for command, ids in (("/tag x", tuple(f"n{i}" for i in range(11))), ("/delete " + " ".join(f"n{i}" for i in range(11)), ())):
         with pytest.raises(RuntimeError):
             mutations.Curator(n, "now").run(command, ids)
+
+
+def test_few_dangling_edges_are_found_where_edges_lie(spark):
+    edges = materialize(spark.range(2_000).selectExpr("'n' || id AS src", "'n' || (id + 1) AS dst", "'reads' AS relation").unionByName(
+        spark.createDataFrame([("n1", "@far/x", "reads"), ("n1", None, "reads")], "src string, dst string, relation string")), "edges")
+    out = graph.dangling(edges, spark.range(2_000).selectExpr("'n' || id AS id"))
+    assert [tuple(r) for r in out.collect()] == [("n1999", "n2000", "reads")]
+    assert "hashpartitioning" not in plan(out) and "BroadcastHashJoin" in plan(out)
