@@ -93,7 +93,7 @@ def node_detail(v):
     (SELECT count(*) FROM g_nodes WHERE status IN ('', 'active')) AS live""")
 def client_verbs(v):
     """The facade: a node with its edges, neighbours, and counts."""
-    c = Client(v.full_nodes, v.embeddings)
+    c = Client(materialize(v.full_nodes, "client"), v.embeddings)  # every verb reads it
     one = c.get("nation/7").select("id", F.size("edges").cast("bigint").alias("edges"))
     near = c.neighbors("part/5", 1).where("id NOT LIKE '...%'").agg(F.count("*").alias("around"))
     return one.join(near.select(F.lit("nation/7").alias("id"), F.lit("part/5").alias("neighbor"), "around"), "id").join(c.stats().select(F.lit("nation/7").alias("id"), F.col("nodes").alias("live")), "id")

@@ -106,10 +106,14 @@ class Views:
     @cached_property
     def full_nodes(self) -> DataFrame:
         """Nodes in the canonical schema, with their edge lists."""
-        listed = self.edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("dst").alias("target"), "relation"))).alias("_e"))
+        return self.full(self.nodes, self.pairs)
+
+    def full(self, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Nodes with the edges that leave them; lists are in the order of ``edges``, which one sort of each gives."""
+        listed = pairs.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("relation", F.col("dst").alias("target")))).alias("_e"))
         text = lambda v: F.lit(v).cast("string")
         source = F.struct(text("").alias("path"), F.array(F.lit(0), F.lit(0)).alias("lines"), text("").alias("hash"))
-        out = self.nodes.join(listed, "id", "left").withColumn("edges", F.transform(F.coalesce("_e", F.array()), lambda e: F.struct(e["target"].alias("target"), e["relation"].alias("relation"))))
+        out = nodes.join(listed, "id", "left").withColumn("edges", F.transform(F.coalesce("_e", F.array()), lambda e: F.struct(e["target"].alias("target"), e["relation"].alias("relation"))))
         return out.drop("_e").withColumns({"valid_from": text(""), "valid_until": text(""), "source": source, "context": text(""), "vault_id": text(""), "file_path": F.concat("id", F.lit(".md"))})
 
     @cached_property

@@ -54,3 +54,11 @@ def test_few_dangling_edges_are_found_where_edges_lie(spark):
     out = graph.dangling(edges, spark.range(2_000).selectExpr("'n' || id AS id"))
     assert [tuple(r) for r in out.collect()] == [("n1999", "n2000", "reads")]
     assert "hashpartitioning" not in plan(out) and "BroadcastHashJoin" in plan(out)
+
+
+def test_client_reads_written_nodes(spark, monkeypatch):
+    made = []
+    real = edits.Client
+    monkeypatch.setattr(edits, "Client", lambda nodes, *a, **k: made.append(nodes) or real(nodes, *a, **k))
+    assert catalog.QUERIES["client_verbs"](spark, SF).count() == 1
+    assert getattr(made[0], "_graphloom_path", None)  # edge lists are gathered once, not by every verb
