@@ -406,7 +406,8 @@ def vault_policy(v):
     SELECT '@far/' || g.id AS src, '@far/' || e.dst AS dst, e.relation FROM g_edges e JOIN g ON g.id = e.src UNION ALL SELECT e.src, e.dst, e.relation FROM g_edges e JOIN g ON g.id = e.src UNION ALL SELECT '@far/new', 'nation/1', 'reads'""")
 def combined_vaults(v):
     """Two vaults as one graph: remote ids are qualified, and what points back is local."""
-    nodes = v.full_nodes.where("namespace = 'geo'")
+    geo = materialize(v.nodes.where("namespace = 'geo'"), "geo")
+    nodes = materialize(v.full(geo, graph.near(v.pairs, materialize(geo.select("id"), "geo-ids"), "src")), "vault")
     new = nodes.limit(1).withColumns({"id": F.lit("new"), "edges": F.array(F.struct(F.lit("@home/nation/1").alias("target"), F.lit("reads").alias("relation")))})
     return federation.combined({"home": nodes, "far": nodes.unionByName(new)}, "home")[1].select("src", "dst", "relation")
 

@@ -62,3 +62,12 @@ def test_client_reads_written_nodes(spark, monkeypatch):
     monkeypatch.setattr(edits, "Client", lambda nodes, *a, **k: made.append(nodes) or real(nodes, *a, **k))
     assert catalog.QUERIES["client_verbs"](spark, SF).count() == 1
     assert getattr(made[0], "_graphloom_path", None)  # edge lists are gathered once, not by every verb
+
+
+def test_lists_of_some_nodes_are_those_of_all(spark):
+    v = Views(spark, SF)
+    some = v.nodes.where("namespace = 'geo'")
+    got = {r.id: r.edges for r in v.full(some, v.pairs.where("src LIKE 'nation/%' OR src LIKE 'region/%'")).collect()}
+    listed = v.edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("dst").alias("target"), "relation"))).alias("e"))
+    want = {r.src: [(e.target, e.relation) for e in r.e] for r in listed.collect()}
+    assert len(got) == 30 and all([(e.target, e.relation) for e in edges] == want.get(i, []) for i, edges in got.items())
