@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import scc
-from graphloom.operators.components import connected_components
+from graphloom.operators.components import contracted_components
 from graphloom.schema import LIST_CAP, STRUCTURAL_RELATIONS, blank, edge_class, is_active
 from graphloom.storage import broadcast_if_small, discard, materialize
 
@@ -188,11 +188,19 @@ def cycle_residual(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component, size) over undirected edges inside the node set; lone nodes are components."""
-    groups = connected_components(within(edges, nodes))
-    out = nodes.select("id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = out.groupBy("component").agg(F.count("*").alias("size"))
-    return out.join(sizes, "component").select("id", "component", "size")
+    """(id, component, size) over undirected edges inside the node set; lone nodes are components.
+
+    Ends that are no nodes are looked for among the vertices, which are fewer than edges; only if there are any is it done again without their edges."""
+    ends, own = edges.select("src", "dst"), nodes.select("id", F.lit(True).alias("known"))
+    out = materialize(own.join(contracted_components(ends), "id", "full_outer"), "components")
+    missing = materialize(out.where("known IS NULL").select("id"), "missing")
+    if not missing.isEmpty():
+        for c in ("src", "dst"):
+            ends = ends.join(broadcast_if_small(missing.toDF(c)), c, "left_anti")
+        out = materialize(own.join(contracted_components(ends), "id", "left"), "components")
+    out = out.select("id", F.coalesce("component", "id").alias("component")).where("component IS NOT NULL")
+    sizes = materialize(out.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    return out.join(broadcast_if_small(sizes), "component", "left").select("id", "component", F.coalesce("size", F.lit(1).cast("bigint")).alias("size"))
 
 
 # Changes give new tables; nothing is updated in place.

@@ -74,9 +74,17 @@ class Views:
 
     @cached_property
     def pairs(self) -> DataFrame:
+        return self._pairs(True)
+
+    @cached_property
+    def repeated(self) -> DataFrame:
+        """The pairs with their repeats, for work in which these change nothing: no shuffle is needed to find them."""
+        return self._pairs(False)
+
+    def _pairs(self, distinct: bool) -> DataFrame:
         def part(table, src, src_key, dst, dst_key, relation, once=False):
             keys = self.table(table).select(src_key, dst_key)
-            keys = keys.distinct() if once else keys  # on the narrow keys, before names are made of them
+            keys = keys.distinct() if once and distinct else keys  # on the narrow keys, before names are made of them
             return keys.select(F.concat(F.lit(f"{src}/"), src_key).alias("src"), F.concat(F.lit(f"{dst}/"), dst_key).alias("dst"), F.lit(relation).alias("relation"))
 
         rows = [

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors
-from graphloom.operators import graph, mutations
+from graphloom.operators import components, graph, mutations
 from graphloom.plans import catalog, edits
 from graphloom.plans.views import Views
 from graphloom.storage import materialize
@@ -71,3 +71,19 @@ def test_lists_of_some_nodes_are_those_of_all(spark):
     listed = v.edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("dst").alias("target"), "relation"))).alias("e"))
     want = {r.src: [(e.target, e.relation) for e in r.e] for r in listed.collect()}
     assert len(got) == 30 and all([(e.target, e.relation) for e in edges] == want.get(i, []) for i, edges in got.items())
+
+
+@pytest.mark.parametrize("chunk", [8, 300, 1 << 20])
+def test_components_are_joined_where_edges_lie(spark, chunk):
+    step = [(f"{i}", f"{i + k}") for k in (1, 2) for i in range(0, 400, 4) for _ in range(3)] + [(f"p{i}", f"p{i + 1}") for i in range(60)] + [("é", "z"), ("z", "~"), ("x", None), ("y", "y")]
+    edges = spark.createDataFrame(step, "src string, dst string").repartition(3)
+    got = sorted(map(tuple, components.contracted_components(edges, chunk=chunk).collect()))
+    assert got == sorted(map(tuple, components.connected_components(edges).collect())) and len(got) == 364
+
+
+def test_component_sizes_shuffle_no_edges(spark, monkeypatch):
+    monkeypatch.setattr(components, "connected_components", lambda *a: pytest.fail("stars over all edges"))
+    nodes = spark.createDataFrame([(i,) for i in "abcdef"] + [(None,)], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "gone"), ("gone", "c"), ("d", "c"), ("e", None)] * 2, "src string, dst string")
+    got = {r.id: (r.component, r.size) for r in graph.component_sizes(nodes, edges).collect()}
+    assert got == {"a": ("a", 2), "b": ("a", 2), "c": ("c", 2), "d": ("c", 2), "e": ("e", 1), "f": ("f", 1)}
