@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import canonical_url, qualified, rewrite_target, vault_prefix
-from graphloom.operators.graph import degrees, edges_of, first_by
+from graphloom.operators.graph import below, degrees, edges_of, first_by
 from graphloom.schema import blank, is_active, normal_namespace
 
 # Projections and counts by namespace
@@ -58,7 +58,7 @@ def distinct_values(nodes: DataFrame) -> DataFrame:
 def namespace_view(nodes: DataFrame, edges: DataFrame, namespace: str) -> tuple[DataFrame, DataFrame]:
     """Active nodes of a namespace with their degrees, and the edges inside it."""
     view = nodes.where(is_active() & (normal_namespace() == namespace))
-    inside = edges.join(view.select(F.col("id").alias("src")), "src", "left_semi").join(view.select(F.col("id").alias("dst")), "dst", "left_semi")
+    inside = below(edges, view, "src", "dst").join(view.select(F.col("id").alias("src")), "src", "left_semi").join(view.select(F.col("id").alias("dst")), "dst", "left_semi")
     return view.join(degrees(view, edges), "id"), inside.select(edges.columns)
 
 

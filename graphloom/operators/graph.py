@@ -11,6 +11,7 @@ from graphloom.schema import LIST_CAP, STRUCTURAL_RELATIONS, blank, edge_class,
 from graphloom.storage import broadcast_if_small, discard, materialize
 
 NEAR_BYTES = 2 << 20  # files of ids that are sent to a scan
+HEADS = 1_024  # first segments of ids that are told apart
 FEW_ROOTS = 63  # vertices that are searched from by themselves
 PEELED, PATIENCE = 0.1, 8  # of a layer's edges; layers that take a smaller share before components are looked for
 
@@ -80,6 +81,19 @@ def within(edges: DataFrame, view: DataFrame) -> DataFrame:
     ).select(edges.columns)
 
 
+def _head(column: str) -> Column:
+    return F.substring_index(column, "/", 1)
+
+
+def below(edges: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """Edges with ends below first segments that ids (id) have, for a join with the ids: the others cannot meet them.
+    The segments reach the scan as a condition, unless there are many."""
+    heads = [r[0] for r in ids.where("id IS NOT NULL").select(_head("id")).distinct().limit(HEADS + 1).collect()]
+    for c in columns if len(heads) <= HEADS else ():
+        edges = edges.where(_head(c).isin(heads))
+    return edges
+
+
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select("src", "dst")
     if direction == "in":

@@ -4,8 +4,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import storage
 from graphloom.functions import vectors
-from graphloom.operators import components, graph, mutations
+from graphloom.operators import components, federation, graph, mutations, retrieval
 from graphloom.plans import catalog, edits
 from graphloom.plans.views import Views
 from graphloom.storage import materialize
@@ -87,3 +88,11 @@ def test_component_sizes_shuffle_no_edges(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("b", "gone"), ("gone", "c"), ("d", "c"), ("e", None)] * 2, "src string, dst string")
     got = {r.id: (r.component, r.size) for r in graph.component_sizes(nodes, edges).collect()}
     assert got == {"a": ("a", 2), "b": ("a", 2), "c": ("c", 2), "d": ("c", 2), "e": ("e", 1), "f": ("f", 1)}
+
+
+def test_namespace_views_drop_far_edges_at_the_scan(spark):
+    out = catalog.QUERIES["namespace_view"](spark, SF)
+    assert "IN (customer,orders)" in plan(out) and out.count() > 100
+    nodes = spark.createDataFrame([("a/1",), ("b",), (None,)], "id string")
+    edges = spark.createDataFrame([("a/1", "b"), ("a/2", "b"), ("c/1", "b"), (None, "b")], "src string, dst string")
+    assert sorted(r.src for r in graph.below(edges, nodes, "src", "dst").collect()) == ["a/1", "a/2"]
