@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import canonical_url, qualified, rewrite_target, vault_prefix
-from graphloom.operators.graph import below, degrees, edges_of, first_by
+from graphloom.operators.graph import attach, below, degrees, edges_of, first_by
 from graphloom.schema import blank, is_active, normal_namespace
+from graphloom.storage import broadcast_if_small, materialize
 
 # Projections and counts by namespace
 
@@ -62,22 +63,22 @@ def namespace_view(nodes: DataFrame, edges: DataFrame, namespace: str) -> tuple[
     return view.join(degrees(view, edges), "id"), inside.select(edges.columns)
 
 
-def bridge_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def bridge_view(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(source, target, relation, class) of all edges of active nodes; those that lead into another
-    namespace are bridges, also if the target is written as namespace/id. Dangling edges stay."""
+    namespace are bridges, also if the target is written as namespace/id. Dangling edges stay. ``ends``: as in ``attach``."""
     live = nodes.where(is_active()).select("id", blank(F.col("namespace")).alias("ns"))
-    src = live.select(F.col("id").alias("src"), F.col("ns").alias("src_ns"))
-    dst = live.select(F.col("id").alias("dst"), F.col("ns").alias("dst_ns"))
-    cut = live.select(F.col("id").alias("cut"), F.lit(True).alias("cut_known"))
-    spaces = live.select(F.col("ns").alias("head"), F.lit(True).alias("head_known")).distinct()
-    out = edges.join(src, "src").join(dst, "dst", "left")
-    out = out.withColumn("head", F.substring_index("dst", "/", 1)).withColumn("cut", F.when(F.col("dst").contains("/"), F.regexp_replace("dst", "^[^/]*/", "")))
-    out = out.join(spaces, "head", "left").join(cut, "cut", "left")
-    strip = F.col("dst_ns").isNull() & F.col("head_known") & F.col("cut_known")
-    over = (F.col("dst_ns") != "") & (F.col("dst_ns") != F.col("src_ns"))
+    ends = edges if ends is None else ends
+    out = attach(attach(edges, live, "src", "ns", "src_ns", ends), live, "dst", "ns", "dst_ns", ends, "left")
+    # targets that are no ids but would be without their namespace: few, and judged once each
+    spaces = materialize(live.select(F.col("ns").alias("head")).distinct(), "namespaces")
+    named = ends.where(F.col("dst").contains("/")).withColumn("head", F.substring_index("dst", "/", 1)).join(broadcast_if_small(spaces), "head", "left_semi")
+    lost = named.select("dst").distinct().join(live.select(F.col("id").alias("dst")), "dst", "left_anti")
+    cuts = lost.withColumn("cut", F.regexp_replace("dst", "^[^/]*/", "")).join(live.select(F.col("id").alias("cut")), "cut", "left_semi")
+    out = out.join(broadcast_if_small(materialize(cuts.select("dst", "cut"), "cuts")), "dst", "left")
+    strip, over = F.col("cut").isNotNull(), (F.col("dst_ns") != "") & (F.col("dst_ns") != F.col("src_ns"))
     return out.select(
-        F.col("src").alias("source"), F.when(strip, F.col("cut")).otherwise(F.col("dst")).alias("target"), "relation",
-        F.when(F.coalesce(strip, F.lit(False)) | F.coalesce(over, F.lit(False)), "bridge").otherwise(F.col("class")).alias("class"),
+        F.col("src").alias("source"), F.coalesce("cut", "dst").alias("target"), "relation",
+        F.when(strip | F.coalesce(over, F.lit(False)), "bridge").otherwise(F.col("class")).alias("class"),
     )
 
 

@@ -94,6 +94,28 @@ def below(edges: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
     return edges
 
 
+def attach(edges: DataFrame, nodes: DataFrame, column: str, value: str, name: str, ends: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Edges with the ``value`` of the node (id, value; ids are unique) at ``column`` as ``name``; how: inner or left.
+
+    Where all nodes below a first segment have one value and none is missing, the segment says it and edges are not
+    shuffled; what is missing is asked once for each id. ``ends`` is a table of the same edges, repeats allowed, that costs less to read."""
+    own, ends = nodes.select("id", F.col(value).alias(name)), edges if ends is None else ends
+    same = own.where("id IS NOT NULL").groupBy(_head("id").alias("_head")).agg(F.min(name).alias("lo"), F.max(name).alias("hi"), (F.count(name) == F.count("*")).alias("full"))
+    heads = same.limit(HEADS + 1).collect()
+    sure = {r["_head"]: r["lo"] for r in heads if r["full"] and r["lo"] == r["hi"]} if len(heads) <= HEADS else {}
+    joined = lambda e: e.join(own.withColumnRenamed("id", column), column, how).select(*edges.columns, name)
+    if sure:
+        asked = ends.where(_head(column).isin(list(sure))).select(F.col(column).alias("id")).distinct()
+        for r in asked.join(own, "id", "left_anti").select(_head("id")).distinct().collect():
+            del sure[r[0]]
+    if not sure:
+        return joined(edges)
+    decided = F.coalesce(_head(column).isin(list(sure)), F.lit(False))
+    told = edges.sparkSession.createDataFrame(list(sure.items()), f"_head string, {name} {own.schema[name].dataType.simpleString()}")
+    out = edges.where(decided).withColumn("_head", _head(column)).join(F.broadcast(told), "_head").select(*edges.columns, name)
+    return out if ends.where(~decided).select(column).isEmpty() else out.unionByName(joined(edges.where(~decided)))
+
+
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select("src", "dst")
     if direction == "in":

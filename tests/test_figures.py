@@ -96,3 +96,14 @@ def test_namespace_views_drop_far_edges_at_the_scan(spark):
     nodes = spark.createDataFrame([("a/1",), ("b",), (None,)], "id string")
     edges = spark.createDataFrame([("a/1", "b"), ("a/2", "b"), ("c/1", "b"), (None, "b")], "src string, dst string")
     assert sorted(r.src for r in graph.below(edges, nodes, "src", "dst").collect()) == ["a/1", "a/2"]
+
+
+def test_bridges_judge_targets_without_namespace_once(spark, nodes_of, monkeypatch):
+    monkeypatch.setattr(graph, "HEADS", 1)  # no segment says anything
+    rows = [{"id": "p", "namespace": "m", "edges": [("n/q", "calls"), ("n/none", "calls"), ("q", "calls"), ("p", "reads")]}, {"id": "q", "namespace": "n"}]
+    want = {("q", "bridge"), ("n/none", "behavioral"), ("p", "behavioral")}
+    for most in (1, 1_024):
+        monkeypatch.setattr(graph, "HEADS", most)
+        out = federation.bridge_view(nodes_of(rows), graph.edges_of(nodes_of(rows)))
+        assert out.count() == 4 and {(r.target, r["class"]) for r in out.collect()} == want
+    assert plan(out).count("regexp_replace") == 0
