@@ -209,10 +209,11 @@ def api_search(embeddings: DataFrame, queries: DataFrame, nodes: DataFrame, limi
 
 
 def _warm(found: DataFrame, heat: DataFrame) -> DataFrame:
-    """Arrivals with the heat of the pair they came over. They are few: the heat table is cut to their
-    pairs first, so that it is never shuffled whole."""
+    """Arrivals with the heat of the pair they came over (its largest, if it repeats). They are few: the heat table is cut to their
+    pairs where it lies, so that it is never shuffled whole."""
     keyed = found.withColumn("a", F.least("src", "id")).withColumn("b", F.greatest("src", "id"))
-    near = keyed.select("a", "b").distinct().join(heat.select("a", "b", F.col("weight").alias("heat")), ["a", "b"])
+    few = broadcast_if_small(materialize(keyed.select("a", "b").distinct(), "arrived"))
+    near = heat.join(few, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.max("weight").alias("heat"))
     return keyed.join(near, ["a", "b"], "left").drop("a", "b").withColumn("heat", F.coalesce("heat", F.lit(0.0)))
 
 

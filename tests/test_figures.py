@@ -118,3 +118,11 @@ def test_first_segments_say_the_value(spark, how):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     sure = graph.attach(edges.where("dst LIKE 'a/%'"), nodes, "dst", "v", "dst_v", how=how)
     assert "hashpartitioning" not in plan(sure) and "SortMergeJoin" not in plan(sure) and sure.count() == 3
+
+
+def test_heat_may_repeat_and_is_not_shuffled(spark, nodes_of):
+    rows = [{"id": "a", "edges": [("b", "calls"), ("c", "calls")]}, {"id": "b"}, {"id": "c"}]
+    n, entry = nodes_of(rows), spark.createDataFrame([("a",)], "id string")
+    heat = spark.createDataFrame([("a", "c", 0.5)] * 3 + [("a", "b", 0.1), ("a", "b", 0.2)], "a string, b string, weight double")
+    got = [r.id for r in retrieval.traverse(n, graph.edges_of(n), entry, heat, 1).orderBy("ord").collect()]
+    assert got == ["a", "c", "b"]
