@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import edges_of, upsert, would_cycle
 from graphloom.schema import ACTIVE, CURATOR_TYPES, RELATIONS, STRUCTURAL_RELATIONS, SUPERSEDED, is_active, normal_namespace
+from graphloom.storage import broadcast_if_small, distinct_rows, materialize
 
 UNDO_CAP, MUTATION_CAP, BULK_LEAST = 50, 50, 5
 
@@ -87,11 +88,12 @@ def merge(nodes: DataFrame, a: str, b: str, now: str) -> DataFrame:
 def merge_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Many merges at once on an edge table: ends that are ``b`` of a pair become its ``a``; self loops
     that this makes go, equal edges are one."""
-    m = pairs.select(F.col("b").alias("k"), F.col("a").alias("to"))
-    out = edges.select("src", "dst", "relation").join(m.withColumnsRenamed({"k": "src", "to": "s"}), "src", "left").join(m.withColumnsRenamed({"k": "dst", "to": "d"}), "dst", "left")
+    m = materialize(pairs.select(F.col("b").alias("k"), F.col("a").alias("to")), "merges")  # a few of the ids: edges stay where they are
+    to = lambda k, v: broadcast_if_small(m.toDF(k, v))
+    out = edges.select("src", "dst", "relation").join(to("src", "s"), "src", "left").join(to("dst", "d"), "dst", "left")
     moved = F.col("s").isNotNull() | F.col("d").isNotNull()
     out = out.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "relation", moved.alias("moved"))
-    return out.where(~(F.col("moved") & (F.col("src") == F.col("dst")))).select("src", "dst", "relation").distinct()
+    return distinct_rows(out.where(~(F.col("moved") & (F.col("src") == F.col("dst")))).select("src", "dst", "relation"), edges)
 
 
 def link(nodes: DataFrame, src: str, dst: str, relation: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20  # of a table's files (or of the planner's estimate) that is sent to every executor
 SPREAD_BYTES = 64 << 20  # of a scan, for each core, from which it is not looked at
 
+PART_BYTES = 8 << 20  # of packed files, by the planner's estimate, that one part of a shuffle holds
+
 _scopes: list[list[str]] = []
 
 
@@ -87,6 +89,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def distinct_rows(df: DataFrame, source: DataFrame, size: int | None = None) -> DataFrame:
+    """``df.distinct()`` of rows that are nearly so, made of those of ``source`` one by one. Many are dealt first, to as many
+    parts as keep the table of a task small."""
+    parts = -(-file_bytes(source) // (size or PART_BYTES))
+    return df.distinct() if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *df.columns).distinct()
+
+
 def compact(df: DataFrame, size: int = 1 << 20) -> DataFrame:
     """A written table of at most ``size`` bytes as one partition, so that what follows needs no exchange."""
     return df.coalesce(1) if file_bytes(df) <= size else df

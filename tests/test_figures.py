@@ -126,3 +126,9 @@ def test_heat_may_repeat_and_is_not_shuffled(spark, nodes_of):
     heat = spark.createDataFrame([("a", "c", 0.5)] * 3 + [("a", "b", 0.1), ("a", "b", 0.2)], "a string, b string, weight double")
     got = [r.id for r in retrieval.traverse(n, graph.edges_of(n), entry, heat, 1).orderBy("ord").collect()]
     assert got == ["a", "c", "b"]
+
+
+def test_merges_are_dealt_to_small_parts(spark):
+    rows = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", None), (None, None), (None, None)], "src string, dst string")
+    out = storage.distinct_rows(rows, rows, size=1)
+    assert "REPARTITION_BY_NUM" in plan(out) and sorted(map(str, out.collect())) == sorted(map(str, rows.distinct().collect()))
