@@ -14,6 +14,7 @@ BROADCAST_BYTES = 32 << 20  # of a table's files (or of the planner's estimate)
 SPREAD_BYTES = 64 << 20  # of a scan, for each core, from which it is not looked at
 
 PART_BYTES = 8 << 20  # of packed files, by the planner's estimate, that one part of a shuffle holds
+MOST_PARTS = 20_000
 
 _scopes: list[list[str]] = []
 
@@ -93,7 +94,8 @@ def distinct_rows(df: DataFrame, source: DataFrame, size: int | None = None) ->
     """``df.distinct()`` of rows that are nearly so, made of those of ``source`` one by one. Many are dealt first, to as many
     parts as keep the table of a task small."""
     parts = -(-file_bytes(source) // (size or PART_BYTES))
-    return df.distinct() if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *df.columns).distinct()
+    known = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < parts <= MOST_PARTS  # rows of no file have no estimate
+    return df.repartition(parts, *df.columns).distinct() if known else df.distinct()
 
 
 def compact(df: DataFrame, size: int = 1 << 20) -> DataFrame:

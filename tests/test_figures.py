@@ -130,5 +130,6 @@ def test_heat_may_repeat_and_is_not_shuffled(spark, nodes_of):
 
 def test_merges_are_dealt_to_small_parts(spark):
     rows = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", None), (None, None), (None, None)], "src string, dst string")
-    out = storage.distinct_rows(rows, rows, size=1)
+    assert "REPARTITION_BY_NUM" not in plan(storage.distinct_rows(rows, rows, size=1))  # of unknown size
+    out = storage.distinct_rows(rows, stored := materialize(rows, "rows"), size=storage.file_bytes(stored) // 9)
     assert "REPARTITION_BY_NUM" in plan(out) and sorted(map(str, out.collect())) == sorted(map(str, rows.distinct().collect()))
