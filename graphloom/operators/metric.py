@@ -22,6 +22,7 @@ PIVOTS = 512  # cells of the first cut, at most
 SPLIT = 32  # cells that a large cell is cut into
 CELL_ROWS = 8_192  # members of a cell from which it is cut again
 PIVOT_BYTES = 32 << 20  # of all pivots of the second cut, which travel with the tasks
+BLOCK_ROWS, LEAST_BLOCKS = 32_768, 5  # rows of a large cell's block, of which there are some for all cores to have work
 BLOCK = 1_024  # rows that are compared at once
 COPY_COST = 400.0  # of sending a row to one more cell, in comparisons
 
@@ -150,7 +151,9 @@ def _members(rows: DataFrame, asking: DataFrame | None, radius: float) -> DataFr
     members = materialize(_cut(members, radius, asking is None), "metric-cells")
     # what is still large (a ball of rows that all reach each other) is cut by hash; every two blocks meet
     large = members.groupBy("dim", "cell").count().where(F.col("count") > CELL_ROWS)
-    large = materialize(large.select("dim", "cell", F.ceil(F.col("count") / (CELL_ROWS / 2)).cast("int").alias("blocks")), "metric-large")
+    # a row is copied to every block, so blocks are as large as a task can hold
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK_ROWS), F.least(F.ceil(F.col("count") / (CELL_ROWS / 2)), F.lit(LEAST_BLOCKS)))
+    large = materialize(large.select("dim", "cell", blocks.cast("int").alias("blocks")), "metric-large")
     out = members.join(broadcast_if_small(large, 100_000), ["dim", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     out = out.withColumn("block", F.pmod(F.xxhash64("id", "inner"), F.col("blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -1,14 +1,17 @@
 """Work that grows no faster than the tables: what is moved, kept or built at once."""
 
+import numpy as np
 import pandas as pd
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from graphloom import storage
 from graphloom.functions import vectors
-from graphloom.operators import components, federation, graph, mutations, retrieval
+from graphloom.operators import components, federation, graph, metric, mutations, retrieval
 from graphloom.plans import catalog, edits
 from graphloom.plans.views import Views
+from graphloom.sources import source_tree, vault
 from graphloom.storage import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -133,3 +136,15 @@ def test_merges_are_dealt_to_small_parts(spark):
     assert "REPARTITION_BY_NUM" not in plan(storage.distinct_rows(rows, rows, size=1))  # of unknown size
     out = storage.distinct_rows(rows, stored := materialize(rows, "rows"), size=storage.file_bytes(stored) // 9)
     assert "REPARTITION_BY_NUM" in plan(out) and sorted(map(str, out.collect())) == sorted(map(str, rows.distinct().collect()))
+
+
+def test_blocks_of_a_ball_are_few(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 4)))], "id long, v array<double>").withColumn("name", F.col("id").cast("string"))
+    saved = metric.CELL_ROWS, metric.BLOCK_ROWS
+    metric.CELL_ROWS, metric.BLOCK_ROWS = 20, 100  # as 15 blocks of 20 and more would be
+    try:
+        out = metric._members(rows, None, 100.0).agg(F.max("j").alias("j"), F.count("*").alias("n")).first()
+    finally:
+        metric.CELL_ROWS, metric.BLOCK_ROWS = saved
+    assert out["j"] == metric.LEAST_BLOCKS - 1
