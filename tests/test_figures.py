@@ -148,3 +148,13 @@ def test_blocks_of_a_ball_are_few(spark):
     finally:
         metric.CELL_ROWS, metric.BLOCK_ROWS = saved
     assert out["j"] == metric.LEAST_BLOCKS - 1
+
+
+def test_entities_leave_a_worker_by_parts(spark, monkeypatch):
+    text = "package p\n\n" + "\n".join(f"func f{i}() {{\n}}\n" for i in range(300))
+    files = [(f"a/f{i}.go", bytearray(text.encode())) for i in range(12)]
+    run = []
+    stub = type("Files", (), {"select": lambda self, *c: self, "mapInPandas": lambda self, f, schema: run.append(f)})()
+    source_tree.entities(stub)
+    frames = list(run[0]([pd.DataFrame(files, columns=["path", "content"])]))
+    assert sum(map(len, frames)) == 12 * 301 and max(map(len, frames)) < source_tree.ENTITY_ROWS + 301
