@@ -12,7 +12,6 @@ from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import yaml
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
@@ -22,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from graphloom.functions.text import id_is_valid
 from graphloom.schema import NODES
-from graphloom.sources.vault import parse_node, render_node, split_frontmatter
+from graphloom.sources.vault import load_yaml, parse_node, render_node, split_frontmatter
 
 PUSHED = ("id", "type", "namespace", "status")  # columns whose filters are decided by the frontmatter
 STAGING = "_staging"  # readers skip folders that begin so
@@ -79,7 +78,7 @@ def _nodes(path: str, files: Files, vault_id: str | None, wanted: dict[str, froz
         try:
             text = _text(where, f"{root}/{rel}")
             if wanted:
-                head = yaml.safe_load(split_frontmatter(text)[0]) or {}
+                head = load_yaml(split_frontmatter(text)[0]) or {}
                 own = {k: str(head.get(k) or "") for k in wanted}
                 if "id" in own:
                     own["id"] = own["id"] or rel.removesuffix(".md")

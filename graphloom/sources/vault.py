@@ -19,6 +19,11 @@ from graphloom.storage import spread
 _META = "id string, type string, namespace string, status string, tags array<string>, file_path string"
 
 
+def load_yaml(text: str):
+    """As ``yaml.safe_load``, by the C parser where PyYAML has it: it takes a tenth of the time."""
+    return yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))  # noqa: S506  both are safe
+
+
 def split_frontmatter(text: str) -> tuple[str, str]:
     """(yaml, body). The first line must be the delimiter; blanks before it are skipped."""
     lines = text.lstrip("﻿ \t\r\n").split("\n")
@@ -52,7 +57,7 @@ def _text(v) -> str:
 def parse_node(text: str, rel: str) -> dict:
     """One node from a file; a missing id comes from the path. Raises on broken files."""
     head, body = split_frontmatter(text)
-    f = yaml.safe_load(head) or {}
+    f = load_yaml(head) or {}
     source = f.get("source") or {}
     return {
         "id": _text(f.get("id")) or re.sub(r"\.md$", "", rel),
@@ -188,7 +193,7 @@ def loose_yaml(text: str) -> dict:
     if not text.startswith("---"):
         return {}
     end = text.find("---", 3)
-    return (yaml.safe_load(text[3:end]) or {}) if end >= 0 else {}
+    return (load_yaml(text[3:end]) or {}) if end >= 0 else {}
 
 
 def _dump(head: dict, body: str = "") -> str:

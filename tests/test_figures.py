@@ -158,3 +158,11 @@ def test_entities_leave_a_worker_by_parts(spark, monkeypatch):
     source_tree.entities(stub)
     frames = list(run[0]([pd.DataFrame(files, columns=["path", "content"])]))
     assert sum(map(len, frames)) == 12 * 301 and max(map(len, frames)) < source_tree.ENTITY_ROWS + 301
+
+
+def test_frontmatter_is_read_by_the_fast_parser():
+    text = "id: a/b\nlines: [1, 2]\nsummary: 'é ☃'\nat: 2024-01-01\nnone: null\nyes: true\n"
+    assert vault.load_yaml(text) == yaml.safe_load(text) and vault.load_yaml("") is None
+    for bad in ("a: [", "!!python/object:os.system {}", "a: b: c"):
+        with pytest.raises(yaml.YAMLError):
+            vault.load_yaml(bad)
