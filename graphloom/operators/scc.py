@@ -1,6 +1,6 @@
 """Strongly connected components, topological levels, and batches of questions whether an edge closes a cycle.
 
-Long unbranched paths are one vertex first, found by doubling pointers, so that rounds follow the branching of a
+Long unbranched paths are one vertex first, joined where their edges lie and then by doubling pointers, so that rounds follow the branching of a
 graph instead of its longest path. All tables are edges or labels; nothing is kept by pair of vertices."""
 
 from __future__ import annotations
@@ -9,9 +9,12 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import CHUNK_BYTES, CHUNK_ROWS
 from graphloom.storage import broadcast_if_small, discard, materialize
 
 TRIM = 0.1  # trimming goes on while a round takes away at least this share of the edges
@@ -23,40 +26,96 @@ def _plain(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
-def _paths(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, path, pos) of vertices on unbranched paths of two or more, and (id, scc) of those on rings of their own.
+def _once(edges: DataFrame) -> DataFrame:
+    """Distinct edges between different known ids, as a table. Without repeats the rows stay where they lie: different
+    hashes, as many as rows, are the proof."""
+    some = materialize(edges.where(F.col("src") != F.col("dst")).select("src", "dst"), "scc-edges")
+    if some.select(F.xxhash64("src", "dst")).distinct().count() == some.count():
+        return some
+    return materialize(some.distinct(), "scc-edges")
 
-    An edge is unbranched if nothing else leaves its source or enters its target; a path is named by its first vertex.
-    Each round doubles how far every vertex sees back."""
-    outs = edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst")
-    ins = edges.groupBy("dst").agg(F.count("*").alias("n")).where("n = 1").select("dst")
-    back = outs.join(ins, "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("at"), F.lit(1).cast("bigint").alias("pos"), F.least("src", "dst").alias("low"))
-    back = materialize(back, "paths")
-    n = back.count()
-    done = []
+
+def _chains(most: int):
+    """Unbranched edges (src, dst, n), a chunk at a time, as (id, at, pos): the first vertex of the chunk that leads to each
+    target, and how far. Edges of a ring that lies in the chunk stay as they are."""
+
+    def chain(held):
+        ids = pa.concat_arrays([b.column(0) for b in held] + [b.column(1) for b in held]).dictionary_encode()
+        ends, n = ids.indices.to_numpy(), np.concatenate([b.column(2).to_numpy() for b in held])
+        a, b, size = ends[: len(n)], ends[len(n) :], len(ids.dictionary)
+        at, pos, root = np.arange(size), np.zeros(size, np.int64), np.ones(size, bool)
+        at[b], pos[b], root[b] = a, n, False
+        for _ in range(size.bit_length()):
+            if root[at].all():
+                break
+            at, pos = at[at], pos + pos[at]
+        good = root[at[b]]
+        names = lambda i: ids.dictionary.take(pa.array(i))
+        out = pa.table({"id": names(b), "at": names(np.where(good, at[b], a)), "pos": np.where(good, pos[b], n)})
+        return out.to_batches(max_chunksize=1 << 16)
+
+    def run(batches):
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= most or size >= CHUNK_BYTES:
+                yield from chain(held)
+                held, rows, size = [], 0, 0
+        if rows:
+            yield from chain(held)
+
+    return run
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """(id, path, pos, ring) of pointers (id, at, pos): where each chain of them begins, and how far that is; or the smallest
+    id of a ring.
+
+    Each round doubles how far a vertex sees back; those that see the beginning are not written again."""
+    open_ = links.withColumn("low", F.least("id", "at"))
+    n, done = links.count(), links.limit(0).withColumn("low", F.col("id"))
     for _ in range(math.ceil(math.log2(n + 1)) + 1 if n else 0):
-        ahead = back.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("pos").alias("pos2"), F.col("low").alias("low2"))
-        step = back.join(ahead, "at", "left")
-        step = materialize(step.select("id", F.coalesce("at2", "at").alias("at"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.least("low", "low2").alias("low"), F.col("at2").isNull().alias("ended")), "paths")
-        done.append(step.where("ended").select("id", F.col("at").alias("path"), "pos"))
-        # ended vertices stay as stepping stones only while others still look back
-        back = step.drop("ended")
-        if step.where("NOT ended").isEmpty():
-            done = done[-1:]
-            rings = back.limit(0)
+        ahead = done.unionByName(open_).select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("pos").alias("pos2"), F.col("low").alias("low2"))
+        step = open_.join(ahead, "at", "left").select("id", F.coalesce("at2", "at").alias("at"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"),
+                                                      F.least("low", "low2").alias("low"), F.col("at2").isNull().alias("ended"))
+        step = materialize(step, "paths-doubled")
+        done, open_ = done.unionByName(step.where("ended").drop("ended")), step.where("NOT ended").drop("ended")
+        if open_.isEmpty():
             break
-    else:
-        rings = back.join(step.where("ended").select("id"), "id", "left_anti") if n else back
-        done = done[-1:]
-    paths = done[0] if done else back.select("id", F.col("at").alias("path"), "pos")
-    heads = paths.select(F.col("path").alias("id"), "path", F.lit(0).cast("bigint").alias("pos")).distinct()
-    return materialize(paths.unionByName(heads), "paths-done"), materialize(rings.select("id", F.col("low").alias("scc")), "paths-rings")
+    none = F.lit(None).cast("string")
+    return done.select("id", F.col("at").alias("path"), "pos", none.alias("ring")).unionByName(open_.select("id", none.alias("path"), "pos", F.col("low").alias("ring")))
+
+
+def _walks(links: DataFrame, chunk: int) -> DataFrame:
+    """(id, path, pos, ring) of every target of unbranched edges (src, dst, n): the first vertex of its path and the way
+    from there, or a mark of the ring that it lies on.
+
+    Edges are joined where they lie, a chunk at a time; the first vertices of chunks that others lead to are a smaller
+    graph of the same kind. Where chunks do not make it smaller, pointers are doubled."""
+    local = materialize(links.select("src", "dst", "n").mapInArrow(_chains(chunk), "id string, at string, pos bigint"), "paths")
+    heads = materialize(local.select(F.col("at").alias("id")).distinct(), "paths-heads")
+    over = materialize(local.join(broadcast_if_small(heads), "id", "left_semi").select(F.col("at").alias("src"), F.col("id").alias("dst"), F.col("pos").alias("n")), "paths-over")
+    n, m = local.count(), over.count()
+    if not m:
+        return local.select("id", F.col("at").alias("path"), "pos", F.lit(None).cast("string").alias("ring"))
+    if m > n / 2:
+        return _doubled(local)
+    rest = _walks(over.coalesce(1) if m <= chunk else over, chunk).select(F.col("id").alias("at"), "path", F.col("pos").alias("off"), "ring")
+    far = local.join(broadcast_if_small(materialize(rest, "paths-rest")), "at", "left")
+    path = F.when(F.col("ring").isNull(), F.coalesce("path", "at"))
+    return materialize(far.select("id", path.alias("path"), (F.col("pos") + F.coalesce("off", F.lit(0))).alias("pos"), "ring"), "paths-done")
+
 
+def _paths(edges: DataFrame, chunk: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges (src, dst, n) as walks (id, path, pos, ring) of the targets of unbranched ones, and the other edges.
 
-def _named(edges: DataFrame, names: DataFrame, column: str) -> DataFrame:
-    """Edges with ``column`` replaced by its name (id, name), where it has one."""
-    own = names.select(F.col("id").alias(column), "name")
-    return edges.join(own, column, "left").withColumn(column, F.coalesce("name", column)).drop("name")
+    An edge is unbranched if nothing else leaves its source or enters its target; a path is named by its first vertex. The
+    others lead from the end of a path to the beginning of one, or to vertices on none."""
+    many = [materialize(edges.groupBy(c).count().where("count > 1").select(c, F.lit(True).alias(f"{c}_many")), "paths-many") for c in ("src", "dst")]
+    marked = edges.join(broadcast_if_small(many[0]), "src", "left").join(broadcast_if_small(many[1]), "dst", "left")
+    single = F.col("src_many").isNull() & F.col("dst_many").isNull()
+    return _walks(marked.where(single), chunk), materialize(marked.where(~single).select("src", "dst", "n"), "paths-between")
 
 
 def _highest(edges: DataFrame) -> DataFrame:
@@ -113,25 +172,46 @@ def _cores(edges: DataFrame) -> DataFrame:
     return materialize(reduce(DataFrame.unionByName, found), "scc-found")
 
 
-def components(edges: DataFrame) -> DataFrame:
+@dataclass
+class _Short:
+    """A graph by its unbranched paths: ``inner`` (id, path, pos) are the vertices after the first one of each, ``rings``
+    (id, scc) those on rings of their own, ``tops`` (id, length, scc) the other ones, with what is known of their path and, if it lies
+    in a component of several, that one; ``edges`` (src, dst) lie between tops."""
+
+    inner: DataFrame
+    rings: DataFrame
+    tops: DataFrame
+    edges: DataFrame
+
+
+def _shortened(edges: DataFrame, chunk: int) -> _Short:
+    walks, between = _paths(_once(edges).withColumn("n", F.lit(1).cast("bigint")), chunk)
+    inner, round_ = walks.where("ring IS NULL").select("id", "path", "pos"), walks.where("ring IS NOT NULL")
+    least = round_.groupBy("ring").agg(F.min("id").alias("scc"))
+    rings = materialize(round_.join(least, "ring").select("id", "scc"), "scc-rings")
+    between = between.join(inner.select(F.col("id").alias("src"), "path"), "src", "left").select(F.coalesce("path", "src").alias("src"), "dst")
+    short = materialize(between.distinct(), "scc-short")
+    length = materialize(inner.groupBy(F.col("path").alias("id")).agg(F.max("pos").alias("length")), "scc-lengths")
+    core = _cores(short)
+    looped = short.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("core")).distinct()
+    core = materialize(core.unionByName(looped.join(core, "id", "left_anti")), "scc-core")  # a path whose end leads to its beginning
+    ahead = broadcast_if_small(core.select(F.col("id").alias("path"), "core"))
+    least = core.unionByName(inner.join(ahead, "path").select("id", "core")).groupBy("core").agg(F.min("id").alias("scc"))
+    core = broadcast_if_small(materialize(core.join(least, "core").select("id", "scc"), "scc-named"))
+    ids = length.select("id").union(short.select(F.explode(F.array("src", "dst")))).distinct()
+    tops = materialize(ids.join(length, "id", "left").join(core, "id", "left"), "scc-tops")
+    return _Short(inner, rings, tops, short)
+
+
+def components(edges: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
     """(id, scc) of every vertex of the edges: ``scc`` is the smallest id of its strongly connected component.
 
     Repeated edges count once; self loops and edges with a null end are ignored."""
-    plain = materialize(_plain(edges), "scc-edges")
-    paths, rings = _paths(plain)
-    names = paths.select("id", F.col("path").alias("name"))
-    inside = paths.where("pos > 0").select(F.col("id").alias("dst"))  # edges along a path, and of rings, are no edges between paths
-    between = plain.join(inside, "dst", "left_anti").join(rings.select(F.col("id").alias("dst")), "dst", "left_anti")
-    short = materialize(_named(_named(between, names, "src"), names, "dst"), "scc-short")
-    core = _cores(short)
-    looped = short.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("core")).distinct()
-    core = core.unionByName(looped.join(core, "id", "left_anti"))  # a path whose end leads to its beginning
-    ids = plain.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    member = ids.join(names, "id", "left").withColumn("name", F.coalesce("name", "id")).join(core.withColumnRenamed("id", "name"), "name", "left")
-    member = materialize(member.select("id", "core"), "scc-members")
-    least = member.where("core IS NOT NULL").groupBy("core").agg(F.min("id").alias("scc"))
-    out = member.join(least, "core", "left").join(rings.withColumnRenamed("scc", "ring"), "id", "left")
-    return materialize(out.select("id", F.coalesce("scc", "ring", "id").alias("scc")), "scc-done")
+    short = _shortened(edges, chunk)
+    named = broadcast_if_small(materialize(short.tops.where("scc IS NOT NULL").select(F.col("id").alias("path"), "scc"), "scc-named"))
+    inner = short.inner.join(named, "path", "left").select("id", F.coalesce("scc", "id").alias("scc"))
+    out = inner.unionByName(short.tops.select("id", F.coalesce("scc", "id").alias("scc"))).unionByName(short.rings)
+    return materialize(out, "scc-done")
 
 
 def _levels(edges: DataFrame) -> DataFrame:
@@ -168,21 +248,30 @@ class Condensation:
     steps: DataFrame
 
 
-def condense(edges: DataFrame) -> Condensation:
-    """Components, their paths and levels, for the edges (src, dst)."""
-    plain = materialize(_plain(edges), "condense")
-    sccs = components(plain)
-    names = sccs.select("id", F.col("scc").alias("name"))
-    joined = materialize(_plain(_named(_named(plain, names, "src"), names, "dst")), "condense-edges")
-    paths, _ = _paths(joined)
-    length = paths.groupBy("path").agg(F.max("pos").alias("length"))
-    own = paths.select("id", F.col("path").alias("name"))
-    between = joined.join(paths.where("pos > 0").select(F.col("id").alias("dst")), "dst", "left_anti")
-    steps = _named(_named(between, own, "src"), own, "dst").join(length.withColumnRenamed("path", "src"), "src", "left")
-    steps = materialize(steps.select("src", "dst", (F.coalesce("length", F.lit(0)) + 1).alias("steps")).distinct(), "condense-steps")
-    level = _levels(steps).withColumnRenamed("id", "path")
-    nodes = sccs.join(paths.withColumnRenamed("id", "scc"), "scc", "left").withColumn("path", F.coalesce("path", "scc")).withColumn("pos", F.coalesce("pos", F.lit(0)))
-    nodes = nodes.join(level, "path", "left").select("id", "scc", "path", "pos", (F.coalesce("level", F.lit(0)) + F.col("pos")).alias("level"))
+def condense(edges: DataFrame, chunk: int = CHUNK_ROWS) -> Condensation:
+    """Components, their paths and levels, for the edges (src, dst).
+
+    Paths are shortened first; what comes after knows their tops only: a path is in a component as a whole or not at all."""
+    short = _shortened(edges, chunk)
+    tops = short.tops
+    end = lambda c: tops.select(F.col("id").alias(c), F.coalesce("scc", "id").alias(f"{c}_name"), F.when(F.col("scc").isNull(), F.col("length")).alias(f"{c}_length"))
+    joined = short.edges.join(end("src"), "src").join(end("dst"), "dst").where("src_name <> dst_name")
+    joined = joined.groupBy(F.col("src_name").alias("src"), F.col("dst_name").alias("dst")).agg((F.coalesce(F.max("src_length"), F.lit(0)) + 1).alias("n"))
+    walks, between = _paths(materialize(joined, "condense-edges"), chunk)
+    walks = walks.select(F.col("id").alias("name"), F.col("path").alias("to"), F.col("pos").alias("off"))
+    steps = between.join(walks, between.src == walks.name, "left").select(F.coalesce("to", "src").alias("src"), "dst", (F.coalesce("off", F.lit(0)) + F.col("n")).alias("steps"))
+    steps = materialize(steps.distinct(), "condense-steps")
+    level = _levels(steps).withColumnRenamed("id", "to")
+    found = tops.withColumn("name", F.coalesce("scc", "id")).join(walks, "name", "left").withColumn("to", F.coalesce("to", "name")).join(level, "to", "left")
+    found = materialize(found.select("id", "scc", "to", F.coalesce("off", F.lit(0)).alias("off"), F.coalesce("level", F.lit(0)).alias("level")), "condense-tops")
+    ahead = found.withColumnRenamed("id", "path")
+    # a component of several is one place of its path
+    inner = short.inner.join(broadcast_if_small(ahead), "path").select("id", F.coalesce("scc", "id").alias("scc"), "to", "level", (F.col("off") + F.when(F.col("scc").isNull(), F.col("pos")).otherwise(0)).alias("off"))
+    own = found.select("id", F.coalesce("scc", "id").alias("scc"), "to", "level", "off")
+    nothing = F.lit(0).cast("bigint")
+    rings = short.rings.select("id", "scc", F.col("scc").alias("to"), nothing.alias("level"), nothing.alias("off"))
+    nodes = inner.unionByName(own).unionByName(rings)
+    nodes = nodes.select("id", "scc", F.col("to").alias("path"), F.col("off").alias("pos"), (F.col("level") + F.col("off")).alias("level"))
     return Condensation(materialize(nodes, "condense-nodes"), steps)
 
 

@@ -138,3 +138,26 @@ def test_what_is_downstream_of_a_cycle_on_long_paths(spark, nodes_of, monkeypatc
         monkeypatch.setattr(graph, "PATIENCE", patience)
         got = sorted(r.id for r in graph.cycle_residual(nodes, df).collect())
         assert got == ["c038", "c039", "c040", "d0", "d1", "s1", "self", "x", "y"]
+
+
+@pytest.mark.parametrize("chunk", [3, 50])
+def test_paths_over_chunks(spark, chunk):
+    """Rings and paths that lie in one chunk and in several, with repeated edges and without."""
+    edges = many_graphs()
+    edges += [(f"q{i:03}", f"q{(i + 1) % 300:03}") for i in range(300)] + [(f"s{i:03}", f"s{i + 1:03}") for i in range(200)] + [("s200", "s050")]
+    want = labels_of([e for e in edges if e[0] != e[1]])
+    df = spark.createDataFrame(edges if chunk == 3 else sorted(set(edges)), EDGE).coalesce(2)
+    rows = scc.condense(df, chunk).nodes.collect()
+    assert {r.id: (r.scc, r.level) for r in rows} == want and len(rows) == len(want)
+
+
+def test_paths_are_not_written_once_a_round(spark, monkeypatch):
+    """Edges that lie together are joined there; of each vertex few rows are written, however long its path."""
+    from graphloom import storage
+
+    made, whole = [], storage.materialize
+    monkeypatch.setattr(scc, "materialize", lambda df, label, *rest: made.append(whole(df, label, *rest)) or made[-1])
+    n = 4_096
+    chain = spark.range(0, n - 1, 1, 2).select(F.format_string("%05d", "id").alias("src"), F.format_string("%05d", F.col("id") + 1).alias("dst"))
+    assert scc.condense(chain).nodes.where("cast(id AS int) = level").count() == n
+    assert sum(df.count() for df in made) < 6 * n
