@@ -18,6 +18,7 @@ from graphloom.operators.heat import DECAY_FLOOR, DECAY_RATE, LEARNING_RATE
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
+SHARES = 512  # of the paths whose bursts are waited for together
 
 
 def with_state(grouped, processor: StatefulProcessor, schema: str, time: str, spark: SparkSession) -> DataFrame:
@@ -36,23 +37,30 @@ def _stamp(micros) -> np.ndarray:
 
 
 class _Bursts(StatefulProcessor):
-    """The events of a key wait until the watermark has passed the end of their burst.
+    """The events of a path wait until the watermark has passed the end of their burst.
 
-    State: the times that wait, and the first of them, whose timer later events do not restart."""
+    A key is a share of the paths, so that calls and timers are few however many paths there are. State: what each micro-batch
+    brought that waits (paths, how many times each has, the times), and the first of all times, whose timer later events do not restart."""
 
     def __init__(self, wait: int):
         self.wait = wait
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.times, self.first = handle.getListState("times", "at long"), handle.getValueState("first", "at long")
+        self.waiting, self.first = handle.getListState("waiting", "paths array<string>, sizes binary, times binary"), handle.getValueState("first", "at long")
 
-    def _due(self, first: int) -> int:
+    def _due(self, first):
         return (first + self.wait) // 1000 + 1  # a timer has milliseconds; an event at the very end still counts
 
+    @staticmethod
+    def _entry(paths: np.ndarray, sizes: np.ndarray, times: np.ndarray) -> tuple:
+        return paths.tolist(), sizes.astype(np.int64).tobytes(), times.tobytes()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = np.concatenate([_micros(r["at"]) for r in rows])
-        self.times.appendList([(int(t),) for t in new])
+        frame = pd.concat(list(rows))
+        new = _micros(frame["at"])
+        codes, paths = pd.factorize(frame["path"])
+        self.waiting.appendValue(self._entry(np.asarray(paths, object), np.bincount(codes, minlength=len(paths)), new[np.argsort(codes, kind="stable")]))
         old = self.first.get()[0] if self.first.exists() else None
         first = int(new.min()) if old is None else min(old, int(new.min()))
         if first != old:  # the first event, or one before it that came late
@@ -63,21 +71,32 @@ class _Bursts(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.array([t for (t,) in self.times.get()], np.int64))
-        now, out = timerValues.getCurrentWatermarkInMs(), []
-        while len(times) and self._due(int(times[0])) <= now:
-            n = int(np.searchsorted(times, times[0] + self.wait, "right"))
-            out.append((int(times[0]), n))
-            times = times[n:]
-        if len(times):
-            self.times.put([(int(t),) for t in times])
-            self.first.update((int(times[0]),))
-            self.handle.registerTimer(self._due(int(times[0])))
-        else:  # nothing stays of a key that is quiet
-            self.times.clear()
+        held = list(self.waiting.get())
+        names, paths = pd.factorize(np.array([p for e in held for p in e[0]], object))
+        codes = np.repeat(names, np.concatenate([np.frombuffer(e[1], np.int64) for e in held]))
+        times = np.concatenate([np.frombuffer(e[2], np.int64) for e in held])
+        order = np.lexsort((times, codes))
+        codes, times = codes[order], times[order]
+        ends, due = np.cumsum(np.bincount(codes, minlength=len(paths))), self._due(times) <= timerValues.getCurrentWatermarkInMs()
+        out, stay, at = [], np.zeros(len(times), bool), 0
+        for code, end in enumerate(ends.tolist()):
+            while at < end and due[at]:
+                n = int(np.searchsorted(times[at:end], times[at] + self.wait, "right"))
+                out.append((code, times[at], n))
+                at += n
+            stay[at:end], at = True, end
+        if stay.any():
+            codes, times = codes[stay], times[stay]
+            some, sizes = np.unique(codes, return_counts=True)
+            self.waiting.put([self._entry(paths[some], sizes, times)])
+            self.first.update((int(times.min()),))
+            self.handle.registerTimer(self._due(int(times.min())))
+        else:  # nothing stays of paths that are quiet
+            self.waiting.clear()
             self.first.clear()
         if out:
-            yield pd.DataFrame({"path": [key[0]] * len(out), "first": _stamp([f for f, _ in out]), "events": [n for _, n in out]})
+            code, first, n = zip(*out)
+            yield pd.DataFrame({"path": paths[list(code)], "first": _stamp(first), "events": n})
 
     def close(self) -> None:
         pass
@@ -88,9 +107,11 @@ def bursts(events: DataFrame, wait: float, delay: str = "0 seconds") -> DataFram
 
     The first event of a path starts a timer of ``wait`` seconds that later events do not restart; the burst takes in
     all events until then. Times are those of the events: the watermark follows the latest one by ``delay``, and events that come
-    later than that are dropped. Equal to ``watch.debounced`` on the same events, but for bursts that are still open."""
-    timed = events.where(F.col("path").isNotNull() & F.col("at").isNotNull()).select("path", "at").withWatermark("at", delay)
-    return with_state(timed.groupBy("path"), _Bursts(int(wait * SECOND)), "path string, first timestamp, events long", "EventTime", events.sparkSession)
+    later than that are dropped. Equal to ``watch.debounced`` on the same events, but for bursts that are still open. Paths share
+    state and timers, in SHARES shares."""
+    share = F.pmod(F.xxhash64("path"), F.lit(SHARES)).alias("share")
+    timed = events.where(F.col("path").isNotNull() & F.col("at").isNotNull()).select(share, "path", "at").withWatermark("at", delay)
+    return with_state(timed.groupBy("share"), _Bursts(int(wait * SECOND)), "path string, first timestamp, events long", "EventTime", events.sparkSession)
 
 
 class _Quiet(StatefulProcessor):

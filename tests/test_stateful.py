@@ -68,6 +68,21 @@ def test_bursts_in_one_run_of_many_batches(spark, tmp_path):
     assert got == bursts_by_hand(events, 15)
 
 
+def test_paths_share_state_and_timers(spark, tmp_path, monkeypatch):
+    """The keys of the state are as many as the shares, not as the paths; each path still has its own bursts."""
+    monkeypatch.setattr(stateful, "SHARES", 3)
+    events = [(f"p{k % 50}", float((k * 37) % 500)) for k in range(600)] + [("p\x00é", 3.0), ("", 4.0)]
+    for k in range(2):
+        put(spark, [(p, at(t)) for p, t in events[k::2]], AT, tmp_path / "in", k)
+    put(spark, [("z", at(100_000))], AT, tmp_path / "in", "z")
+    found = stateful.bursts(stream(spark, AT, tmp_path / "in"), 15, "600 seconds")
+    run = stateful.start(found, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    run.awaitTermination(120)
+    got = sorted((r.path, (r.first - T0).total_seconds(), r.events) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == bursts_by_hand(events, 15)
+    assert max(op["customMetrics"].get("numRegisteredTimers", 0) for p in run.recentProgress for op in p["stateOperators"]) <= 2 * 3
+
+
 def test_changes_by_the_clock(spark, tmp_path):
     put(spark, [("a", at(0)), ("a", at(1)), ("b", at(1))], AT, tmp_path / "in", 0)
     found = stateful.quiet_changes(stream(spark, AT, tmp_path / "in"), 0.5)
