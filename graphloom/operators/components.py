@@ -60,6 +60,52 @@ def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def chunked(work, most: int):
+    """A function of batches of edges that gives ``work`` a chunk of them at a time."""
+
+    def run(batches):
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= most or size >= CHUNK_BYTES:
+                yield from work(held)
+                held, rows, size = [], 0, 0
+        if rows:
+            yield from work(held)
+
+    return run
+
+
+def ends(edges: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """(id) of all ends of edges (src, dst), each once for every chunk of edges that lie together."""
+
+    def once(held):
+        ids = pa.concat_arrays([b.column(c) for b in held for c in (0, 1)]).unique()
+        return pa.table({"id": ids}).to_batches(max_chunksize=1 << 16)
+
+    return edges.select("src", "dst").mapInArrow(chunked(once, chunk), "id string")
+
+
+def only_neighbours(edges: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """(id, other) of the vertices of edges (src, dst) between different ids, for every chunk of edges that lie together: its
+    neighbour there if it has one only, else null."""
+
+    def found(held):
+        ids = pa.concat_arrays([b.column(0) for b in held] + [b.column(1) for b in held]).dictionary_encode()
+        both = ids.indices.to_numpy().reshape(2, -1)
+        both = both[:, both[0] != both[1]]
+        here, there = both.ravel(), both[::-1].ravel()
+        one, many = np.full(len(ids.dictionary), -1), np.zeros(len(ids.dictionary), bool)
+        one[here] = there
+        many[here[one[here] != there]] = True
+        at = np.flatnonzero(one >= 0)
+        out = pa.table({"id": ids.dictionary.take(pa.array(at)), "other": ids.dictionary.take(pa.array(one[at], mask=many[at]))})
+        return out.to_batches(max_chunksize=1 << 16)
+
+    return edges.select("src", "dst").mapInArrow(chunked(found, chunk), "id string, other string")
+
+
 def _stars(most: int):
     """Edges (u, r), a chunk at a time, as the vertices of the chunk with the smallest id that each reaches within it."""
 
@@ -73,18 +119,7 @@ def _stars(most: int):
         out = pa.table({"u": names, "r": names.take(pa.array(_least(len(names), ends[:half], ends[half:])))})
         return out.to_batches(max_chunksize=1 << 16)
 
-    def run(batches):
-        held, rows, size = [], 0, 0
-        for batch in batches:
-            held.append(batch)
-            rows, size = rows + batch.num_rows, size + batch.nbytes
-            if rows >= most or size >= CHUNK_BYTES:
-                yield from star(held)
-                held, rows, size = [], 0, 0
-        if rows:
-            yield from star(held)
-
-    return run
+    return chunked(star, most)
 
 
 def contracted_components(edges: DataFrame, src: str = "src", dst: str = "dst", chunk: int = CHUNK_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import scc
-from graphloom.operators.components import contracted_components
+from graphloom.operators.components import contracted_components, ends
 from graphloom.schema import LIST_CAP, STRUCTURAL_RELATIONS, blank, edge_class, is_active
 from graphloom.storage import broadcast_if_small, discard, materialize
 
@@ -62,7 +62,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that no edge leaves or enters."""
-    return nodes.join(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti")  # an id once for each task
+    return nodes.join(ends(edges).distinct(), "id", "left_anti")  # an id once for each task
 
 
 def dangling(edges: DataFrame, known: DataFrame) -> DataFrame:

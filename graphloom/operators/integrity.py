@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import content_hash, infer_type, suggestion_id
+from graphloom.operators.components import CHUNK_ROWS, only_neighbours
 from graphloom.operators.federation import model_skew
-from graphloom.operators.graph import active, bfs, cycle_residual, dangling, edges_of, first_by, orphans, within
+from graphloom.operators.graph import active, bfs, cycle_residual, dangling, edges_of, first_by, orphans
 from graphloom.operators.metric import neighbours
 from graphloom.schema import EXTERNAL_RELATIONS, SUPERSEDED, blank, severity_rank
-from graphloom.storage import materialize
+from graphloom.storage import broadcast_if_small, materialize
 
 ISSUE = ("node_id", "issue_type", "message", "severity")
 DUPLICATE_SCORE = 0.95
@@ -108,14 +109,21 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(F.count("*").alias("n"))
 
 
-def small_components(live: DataFrame, edges: DataFrame) -> DataFrame:
+def small_components(live: DataFrame, edges: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
     """(node_ids): connected components of one or two nodes. They show in the neighbours of their members: none, or
-    one that has no other; so no search over the graph is needed."""
-    inside = within(edges.select("src", "dst"), live).where("src <> dst")
-    pairs = inside.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionAll(inside.select("dst", "src")).distinct()
-    degree = materialize(pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("other")), "neighbours")
-    alone = live.select("id").join(degree.select("id"), "id", "left_anti").select(F.array("id").alias("node_ids"))
-    one = degree.where("n = 1").select("id", "other")
+    one that has no other; so no search over the graph is needed.
+
+    Edges are reduced where they lie once both ends are known, a chunk at a time, to a row for each node. Neighbours are compared by
+    hashes first, and those of the few nodes that seem to have one only by their ids."""
+    ids = live.select("id")
+    inside = edges.select("src", "dst").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    seen = materialize(only_neighbours(inside, chunk), "neighbours")
+    hashed = F.xxhash64("other")
+    alike = F.max(F.col("other").isNull().cast("int")).alias("many"), F.min(hashed).alias("low"), F.max(hashed).alias("high")
+    degree = materialize(seen.groupBy("id").agg(*alike).select("id", ((F.col("many") == 0) & (F.col("low") == F.col("high"))).alias("one")), "degrees")
+    alone = ids.join(degree.select("id"), "id", "left_anti").select(F.array("id").alias("node_ids"))
+    some = seen.join(broadcast_if_small(materialize(degree.where("one").select("id"), "one-neighbour")), "id", "left_semi")
+    one = materialize(some.groupBy("id").agg(F.min("other").alias("other"), F.max("other").alias("high")).where("other = high").select("id", "other"), "one-other")
     two = one.join(one.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"]).where("id < other")
     return alone.unionByName(two.select(F.array("id", "other").alias("node_ids")))
 

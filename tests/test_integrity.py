@@ -256,3 +256,17 @@ def test_classify_with_a_model(spark, nodes_of):
 
     out = {r.query_id: (r.action, r.target, r.score) for r in classify.classify(new, nodes, emb, judge=classify.model_judge(ask)).collect()}
     assert out == {"x": ("update", "old", 0.8), "y": ("add", None, 1.0)}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 10**6])
+def test_edges_are_reduced_to_nodes_where_they_lie(spark, nodes_of, monkeypatch, chunk):
+    """Of many edges between few nodes a row for each node and chunk is written; a node's second neighbour may lie in another chunk."""
+    made, whole = {}, integrity.materialize
+    monkeypatch.setattr(integrity, "materialize", lambda df, label, *rest: made.setdefault(label, whole(df, label, *rest)))
+    names = [f"n{i}" for i in range(12)] + ["a", "b", "c", "d", "e", "f"]
+    edges = [(f"n{i % 12}", f"n{(i * 5 + 1) % 12}") for i in range(300)] + [("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("f", "f"), ("f", "gone"), ("gone", "a")] * 3
+    df = spark.createDataFrame(edges, "src string, dst string").coalesce(1)
+    got = sorted(r.node_ids for r in integrity.small_components(nodes_of([{"id": n} for n in names]), df, chunk).collect())
+    assert got == [["a", "b"], ["f"]]
+    if chunk == 10**6:
+        assert made["neighbours"].count() <= 4 * 17
