@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,8 @@ from graphloom.storage import broadcast_if_small, materialize
 
 KEPT = 1_024  # subwords with ids of their own, the most frequent ones; others are spelled in bytes
 CONTEXT, STRIDE = 8, 16  # a window's ids that are only context, and those that it scores
-WIDTH, HEADS, HIDDEN = 32, 1, 32
+WIDTH, HEADS, HIDDEN = 32, 1, 32  # one head: an id's value is multiplied by its weights ahead
+OTHER_SPACE = re.compile(r"[^\S ]")  # that separates words for Python, but not here
 STEEP = np.float32(60)  # logits are cut here, so that no exponential leaves single precision
 SAMPLE_ROWS = 2_000  # training documents that the fit starts on, many times over; then it sees all training texts once
 SAMPLE_BYTES = 6 << 20  # of all their texts; documents beyond it wait for that
@@ -85,13 +87,16 @@ class Subwords:
         self.pieces = np.fromiter((i for p in pieces for i in p), np.int64, int(self.lengths.sum()))
         self.begins = np.fromiter((spelled.get(t, b"").startswith(b" ") for t in range(len(pieces))), bool, len(pieces))
 
-    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def tokens(self, words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The vocabulary's own ids of all words in a row, and how many each has.
 
         Words without any kind of space are encoded as one text, in which only their beginnings have a space."""
-        plain = np.fromiter((len(w.split()) == 1 for w in words), bool, len(words))
-        joined = " ".join([w for w, p in zip(words, plain) if p])
-        found = np.array(self.encoding.encode_ordinary(" " + joined) if joined else [], np.int64)
+        words = pa.array(words, pa.string()) if isinstance(words, list) else words
+        joined, plain = _joined(words), np.ones(len(words), bool)
+        if OTHER_SPACE.search(joined):
+            plain = np.fromiter((len(w.split()) == 1 for w in words.to_pylist()), bool, len(words))
+            joined = _joined(words.filter(pa.array(plain)))
+        found = self.encoding.encode_to_numpy(" " + joined).astype(np.int64) if joined else np.zeros(0, np.int64)
         first = np.flatnonzero(self.begins[found])
         if len(first) != plain.sum():
             raise ValueError("the vocabulary does not keep words apart")
@@ -99,13 +104,13 @@ class Subwords:
         counts[plain] = np.diff(np.append(first, len(found)))
         if plain.all():
             return found, counts
-        alone = [self.encoding.encode_ordinary(" " + words[i]) for i in np.flatnonzero(~plain)]
+        alone = [self.encoding.encode_ordinary(" " + w) for w in words.filter(pa.array(~plain)).to_pylist()]
         counts[~plain] = list(map(len, alone))
         out, own = np.empty(int(counts.sum()), np.int64), np.repeat(plain, counts)
         out[own], out[~own] = found, [t for ids in alone for t in ids]
         return out, counts
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
         tokens, counts = self.tokens(words)
         n = self.lengths[tokens]
@@ -113,6 +118,11 @@ class Subwords:
         return self.pieces[np.repeat(self.starts[tokens] - (np.cumsum(n) - n), n) + np.arange(n.sum())], per
 
 
+def _joined(words: pa.Array) -> str:
+    """The words with a space between every two."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+
+
 @functools.lru_cache(2)
 def _encoding(path: str) -> tuple[tiktoken.Encoding, dict[int, bytes]]:
     with open(path, "rb") as f:
@@ -130,7 +140,7 @@ def _subword_counts(path: str):
         every = _subwords(path, ())
         total = np.zeros(len(every.lengths), np.int64)
         for batch in batches:
-            tokens, counts = every.tokens(batch.column("word").to_pylist())
+            tokens, counts = every.tokens(batch.column("word"))
             total += np.bincount(tokens, np.repeat(batch.column("n_train").to_numpy(), counts), len(total)).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
@@ -138,10 +148,10 @@ def _subword_counts(path: str):
     return run
 
 
-def subword_ids(words: pa.Array, sizes: np.ndarray, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
+def subword_ids(words: pa.Array | pa.DictionaryArray, sizes: np.ndarray, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each closed by ``end``, and how many each has."""
     coded = words.dictionary_encode()
-    ids, lengths = subwords.ids(coded.dictionary.to_pylist())
+    ids, lengths = subwords.ids(coded.dictionary)
     ids, lengths = np.append(ids, subwords.end), np.append(lengths, 1)
     at = np.insert(coded.indices.to_numpy(), np.cumsum(sizes), len(lengths) - 1)  # the end is one more word
     n = lengths[at]
@@ -204,133 +214,156 @@ class Attention:
             "Wc": normal(d, self.classes, scale=0.3 * d**-0.5), "bc": np.log(often.sum(1)).astype(np.float32),
             "U": normal(self.classes, self.group, d, scale=0.3 * d**-0.5), "bu": np.log(often / often.sum(1, keepdims=True)).astype(np.float32),
         }
-        self.tables: list[np.ndarray] = []
+        self.tables: tuple[np.ndarray, ...] = ()
         self.distance = np.arange(STRIDE)[:, None] + CONTEXT - np.arange(CONTEXT + STRIDE)
 
     def _mask(self, first: bool) -> np.ndarray:
-        """Biases of keys for queries: learned by distance; later keys and padding are out."""
-        bias = np.where(self.distance < 0, np.float32(-1e9), self.p["near"][:, np.maximum(self.distance, 0)])
+        """Factors of keys for queries: learned by distance; later keys and padding are out."""
+        factors = np.where(self.distance < 0, 0, np.exp(self.p["near"][0, np.maximum(self.distance, 0)]))
         if first:
-            bias[:, :, :CONTEXT] = -1e9
-        return bias
+            factors[:, :CONTEXT] = 0
+        return factors
+
+    def _by_id(self) -> tuple[np.ndarray, ...]:
+        """Of every id: its query; its key and its value as it is added up; its plain value.
 
-    def _heads(self, x: np.ndarray) -> np.ndarray:
-        return x.reshape(*x.shape[:2], HEADS, -1).transpose(0, 2, 1, 3)
+        With one head, a row for each id is multiplied by the weights, not one for each place where the id occurs."""
+        p = self.p
+        q, k, plain = np.hsplit(p["E"] @ np.hstack([p["Wq"] * np.float32(WIDTH**-0.5), p["Wk"], p["Wv"]]), 3)
+        return np.ascontiguousarray(q), np.hstack([k, plain @ p["Wo"]]), plain
 
     def finish(self) -> Attention:
-        """Queries, keys and values of every id, so that scoring only looks them up."""
-        self.tables = [self.p["E"] @ self.p[w] for w in ("Wq", "Wk", "Wv")]
+        """Values of every id and the weights of every two, so that scoring only looks them up.
+
+        That is some megabytes, made where they are used rather than sent."""
+        q, other, _ = self._by_id()
+        pairs = np.exp(np.clip(q @ other[:, :WIDTH].T, -STEEP, STEEP))
+        self.tables = pairs.ravel(), np.ascontiguousarray(other[:, WIDTH:])
         return self
 
     def _body(self, x: np.ndarray, first: bool) -> dict:
         """Everything up to the vectors that predict, for windows of ids."""
-        p, mine = self.p, x[:, CONTEXT:]
-        own, e = np.take(p["E"], mine, axis=0), None
+        p, mine, f = self.p, x[:, CONTEXT:], {}
         if self.tables:
-            q, k, v = (self._heads(np.take(t, i, axis=0)) for t, i in zip(self.tables, (mine, x, x)))
+            pairs, values = self.tables
+            s = np.take(pairs, (mine * len(values))[:, :, None] + x[:, None, :])
+            v = np.take(values, x, axis=0)
         else:
-            e = np.take(p["E"], x, axis=0)
-            q, k, v = (self._heads(m @ p[w]) for m, w in ((own, "Wq"), (e, "Wk"), (e, "Wv")))
-        s = q @ k.transpose(0, 1, 3, 2)
-        s *= np.float32((WIDTH // HEADS) ** -0.5)
-        np.clip(s, -STEEP, STEEP, out=s)
-        s += self._mask(first)
-        np.exp(s, out=s)
-        total = (s @ np.ones(s.shape[-1], np.float32))[..., None]
+            q, other, f["plain"] = self._by_id()
+            f["q"], kv = np.take(q, mine, axis=0), np.take(other, x, axis=0)
+            f["k"], v = kv[..., :WIDTH], kv[..., WIDTH:]
+            s = f["q"] @ f["k"].transpose(0, 2, 1)
+            np.clip(s, -STEEP, STEEP, out=s)
+            np.exp(s, out=s)
+        s *= self._mask(first)
+        s *= (1 / (s @ np.ones(s.shape[-1], s.dtype)))[..., None]
         a = s @ v
-        a /= total
-        a = a.transpose(0, 2, 1, 3).reshape(-1, WIDTH)  # from here on a row per predicted id
-        u = a @ p["Wo"]
-        u += own.reshape(-1, WIDTH)
+        u = np.take(p["E"], mine, axis=0)
+        u += a
+        u = u.reshape(-1, WIDTH)  # from here on a row per predicted id
         r = u @ p["W1"]
-        r += p["b1"]
-        np.maximum(r, 0, out=r)
-        return {"e": e, "own": own, "q": q, "k": k, "v": v, "s": s, "total": total, "a": a, "u": u, "r": r, "h": u + r @ p["W2"]}
+        by_window = r.reshape(len(x), -1)
+        by_window += np.tile(p["b1"], STRIDE)
+        np.clip(r, 0, np.inf, out=r)
+        h = r @ p["W2"]
+        h += u
+        return f | {"v": v, "s": s, "a": a, "u": u, "r": r, "h": h}
 
     def _predict(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probabilities (natural) of ids ``y`` from vectors ``h``; with ``grads`` also the gradient for ``h``."""
-        p, c = self.p, self.of_class[y]
-        ones = np.ones(max(self.classes, self.group), np.float32)
-
-        def log_softmax(z, at):
-            np.clip(z, -STEEP, STEEP, out=z)
-            picked = z[np.arange(len(z)), at]
-            np.exp(z, out=z)
-            total = z @ ones[: z.shape[1]]
-            return picked - np.log(total), z, total
-
-        # rows in the order of their classes
+        """Log probabilities (natural) of ids ``y`` (-1: zero) from vectors ``h``; with ``grads`` also the gradient for ``h``."""
+        p = self.p
+        # rows in the order of their classes; those without an id come last and are left out
+        c = np.append(self.of_class, np.uint8(255))[y]
         order = np.argsort(c, kind="stable")
-        h, c, inside = np.take(h, order, axis=0), c[order], self.within[y[order]]
-        edges = np.searchsorted(c, np.arange(self.classes + 1))
-        z = h @ p["Wc"]
-        z += p["bc"]
-        got, z, total = log_softmax(z, c)
-        dh = None
-        if grads is not None:
-            z /= total[:, None]
-            z[np.arange(len(z)), c] -= 1
-            grads["Wc"], grads["bc"], dh = h.T @ z, z.sum(0), z @ p["Wc"].T
-            grads["U"], grads["bu"] = np.zeros_like(p["U"]), np.zeros_like(p["bu"])
-        for g in range(self.classes):
-            rows = slice(edges[g], edges[g + 1])
-            if edges[g] == edges[g + 1]:
-                continue
-            z = h[rows] @ p["U"][g].T
+        edges = np.searchsorted(c[order], np.arange(self.classes + 1, dtype=np.uint8))
+        n = edges[-1]
+        back = np.empty(len(y), np.int64)
+        back[order] = np.arange(len(y))
+        np.minimum(back, n, out=back)
+        order = order[:n]
+        h, c, inside, at = np.take(h, order, axis=0), c[order], self.within[y[order]], np.arange(n)
+        parts = [(g, slice(edges[g], edges[g + 1])) for g in range(self.classes) if edges[g] < edges[g + 1]]
+        logits = h @ p["Wc"], np.empty((n, self.group), h.dtype)
+        np.add(logits[0], p["bc"], out=logits[0])
+        for g, rows in parts:
+            z = np.matmul(h[rows], p["U"][g].T, out=logits[1][rows])
             z += p["bu"][g]
-            more, z, total = log_softmax(z, inside[rows])
-            got[rows] += more
+        got = np.zeros(n + 1, h.dtype)  # the last place is of rows without an id
+        for z, i in zip(logits, (c, inside)):
+            np.clip(z, -STEEP, STEEP, out=z)
+            got[:n] += z[at, i]
+            np.exp(z, out=z)
+            total = z @ np.ones(z.shape[1], z.dtype)
+            got[:n] -= np.log(total)
             if grads is not None:
-                z /= total[:, None]
-                z[np.arange(len(z)), inside[rows]] -= 1
-                grads["U"][g], grads["bu"][g] = z.T @ h[rows], z.sum(0)
-                dh[rows] += z @ p["U"][g]
-        out = np.empty_like(got)
-        out[order] = got
-        if dh is not None:
-            dh[order] = dh.copy()
-        return out, dh
+                z *= (1 / total)[:, None]
+                z[at, i] -= 1
+        if grads is None:
+            return got[back], None
+        ones, dh = np.ones(n, h.dtype), np.zeros((n + 1, WIDTH), h.dtype)
+        grads["Wc"], grads["bc"] = h.T @ logits[0], ones @ logits[0]
+        grads["U"], grads["bu"] = np.zeros_like(p["U"]), np.zeros_like(p["bu"])
+        for g, rows in parts:
+            z = logits[1][rows]
+            np.matmul(z.T, h[rows], out=grads["U"][g])
+            np.matmul(ones[rows], z, out=grads["bu"][g])
+            np.matmul(z, p["U"][g], out=dh[rows])
+        dh[:n] += logits[0] @ p["Wc"].T
+        return got[back], np.take(dh, back, axis=0)
 
     def log_probability(self, x: np.ndarray, y: np.ndarray, first: bool) -> np.ndarray:
         """Log probability (natural) of the targets of each window, summed in double precision."""
-        h, good = self._body(x, first)["h"], y.ravel() >= 0
-        out = np.zeros(y.size)
-        out[good] = self._predict(h if good.all() else h[good], y.ravel()[good])[0]
-        return out.reshape(y.shape).sum(1)
+        return self._predict(self._body(x, first)["h"], y.ravel())[0].reshape(y.shape).sum(1, dtype=np.float64)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, first: bool) -> tuple[float, dict]:
         """Mean loss of the targets of some windows and its gradients."""
-        p, f, g = self.p, self._body(x, first), {}
-        good = y.ravel() >= 0
-        logs, dh = self._predict(f["h"][good], y.ravel()[good], g)
-        n = len(logs)
-        full = np.zeros_like(f["h"])
-        full[good] = dh
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        dr = (full @ p["W2"].T) * (f["r"] > 0)
-        g["W2"], g["W1"], g["b1"] = f["r"].T @ full, f["u"].T @ dr, dr.sum(0)
-        du = full + dr @ p["W1"].T
-        g["Wo"] = f["a"].T @ du
-        du = du.reshape(f["own"].shape)
-        da = self._heads(du @ p["Wo"].T)
-        weight = f["s"] / f["total"]
-        ds = da @ f["v"].transpose(0, 1, 3, 2)
-        dv = weight.transpose(0, 1, 3, 2) @ da
-        ds = weight * (ds - (ds * weight).sum(-1, keepdims=True))
-        causal = self.distance >= 0
-        g["near"] = np.stack([np.bincount(self.distance[causal], m[causal], CONTEXT + STRIDE) for m in ds.sum(0)]).astype(np.float32)
-        ds *= np.float32((WIDTH // HEADS) ** -0.5)
-        dq, dk = ds @ f["k"], ds.transpose(0, 1, 3, 2) @ f["q"]
-        dq, dk, dv = (m.transpose(0, 2, 1, 3).reshape(m.shape[0], m.shape[2], -1) for m in (dq, dk, dv))
-        own = f["own"]
-        g["Wq"], g["Wk"], g["Wv"] = flat(own).T @ flat(dq), flat(f["e"]).T @ flat(dk), flat(f["e"]).T @ flat(dv)
-        de = dk @ p["Wk"].T + dv @ p["Wv"].T
-        de[:, CONTEXT:] += du + dq @ p["Wq"].T
-        order = np.argsort(x.ravel(), kind="stable")
-        used, at = np.unique(x.ravel()[order], return_index=True)
-        g["E"] = np.zeros_like(p["E"])
-        g["E"][used] = np.add.reduceat(flat(de)[order], at, axis=0)
-        return -float(logs.mean()), {k: a / n for k, a in g.items()}
+        p, d, f, g = self.p, WIDTH, self._body(x, first), {}
+        logs, dh = self._predict(f["h"], y.ravel(), g)
+        n, mine = max(1, int((y >= 0).sum())), x[:, CONTEXT:]
+        u, r, s = f["u"], f["r"], f["s"]
+        dr = dh @ p["W2"].T
+        dr *= r > 0
+        g["W2"], g["W1"], g["b1"] = r.T @ dh, u.T @ dr, np.ones(len(dr), s.dtype) @ dr
+        dh += dr @ p["W1"].T
+        du = dh.reshape(*mine.shape, d)
+        dkv = np.empty((*x.shape, 2 * d), s.dtype)
+        ds = du @ f["v"].transpose(0, 2, 1)
+        ds -= np.einsum("wid,wid->wi", du, f["a"])[..., None]
+        ds *= s
+        summed, causal = np.ones(len(x), s.dtype) @ ds.reshape(len(x), -1), self.distance >= 0
+        g["near"] = np.bincount(self.distance[causal], summed.reshape(self.distance.shape)[causal], CONTEXT + STRIDE).astype(s.dtype)[None]
+        np.matmul(ds.transpose(0, 2, 1), f["q"], out=dkv[..., :d])
+        np.matmul(s.transpose(0, 2, 1), du, out=dkv[..., d:])
+        # context that ends the window before is added there; other context is rows of its own
+        follows = np.append(False, (x[1:, :CONTEXT] == x[:-1, STRIDE:]).all(1))
+        after, alone = np.flatnonzero(follows), np.flatnonzero(~follows)
+        dkv[after - 1, STRIDE:] += dkv[after, :CONTEXT]
+        rows = np.zeros((mine.size + alone.size * CONTEXT, 4 * d), s.dtype)
+        own, rest = rows[: mine.size].reshape(*mine.shape, -1), rows[mine.size :].reshape(len(alone), CONTEXT, -1)
+        np.matmul(ds, f["k"], out=own[..., :d])
+        own[..., d : 2 * d] = du
+        own[..., 2 * d :] = dkv[:, CONTEXT:]
+        rest[..., 2 * d :] = dkv[alone, :CONTEXT]
+        dq, de, dk, dv = np.hsplit(_added_by_id(rows, np.append(mine.ravel(), x[alone, :CONTEXT].ravel()), self.size + 1), 4)
+        scale, e, dp = np.float32(d**-0.5), p["E"], dv @ p["Wo"].T
+        both = np.hstack([dq, dk, dp])
+        g["Wo"], (g["Wq"], g["Wk"], g["Wv"]) = f["plain"].T @ dv, np.hsplit(e.T @ both, 3)
+        g["Wq"] = g["Wq"] * scale
+        g["E"] = de + both @ np.vstack([(p["Wq"] * scale).T, p["Wk"].T, p["Wv"].T])
+        return -float(logs.sum()) / n, {k: a / n for k, a in g.items()}
+
+
+def _added_by_id(rows: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows of each id: ids of few rows at a time those of as many, others one by one."""
+    order, counts = np.argsort(ids.astype(np.min_scalar_type(size)), kind="stable"), np.bincount(ids, minlength=size)
+    rows, ends, few = np.take(rows, order, axis=0), np.cumsum(counts), 8
+    out, ones = np.zeros((size, rows.shape[1]), rows.dtype), np.ones(len(rows), rows.dtype)
+    for n in range(1, few + 1):
+        some = np.flatnonzero(counts == n)
+        out[some] = np.take(rows, ends[some, None] - np.arange(n, 0, -1), axis=0).sum(1)
+    for i in np.flatnonzero(counts > few).tolist():
+        np.matmul(ones[: counts[i]], rows[ends[i] - counts[i] : ends[i]], out=out[i])
+    return out
 
 
 class Adam:
@@ -368,7 +401,7 @@ def fit_model(flat: np.ndarray, per: np.ndarray, size: int, seed: int = 5) -> At
             order = rng.permutation(len(batches))
         _, grads = model.gradients(*batches[order[step % len(batches)]])
         adam.step(grads, RATE * (1 - 0.95 * step / steps))
-    return model.finish()
+    return model
 
 
 # over a corpus
@@ -405,7 +438,6 @@ def _learned(sent):
     def run(batches):
         path, kept, model = sent.value
         model = cloudpickle.loads(cloudpickle.dumps(model))  # the broadcast one stays as it is
-        model.tables = []
         subwords, adam, n = _subwords(path, kept), Adam(model), 0
         for batch in batches:
             for _, x, y, first in windows(*subword_ids(*word_lists(batch.column("t")), subwords), subwords.size):
@@ -437,7 +469,7 @@ def learn(docs: DataFrame, path: str, kept: tuple[int, ...], attention: Attentio
         size = attention.p[k].size
         attention.p[k] = weights[at : at + size].reshape(attention.p[k].shape).astype(np.float32)
         at += size
-    return attention.finish()
+    return attention
 
 
 def fit(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", text: str = "text") -> Model:
@@ -461,7 +493,7 @@ def fit(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", text:
 
     some = _sample(docs, train, id_col, text)
     got = some.select("id", "t").repartition(1).mapInPandas(run, "model binary").collect()
-    attention = cloudpickle.loads(got[0]["model"]) if got else Attention(257 + len(kept), np.zeros((257 + len(kept),) * 2)).finish()
+    attention = cloudpickle.loads(got[0]["model"]) if got else Attention(257 + len(kept), np.zeros((257 + len(kept),) * 2))
     if some.count() < ends:
         attention = learn(docs.where(train), path, kept, attention, text)
     return Model(path, kept, attention, words, total["n"] + ends, total["v"] + (ends > 0), ends)
@@ -486,7 +518,7 @@ def _scores(sent):
 
     def run(batches):
         path, kept, attention, hot_words, hot_counts = sent.value
-        subwords, number = _subwords(path, kept), 0
+        subwords, attention, number = _subwords(path, kept), attention.finish(), 0
         for batch in batches:
             rows = batch.num_rows
             if not rows:
@@ -501,7 +533,7 @@ def _scores(sent):
             base = np.bincount(text[hot], np.log10(counts + 0.5), rows).astype(np.float64)  # of nothing it is whole numbers
             known = np.bincount(text[hot], counts > 0, rows).astype(np.int64)
             rare, rare_sizes = words.filter(pa.array(~hot)), np.bincount(text[~hot], minlength=rows)
-            flat, per = subword_ids(words, sizes, subwords)
+            flat, per = subword_ids(coded, sizes, subwords)
             score = np.zeros(rows)
             for t, x, y, first in windows(flat, per, subwords.size):
                 score += np.bincount(t, attention.log_probability(x, y, first), rows)

@@ -142,6 +142,49 @@ def test_gradients_are_slopes():
             assert abs((up - down) / (2 * step) - g[k][at]) < 2e-3 * max(1, abs(g[k][at])), k
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 2, 5, 6, 9]), max_size=60))
+def test_sums_by_id(ids):
+    ids = np.array(ids, np.int64)
+    rows = np.random.default_rng(2).integers(-9, 9, (len(ids), 6)).astype(np.float32)
+    want = np.zeros((10, 6), np.float32)
+    np.add.at(want, ids, rows)
+    assert (lm._added_by_id(rows, ids, 10) == want).all()
+
+
+def test_gradients_of_windows_in_a_row_are_those_of_each():
+    model, _, _ = small_model()
+    rng = np.random.default_rng(4)
+    per = np.array([70, 3, 41])
+    chunks = [c for c in lm.windows(rng.integers(0, 40, per.sum()), per, 40)]
+    for _, x, y, first in chunks:
+        loss, got = model.gradients(x, y, first)
+        each = [(int((y[i] >= 0).sum()), *model.gradients(x[i : i + 1], y[i : i + 1], first)) for i in range(len(x))]
+        n = sum(e[0] for e in each)
+        assert loss == pytest.approx(sum(e[0] * e[1] for e in each) / n, rel=1e-4)
+        for k, g in got.items():
+            assert np.allclose(g, sum(e[0] * e[2][k] for e in each) / n, atol=1e-4), k
+
+
+def test_ids_are_multiplied_once_and_not_at_every_place():
+    most = []
+
+    class Counted(np.ndarray):
+        def __rmatmul__(self, other):
+            most.append(len(other))
+            return np.asarray(other) @ np.asarray(self)
+
+    model, _, _ = small_model()
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 40, (50, lm.CONTEXT + lm.STRIDE)), rng.integers(0, 40, (50, lm.STRIDE))
+    want = model.gradients(x, y, False)[1]
+    for k in ("Wq", "Wk", "Wv", "Wo"):
+        model.p[k] = model.p[k].view(Counted)
+    got = model.gradients(x, y, False)[1]
+    assert most and max(most) <= 41
+    assert all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+
+
 def train_fold(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1
 
