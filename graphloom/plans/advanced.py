@@ -220,7 +220,9 @@ def versioned_edits(v):
     SELECT 'type/' || c_custkey AS src, 'interface/' || l_orderkey AS dst, 'implements' AS relation FROM i JOIN t ON t.nation = i.nation WHERE list_has_all(t.has, i.wants)""")
 def interface_edges(v):
     """Interfaces and types of a package by their methods: an order's parts, and all that a customer ordered."""
-    lines = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    method = F.concat(F.lit("m"), F.col("l_partkey") % 200)
+    owners = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_nationkey")
+    lines = v.table("lineitem").select("l_orderkey", (F.col("l_partkey") % 200).alias("part")).join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = materialize(lines.select("c_nationkey", "c_custkey", "l_orderkey", "part"), "lines")
+    method = F.concat(F.lit("m"), "part")
     part = lambda kind, c: lines.select(F.col("c_nationkey").alias("package"), F.concat(F.lit(kind), c).alias("id"), method.alias("method"))
     return containment.implements(part("interface/", "l_orderkey"), part("type/", "c_custkey"))

@@ -47,3 +47,37 @@ def test_many_methods_share_bits(spark, monkeypatch):
     rows = lambda sets: spark.createDataFrame([(p, i, m) for (p, i), s in sets.items() for m in sorted(s)], ROW)
     got = containment.implements(rows(wants), rows(has)).collect()
     assert sorted((r.src, r.dst) for r in got) == sorted({(t, i) for (p, i), w in wants.items() for (q, t), h in has.items() if p == q and w <= h})
+
+
+def _joined(plan):
+    """The most rows that a join of an executed plan has put out."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _joined(plan.executedPlan())
+    own = plan.metrics().get("numOutputRows").get().value() if "Join" in plan.nodeName() else 0
+    below = plan.children()
+    return max([own, *(_joined(below.apply(i)) for i in range(below.size())), *([_joined(plan.plan())] if "QueryStage" in plan.nodeName() else [])])
+
+
+def test_equal_sets_meet_once(spark):
+    n = 400
+    rows = lambda kind: spark.range(n).selectExpr("'p' AS package", f"'{kind}' || id AS id", "explode(array('a', 'b', 'c')) AS method")
+    got = implements(rows("I"), rows("T"))
+    assert {(r.src, r.dst) for r in got.collect()} == {(f"T{i}", f"I{k}") for i in range(n) for k in range(n)}
+    assert 0 < _joined(got._jdf.queryExecution().executedPlan()) <= n
+
+
+def test_blocks_too_large_to_broadcast(spark, monkeypatch):
+    from graphloom.operators import containment
+
+    rng = random.Random(5)
+    methods = [f"m{i}" for i in range(90)]
+    sizes = [1, 2, 4, 5, 8, 9, 40, 70]  # also beyond the methods that are looked up without a lambda
+    has = {(p, f"T{i}"): set(rng.sample(methods, 88)) if i % 3 else {"m1", "m2"} for p in ("a", "b") for i in range(120)}
+    wants = {(p, f"{p * (i % 2)}I{i}"): set(rng.sample(methods, sizes[i % 8])) if i % 4 else {"m1"} for p in ("a", "b") for i in range(160)}
+    rows = lambda sets: spark.createDataFrame([(p, i, m) for (p, i), s in sets.items() for m in sorted(s)], ROW)
+    want = sorted({(t, i) for (p, i), w in wants.items() for (q, t), h in has.items() if p == q and w <= h})
+    assert sorted((r.src, r.dst) for r in containment.implements(rows(wants), rows(has)).collect()) == want
+    monkeypatch.setattr(containment, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(containment, "PAIRS", 5_000)
+    monkeypatch.setattr(containment, "BUCKET", 16)
+    assert sorted((r.src, r.dst) for r in containment.implements(rows(wants), rows(has)).collect()) == want
